@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_decontamination
 from .quality_rules import op6_quality_rules
+from .simhash import op4_simhash
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
+    "op4_simhash": op4_simhash,
     "op6_quality_rules": op6_quality_rules,
 }
