@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontamination
+from .mixing import op10_mixing
 from .quality_rules import op6_quality_rules
+from .sharding import op9_sharding
 from .simhash import op4_simhash
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op6_quality_rules": op6_quality_rules,
+    "op9_sharding": op9_sharding,
+    "op10_mixing": op10_mixing,
 }

@@ -326,6 +326,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(parts.select("fp", "root").join(least, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without near-duplicates: of each class the row with the least id stays, of rows with
+    that id one. Rows without an id can't be told apart by it, link to nothing and stay."""
+    named = docs.filter(F.col(id_col).isNotNull())
+    found = cut(near_duplicates(named, id_col, text_col).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("first")))
+    dropped = found.filter(~F.col("first")).select(F.col("doc_id").alias("__rl_dropped")).distinct()
+    out = docs.join(dropped, docs[id_col] == F.col("__rl_dropped"), "left_anti")
+    firsts = found.filter("first")
+    if firsts.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return out
+    kept = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return kept.unionByName(out.filter(F.col(id_col).isNull()))
+
+
 def op4_simhash(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
