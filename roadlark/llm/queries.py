@@ -7,8 +7,10 @@ from .mixing import op10_mixing
 from .quality_rules import op6_quality_rules
 from .sharding import op9_sharding
 from .simhash import op4_simhash
+from .warc import op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op6_quality_rules": op6_quality_rules,
