@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontamination
+from .lm_scoring import op2_lm_scoring
 from .mixing import op10_mixing
 from .quality_rules import op6_quality_rules
 from .sharding import op9_sharding
@@ -11,6 +12,7 @@ from .warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op6_quality_rules": op6_quality_rules,
