@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .arrow import Words, as_bytes, in_pieces, with_columns
 from .common import cut, fold, table
 
-SEGMENTS, MAX_FILTER_BYTES, BITS_PER_ENTRY, HASHES = 1024, 128 << 20, 12, 4
+SEGMENTS, MAX_FILTER_BYTES, BITS_PER_ENTRY, HASHES = 1024, 40 << 20, 12, 4
 LOG_BASE, LEVELS = 1.5, 64
 HEAD = 1 << 19
 MU = 200.0
@@ -276,7 +276,7 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     ids, sums = (head.column(k).to_numpy() for k in (0, 1)) if head else (np.empty(0, np.int64), np.empty(0, np.int64))
     rows = texts.mapInArrow(_count_ngrams, "segment int, hashes binary, counts binary")
     built = rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(_build, "segment int, bits binary")
-    segments = {r.segment: bytes(r.bits) for r in built.collect()}  # MAX_FILTER_BYTES at most
+    segments = {r.segment: bytes(r.bits) for r in built.toLocalIterator()}  # a partition at a time; MAX_FILTER_BYTES in all
     return Model(segments, n, v, ids.view(np.uint64), sums, held == v), counts
 
 
