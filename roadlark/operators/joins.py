@@ -38,7 +38,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, left_s: str, ri
     other = right.select(F.col(key).alias("__key"), F.floor(F.col(right_s) / within_s).alias("__rcell"), F.col(right_s).alias("__at"), *(F.col(c).alias(f"__v_{c}") for c in dict.fromkeys([*values, *tie])))
     apart = F.abs(F.col(left_s) - F.col("__at"))
     met = src.join(other, (F.col(key) == F.col("__key")) & (F.col("__cell") == F.col("__rcell")) & (apart <= within_s), "left")
-    best = F.min_by(F.when(F.col("__at").isNotNull(), F.struct(F.col("__at").alias("at"), *(F.col(f"__v_{c}").alias(c) for c in values))), F.struct(apart, "__at", *(F.col(f"__v_{c}") for c in tie)))
+    best = F.min_by(F.when(F.col("__at").isNotNull(), F.struct(F.col("__at").alias("at"), *(F.col(f"__v_{c}").alias(c) for c in values))), F.struct(F.col("__at").isNull(), apart, "__at", *(F.col(f"__v_{c}") for c in tie)))
     out = met.groupBy(*left.columns).agg(best.alias("__best"))
     return out.select(*left.columns, F.col("__best.at").alias("nearest_s"), *(F.col(f"__best.{c}").alias(c) for c in values))
 
