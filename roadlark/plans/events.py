@@ -205,7 +205,7 @@ def clean_flags(spark, sf_dir):
 @query("""
 WITH e AS (SELECT user_id, event_type, date_trunc('second', ts) ts FROM events)
 SELECT user_id, count(*) events, count(DISTINCT ts::DATE) active_days, count(DISTINCT event_type) types, round(ln(1 + count(*)),6) log_events, count(*) FILTER (event_type='click') n_click, count(*) FILTER (event_type='error') n_error, count(*) FILTER (event_type='purchase') n_purchase, count(*) FILTER (event_type='signup') n_signup, count(*) FILTER (event_type='view') n_view,
- round(avg(CASE WHEN isodow(ts) >= 6 THEN 1.0 ELSE 0.0 END)::DOUBLE,6) weekend_share, count(DISTINCT week(ts)) weeks FROM e GROUP BY 1""")
+ round(avg(CASE WHEN isodow(ts) >= 6 THEN 1.0 ELSE 0.0 END)::DOUBLE,6) weekend_share, count(DISTINCT week(ts)) AS weeks FROM e GROUP BY 1""")
 def activity_pivot(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     kinds = ["click", "error", "purchase", "signup", "view"]
