@@ -77,10 +77,10 @@ def hotspots(df: DataFrame, key: str, id_col: str, lat: str, lon: str, metres: f
     the links, cut by a checkpoint each round, with pointer jumping.
     """
     a, b = _cell(F.col(lat), F.col(lon), metres)
-    pts = df.select(key, F.col(id_col).alias("id"), F.col(lat).alias("la"), F.col(lon).alias("lo"), a.alias("ci"), b.alias("cj"))
+    pts = df.select(F.col(key).alias("pk"), F.col(id_col).alias("id"), F.col(lat).alias("la"), F.col(lon).alias("lo"), a.alias("ci"), b.alias("cj"))
     near = F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    probe = pts.withColumn("d", F.explode(near)).select(F.col(key).alias("k"), F.col("id").alias("u"), F.col("la").alias("ua"), F.col("lo").alias("uo"), (F.col("ci") + F.col("d.di")).alias("ui"), (F.col("cj") + F.col("d.dj")).alias("uj"))
-    met = probe.join(pts, (F.col("k") == F.col(key)) & (F.col("ui") == F.col("ci")) & (F.col("uj") == F.col("cj")) & (F.col("u") != F.col("id")))
+    probe = pts.withColumn("d", F.explode(near)).select(F.col("pk").alias("k"), F.col("id").alias("u"), F.col("la").alias("ua"), F.col("lo").alias("uo"), (F.col("ci") + F.col("d.di")).alias("ui"), (F.col("cj") + F.col("d.dj")).alias("uj"))
+    met = probe.join(pts, (F.col("k") == F.col("pk")) & (F.col("ui") == F.col("ci")) & (F.col("uj") == F.col("cj")) & (F.col("u") != F.col("id")))
     edges = met.filter(haversine(F.col("ua"), F.col("uo"), F.col("la"), F.col("lo")) <= metres).select("k", "u", F.col("id").alias("v")).distinct()
     edges = _checkpoint(edges)
     labels = _checkpoint(edges.groupBy("k", "u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
@@ -104,9 +104,9 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 
 def route_repeat(df: DataFrame, key: str, day: str, id_col: str, lat: str, lon: str) -> DataFrame:
     """Mean nearest-point distance between each day and the next with points, both ways."""
-    p = df.select(key, F.col(day).alias("d"), F.col(id_col).alias("i"), F.col(lat).alias("la"), F.col(lon).alias("lo"))
-    q = p.select(F.col(key).alias("__k"), F.col("d").alias("d2"), F.col("i").alias("i2"), F.col("la").alias("la2"), F.col("lo").alias("lo2"))
-    met = p.join(q, (F.col(key) == F.col("__k")) & (F.col("d2") == F.col("d") + 1)).withColumn("m", haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2")))
-    there = met.groupBy(key, "d", "i").agg(F.min("m").alias("m"))
-    back = met.groupBy(key, "d2", "i2").agg(F.min("m").alias("m"))
-    return there.select(key, "m").unionAll(back.select(key, "m")).groupBy(key).agg(F.avg("m").alias("repeat_m"))
+    p = df.select(F.col(key).alias("k"), F.col(day).alias("d"), F.col(id_col).alias("i"), F.col(lat).alias("la"), F.col(lon).alias("lo"))
+    q = p.select(F.col("k").alias("__k"), F.col("d").alias("d2"), F.col("i").alias("i2"), F.col("la").alias("la2"), F.col("lo").alias("lo2"))
+    met = p.join(q, (F.col("k") == F.col("__k")) & (F.col("d2") == F.col("d") + 1)).withColumn("m", haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2")))
+    there = met.groupBy("k", "d", "i").agg(F.min("m").alias("m"))
+    back = met.groupBy("k", "d2", "i2").agg(F.min("m").alias("m"))
+    return there.select("k", "m").unionAll(back.select("k", "m")).groupBy(F.col("k").alias(key)).agg(F.avg("m").alias("repeat_m"))
