@@ -75,10 +75,10 @@ def edge_histogram(spark, sf_dir):
     return aggregates.edge_quantile(rows(spark, sf_dir), ["k"], F.col("v"), [10.0, 20.0, 40.0, 60.0, 80.0], 0.95).withColumn("share_over", r6("share_over"))
 
 
-@query(_ROWS + """SELECT coalesce(flag,'__global__') flag, count(*) n, round(quantile_cont(v,0.9),6) p90, round(quantile_cont(v,0.95),6) p95 FROM r GROUP BY GROUPING SETS ((flag),())""")
+@query(_ROWS + """SELECT coalesce(flag,'__global__') flag, count(*) n, round(quantile_cont(v,0.9),4) p90, round(quantile_cont(v,0.95),4) p95 FROM r GROUP BY GROUPING SETS ((flag),())""")
 def fleet_reference(spark, sf_dir):
     g = rows(spark, sf_dir).groupingSets([[F.col("flag")], []], F.col("flag")).agg(F.count("*").alias("n"), F.percentile("v", F.array(F.lit(0.9), F.lit(0.95))).alias("q"))
-    return g.select(F.coalesce("flag", F.lit("__global__")).alias("flag"), "n", r6(F.col("q")[0]).alias("p90"), r6(F.col("q")[1]).alias("p95"))
+    return g.select(F.coalesce("flag", F.lit("__global__")).alias("flag"), "n", F.round(F.col("q")[0], 4).alias("p90"), F.round(F.col("q")[1], 4).alias("p95"))
 
 
 @query(_ROWS + """, q AS (SELECT flag, least(greatest(quantile_cont(norm,0.99),0.8),1.3) hi FROM r GROUP BY 1), u AS (SELECT max(hi) a, min(hi) b, avg(hi) c FROM q)
