@@ -143,3 +143,43 @@ def exposure_windows(spark, sf_dir):
     since = lambda d: F.col("o_orderdate") >= F.lit(d).cast("date")
     part = lambda d: F.round(F.sum(F.when(since(d), F.col("o_totalprice")).otherwise(0)), 2)
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), part("2001-07-01").alias("v31"), part("2001-02-01").alias("v181"), F.count_distinct(F.when(since("2001-02-01"), F.to_date("o_orderdate"))).alias("days181"))
+
+
+@query("""
+WITH s AS (SELECT l_returnflag flag, unnest(['quantity','price','tax']) signal, unnest([l_quantity::DOUBLE, l_extendedprice/1000, l_tax*100]) v FROM lineitem)
+SELECT flag, signal, count(*) n, round(quantile_cont(v,0.5),3) p50, round(quantile_cont(v,0.95),3) p95, round(quantile_cont(v,0.99),3) p99, round(quantile_cont(v,0.995),3) p995 FROM s GROUP BY 1,2""")
+def signal_quantiles(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    pairs = (("quantity", F.col("l_quantity").cast("double")), ("price", F.col("l_extendedprice") / 1000), ("tax", F.col("l_tax") * 100))
+    s = l.select(F.col("l_returnflag").alias("flag"), F.inline(F.array(*(F.struct(F.lit(n).alias("signal"), c.alias("v")) for n, c in pairs))))
+    qs = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p995": 0.995}
+    g = s.groupBy("flag", "signal").agg(F.count("*").alias("n"), F.percentile("v", F.array(*map(F.lit, qs.values()))).alias("q"))
+    return g.select("flag", "signal", "n", *(F.round(F.col("q")[i], 3).alias(n) for i, n in enumerate(qs)))
+
+
+@query("""
+WITH d AS (SELECT user_id, ts::DATE AS day, count(*) n, avg(value) v, max(value) mx, avg(CASE WHEN value < 5 THEN 1.0 ELSE 0 END)::DOUBLE slow FROM events GROUP BY 1,2)
+SELECT user_id, count(*) active_days, sum(n)::BIGINT n, round(avg(v),9) mean_of_days, round(sum(v*n)/sum(n),9) mean_of_rows, round(max(mx),5) mx, round(avg(slow),6) slow_share, round(stddev_samp(v)/(avg(v)+1e-6),5) day_cv FROM d GROUP BY 1""")
+def day_rollup(spark, sf_dir):
+    d = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.avg("value").alias("v"), F.max("value").alias("mx"), F.avg((F.col("value") < 5).cast("double")).alias("slow"))
+    return d.groupBy("user_id").agg(F.count("*").alias("active_days"), F.sum("n").alias("n"), F.round(F.avg("v"), 9).alias("mean_of_days"), F.round(ratio(F.sum(F.col("v") * F.col("n")), F.sum("n")), 9).alias("mean_of_rows"), F.round(F.max("mx"), 5).alias("mx"), r6(F.avg("slow")).alias("slow_share"), F.round(F.stddev_samp("v") / (F.avg("v") + 1e-6), 5).alias("day_cv"))
+
+
+@query(_D + """, a AS (SELECT lang, 'p' arm, p s, y FROM d UNION ALL SELECT lang, 'p2', p2, y FROM d), r AS (SELECT lang, arm, y, rank() OVER (PARTITION BY lang, arm ORDER BY s) + (count(*) OVER (PARTITION BY lang, arm, s)-1)/2.0::DOUBLE rk FROM a),
+u AS (SELECT lang, arm, round((sum(CASE WHEN y=1 THEN rk END) - sum(y)*(sum(y)+1)/2.0::DOUBLE)/nullif(sum(y)*(count(*)-sum(y)),0),6) auc FROM r GROUP BY 1,2),
+w AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY auc DESC NULLS LAST, arm DESC) rn FROM u) SELECT lang AS "view", arm, auc FROM w WHERE rn = 1""")
+def best_arm(spark, sf_dir):
+    """For each view the scoring arm of best AUC, ties to the later name."""
+    arms = F.array(F.struct(F.lit("p").alias("arm"), F.col("p").alias("s")), F.struct(F.lit("p2").alias("arm"), F.col("p2").alias("s")))
+    a = scored(spark, sf_dir).select(F.col("lang").alias("view"), "y", F.inline(arms))
+    u = evaluation.auc(a, "s", "y", ["view", "arm"]).select("view", "arm", r6("auc").alias("auc"))
+    w = Window.partitionBy("view").orderBy(F.desc_nulls_last("auc"), F.desc("arm"))
+    return u.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+@query()
+def synthetic_rows(spark, sf_dir):
+    """Seeded rows for tests: the same on any cluster, for every value is a hash of the seed and the id."""
+    u = lambda name: F.pmod(F.xxhash64(F.lit(42), F.lit(name), F.col("id")), F.lit(1 << 20)) / float(1 << 20)
+    r = spark.range(1000).select("id", *(u(c).alias(c) for c in ("x1", "x2", "noise")))
+    return r.withColumns({"y": (F.col("x1") + 0.5 * F.col("x2") + 0.3 * F.col("noise") > 1.0).cast("int"), "fold": (F.col("id") % 5).cast("int")})
