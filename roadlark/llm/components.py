@@ -12,9 +12,15 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def dealt_again(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with a key that Spark doesn't know to be dealt out already. Of a join with plain shuffles on
+    both sides the adaptive planner can split a hot key's rows; of one that reuses an aggregate's it can't."""
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     """Link the larger (or, else, the smaller) neighbours of each u to the least of its neighbourhood."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = dealt_again(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
     joined = pairs.join(least, "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .arrow import as_bytes, with_columns
 from .common import cut, table
-from .components import components
+from .components import components, dealt_again
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Entries of one partition value that may meet in one place.
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes))
     parts = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = parts.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = dealt_again(parts.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     return fps.join(parts.select("fp", "root").join(least, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
