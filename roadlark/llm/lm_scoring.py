@@ -3,11 +3,13 @@
 A bigram model is learnt from all training texts. Counts are quantised on a log scale: an n-gram
 whose level is J is in the filter as (n-gram, 1) ... (n-gram, J), so a count is read back by probing
 level after level until one is missing, and never comes out below its level. The filter is cut by
-hash into ``SEGMENTS`` segments, each built by one task from the sums of all texts and each of at
-most ``MAX_FILTER_BYTES / SEGMENTS`` bytes; the whole is sent to the workers, so its size has a
-fixed bound. Where a segment's n-grams don't fit, it holds those of the highest counts that do
-(a count cut-off, as in any model of bounded size) and the rest back off. With c the counts as
-read back, P(w | v) = (min(c(v w), c(v)) + MU * P1(w)) / (c(v) + MU), P1(w) = (c(w) + 1) / (N + V + 1).
+hash into ``SEGMENTS`` segments and holds every n-gram, so it grows with the training texts; it is
+never gathered in one place. Documents are dealt into chunks of about ``CHUNK_BYTES`` of text; each
+chunk sends its different n-grams to their segments by shuffle, the task that builds a segment probes
+it, and the levels go back to the chunk. With c the counts as read back,
+P(w | v) = (min(c(v w), c(v)) + MU * P1(w)) / (c(v) + MU), P1(w) = (c(w) + 1) / (N + V + 1).
+Chunks are named by partition and place, so the scored table must give the same rows in the same
+partitions each time it is read, as a scan or a checkpoint does; a chunk that doesn't is refused.
 
 ``base_score`` and ``n_known`` use exact counts: those of frequent tokens (at most ``HEAD``) are
 sent to the workers; occurrences of all others are joined with the table of counts by shuffle.
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +36,7 @@ from pyspark.sql import types as T
 from .arrow import Words, as_bytes, in_pieces, with_columns
 from .common import cut, fold, table
 
-SEGMENTS, MAX_FILTER_BYTES, BITS_PER_ENTRY, HASHES = 1024, 40 << 20, 12, 4
+SEGMENTS, CHUNK_BYTES, BITS_PER_ENTRY, HASHES = 1024, 4 << 20, 12, 4
 LOG_BASE, LEVELS = 1.5, 64
 HEAD = 1 << 19
 MU = 200.0
@@ -125,39 +128,109 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 18)].view(np.int64)), pa.array(counts[k : k + (1 << 18)])], names=["h", "c"])
 
 
+def _keys(t: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each token the unigram, then of each the bigram, as the filter knows them."""
+    return np.concatenate([unigrams(t), bigrams(before(t, starts), t)]) >> np.uint64(22)
+
+
+def _by_segment(chunk: int | None, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each segment: sorted n-gram hashes and their training counts, empty if all are 0."""
+    cuts = np.searchsorted(keys >> np.uint64(32), np.arange(SEGMENTS + 1, dtype=np.uint64))
+    low = keys.astype(np.uint32)
+    which = [s for s in range(SEGMENTS) if cuts[s] < cuts[s + 1]]
+    for k in range(0, len(which), 64):
+        some = which[k : k + 64]
+        own = [counts[cuts[s] : cuts[s + 1]] for s in some]
+        packed = [c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes() if c.any() else b"" for c in own]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([low[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()), pa.array(packed, pa.binary())],
+            names=["segment", "chunk", "hashes", "counts"])
+
+
 def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each segment: sorted n-gram hashes and their counts."""
-    both = lambda t, starts: np.concatenate([unigrams(t), bigrams(before(t, starts), t)]) >> np.uint64(22)
-    for keys, counts in _counted(batches, both):
-        cuts = np.searchsorted(keys >> np.uint64(32), np.arange(SEGMENTS + 1, dtype=np.uint64))
-        low = keys.astype(np.uint32)
-        which = [s for s in range(SEGMENTS) if cuts[s] < cuts[s + 1]]
-        for k in range(0, len(which), 64):
-            some = which[k : k + 64]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([low[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()), pa.array([counts[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes() for s in some], pa.binary())],
-                names=["segment", "hashes", "counts"])
-
-
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of segment -> one row for each segment with its bits."""
+    for keys, counts in _counted(batches, _keys):
+        yield from _by_segment(None, keys, counts)
+
+
+# ---- chunks: what they ask, what they are answered
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
+    """Chunk, rows and texts. Where a chunk ends follows from the texts alone, not from the batches."""
+    chunk, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        texts, start = as_bytes(batch.column(batch.schema.names.index(column))), 0
+        for i, t in enumerate(texts):
+            if held and held + len(t) > CHUNK_BYTES:
+                if start < i:
+                    yield chunk, batch.slice(start, i - start), texts[start:i]
+                chunk, held, start = chunk + 1, 0, i
+            held += len(t) + 64
+        if start < len(texts):
+            yield chunk, batch.slice(start), texts[start:]
+
+
+def _homes(batches: Iterator[pa.RecordBatch], column: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows with their chunk, in the order after its segments."""
+    for chunk, rows, _ in _dealt(batches, column):
+        n = rows.num_rows
+        yield with_columns(rows, keep, {"__rl_chunk": pa.array([chunk] * n, pa.int64()), "__rl_segment": pa.array([SEGMENTS] * n, pa.int32())})
+
+
+def _asked(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Each chunk's different n-grams, with how often its training texts (``__rl_train``) have them."""
+    seen = Words()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        t, starts = tokens([x for texts, _ in held for x in texts], seen)
+        train = np.repeat(np.concatenate([x for _, x in held]), np.diff(starts)).astype(np.uint64)
+        both, n = np.unique((_keys(t, starts) << np.uint64(1)) | np.concatenate([train, train]), return_counts=True)
+        keys = both >> np.uint64(1)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        yield from _by_segment(now, keys[first], np.add.reduceat(np.where(both & np.uint64(1), n, 0), first))
+
+    now, held = None, []
+    for chunk, batch, texts in _dealt(batches, column):
+        if chunk != now and held:
+            yield from rows()
+            held = []
+        now = chunk
+        held.append((texts, batch.column(batch.schema.names.index("__rl_train")).to_numpy(zero_copy_only=False).astype(bool)))
+    if held:
+        yield from rows()
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of segment -> the segment is built, and the levels of what each chunk asked are read from it."""
     now, parts = None, []
     for batch in batches:
-        for s, h, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for s, chunk, h, c in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if s != now and parts:
-                yield _segment(now, parts)
+                yield _answer(now, parts)
                 parts = []
             now = s
-            parts.append((np.frombuffer(h, np.uint32), np.frombuffer(c, np.uint32)))
+            keys = np.frombuffer(h, np.uint32)
+            parts.append((chunk, keys, np.frombuffer(c, np.uint8 if len(c) == len(keys) else np.uint32) if c else None))
     if parts:
-        yield _segment(now, parts)
+        yield _answer(now, parts)
+
 
+def _answer(segment: int, parts: list[tuple]) -> pa.RecordBatch:
+    bits = _segment(segment, [(k, c) if c.all() else (k[c > 0], c[c > 0]) for _, k, c in parts if c is not None]).column(1)[0].as_py()
+    asking = [(chunk, k) for chunk, k, _ in parts if chunk is not None]
+    asked = np.unique(np.concatenate([np.empty(0, np.uint32), *(k for _, k in asking)]))
+    levels = LogFrequencyFilter({segment: bits}).levels(asked.astype(np.uint64) | np.uint64(segment << 32)).astype(np.uint8)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([chunk for chunk, _ in asking], pa.int64()), pa.array([segment] * len(asking), pa.int32()), pa.array([levels[np.searchsorted(asked, k)].tobytes() for _, k in asking], pa.binary())],
+        names=["__rl_chunk", "__rl_segment", "__rl_levels"])
 
-def _segment(segment: int, parts: list[tuple[np.ndarray, np.ndarray]], most: int = MAX_FILTER_BYTES // SEGMENTS) -> pa.RecordBatch:
-    keys, counts = _merged(parts)
+
+def _segment(segment: int, parts: list[tuple[np.ndarray, np.ndarray]], most: int | None = None) -> pa.RecordBatch:
+    """The bits of all n-grams; with ``most`` bytes at most, of those of the highest counts that fit."""
+    keys, counts = _merged(parts) if parts else (np.empty(0, np.uint32), np.empty(0, np.int64))
     levels = level(counts)
-    room = most * 8 // BITS_PER_ENTRY
-    if levels.sum() > room:
+    room = None if most is None else most * 8 // BITS_PER_ENTRY
+    if room is not None and levels.sum() > room:
         by_level = np.bincount(levels, np.maximum(levels, 0), LEVELS + 2)
         fits = np.flatnonzero(np.cumsum(by_level[::-1])[::-1] <= room)
         keep = levels >= (fits[0] if len(fits) else LEVELS + 1)
@@ -189,7 +262,9 @@ class LogFrequencyFilter:
         self.data = np.frombuffer(b"".join(own), np.uint8)
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
-        keys = hashes >> np.uint64(22)
+        return VALUES[self.levels(hashes >> np.uint64(22))]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         segment = (keys >> np.uint64(32)).astype(np.int64)
         found, active = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for j in range(1, LEVELS + 1):
@@ -202,17 +277,20 @@ class LogFrequencyFilter:
             if not len(active):
                 break
             found[active] = j
-        return VALUES[found]
+        return found
 
 
 class Model:
-    """The filter, N, V and the exact counts of the frequent tokens."""
+    """N, V, the exact counts of the frequent tokens and, on the driver only, the training texts."""
 
-    def __init__(self, segments: dict[int, bytes], n: int, v: int, head: np.ndarray, head_counts: np.ndarray, complete: bool):
-        self.filter, self.n, self.v, self.complete = LogFrequencyFilter(segments), n, v, complete
+    def __init__(self, n: int, v: int, head: np.ndarray, head_counts: np.ndarray, complete: bool, texts: DataFrame | None = None):
+        self.n, self.v, self.complete, self.texts = n, v, complete, texts
         order = np.argsort(head)
         self.head, self.head_counts = head[order], head_counts[order]
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"texts": None}
+
     def exact(self, t: np.ndarray) -> np.ndarray:
         """Counts of the frequent tokens, 0 for others."""
         if not len(self.head):
@@ -220,44 +298,64 @@ class Model:
         at = np.minimum(np.searchsorted(self.head, t), len(self.head) - 1)
         return np.where(self.head[at] == t, self.head_counts[at], 0)
 
-    def log10_probabilities(self, t: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of each token, from the filter alone."""
-        v = before(t, starts)
-        v1 = np.where(v == BEGIN, END, v)  # as many texts begin as end
-        some, where = np.unique(np.concatenate([t, v1]), return_inverse=True)
-        c = self.filter.counts(unigrams(some))[where]
-        p1, cv = (c[: len(t)] + 1) / (self.n + self.v + 1), c[len(t) :]
-        pairs, where = np.unique(bigrams(v, t), return_inverse=True)
-        c2 = np.minimum(self.filter.counts(pairs)[where], cv)
-        return np.log10((c2 + MU * p1) / (cv + MU))
+    def log10_probabilities(self, t: np.ndarray, starts: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """Of each token, from the levels of its chunk's different n-grams in their order."""
+        keys, where = np.unique(_keys(t, starts), return_inverse=True)
+        if len(keys) != len(levels):
+            raise RuntimeError("the scored table gave other rows when read again; pass a scan or a checkpoint")
+        c = VALUES[levels[where]]
+        cw, c2 = c[: len(t)], c[len(t) :]
+        cv = np.empty_like(cw)
+        cv[1:] = cw[:-1]
+        cv[starts[:-1]] = cw[-1]  # as many texts begin as end
+        return np.log10((np.minimum(c2, cv) + MU * (cw + 1) / (self.n + self.v + 1)) / (cv + MU))
 
 
 MADE = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("rare", T.ArrayType(T.LongType())), ("rare_n", T.ArrayType(T.LongType()))]
 
 
 def _score(batches: Iterator[pa.RecordBatch], column: str, keep: list[str], model) -> Iterator[pa.RecordBatch]:
-    """Scores; ``rare`` are the tokens, with counts, that the exact table of frequent ones doesn't hold."""
-    model, seen = model.value, Words()
+    """Rows in the order of chunk and segment -> scores of the chunk's documents."""
+    model, seen, now, levels, held = model.value, Words(), None, [], []
     for batch in batches:
-        texts = as_bytes(batch.column(batch.schema.names.index(column)))
-        out: list[list] = [[] for _ in MADE]
-        for a, b in in_pieces(texts):
-            t, starts = tokens(texts[a:b], seen)
-            c = model.exact(t)
-            base = np.log10((c + 1) / (model.n + model.v + 1))
-            if not model.complete:
-                base[c == 0] = 0.0
-            total = lambda x: np.add.reduceat(x, starts[:-1]).tolist()
-            rare, rare_n = [], []
-            for d in range(b - a):
-                own = t[starts[d] : starts[d + 1]]
-                ids, n = np.unique(own[c[starts[d] : starts[d + 1]] == 0], return_counts=True) if not model.complete else (own[:0], own[:0])
-                rare.append(ids.view(np.int64))
-                rare_n.append(n.astype(np.int64))
-            for values, new in zip(out, (np.diff(starts).tolist(), total((c > 0).astype(np.int64)), total(base), total(model.log10_probabilities(t, starts)), rare, rare_n)):
-                values.extend(new)
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield with_columns(batch, keep, {name: pa.array(v, k) for (name, _), v, k in zip(MADE, out, types)})
+        chunk, segment = (batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in ("__rl_chunk", "__rl_segment"))
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if chunk[a] != now and held:
+                yield from _score_chunk(held, levels, column, keep, model, seen)
+            if chunk[a] != now:
+                now, levels, held = chunk[a], [], []
+            docs = a + int(np.searchsorted(segment[a:b], SEGMENTS))
+            levels += batch.column(batch.schema.names.index("__rl_levels")).slice(a, docs - a).to_pylist()
+            if docs < b:
+                held.append(batch.slice(docs, b - docs))
+    if held:
+        yield from _score_chunk(held, levels, column, keep, model, seen)
+
+
+def _score_chunk(held: list[pa.RecordBatch], levels: list[bytes], column: str, keep: list[str], model: Model, seen: Words) -> Iterator[pa.RecordBatch]:
+    """``rare`` are the tokens, with counts, that the exact table of frequent ones doesn't hold."""
+    t, starts = tokens([x for batch in held for x in as_bytes(batch.column(batch.schema.names.index(column)))], seen)
+    c = model.exact(t)
+    base = np.log10((c + 1) / (model.n + model.v + 1))
+    if not model.complete:
+        base[c == 0] = 0.0
+    total = lambda x: np.add.reduceat(x, starts[:-1])
+    rare, rare_n = [], []
+    for a, b in zip(starts, starts[1:]):
+        own = t[a:b]
+        ids, n = np.unique(own[c[a:b] == 0], return_counts=True) if not model.complete else (own[:0], own[:0])
+        rare.append(ids.view(np.int64))
+        rare_n.append(n.astype(np.int64))
+    p = model.log10_probabilities(t, starts, np.frombuffer(b"".join(levels), np.uint8))
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    made = [(name, pa.array(x, k)) for (name, _), x, k in zip(MADE, (np.diff(starts), total((c > 0).astype(np.int64)), total(base), total(p), rare, rare_n), types)]
+    at = 0
+    for batch in held:
+        yield with_columns(batch, keep, {name: x.slice(at, batch.num_rows) for name, x in made})
+        at += batch.num_rows
 
 
 def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
@@ -274,19 +372,28 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
         held, least = held + size, low
     head = counts.filter(F.col("c") >= (least or 0)).toArrow() if least else None
     ids, sums = (head.column(k).to_numpy() for k in (0, 1)) if head else (np.empty(0, np.int64), np.empty(0, np.int64))
-    rows = texts.mapInArrow(_count_ngrams, "segment int, hashes binary, counts binary")
-    built = rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(_build, "segment int, bits binary")
-    segments = {r.segment: bytes(r.bits) for r in built.toLocalIterator()}  # a partition at a time; MAX_FILTER_BYTES in all
-    return Model(segments, n, v, ids.view(np.uint64), sums, held == v), counts
+    return Model(n, v, ids.view(np.uint64), sums, held == v, texts), counts
+
 
+def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "text", keep: list[str] | None = None, trained: Column | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with n_tokens, n_known, train_tokens, base_score and score.
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with n_tokens, n_known, train_tokens, base_score and score."""
+    ``trained`` says which rows of ``docs`` are all those that ``model`` was fitted to; without it the
+    training texts are read on their own.
+    """
     made = [name for name, _ in MADE]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in [*made, "train_tokens"]]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, k) for n, k in MADE])
-    out = docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(functools.partial(_score, column=text_col, keep=keep, model=sent), schema)
+    ngrams = "segment int, chunk long, hashes binary, counts binary"
+    asked = docs.select(text_col, F.coalesce(F.lit(False) if trained is None else trained, F.lit(False)).alias("__rl_train")).mapInArrow(functools.partial(_asked, column=text_col), ngrams)
+    if trained is None:
+        asked = asked.unionAll(model.texts.mapInArrow(_count_ngrams, ngrams))
+    answers = asked.repartition("segment").sortWithinPartitions("segment").mapInArrow(_answers, "__rl_chunk long, __rl_segment int, __rl_levels binary")
+    own = list(dict.fromkeys([*keep, text_col]))
+    homes = docs.select(*own).mapInArrow(functools.partial(_homes, column=text_col, keep=own), T.StructType([T.StructField(c, docs.schema[c].dataType) for c in own] + [T.StructField("__rl_chunk", T.LongType()), T.StructField("__rl_segment", T.IntegerType())]))
+    met = homes.unionByName(answers, allowMissingColumns=True).repartition("__rl_chunk").sortWithinPartitions("__rl_chunk", "__rl_segment")
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField(n, k) for n, k in MADE])
+    out = met.mapInArrow(functools.partial(_score, column=text_col, keep=keep, model=sent), schema)
     if not model.complete:
         out = cut(out).withColumn("__rl_row", F.monotonically_increasing_id())  # stable, for it reads a checkpoint
         rare = out.select("__rl_row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("__rl_row", "x.rare", "x.rare_n")
@@ -305,4 +412,4 @@ def is_held_out(id_col: Column) -> Column:
 def op2_lm_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
     model, counts = fit(docs.filter("not held_out"))
-    return score(docs, model, counts, keep=["doc_id", "held_out"])
+    return score(docs, model, counts, keep=["doc_id", "held_out"], trained=~F.col("held_out"))

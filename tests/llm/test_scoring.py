@@ -63,6 +63,33 @@ def test_full_segment_keeps_the_highest_counts():
     assert (f.counts(np.arange(10, dtype=np.uint64) << np.uint64(22)) > 50).all()
 
 
+def test_segment_grows_with_its_ngrams():
+    keys = np.arange(60_000, dtype=np.uint32)
+    bits = L._segment(0, [(keys, np.ones(len(keys), np.uint32))]).column(1)[0].as_py()
+    assert (L.LogFrequencyFilter({0: bits}).counts(keys.astype(np.uint64) << np.uint64(22)) >= 1).all()
+
+
+@pytest.mark.parametrize("chunk", [4 << 20, 3000])
+@pytest.mark.parametrize("together", [True, False])
+def test_scores_are_those_of_the_whole_filter(spark, docs, texts, chunk, together, monkeypatch):
+    monkeypatch.setattr(L, "CHUNK_BYTES", chunk)
+    held = docs.withColumn("held_out", L.is_held_out(F.col("doc_id")))
+    model, counts = L.fit(held.filter("not held_out"))
+    got = L.score(held, model, counts, trained=~F.col("held_out") if together else None).collect()
+    ngrams = lambda t: (lambda x, starts: (L.unigrams(x), L.bigrams(L.before(x, starts), x)))(*L.tokens([(t or "").encode()], L.Words()))
+    train = [t for i, t in texts if not (i is not None and zlib.crc32(str(i).encode()) % 7 == 2)]
+    keys, n = np.unique(np.concatenate([x for t in train for x in ngrams(t)]) >> np.uint64(22), return_counts=True)
+    seg = (keys >> np.uint64(32)).astype(int)
+    f = L.LogFrequencyFilter({s: L._segment(s, [(keys[seg == s].astype(np.uint32), n[seg == s])]).column(1)[0].as_py() for s in set(seg.tolist())})
+    want = Counter()
+    for i, t in texts:
+        c, c2 = map(f.counts, ngrams(t))
+        cv = np.concatenate([c[-1:], c[:-1]])
+        score = np.log10((np.minimum(c2, cv) + L.MU * (c + 1) / (model.n + model.v + 1)) / (cv + L.MU)).sum()
+        want[i, t, round(float(score), 4)] += 1
+    assert Counter((r.doc_id, r.text, round(r.score, 4)) for r in got) == want
+
+
 def test_model_without_training_rows(spark, docs, none):
     model, counts = L.fit(none)
     r = L.score(docs, model, counts).first()
