@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from roadlark.llm.common import delete_path, shared_path, table
 from roadlark.llm.decontaminate import decontaminate
 from roadlark.llm.mixing import temperature_mix
+from roadlark.llm.near_copies import keep_distinct
 from roadlark.llm.quality_rules import quality_rules
 from roadlark.llm.sharding import shard
-from roadlark.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of linked fingerprints."""
-    return keep_one(docs)
+    """Documents without near copies (five-word shingles, similarity 0.8 or more) of a kept one with a lesser id."""
+    return keep_distinct(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: SimHash links have no SQL form; tests/llm holds the pipeline against a brute-force version.
+#: Near copies have no SQL form; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 

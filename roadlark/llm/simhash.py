@@ -330,7 +330,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` without near-duplicates: of each class the row with the least id stays, of rows with
     that id one. Rows without an id can't be told apart by it, link to nothing and stay."""
     named = docs.filter(F.col(id_col).isNotNull())
-    found = cut(near_duplicates(named, id_col, text_col).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("first")))
+    return keep_firsts(docs, cut(near_duplicates(named, id_col, text_col).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("first"))), id_col)
+
+
+def keep_firsts(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the ids that ``found`` (doc_id, first), a checkpoint, says aren't first."""
     dropped = found.filter(~F.col("first")).select(F.col("doc_id").alias("__rl_dropped")).distinct()
     out = docs.join(dropped, docs[id_col] == F.col("__rl_dropped"), "left_anti")
     firsts = found.filter("first")

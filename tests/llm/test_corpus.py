@@ -196,6 +196,34 @@ def test_keep_one(spark, docs, texts):
     assert sorted(i for i in ids if i is not None) == sorted(set(want)) and ids.count(None) == 1
 
 
+def brute_set(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_pipeline_keeps_no_near_copies(spark, docs, texts):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(40):
+        base = ["".join(rng.choice("abcdeorst") for _ in range(6)) for _ in range(rng.randint(125, 250))]
+        for edits in (0, 2, 3, 4, 8, 12):
+            w = list(base)
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = "changed" + str(rng.random())
+            rows.append(" ".join(w))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows, 1000)) + [(i, t) for i, t in texts if i is not None]
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), None).collect()}
+    kept = {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        x = brute_set(t)
+        if i not in kept and not any(5 * len(x & y) >= 4 * len(x | y) for y in kept.values()):
+            kept[i] = x
+    assert got == set(kept)
+    assert corpus_pipeline.near_dedup(spark, docs, None).filter("doc_id is null").count() == 1
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), None).count() == 0
+
+
 # ---- mixing and sharding
 
 
