@@ -77,7 +77,7 @@ def calibration(df: DataFrame, p: str, label: str, bins: int = 10) -> DataFrame:
     return df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(label).alias("mean_y"))
 
 
-def paired_bootstrap_auc(df: DataFrame, a: str, b: str, label: str, id_col: str, draws: int = 200, seed: int = 42) -> DataFrame:
+def paired_bootstrap_auc(df: DataFrame, a: str, b: str, label: str, id_col: str, draws: int = 2000, seed: int = 42) -> DataFrame:
     """Percentiles of auc(a) - auc(b) over stratified draws.
 
     Each row's weight in a draw is Poisson(1) by a hash of (seed, draw, id), the large-sample form of

@@ -136,7 +136,7 @@ def feature_prune(spark, sf_dir):
 
 @query()
 def bootstrap_auc(spark, sf_dir):
-    return evaluation.paired_bootstrap_auc(scored(spark, sf_dir), "p", "p2", "y", "doc_id", 200)
+    return evaluation.paired_bootstrap_auc(scored(spark, sf_dir), "p", "p2", "y", "doc_id")
 
 
 @query()

@@ -133,3 +133,10 @@ def test_sources(spark, tmp_path):
     with pytest.raises(files.ContractError):
         files.require_unique(df.union(df), ["id"])
     assert '"rows": 2' in files.manifest(df, "id")
+
+
+def test_bootstrap_draws_two_thousand(spark):
+    rows = [(i, i % 2, (i * 7 % 20) / 20, (i * 3 % 20) / 20) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, y int, p double, p2 double")
+    r = evaluation.paired_bootstrap_auc(df, "p", "p2", "y", "id").first()
+    assert r.draws == 2000 and r.low < r.mean < r.high
