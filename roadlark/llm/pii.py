@@ -1,27 +1,35 @@
 """Format-preserving pseudonyms for personal numbers and dates.
 
 What is found is validated (card numbers by Luhn, IBANs by mod 97, social security numbers by
-their ranges, addresses by octets, dates by the calendar, phone numbers by their shape) and
-replaced by a keyed permutation of the values of its own format, so the result is valid
+their ranges, addresses by octets or groups, dates by the calendar, phone numbers by their shape) and
+replaced by a keyed permutation of the values of its own kind, so the result is valid
 too, keeps its separators, and equal values have equal pseudonyms in all documents, however
-they are written. The permutation is a ten-round Feistel network on a x b >= N with cycle walking
-back into the N values of the format; ``reveal`` inverts it with the key.
+they are written: a date is permuted as a day, a phone number as country code and national
+number, an address as a number, and then written in the format that it was found in. The
+permutation is a ten-round Feistel network on a x b >= N with cycle walking back into the N values
+of the kind; ``reveal`` inverts it with the key.
 
 Kept for the format: a card's first digit and its check digit's rule; a phone's country code;
-an IBAN's country and letters, with new check digits; a date's order and separators.
-E-mail addresses keep their domain; their local part's letters and digits are permuted.
+an IBAN's country and letters, with new check digits; a date's order and separators, and whether
+its day is over 12, by which a date with slashes shows its order. E-mail addresses keep their
+domain; their local part's letters and digits are permuted.
+
+Where a find fails its check, its shorter beginnings are tried and then what begins after its
+first group, so a valid number next to other digits is not passed over. The spans in ``pii`` name
+every replacement; ``reveal`` with them is exact, without them it looks for values again.
 
 Rows are handled one by one, so no skew can arise. Defined results: null stays null with no
 finds; empty texts are unchanged; repeated rows get equal results; an empty table gives an empty
-table; output columns replace input columns of the same name.
+table; output columns replace input columns of the same name; days and months that were
+written with one digit get two where the new value has two.
 """
 
 from __future__ import annotations
 
-import bisect
 import datetime
 import functools
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -34,20 +42,29 @@ from .arrow import with_columns
 from .common import table
 
 ROUNDS = 10
-KEY = b"roadlark pseudonyms"
+#: The session setting that names the key, and the key of the query over the synthetic tables, which is no secret.
+KEY_SETTING, SYNTHETIC_KEY = "spark.roadlark.pii.key", "key of the synthetic tables"
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1), 73_049  # to 2099-12-31
 KINDS = ["email", "iban", "card", "phone", "ssn", "ip", "date"]
 
-_FIND = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}(?!\w))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))",
-    re.ASCII,
-)
+#: The country calling codes of one and two digits; all others have three.
+CODES_1 = ["1", "7"]
+CODES_2 = ["20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+           "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"]
+
+_SHAPES = {
+    "email": (r"(?<![\w.+-])", r"\w[\w.+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", ""),
+    "iban": (r"(?<![A-Za-z0-9])", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?![A-Za-z0-9])"),
+    "phone": (r"(?<![\w+.-])", r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}|(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[.-])[2-9]\d{2}[.-]\d{4})", r"(?!\w)(?!-\d)"),
+    "date": (r"(?<![\w./-])", r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})", r"(?:(?![\w/-])|(?=[Tt]\d\d:\d\d))"),
+    "ip": (r"(?<![\w.:])", r"(?:\d{1,3}(?:\.\d{1,3}){3}|(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4})", r"(?![\w:]|\.\d)"),
+    "ssn": (r"(?<![\w-])", r"\d{3}-\d{2}-\d{4}", r"(?![\w-])"),
+    "card": (r"(?<![\w-])", r"\d(?:[ -]?\d){12,18}", r"(?![\w-])"),
+}
+_D = lambda p: p.replace(r"\d", "[0-9]")
+_FIND = re.compile("|".join(f"(?P<{kind}>{_D(a)}{_D(b)}{_D(c)})" for kind, (a, b, c) in _SHAPES.items()))
+_WHOLE = {kind: re.compile(_D(b)) for kind, (_, b, _) in _SHAPES.items()}
+_GROUP = re.compile(r"[ .-]")
 
 
 class Permutation:
@@ -73,9 +90,11 @@ class Permutation:
                 left = (left + sign * self._f(i, right, self.a)) % self.a
         return left * self.b + right
 
-    def __call__(self, x: int, back: bool = False) -> int:
+    def __call__(self, x: int, back: bool = False, kind: Callable[[int], bool] | None = None) -> int:
+        """The image of x; with ``kind``, the permutation of the values that are of x's kind."""
+        own = kind and kind(x)
         x = self._once(x, back)
-        while x >= self.n:
+        while x >= self.n or kind and kind(x) != own:
             x = self._once(x, back)
         return x
 
@@ -108,12 +127,21 @@ def _card(text: str, key: bytes, back: bool) -> str | None:
     return _refill(text, body + str(-luhn(body + "0") % 10))
 
 
+def _american(x: int) -> bool:
+    """Ten digits whose area and exchange codes begin with 2 to 9."""
+    return x >= 2 * 10**9 and x // 10**6 % 10 >= 2
+
+
 def _phone(text: str, key: bytes, back: bool) -> str | None:
-    code = re.match(r"\+\d{1,3}?(?=[ .(-])|\+\d", text)[0]
-    d = _digits(text[len(code) :])
-    if not 6 <= len(d) <= 14:
+    """Country code and national number are told apart by the codes, not by how the number is written."""
+    d = _digits(text)
+    code = "" if text[0] != "+" else next((d[:n] for n, codes in ((1, CODES_1), (2, CODES_2)) if d[:n] in codes), d[:3])
+    own = d[len(code) :]
+    if not 6 <= len(own) <= 14:
         return None
-    return code + _refill(text[len(code) :], str(_permutation(key, f"phone{code}{len(d)}", 10 ** len(d))(int(d), back)).zfill(len(d)))
+    name = code or "1"
+    kind = _american if name == "1" and len(own) == 10 else None
+    return _refill(text, code + str(_permutation(key, f"phone{name} {len(own)}", 10 ** len(own))(int(own), back, kind)).zfill(len(own)))
 
 
 def _ssn(text: str, key: bytes, back: bool) -> str | None:
@@ -128,6 +156,13 @@ def _ssn(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _ip(text: str, key: bytes, back: bool) -> str | None:
+    if ":" in text:
+        try:
+            x = int(ipaddress.IPv6Address(text))
+        except ValueError:
+            return None
+        # Few groups are more likely names in source code.
+        return None if sum(map(bool, text.split(":"))) < 3 else str(ipaddress.IPv6Address(_permutation(key, "ip6", 1 << 128)(x, back, lambda v: sum(map(bool, str(ipaddress.IPv6Address(v)).split(":"))) >= 3)))
     parts = text.split(".")
     if any(int(p) > 255 or p != str(int(p)) for p in parts):
         return None
@@ -135,6 +170,10 @@ def _ip(text: str, key: bytes, back: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _late(day: int) -> bool:
+    return (FIRST_DAY + datetime.timedelta(day)).day > 12
+
+
 def _date(text: str, key: bytes, back: bool) -> str | None:
     mark = next(c for c in text if not c.isdigit())
     p = text.split(mark)
@@ -147,20 +186,8 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
         return None
     if not 0 <= day < DAYS:
         return None
-    # A one-digit day or month stays one; with slashes, days over 12 stay so and with them the order that they show.
-    size = dict(zip(order, map(len, p)))
-    ahead = v["d"] <= 12 if order != "ymd" and mark == "/" else None
-    days = _days(9 if size["d"] == 1 else 31, 9 if size["m"] == 1 else 12, ahead)
-    new = days[_permutation(key, f"date{len(days)}", len(days))(bisect.bisect_left(days, day), back)]
-    made = FIRST_DAY + datetime.timedelta(new)
-    return mark.join(str(x).zfill(size[c]) for c, x in zip(order, (getattr(made, {"y": "year", "m": "month", "d": "day"}[c]) for c in order)))
-
-
-@functools.cache
-def _days(most_d: int, most_m: int, ahead: bool | None) -> list[int]:
-    """The days that a date's format can show."""
-    dates = ((k, FIRST_DAY + datetime.timedelta(k)) for k in range(DAYS))
-    return [k for k, x in dates if x.day <= most_d and x.month <= most_m and (ahead is None or (x.day <= 12) == ahead)]
+    made = FIRST_DAY + datetime.timedelta(_permutation(key, "date", DAYS)(day, back, _late))
+    return mark.join(str({"y": made.year, "m": made.month, "d": made.day}[c]).zfill(len(x)) for c, x in zip(order, p))
 
 
 def _mod97(text: str) -> int:
@@ -178,46 +205,64 @@ def _iban(text: str, key: bytes, back: bool) -> str | None:
     return "".join(" " if c == " " else next(it) for c in text)
 
 
+#: What of a local part is permuted together: the first character and how many follow it.
+_ALPHABETS = {"a": (0x61, 26), "0": (0x30, 10), "latin": (0xDF, 0x250 - 0xDF), "other": (0x250, 0xD800 - 0x250)}
+
+
 def _email(text: str, key: bytes, back: bool) -> str | None:
     local, _, domain = text.partition("@")
-    tail = domain.lower()
-    for name, radix, low, kind in (("a", 26, "a", str.isalpha), ("0", 10, "0", str.isdigit)):
-        own = [c for c in local.lower() if kind(c)]
-        if own:
-            x = 0
-            for c in own:
-                x = x * radix + ord(c) - ord(low)
-            x = _permutation(key, f"email{name}{len(own)}@{tail}", radix ** len(own))(x, back)
-            new = []
-            for _ in own:
+    for name, (low, radix) in _ALPHABETS.items():
+        own = [ord(c.lower() if c.isascii() else c) - low for c in local]
+        at = [i for i, x in enumerate(own) if 0 <= x < radix]
+        if at:
+            x = _permutation(key, f"email{name}{len(at)}@{domain.lower()}", radix ** len(at))(functools.reduce(lambda a, i: a * radix + own[i], at, 0), back)
+            new = list(local)
+            for i in reversed(at):
                 x, r = divmod(x, radix)
-                new.append(chr(ord(low) + r))
-            it = iter(reversed(new))
-            local = "".join((next(it).upper() if c.isupper() else next(it)) if kind(c) else c for c in local)
+                new[i] = chr(low + r).upper() if name == "a" and local[i].isupper() else chr(low + r)
+            local = "".join(new)
     return f"{local}@{domain}"
 
 
 _MAKERS: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": _email, "iban": _iban, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}
 
 
-def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+def _tried(text: str, m: re.Match, key: bytes, back: bool) -> tuple[int, str] | None:
+    """The end and the pseudonym of a find, or of its longest beginning that is valid."""
+    kind, start, ends = m.lastgroup, m.start(), [m.end()]
+    if kind in ("card", "iban", "phone"):
+        ends += [start + g.start() for g in _GROUP.finditer(m[0])][::-1]
+    for end in ends:
+        if (end == m.end() or _WHOLE[kind].fullmatch(text, start, end)) and (new := _MAKERS[kind](text[start:end], key, back)) is not None:
+            return end, new
+    return None
+
+
+def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each in it. ``back``: the originals again."""
-    out, last, size, found = [], 0, 0, []
-    for m in _FIND.finditer(text):
-        kind = m.lastgroup
-        new = _MAKERS[kind](m[0], key, back)
-        if new is None:
+    out, last, size, found, at = [], 0, 0, [], 0
+    while m := _FIND.search(text, at):
+        if (got := _tried(text, m, key, back)) is None:
+            # On with what follows the first group of what failed.
+            group = re.compile(r"[^\W_]+|.", re.DOTALL).match(text, m.start())
+            at = max(group.end(), m.start() + 1)
             continue
+        end, new = got
         out += [text[last : m.start()], new]
         size += m.start() - last
-        found.append((kind, size, size + len(new)))
+        found.append((m.lastgroup, size, size + len(new)))
         size += len(new)
-        last = m.end()
+        last = at = end
     return "".join(out) + text[last:] if found else text, found
 
 
-def reveal(text: str, key: bytes = KEY) -> str:
-    return pseudonymise(text, key, back=True)[0]
+def reveal(text: str, key: bytes, found: list[tuple[str, int, int]] | None = None) -> str:
+    """The original values: of the spans ``found``, or of all values that are found again."""
+    if found is None:
+        return pseudonymise(text, key, back=True)[0]
+    for kind, a, b in sorted(found, key=lambda f: -f[1]):
+        text = text[:a] + (_MAKERS[kind](text[a:b], key, True) or text[a:b]) + text[b:]
+    return text
 
 
 def _replace(batches: Iterator[pa.RecordBatch], column: str, keep: list[str], key: bytes) -> Iterator[pa.RecordBatch]:
@@ -231,7 +276,7 @@ def _replace(batches: Iterator[pa.RecordBatch], column: str, keep: list[str], ke
         yield with_columns(batch, keep, {column: pa.array(texts, pa.string()), "pii": pa.array(found, spans)})
 
 
-def pseudonyms(docs: DataFrame, text_col: str = "text", key: bytes = KEY, keep: list[str] | None = None) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the text's values replaced and ``pii``, where they stand."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, "pii")]
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -242,6 +287,7 @@ def pseudonyms(docs: DataFrame, text_col: str = "text", key: bytes = KEY, keep:
 def op7_pii(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    found = pseudonyms(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    key = spark.conf.get(KEY_SETTING, SYNTHETIC_KEY).encode()
+    found = pseudonyms(table(spark, sf_dir, "documents"), key, keep=["doc_id"])
     count = lambda kind: F.size(F.filter("pii", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", F.size("pii").cast("long").alias("n_pii"), *map(count, KINDS), "text")
