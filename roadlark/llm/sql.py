@@ -40,7 +40,7 @@ e AS (SELECT 'abuse' list, 'block' action, host pattern, 'add' change, DATE '202
 v AS (SELECT list, action, pattern, change, since AS valid_from, lead(since) OVER (PARTITION BY list, action, pattern ORDER BY since) valid_until FROM e),
 m AS (SELECT p.page_id, p.url, p.fetched, v.pattern, v.list, v.action, row_number() OVER (PARTITION BY p.page_id, p.url, p.fetched ORDER BY length(v.pattern) DESC, v.action = 'allow' DESC, v.pattern DESC, v.list DESC, v.action DESC) rn
  FROM p JOIN v ON v.change = 'add' AND p.fetched >= v.valid_from AND (v.valid_until IS NULL OR p.fetched < v.valid_until)
- AND (p.host = v.pattern OR ends_with(p.host, '.' || v.pattern) OR (contains(v.pattern, '/') AND starts_with(lower(p.host || regexp_replace(p.path, '[^/]*$', '')), v.pattern))))
+ AND (p.host = v.pattern OR ends_with(p.host, '.' || v.pattern) OR (contains(v.pattern, '/') AND starts_with(p.host || regexp_replace(p.path, '[^/]*$', ''), v.pattern))))
 SELECT p.page_id, p.url, p.fetched, m.pattern matched, m.list matched_list, m.action decision, m.action IS DISTINCT FROM 'block' kept
 FROM p LEFT JOIN m ON p.page_id IS NOT DISTINCT FROM m.page_id AND p.url = m.url AND p.fetched = m.fetched AND rn = 1"""
 

@@ -4,6 +4,8 @@ A list entry is dated: it adds or removes a pattern (a host with all its subdoma
 prefix on one host) from a list as of a time. Entries of one list and pattern become validity intervals
 [from, until), the as-of join finds, for every key that a capture's URL can match (its host and
 each parent domain, and each directory of its path), the intervals that hold at the fetch time.
+Hosts are compared in lower case, paths as they are written. A URL's keys go only as deep as the
+deepest pattern of the lists, which changes no result and keeps very long URLs linear.
 An allow entry outweighs a block entry of the same or a shorter pattern, so the longest active
 pattern decides and allow wins a tie.
 
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Keys that a hot host's captures are dealt over; the adaptive planner splits what is still too large.
 SALTS = 8
-MAX_LABELS, MAX_DIRECTORIES = 16, 16
 
 
 def host_of(url: Column) -> Column:
@@ -40,31 +42,47 @@ def path_of(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, action, pattern, change, at) -> (list, action, pattern, valid_from, valid_until); open ends are null."""
-    good = entries.filter("pattern is not null and at is not null and change in ('add', 'remove')")
+    good = entries.filter("pattern is not null and at is not null and change in ('add', 'remove')").withColumn("pattern", canonical(F.col("pattern")))
     one = good.groupBy("list", "action", "pattern", "at").agg(F.max("change").alias("change"))
     w = Window.partitionBy("list", "action", "pattern").orderBy("at")
     runs = one.withColumn("before", F.lag("change").over(w)).filter("before is null or before <> change")
-    return runs.withColumn("valid_until", F.lead("at").over(w)).filter("change = 'add'").select("list", "action", F.lower("pattern").alias("pattern"), F.col("at").alias("valid_from"), "valid_until")
+    return runs.withColumn("valid_until", F.lead("at").over(w)).filter("change = 'add'").select("list", "action", "pattern", F.col("at").alias("valid_from"), "valid_until")
 
 
-def keys_of(url: Column) -> Column:
-    """Every pattern that covers the URL: host and parent domains; host with each directory."""
-    labels = F.split(host_of(url), r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(F.regexp_replace(path_of(url), "[^/]*$", ""), "/")
-    # 'a/b/' has the directories '/', '/a/' and '/a/b/'.
-    folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(host_of(url), F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
-    return F.when(host_of(url).isNotNull(), F.array_distinct(F.concat(domains, F.transform(folders, lambda x: F.lower(x)))))
+def canonical(pattern: Column) -> Column:
+    """A pattern with its host in lower case."""
+    host = F.substring_index(pattern, "/", 1)
+    return F.concat(F.lower(host), F.substr(pattern, F.length(host) + 1))
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
+def depths(spans: DataFrame) -> tuple[int, int]:
+    """The most labels and the most directories that a pattern has."""
+    host = F.substring_index("pattern", "/", 1)
+    return spans.agg(F.coalesce(F.max(F.size(F.split(host, r"\."))), F.lit(0)), F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0))).first()
+
+
+def keys_of(host: Column, path: Column, labels: int, directories: int) -> Column:
+    """The patterns that can cover a URL: its host and parent domains; its host with each directory."""
+    parts = F.split(host, r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(max(labels, 1)))), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
+    # 'a/b/' has the directories '/', '/a/' and '/a/b/'. What is left of a cut path is cut no further.
+    cut = F.substring_index(path, "/", directories + 1)
+    depth = F.length(cut) - F.length(F.replace(cut, F.lit("/"), F.lit("")))
+    folders = F.transform(F.sequence(F.lit(1), F.greatest(F.least(depth, F.lit(directories)), F.lit(1))), lambda i: F.concat(host, F.call_function("substring_index", cut, F.lit("/"), i), F.lit("/")))
+    return F.array_distinct(F.concat(domains, folders) if directories else domains)
+
+
+def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """``captures`` with ``matched`` (the deciding pattern), ``matched_list``, ``decision`` (block, allow or null) and ``kept``."""
     made = ["matched", "matched_list", "decision", "kept"]
     keep = [c for c in captures.columns if c not in made]
-    spans = intervals(entries).withColumn("__rl_s", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    spans = intervals(entries)
+    labels, directories = depths(spans)
+    spans = spans.withColumn("__rl_s", F.explode(F.array(*map(F.lit, range(SALTS)))))
     # One row for each different capture, so that repeated captures meet the lists once.
     seen = captures.select(F.col(url_col).alias("__rl_url"), F.col(time_col).alias("__rl_time")).filter("__rl_url is not null and __rl_time is not null").distinct()
-    probes = seen.withColumn("__rl_key", F.explode(keys_of(F.col("__rl_url")))).withColumn("__rl_salt", F.pmod(F.xxhash64("__rl_url", "__rl_time"), F.lit(SALTS)).cast("int"))
+    parsed = seen.withColumns({"__rl_host": host_of(F.col("__rl_url")), "__rl_path": path_of(F.col("__rl_url"))}).filter("__rl_host is not null")
+    probes = parsed.withColumn("__rl_key", F.explode(keys_of(F.col("__rl_host"), F.col("__rl_path"), labels, directories))).drop("__rl_host", "__rl_path").withColumn("__rl_salt", F.pmod(F.xxhash64("__rl_url", "__rl_time"), F.lit(SALTS)).cast("int"))
     active = (F.col("__rl_time") >= F.col("valid_from")) & (F.col("valid_until").isNull() | (F.col("__rl_time") < F.col("valid_until")))
     hits = probes.join(spans, (F.col("__rl_key") == F.col("pattern")) & (F.col("__rl_salt") == F.col("__rl_s")) & active)
     # allow > block; of equal patterns the list first in name order is named.
@@ -101,4 +119,4 @@ def host_entries(pages: DataFrame) -> DataFrame:
 
 def op5_url_filters(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(page_captures(pages), host_entries(pages), "page_id").select("page_id", "url", "fetched", "matched", "matched_list", "decision", "kept")
+    return filter_urls(page_captures(pages), host_entries(pages)).select("page_id", "url", "fetched", "matched", "matched_list", "decision", "kept")
