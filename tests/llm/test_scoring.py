@@ -188,6 +188,8 @@ def test_toxicity_edges(spark, docs, none):
 
 # ---- pseudonyms
 
+KEY = b"a key"
+
 
 def luhn_valid(rng, n=16):
     body = "4" + "".join(rng.choice("0123456789") for _ in range(n - 2))
@@ -200,18 +202,81 @@ def test_pseudonyms_round_trip_and_stay_valid():
         card = luhn_valid(rng)
         day = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73_049))
         text = f"x {card}, {card[:4]} {card[4:8]} {card[8:12]} {card[12:]}; +1 (555) {rng.randrange(1000):03d}-{rng.randrange(10_000):04d} on {day} or {day:%d.%m.%Y} from 10.{rng.randrange(256)}.3.4 a.b{rng.randrange(99)}@example.com"
-        new, found = pii.pseudonymise(text)
-        assert pii.reveal(new) == text and [k for k, _, _ in found] == ["card", "card", "phone", "date", "date", "ip", "email"]
+        new, found = pii.pseudonymise(text, KEY)
+        assert pii.reveal(new, KEY) == pii.reveal(new, KEY, found) == text and [k for k, _, _ in found] == ["card", "card", "phone", "date", "date", "ip", "email"]
         cards = [new[a:b].replace(" ", "") for k, a, b in found if k == "card"]
         assert cards[0] == cards[1] != card and pii.luhn(cards[0]) == 0
         a, b = (new[s:e] for k, s, e in found if k == "date")
         assert datetime.date.fromisoformat(a) == datetime.datetime.strptime(b, "%d.%m.%Y").date()
-        assert pii.pseudonymise(new) != (text, found)
+        assert pii.pseudonymise(new, KEY) != (text, found)
 
 
 @pytest.mark.parametrize("text", ["4539578763621487", "2024-02-30", "999.1.1.1", "000-12-3456", "DE00370400440532013000", "version 1.2.3", "", "12345"])
 def test_invalid_values_stay(text):
-    assert pii.pseudonymise(text) == (text, [])
+    assert pii.pseudonymise(text, KEY) == (text, [])
+
+
+@pytest.mark.parametrize("kind,ways", [
+    ("date", ["2024-01-15", "2024/01/15", "01/15/2024", "15/01/2024", "15.01.2024"]),
+    ("date", ["2024-03-04", "03/04/2024", "3/4/2024", "4.3.2024"]),
+    ("phone", ["+49 30 1234567", "+49301234567", "+49 (30) 123-4567"]),
+    ("phone", ["+1 555 234 4567", "(555) 234-4567", "555.234.4567", "+15552344567"]),
+    ("card", ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"]),
+    ("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"]),
+    ("ip", ["2001:db8::8a2e:370:7334", "2001:0db8:0:0:0:8a2e:0370:7334"]),
+])
+def test_equal_values_are_linked_however_they_are_written(kind, ways):
+    values = set()
+    for way in ways:
+        new, found = pii.pseudonymise(f"x {way} y", KEY)
+        assert [k for k, _, _ in found] == [kind] and way not in new
+        _, a, b = found[0]
+        if kind == "date":
+            p = [int(x) for x in re.split(r"\D", new[a:b])]
+            values.add((p[0], p[1], p[2]) if p[0] > 31 else (p[2], p[1], p[0]) if "." in way or way.startswith("15/") else (p[2], p[0], p[1]))
+        else:
+            values.add(re.sub(r"[^0-9A-Fa-f:]", "", new[a:b])[-10:])
+    assert len(values) == 1
+
+
+@pytest.mark.parametrize("text,kinds", [("12 4111 1111 1111 1111", ["card"]), ("4111 1111 1111 1111 12", ["card"]), ("BE68 5390 0754 7034 OK", ["iban"]), ("at 2024-01-05T10:00:00Z", ["date"]),
+                                        ("jürgen@example.de", ["email"]), ("10:00:00 std::vector a::b 1.2.3 +49", []), ("2024-13-45 10.0.0.1", ["ip"])])
+def test_valid_values_beside_others_are_found(text, kinds):
+    new, found = pii.pseudonymise(text, KEY)
+    assert [k for k, _, _ in found] == kinds and pii.reveal(new, KEY, found) == text
+
+
+def brute_cards(text):
+    """All ways to read whole digit groups as a valid card, from the left, the longest first."""
+    groups, out, i = re.findall(r"\d+", text), [], 0
+    while i < len(groups):
+        for j in range(len(groups), i, -1):
+            d = "".join(groups[i:j])
+            if 13 <= len(d) <= 19 and pii.luhn(d) == 0 and len(set(d)) > 1:
+                out.append(d)
+                i = j
+                break
+        else:
+            i += 1
+    return out
+
+
+def test_cards_among_digit_groups_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        groups = ["".join(rng.choice("0123456789") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 4))]
+        card = luhn_valid(rng)
+        groups[rng.randint(0, len(groups)) : 0] = [card[k : k + 4] for k in range(0, 16, 4)]
+        text = " ".join(groups)
+        new, found = pii.pseudonymise(text, KEY)
+        back = pii.reveal(new, KEY, found)
+        assert back == text and [pii._digits(back[a:b]) for k, a, b in found if k == "card"] == brute_cards(text)
+
+
+@pytest.mark.parametrize("n", [7, 100])
+def test_permutation_of_a_kind_stays_in_it(n):
+    p, kind = pii.Permutation(b"k", "t", n), lambda x: x % 3 == 0
+    assert sorted(p(x, kind=kind) for x in range(0, n, 3)) == list(range(0, n, 3)) and all(p(p(x, kind=kind), True, kind) == x for x in range(n))
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
@@ -221,10 +286,10 @@ def test_permutation_is_one_to_one(n):
 
 
 def test_pseudonym_frame(spark, docs, none):
-    got = pii.pseudonyms(docs)
+    got = pii.pseudonyms(docs, KEY)
     assert set(got.columns) == {*docs.columns, "pii"} and got.count() == docs.count()
     assert got.filter("text is null").count() == 1
-    assert pii.pseudonyms(none).count() == 0
+    assert pii.pseudonyms(none, KEY).count() == 0
 
 
 # ---- URL lists
@@ -235,7 +300,44 @@ def test_as_of_join(spark):
     cases = [("http://bad.org/", 9, None), ("http://bad.org/", 10, "block"), ("http://bad.org/", 19, "block"), ("http://bad.org/", 20, None), ("http://www.BAD.org:80/q", 15, "block"), ("http://notbad.org/", 15, None), ("http://ok.bad.org/", 15, "allow"),
              ("http://x.org/p/q.html", 1, "block"), ("http://x.org/pq", 1, None), ("http://u@x.org./p/?a", 1, "block"), (None, 1, None), ("nonsense", 1, None), ("http://bad.org/", None, None), ("http://tie.org/", 4, None)]
     captures = spark.createDataFrame([(i, u, t, "x") for i, (u, t, _) in enumerate(cases * 2)], "id int, url string, fetched int, matched string")
-    got = {r.id: (r.decision, r.kept) for r in url_filters.filter_urls(captures, entries, "id").collect()}
+    got = {r.id: (r.decision, r.kept) for r in url_filters.filter_urls(captures, entries).collect()}
     assert got == {i: (d, d != "block") for i, (_, _, d) in enumerate(cases * 2)}
-    assert url_filters.filter_urls(captures, entries.limit(0), "id").filter("kept").count() == 28
-    assert url_filters.filter_urls(captures.limit(0), entries, "id").count() == 0
+    assert url_filters.filter_urls(captures, entries.limit(0)).filter("kept").count() == 28
+    assert url_filters.filter_urls(captures.limit(0), entries).count() == 0
+
+
+def test_letter_case_of_patterns_and_paths(spark):
+    entries = spark.createDataFrame([("a", "block", "Bad.org", "add", 1), ("a", "block", "bad.org", "remove", 5), ("b", "block", "X.org/Private/", "add", 1)], "list string, action string, pattern string, change string, at int")
+    cases = [("http://bad.org/", 3, "block"), ("http://BAD.org/", 9, None), ("http://x.org/Private/a", 2, "block"), ("http://x.org/private/a", 2, None)]
+    got = url_filters.filter_urls(spark.createDataFrame([(i, u, t) for i, (u, t, _) in enumerate(cases)], "id int, url string, fetched int"), entries).collect()
+    assert {r.id: r.decision for r in got} == {i: d for i, (_, _, d) in enumerate(cases)}
+
+
+def brute_decision(url, at, entries):
+    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\s]+?)\.?(?::\d*)?((?:/[^?#]*)?)(?:[?#]|$)", url or "")
+    if not m or at is None:
+        return None
+    host, folder, best = m[1].lower(), m[2].rpartition("/")[0] + "/", None
+    for name, action, pattern in {e[:3] for e in entries}:
+        days = sorted((e[4], e[3] == "remove") for e in entries if e[:3] == (name, action, pattern))
+        on = False
+        for day, remove in days:
+            if day <= at:
+                on = not remove
+        h, slash, p = pattern.partition("/")
+        if on and (host == h and ("/" + p).startswith("/") and folder.startswith("/" + p) if slash else host == h or host.endswith("." + h)):
+            best = max(best or (), (len(pattern), action == "allow", pattern, name, action))
+    return best and best[4]
+
+
+def test_as_of_join_against_brute_force(spark):
+    rng = random.Random(4)
+    hosts = ["a.org", "b.a.org", "c.b.a.org", "d.com", "xd.com"]
+    patterns = hosts + [f"{h}/{p}" for h in hosts for p in ("", "p/", "p/q/", "P/")]
+    entries = list({(rng.choice("xy"), rng.choice(["block", "allow"]), rng.choice(patterns), day): change for day in range(20) for change in rng.choices(["add", "remove"], k=4)}.items())
+    entries = [(*k[:3], change, k[3]) for k, change in entries]
+    captures = [(i, f"http://{rng.choice(['', 'u@'])}{rng.choice(hosts)}{rng.choice(['', ':80', '.'])}{rng.choice(['', '/', '/p/', '/p/q/r', '/P/z?x=/p/', '/pq/'])}", rng.randrange(25)) for i in range(400)]
+    long = "http://a.org/" + "d/" * 20_000
+    captures += [(1000, long, 12), (1001, "http://a.org/p/q/" + "x" * 100_000, 12)]
+    got = url_filters.filter_urls(spark.createDataFrame(captures, "id int, url string, fetched int"), spark.createDataFrame(entries, "list string, action string, pattern string, change string, at int")).collect()
+    assert {r.id: r.decision for r in got} == {i: brute_decision(u, t, entries) for i, u, t in captures}
