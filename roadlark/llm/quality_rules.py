@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, table
+from .common import SPACES, cut, table
 
 #: Frequent function words by language.
 COMMON_WORDS = {
@@ -74,27 +74,22 @@ def _histograms(df: DataFrame) -> DataFrame:
 def _repeated(df: DataFrame) -> DataFrame:
     """Add ``n_repeat_words``: words inside 3-word windows that the text has twice or more.
 
-    Each window is packed as hash and position into one long whose split depends on the text's
-    length, and the longs are sorted; equal hashes are then neighbours and still carry positions.
+    Windows are sorted as (hash, position), with all 64 bits of the hash, so equal windows are neighbours
+    that carry their positions; neighbours with equal hashes count only if their words are equal.
     """
-    bits = F.length(F.bin(F.col("n_words")))
-    df = df.withColumn("__rl_bits", bits)
     windows = F.transform(
         F.when(F.col("n_words") >= 3, F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int"))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.coalesce(
-            F.call_function("shiftleft", F.xxhash64(F.get(_W, i), F.get(_W, i + 1), F.get(_W, i + 2)), F.col("__rl_bits")).bitwiseOR(i.cast("long")),
-            F.lit(0).cast("long"),
-        ),
+        lambda i: F.struct(F.xxhash64(F.get(_W, i), F.get(_W, i + 1), F.get(_W, i + 2)).alias("h"), i.alias("p")),
     )
-    df = df.withColumn("__rl_packed", F.sort_array(windows))
-    top = lambda x: F.call_function("shiftrightunsigned", x, F.col("__rl_bits"))
-    at = lambda i: F.get("__rl_packed", i)
-    twice = F.filter("__rl_packed", lambda x, i: (top(x) == top(at(i - 1))) | (top(x) == top(at(i + 1))))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__rl_bits")) - 1
-    df = df.withColumn("__rl_twice", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask))))
+    df = df.withColumn("__rl_sorted", F.sort_array(windows))
+    word = lambda x, k: F.get(_W, x.p + k)
+    same = lambda x, y: (x.h == y.h) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
+    at = lambda i: F.get("__rl_sorted", i)
+    twice = F.filter("__rl_sorted", lambda x, i: same(x, at(i - 1)) | same(x, at(i + 1)))
+    df = df.withColumn("__rl_twice", F.sort_array(F.transform(twice, lambda x: x.p.cast("long"))))
     spans = F.transform("__rl_twice", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("__rl_twice", i + 1) - p, F.lit(3).cast("long"))))
     df = df.withColumn("n_repeat_words", F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x))
-    return df.drop("__rl_bits", "__rl_packed", "__rl_twice")
+    return df.drop("__rl_sorted", "__rl_twice")
 
 
 def _shares(name: str) -> Column:
@@ -112,19 +107,22 @@ def _distance(p: str, q: str) -> Column:
 def language_references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Shares over all rows of each listed language: at most len(COMMON_WORDS) rows."""
     src = df.select(F.coalesce(F.col(text_col), F.lit("")).alias(_T), F.col(lang_col).alias(_L)).filter(F.col(_L).isin(*COMMON_WORDS))
-    h = _histograms(src)
+    return _references(_histograms(src))
+
+
+def _references(h: DataFrame) -> DataFrame:
     sums = lambda name, n: F.array(*(F.sum(F.get(name, F.lit(k))) for k in range(n)))
-    refs = h.groupBy(F.col(_L).alias("__rl_ref")).agg(sums("__rl_chars", len(_STRIPPED) + 1).alias("__rl_rc"), sums("__rl_common", N_COMMON + 1).alias("__rl_rw"))
+    refs = h.filter(F.col(_L).isin(*COMMON_WORDS)).groupBy(F.col(_L).alias("__rl_ref")).agg(sums("__rl_chars", len(_STRIPPED) + 1).alias("__rl_rc"), sums("__rl_common", N_COMMON + 1).alias("__rl_rw"))
     return refs.withColumns({"__rl_rc": _shares("__rl_rc"), "__rl_rw": _shares("__rl_rw")})
 
 
-def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang", references: DataFrame | None = None, max_char_distance: float = MAX_CHAR_DISTANCE, max_word_share: float = MAX_WORD_SHARE) -> DataFrame:
+def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang", references: DataFrame | None = None, max_char_distance: float = MAX_CHAR_DISTANCE, max_word_share: float = MAX_WORD_SHARE, keep: list[str] | None = None) -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance,
-    word_distance, base_failed and kept. ``references`` defaults to those of ``df`` itself."""
-    if references is None:
-        references = language_references(df, text_col, lang_col)
+    word_distance, base_failed and kept. ``references`` defaults to those of ``df`` itself, for which the
+    texts are read twice, or once if the text itself isn't to be returned (``keep``): what is counted is then
+    small and goes to a checkpoint that both the references and the verdicts read."""
     made = [*BASE, "char_distance", "word_distance", "base_failed", "kept"]
-    kept = [c for c in df.columns if c not in made]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in made]
     src = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(_T), F.col(lang_col).alias(_L))
     h = _repeated(_histograms(src))
     lines = F.filter(F.split(F.col(_T), "\n"), lambda x: x.rlike(f"[^{SPACES}]"))
@@ -133,6 +131,11 @@ def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
         "n_symbols": F.get("__rl_chars", F.lit(5)),
         "n_dup_lines": (F.size("__rl_lines") - F.size(F.array_distinct("__rl_lines"))).cast("long"),
     }).drop("__rl_lines", _W, _T)
+    if references is None and text_col not in kept:
+        h = cut(h)
+        references = _references(h)
+    elif references is None:
+        references = language_references(df, text_col, lang_col)
     h = h.withColumns({"__rl_n": F.aggregate("__rl_chars", F.lit(0).cast("long"), lambda a, x: a + x), "__rl_chars": _shares("__rl_chars"), "__rl_common": _shares("__rl_common")})
     # At most one row for each listed language, so the broadcast's size is fixed by COMMON_WORDS.
     h = h.join(F.broadcast(references), F.col(_L) == F.col("__rl_ref"), "left")
@@ -152,4 +155,4 @@ def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def op6_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules(docs).select("doc_id", *BASE, "base_failed", "kept")
+    return quality_rules(docs, keep=["doc_id"]).select("doc_id", *BASE, "base_failed", "kept")
