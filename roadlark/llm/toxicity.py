@@ -3,14 +3,15 @@
 Channel: letters written as digits or signs (leetspeak), words spelt with spaces or separators
 between letters, and letters repeated. Each disguised word becomes a lattice of the letters that
 it may stand for, and Viterbi decoding under a character trigram model, counted over the words
-of all texts, picks the likeliest word. Score: the words of the restored text, and their first
+of all texts, picks the likeliest word. In a run of single characters the lattice also has a word
+break after each character, so that "a l o s e r" is read as two words. Score: the words of the restored text, and their first
 5 and 7 characters, are features; the log odds of those with enough support among all labelled
 training texts (in at least ``MIN_SUPPORT`` different ones) make a Bernoulli model with the class
 odds as its prior. A word counts once and by its strongest feature.
 
 Counts are summed in each task and then by key; what is sent to workers has a fixed bound (a
-27-letter trigram table, ``MAX_FEATURES`` weights, and labels only if there are at most
-``MAX_BROADCAST_LABELS``, else they are joined by shuffle).
+27-letter trigram table; weights only if there are at most ``MAX_BROADCAST_FEATURES`` and labels only if
+there are at most ``MAX_BROADCAST_LABELS``, else either are joined by shuffle with the same result).
 
 Defined results: null and empty texts have no features and get the prior's score; rows with
 a null or unknown label aren't learnt from; without training rows every score is the prior 0;
@@ -32,18 +33,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import as_bytes, in_pieces, with_columns
-from .common import fold, table
+from .common import cut, fold, table
 
 #: The letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c"}
 SIGNS = "".join(map(re.escape, LEET))
 SEPARATORS = ".-_*~"
 LETTERS = 27  # a to z, and 0 for a word's edge
-COST_SIGN, COST_REPEAT, COST_DOUBLE = -0.7, -0.3, -3.0
-MIN_SUPPORT, MIN_WEIGHT, MAX_FEATURES = 4, 2.0, 1 << 16
+COST_SIGN, COST_REPEAT, COST_DOUBLE, COST_BREAK = -0.7, -0.3, -3.0, -1.5
+MIN_SUPPORT, MIN_WEIGHT, MAX_BROADCAST_FEATURES = 4, 2.0, 1 << 20
 MAX_BROADCAST_LABELS = 2_000_000
 _EDGE = b"\"'()[]{}.,;:"
-_SPELT = re.compile(rb"(?<!\S)(?:[a-z0-9@$!|+] ){2,}[a-z0-9@$!|+](?!\S)")
+_SPELT = re.compile(rb"(?<!\S)(?:[a-z0-9@$!|+(<] ){2,}[a-z0-9@$!|+(<](?!\S)")
+#: A longer run is decoded in pieces of so many characters.
+MAX_SPELT = 4096
 _DISGUISED = re.compile(rf"(?=.*[a-z])(?:.*[a-z{SIGNS}][{SIGNS}][a-z]|[{SIGNS}][a-z]|.*[a-z][{SIGNS}]|.*([a-z])\1\1|(?:[a-z{SIGNS}][{re.escape(SEPARATORS)}]){{2,}})")
 
 
@@ -113,11 +116,16 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(word: str, model: np.ndarray) -> str:
-    """The likeliest word of a disguised one's lattice."""
+def decode(word: str, model: np.ndarray, breaks: bool = False) -> str:
+    """The likeliest word of a disguised one's lattice; with ``breaks`` the likeliest words, a space between."""
     paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for options in lattice(word):
         new: dict[tuple[int, int], tuple[float, str]] = {}
+
+        def reach(at: tuple[int, int], score: float, text: str) -> None:
+            if at not in new or (score, text) > new[at]:
+                new[at] = (score, text)
+
         for (a, b), (score, text) in paths.items():
             for letters, cost in options:
                 x, y, s = a, b, score + cost
@@ -125,10 +133,11 @@ def decode(word: str, model: np.ndarray) -> str:
                     c = ord(ch) - 96
                     s += model[x, y, c]
                     x, y = y, c
-                if (x, y) not in new or (s, text + letters) > new[x, y]:
-                    new[x, y] = (s, text + letters)
+                reach((x, y), s, text + letters)
+                if breaks and letters:
+                    reach((0, 0), s + model[x, y, 0] + COST_BREAK, text + letters + " ")
         paths = new
-    return max((s + model[a, b, 0], t) for (a, b), (s, t) in paths.items())[1]
+    return max((s + model[a, b, 0] * ((a, b) != (0, 0)), t) for (a, b), (s, t) in paths.items())[1]
 
 
 def restore(word: str, model: np.ndarray) -> str:
@@ -160,9 +169,19 @@ class Features(dict):
         text = text.lower()
         words = set(text.split())
         for m in _SPELT.finditer(text):
-            words.add(m[0].replace(b" ", b""))
+            letters = m[0][::2].decode()
+            for k in range(0, len(letters), MAX_SPELT):
+                words.update(w.encode() for w in self.spelt(letters[k : k + MAX_SPELT]) if len(w) > 2)
         return {self[w] for w in words}
 
+    @functools.lru_cache(maxsize=4096)  # noqa: B019
+    def spelt(self, letters: str) -> tuple[str, ...]:
+        """The words of a run of single characters; digits that stand for no letter end a word."""
+        return tuple(w for part in re.split(rf"[^a-z{SIGNS}]+", letters) for w in (decode(part, self.model, True).split() if any("a" <= c <= "z" for c in part) else ()))
+
+    def __hash__(self) -> int:
+        return id(self)
+
 
 def _evidence(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """Rows (text, toxic) -> for each feature the texts of either kind that have it, and a bitmap of
@@ -199,10 +218,28 @@ def _sketch(text: bytes) -> int:
 
 
 class Scorer:
-    def __init__(self, prior: float, weights: dict[int, float], model: np.ndarray):
+    """The prior, the weights (f, w) as a dictionary or, if they are too many to send, as a table, and the character model."""
+
+    def __init__(self, prior: float, weights: dict[int, float] | DataFrame, model: np.ndarray):
         self.prior, self.weights, self.model = prior, weights, model
 
 
+def _word_features(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """(row, text) -> a row (row, word, f) for each feature of each different word."""
+    features = Features(model.value)
+    for batch in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        for row, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            for k, fs in enumerate(features.of(text)):
+                out[0].extend([row] * len(fs))
+                out[1].extend([k] * len(fs))
+                out[2].extend(fs)
+            if len(out[0]) > 1 << 18:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["row", "word", "f"])
+                out = ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["row", "word", "f"])
+
+
 def _score(batches: Iterator[pa.RecordBatch], column: str, keep: list[str], scorer) -> Iterator[pa.RecordBatch]:
     scorer = scorer.value
     features, weights = Features(scorer.model), scorer.weights
@@ -231,19 +268,31 @@ def fit(train: DataFrame, model: np.ndarray) -> Scorer:
     sums = counted.groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.bit_or("bits").alias("bits")).filter(F.bit_count("bits") >= MIN_SUPPORT)
     # Log odds with one standard deviation of either count against the feature.
     low = F.log((F.col("t") - F.sqrt(F.col("t")) + 0.5) / (toxic + 1.0)) - F.log((F.col("n") + F.sqrt(F.col("n")) + 0.5) / (clean + 1.0))
-    kept = sums.withColumn("w", low).filter(F.col("w") > MIN_WEIGHT).orderBy(F.desc("w"), "f").limit(MAX_FEATURES)
-    weights = {r.f: r.w for r in kept.collect()}
+    kept = cut(sums.select("f", low.alias("w")).filter(F.col("w") > MIN_WEIGHT))
+    weights = {r.f: r.w for r in kept.collect()} if kept.count() <= MAX_BROADCAST_FEATURES else kept
     return Scorer(math.log((toxic + 1) / (clean + 1)) if toxic + clean else 0.0, weights, model)
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``score``, 0 to 1."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    if isinstance(scorer.weights, DataFrame):
+        return _score_by_shuffle(docs, scorer, text_col, keep)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(functools.partial(_score, column=text_col, keep=keep, scorer=sent), schema)
 
 
+def _score_by_shuffle(docs: DataFrame, scorer: Scorer, text_col: str, keep: list[str]) -> DataFrame:
+    """The same scores with the weights joined: a word counts by its strongest feature, a text by its words."""
+    sent = docs.sparkSession.sparkContext.broadcast(scorer.model)
+    rows = cut(docs.select(*dict.fromkeys([*keep, text_col])).withColumn("__rl_row", F.monotonically_increasing_id()))  # read from the checkpoint, so the numbers stay
+    found = rows.select("__rl_row", text_col).mapInArrow(functools.partial(_word_features, model=sent), "row long, word long, f long").join(scorer.weights, "f")
+    sums = found.groupBy("row", "word").agg(F.max("w").alias("w")).groupBy("row").agg(F.sum("w").alias("__rl_sum"))
+    total = F.least(F.greatest(F.coalesce("__rl_sum", F.lit(0.0)) + scorer.prior, F.lit(-30.0)), F.lit(30.0))
+    return rows.join(sums, F.col("__rl_row") == F.col("row"), "left").select(*keep, (1 / (1 + F.exp(-total))).alias("score"))
+
+
 def op8_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     labels = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), 5) != 0))
