@@ -115,6 +115,17 @@ def test_quality_counts(spark, docs, texts, none):
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in got)
     assert not any(r.kept for r in got if r.base_failed)
     assert quality_rules.quality_rules(none).count() == 0
+    once = quality_rules.quality_rules(docs, keep=["doc_id"])
+    assert once.columns[0] == "doc_id" and Counter(map(tuple, once.select(*sorted(once.columns)).collect())) == Counter(tuple(r[c] for c in sorted(once.columns)) for r in got)
+    assert quality_rules.quality_rules(none, keep=["doc_id"]).count() == 0
+
+
+def test_repeats_of_a_very_long_text(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeorst") for _ in range(5)) for _ in range(400)]
+    text = " ".join(rng.choice(words) for _ in range(300_000))
+    r = quality_rules.quality_rules(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"), keep=["doc_id"]).first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(text)
 
 
 def test_quality_filter_keeps_its_projections(spark, docs):
@@ -162,6 +173,75 @@ def test_decoder_is_the_best_of_all_paths(characters):
         assert toxicity.decode(word, characters) == max(paths)[1]
 
 
+@pytest.mark.parametrize("run,words", [("a i d i o t", "a idiot"), ("the l 0 s e r", "loser"), ("s t u p i d i d i o t", "stupid idiot")])
+def test_spelt_words_are_parted(characters, run, words):
+    model = characters.copy()
+    model[0, 0, 1] = model[0, 1, 0] = -0.5  # "a" is a word
+    core = run.removeprefix("the ").replace(" ", "")
+    assert toxicity.decode(core, model, True).strip() == words
+    if len(core) <= 8:
+        assert " ".join(max(_partings(core), key=lambda parts: _path_score(parts, core, model))) == words
+
+
+def _partings(core):
+    import itertools
+
+    for choice in itertools.product(*toxicity.lattice(core)):
+        letters = [x for x, _ in choice]
+        for breaks in itertools.product([0, 1], repeat=len(letters) - 1):
+            out = letters[0]
+            for x, b in zip(letters[1:], breaks):
+                out += " " * b + x
+            yield out.split(" ")
+
+
+def _path_score(parts, core, model):
+    signs = sum(toxicity.COST_SIGN for c in core if not c.isalpha())
+    total = signs + toxicity.COST_BREAK * (len(parts) - 1)
+    for w in parts:
+        s = [0, 0, *(ord(c) - 96 for c in w), 0]
+        total += sum(model[a, b, c] for a, b, c in zip(s, s[1:], s[2:]))
+    return total
+
+
+def brute_toxic_scores(train, texts, model):
+    """Scores from sets of words and exact counts, one text at a time."""
+    features = toxicity.Features(model)
+    toxic, clean = sum(y for _, y in train), sum(1 - y for _, y in train)
+    t, n, bits = Counter(), Counter(), {}
+    for text, y in train:
+        for f in {f for fs in features.of(text.encode()) for f in fs}:
+            (t if y else n)[f] += 1
+            if y:
+                bits.setdefault(f, set()).add(toxicity._sketch(text.encode()) % 64)
+    w = {f: math.log((t[f] - math.sqrt(t[f]) + 0.5) / (toxic + 1)) - math.log((n[f] + math.sqrt(n[f]) + 0.5) / (clean + 1)) for f in t if len(bits[f]) >= toxicity.MIN_SUPPORT}
+    w = {f: x for f, x in w.items() if x > toxicity.MIN_WEIGHT}
+    for text in texts:
+        total = math.log((toxic + 1) / (clean + 1)) + sum(max((w[f] for f in fs if f in w), default=0.0) for fs in features.of(text.encode()))
+        yield 1 / (1 + math.exp(-total))
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_toxic_scores_against_brute_force(spark, most, monkeypatch):
+    """With the weights sent, and joined by shuffle."""
+    monkeypatch.setattr(toxicity, "MAX_BROADCAST_FEATURES", most)
+    rng = random.Random(8)
+    from .conftest import make_text
+
+    rows = []
+    for i in range(120):
+        words = make_text(rng, 30).split()
+        if i % 3 == 0:
+            words[5] = rng.choice(["idiot", "m0ron", "l o s e r", "clown"])
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    rows += [(200, "", 0), (201, rows[0][1], 1), (201, rows[0][1], 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.character_model(d)
+    got = toxicity.score(d, toxicity.fit(d.select("text", "toxic"), model), keep=["doc_id"]).collect()
+    want = brute_toxic_scores([(t, y) for _, t, y in rows], [t for _, t, _ in rows], model)
+    assert Counter((r.doc_id, round(r.score, 9)) for r in got) == Counter((i, round(s, 9)) for (i, _, _), s in zip(rows, want))
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(5)
     from .conftest import make_text
