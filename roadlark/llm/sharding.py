@@ -5,8 +5,12 @@ of one size tier into files of about the target size; each ends by committing a
 A manifest lists all live files with bytes; it is written beside its final name and renamed,
 and the rename fails if the version exists, so a version is there whole or not at all and of two
 writers one loses and nothing of its work is seen. Readers name a version and never see files
-that come or go. Lost tasks are run again by Spark's own commit protocol; the files of a failed
-job are in no manifest and ``vacuum`` removes them.
+that come or go. That two commits of a version can't both win needs a file system whose rename is atomic
+and refuses an existing name (HDFS and the like); a store without it needs a lock around ``append`` and
+``compact``. Before a commit every file that it adds must still be there. Lost tasks are run again by
+Spark's own commit protocol; the files of a failed job are in no manifest and ``vacuum`` removes them once
+they are older than ``keep_seconds``, so what another writer has written and not yet committed stays, as
+do the files of the newest ``keep_versions`` versions.
 
 A tier is merged by reading its files and coalescing their partitions, so no row is shuffled,
 whatever the source, key or length of a document.
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +34,8 @@ from pyspark.sql import types as T
 from .common import shared_path, table
 
 TARGET_BYTES = 64 << 20
-SMALL_ROWS = 4096
 FANOUT = 4
+KEEP_SECONDS, KEEP_VERSIONS = 7 * 86400.0, 3
 
 
 class CommitConflict(RuntimeError):
@@ -38,7 +43,8 @@ class CommitConflict(RuntimeError):
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, small_rows: int = SMALL_ROWS):
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, small_rows: int = 0):
+        """``small_rows`` cuts arrivals into files of so many rows; 0 leaves one file to each of their partitions."""
         self.spark, self.root = spark, root.rstrip("/")
         self.target, self.fanout, self.small_rows = target_bytes, fanout, small_rows
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -70,6 +76,10 @@ class ShardStore:
 
     def _commit(self, base: dict, schema: T.StructType, files: list[dict]) -> int:
         version = base["version"] + 1
+        known = {f["path"] for f in base["files"]}
+        gone = [f["path"] for f in files if f["path"] not in known and not self._fs.exists(self._path(f["path"]))]
+        if gone:
+            raise CommitConflict(f"{len(gone)} files of the commit are gone, such as {gone[0]}")
         body = json.dumps({"version": version, "schema": schema.jsonValue(), "files": sorted(files, key=lambda f: f["path"])})
         temporary = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
         out = self._fs.create(temporary, False)
@@ -91,7 +101,7 @@ class ShardStore:
         return [{"path": f"{folder}/{s.getPath().getName()}", "bytes": s.getLen()} for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")]
 
     def append(self, arrivals: DataFrame) -> int:
-        """Write arrivals as small shards, at most ``small_rows`` rows each, and commit them."""
+        """Write arrivals as shards of their own and commit them."""
         base = self.manifest()
         return self._commit(base, arrivals.schema, base["files"] + self._write(arrivals, self.small_rows))
 
@@ -128,25 +138,25 @@ class ShardStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f["path"] for f in m["files"]))
 
-    def vacuum(self) -> int:
-        """Delete data files that the newest version doesn't list; for when no older version is read."""
-        live, gone = {f["path"] for f in self.manifest()["files"]}, 0
-        data = self._path(f"{self.root}/data")
+    def vacuum(self, keep_seconds: float = KEEP_SECONDS, keep_versions: int = KEEP_VERSIONS) -> int:
+        """Delete data folders that none of the newest versions lists and that are older than ``keep_seconds``."""
+        newest, gone = self.version(), 0
+        live = {f["path"].rsplit("/", 1)[0].rsplit("/", 1)[1] for v in range(max(1, newest - keep_versions + 1), newest + 1) for f in self.manifest(v)["files"]}
+        data, before = self._path(f"{self.root}/data"), 1000 * (time.time() - keep_seconds)
         for folder in self._fs.listStatus(data) if self._fs.exists(data) else []:
-            name = folder.getPath().getName()
-            inside = [s.getPath().getName() for s in self._fs.listStatus(folder.getPath())]
-            if not any(f"{self.root}/data/{name}/{x}" in live for x in inside):
+            if folder.getPath().getName() not in live and folder.getModificationTime() <= before:
                 self._fs.delete(folder.getPath(), True)
                 gone += 1
         return gone
 
 
 def shard(docs: DataFrame, root: str | None = None, target_bytes: int = TARGET_BYTES) -> tuple[ShardStore, int]:
-    """Append ``docs``, compact and drop the merged arrivals; the store and its version."""
+    """Append ``docs`` and compact; the store and its version. In a store of its own, which nobody else
+    can write to or read, the merged arrivals are dropped at once."""
     store = ShardStore(docs.sparkSession, root or shared_path(docs.sparkSession, "shards"), target_bytes)
     store.append(docs)
     version = store.compact()
-    store.vacuum()
+    store.vacuum(*(() if root else (0.0, 1)))
     return store, version
 
 
