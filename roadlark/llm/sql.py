@@ -12,7 +12,7 @@ _CHAR32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {s}) &
 WARC = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') t FROM pages), d AS (SELECT page_id, t, sha1(t) hex, max(page_id) OVER (PARTITION BY t) last FROM p)
 SELECT page_id, strlen(t)::BIGINT payload_bytes, array_to_string(list_transform(list_transform(range(8), lambda i: ('0x' || substr(hex, 5*i+1, 5))::BIGINT), lambda v: {_CHAR32}), '') payload_digest,
- CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END record_type, CASE WHEN page_id IS DISTINCT FROM last THEN last END refers_to FROM d"""
+ CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END record_type, CASE WHEN page_id IS DISTINCT FROM last THEN last END refers_to, NULL::VARCHAR AS "error" FROM d"""
 
 _ALNUM = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 DECONTAMINATION = f"""

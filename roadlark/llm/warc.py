@@ -5,10 +5,11 @@ later frames; each record is one frame of its own with its size in the frame hea
 takes the dictionary from that frame, finds each frame's end from its block headers, decodes
 frame by frame into a buffer of the declared size, and checks record headers and lengths.
 
-Archives are written through Spark's text writer, one row for each frame, so they go to any file
-system with Spark's task commit: a lost executor's part is written again and no half file stays.
-The separator that this writer puts after each row is an empty skippable frame, which decoders
-pass over. Reading takes whole files (``binaryFile``); archives are written below 2 GB each.
+Archives are rolled by bytes: a task closes one when it has ``ARCHIVE_BYTES`` or more and begins the next, with
+a dictionary of its own. They are written through Spark's text writer, one row and one file for each archive, so
+they go to any file system with Spark's task commit: a lost executor's part is written again and no half
+file stays. The separator that this writer puts after a row is an empty skippable frame, which decoders
+pass over. Reading takes whole files (``binaryFile``), so a worker holds one archive at a time.
 
 Defined results: a null payload is written as an empty one; empty payloads are payloads like
 others; rows without an id are written with the id "null" and read back as null; equal payloads
@@ -41,7 +42,9 @@ SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The dictionary is a compression aid fitted on the first payloads of each archive, at most so many.
 DICTIONARY_SAMPLES, DICTIONARY_BYTES, LEVEL = 200, 16 << 10, 3
-MAX_RECORD = 1 << 30
+ARCHIVE_BYTES = 32 << 20
+#: The largest record that is read: more than a row of a table can hold.
+MAX_RECORD = (1 << 31) - 1
 SALTS = 16
 
 RECORD = T.StructType([
@@ -228,23 +231,29 @@ def decode(data: bytes) -> Iterator[dict]:
 # ---- distributed
 
 
-def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, payload, refers_to) -> frames, the dictionary first."""
+def _compress(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (page_id, url, payload, refers_to) -> archives, the dictionary first."""
     writer, out, size = None, [], 0
+
+    def archive() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["archive"])
+
     for batch in batches:
         ids, urls, refers = (batch.column(i).to_pylist() for i in (0, 1, 3))
         payloads = as_bytes(batch.column(2))
-        if writer is None and ids:
-            out.append(skippable(raw := _fit(payloads[:DICTIONARY_SAMPLES])))
-            writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None, write_content_size=True, write_checksum=True)
-        for row in zip(ids, urls, payloads, refers):
+        for k, row in enumerate(zip(ids, urls, payloads, refers)):
+            if writer is None:
+                out, raw = [], _fit(payloads[k : k + DICTIONARY_SAMPLES])
+                out.append(skippable(raw))
+                size = len(out[0])
+                writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None, write_content_size=True, write_checksum=True)
             out.append(writer.compress(record(*row)))
             size += len(out[-1])
-            if size > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-                out, size = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+            if size >= most:
+                yield archive()
+                writer = None
+    if writer:
+        yield archive()
 
 
 def _fit(samples: list[bytes]) -> bytes:
@@ -285,10 +294,10 @@ def revisits(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("__rl_last")), F.col("__rl_last")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """``page_id, url, payload`` rows -> one archive for each partition below ``path``."""
-    found = revisits(pages).mapInArrow(_compress, "frame binary")
-    found.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """``page_id, url, payload`` rows -> archives of about ``archive_bytes`` at most, or one larger record, below ``path``."""
+    found = revisits(pages).mapInArrow(functools.partial(_compress, most=archive_bytes), "archive binary")
+    found.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -302,4 +311,4 @@ def op1_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload"))
     path = shared_path(spark, "warc")
     write_archives(pages, path)
-    return read_archives(spark, path, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, path, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"])
