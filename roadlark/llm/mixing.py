@@ -19,6 +19,8 @@ without tokens is passed once; input columns named ``epoch`` or ``position`` are
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,20 +49,27 @@ def _order(source: Column, epoch: Column, block: Column) -> Column:
 
 
 def find_exponent(sources: DataFrame, target_entropy: float = TARGET_ENTROPY, max_epochs: float = MAX_EPOCHS, budget: float | None = None) -> float:
-    """The exponent for a table (source, tokens) of positive totals, to 2**-STEPS."""
+    """The exponent for a table (source, tokens) of positive totals, to 2**-STEPS.
+
+    Where no exponent meets the limits (sources as even as can be, for one, are over any entropy below 1)
+    it is 1, the sources' own shares, and a warning says so.
+    """
     total, most, n = sources.agg(F.sum("tokens"), F.max("tokens"), F.count("*")).first()
     if not n or n == 1:
         return 1.0
     low, high = 0.0, 1.0
     for _ in range(STEPS // AT_ONCE):
         parts = 1 << AT_ONCE
-        grid = sources.crossJoin(F.broadcast(sources.sparkSession.range(parts).select(F.lit(low) + F.col("id") * ((high - low) / parts)).toDF("alpha")))
+        grid = sources.crossJoin(F.broadcast(sources.sparkSession.range(parts + 1).select(F.lit(low) + F.col("id") * ((high - low) / parts)).toDF("alpha")))
         p = F.col("tokens") / F.lit(float(total))
         sums = grid.select("alpha", p.alias("p"), F.pow(p, F.col("alpha")).alias("x")).groupBy("alpha").agg(
             F.sum("x").alias("z"), F.sum(F.col("x") * F.log("x")).alias("xl"), F.max(F.col("x") / F.col("p")).alias("most"), F.min(F.col("x") / F.col("p")).alias("least"))
         entropy = F.log("z") - F.col("xl") / F.col("z")
         passes = F.col("most") / F.col("least") if budget is None else F.col("most") / F.col("z") * (budget / total)
         fits = sums.filter((entropy <= target_entropy * F.log(F.lit(float(n)))) & (passes <= max_epochs)).agg(F.min("alpha")).first()[0]
+        if fits is None and high == 1.0:
+            warnings.warn(f"no exponent gives an entropy of {target_entropy} of the largest within {max_epochs} passes; the sources keep their shares", stacklevel=2)
+            return 1.0
         high, low = (high, high - (high - low) / parts) if fits is None else (fits, max(low, fits - (high - low) / parts))
     return high
 
