@@ -27,11 +27,11 @@ SF = "/root/testdata/sf0.001"
 # ---- WARC
 
 
-def archive(payloads):
+def archive(payloads, most=1 << 20):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(payloads))), pa.array(["u"] * len(payloads)), pa.array(payloads), pa.array([None] * len(payloads), pa.int64())], names=list("abcd"))
-    return b"".join(f + warc.SEPARATOR.encode() for out in warc._compress(iter([batch])) for f in out.column(0).to_pylist())
+    return b"".join(f + warc.SEPARATOR.encode() for out in warc._compress(iter([batch]), most) for f in out.column(0).to_pylist())
 
 
 @pytest.mark.parametrize("n", [1, 40])
@@ -41,6 +41,22 @@ def test_archive_round_trip(n):
     assert [r["payload"].decode() for r in got] == payloads and not any(r["error"] for r in got)
 
 
+def test_archives_are_rolled_by_bytes(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i, "u", "".join(rng.choice("abcdefghij ") for _ in range(3000))) for i in range(60)] + [(99, "u", "y" * 300_000 + "z")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, payload string").repartition(1), str(tmp_path / "r"), 20_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "r").glob("part-*")]
+    assert len(sizes) > 3 and max(sizes) < 40_000
+    assert sorted((r.page_id, r.payload.decode()) for r in warc.read_archives(spark, str(tmp_path / "r")).collect()) == [(i, t) for i, _, t in rows]
+
+
+def test_a_record_over_the_limit_is_an_error_row(monkeypatch):
+    data = archive(["abc " * 1000, "x"])
+    monkeypatch.setattr(warc, "MAX_RECORD", 2000)
+    got = list(warc.decode(data))
+    assert [bool(r["error"]) for r in got] == [True, False] and got[0]["page_id"] is None and got[1]["payload"] == b"x"
+
+
 def test_broken_archives_give_errors():
     data = archive(["abc " * 100, "def " * 100])
     assert [bool(r["error"]) for r in warc.decode(data[:-20])] == [False, True]
@@ -249,6 +265,38 @@ def test_exponent_meets_its_limits(spark):
     r = share(b) / p
     assert abs(r.max() / r.min() - 4.0) < 1e-4
     assert mixing.find_exponent(s.limit(1)) == 1.0
+    with pytest.warns(UserWarning, match="no exponent"):
+        assert mixing.find_exponent(spark.createDataFrame([(c, 10) for c in "abcd"], "source string, tokens long")) == 1.0
+
+
+def test_budget_of_tokens(spark, docs, texts):
+    """Each source's tokens are its whole passes and the blocks of one more that fit in the rest of its part."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    own, got, blocks = Counter(), Counter(), {}
+    for r in docs.collect():
+        own[r.source] += words(r.text)
+        block = hashlib.md5(f"mix:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:3]
+        blocks[r.source, block] = blocks.get((r.source, block), 0) + words(r.text)
+    rows = mixing.temperature_mix(docs, target_entropy=0.999, max_epochs=1.7).collect()
+    for r in rows:
+        got[r.source] += words(r.text)
+    used = {s: n for s, n in own.items() if n}
+    total = sum(used.values())
+    alpha = mixing.find_exponent(spark.createDataFrame([(s, n) for s, n in used.items()], "source string, tokens long"), 0.999, 1.7)
+    x = {s: (n / total) ** alpha for s, n in used.items()}
+    least = min(x[s] / (used[s] / total) for s in used)
+    for s in used:
+        part = round(x[s] / (used[s] / total) / least, 6) * used[s]
+        largest = max(n for (src, _), n in blocks.items() if src == s)
+        assert part - largest < got[s] <= part + 1e-6
+        # blocks in the order of the last, partial pass
+        order = [b for _, b in sorted((hashlib.md5(f"mix:{int(part // used[s])}:{'' if s is None else '=' + s}:{b}".encode()).hexdigest(), b) for src, b in blocks if src == s)]
+        room, want = part - used[s] * int(part // used[s]), 0
+        for b in order:
+            if blocks[s, b] + want > room:
+                break
+            want += blocks[s, b]
+        assert got[s] == used[s] * int(part // used[s]) + want
 
 
 def test_store_versions(spark, docs, none, tmp_path):
