@@ -1,13 +1,17 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-A bigram model is learnt from all training texts. Counts are quantised on a log scale: an n-gram
-whose level is J is in the filter as (n-gram, 1) ... (n-gram, J), so a count is read back by probing
-level after level until one is missing, and never comes out below its level. The filter is cut by
-hash into ``SEGMENTS`` segments and holds every n-gram, so it grows with the training texts; it is
-never gathered in one place. Documents are dealt into chunks of about ``CHUNK_BYTES`` of text; each
-chunk sends its different n-grams to their segments by shuffle, the task that builds a segment probes
-it, and the levels go back to the chunk. With c the counts as read back,
-P(w | v) = (min(c(v w), c(v)) + MU * P1(w)) / (c(v) + MU), P1(w) = (c(w) + 1) / (N + V + 1).
+A bigram model is learnt from all training texts. Counts are quantised: exactly up to ``EXACT``, then on a
+log scale. An n-gram whose level is J is in the filter as (n-gram, 1) ... (n-gram, J), so a count is
+read back by probing level after level until one is missing, and never comes out below its level. The filter
+is cut by hash into segments, whose number follows that of the training tokens (``segment_bits``), and holds every
+n-gram, so it grows with the training texts and a segment doesn't; it is never gathered in one place. Documents
+are dealt into chunks of about ``CHUNK_BYTES`` of text; each chunk sends its different n-grams to their segments
+by shuffle, the task that builds a segment probes it, and the levels go back to the chunk. With c the counts as
+read back, q their sum over the V training tokens,
+P(w | v) = (min(c(v w), c(v)) + MU * P1(w)) / (c(v) + MU), P1(w) = (c(w) + 1) / (q + V + 1).
+P1 sums to 1 over the training tokens and one unknown. P(. | v) does where all counts of v are up to EXACT; above it
+the sum is off by what quantising does to the counts that follow v, within half a step of the scale, and by
+the filter's false positives, which add at most the rate ``(1 - exp(-HASHES / BITS_PER_ENTRY)) ** HASHES`` for each unseen pair.
 Chunks are named by partition and place, so the scored table must give the same rows in the same
 partitions each time it is read, as a scan or a checkpoint does; a chunk that doesn't is refused.
 
@@ -15,7 +19,7 @@ partitions each time it is read, as a scan or a checkpoint does; a chunk that do
 sent to the workers; occurrences of all others are joined with the table of counts by shuffle.
 
 Tokens: a text's words in lower case (A-Z), then one end. Words are known by 64-bit hashes, n-grams
-in the filter by 42 bits. Defined results: null and empty texts are one end token; repeated rows
+in the filter by 32 bits and those of their segment. Defined results: null and empty texts are one end token; repeated rows
 get equal scores and each counts in training; without training rows N = V = 0; an empty table
 gives an empty table; input columns named as an output column are replaced.
 """
@@ -23,6 +27,7 @@ gives an empty table; input columns named as an output column are replaced.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +41,16 @@ from pyspark.sql import types as T
 from .arrow import Words, as_bytes, in_pieces, with_columns
 from .common import cut, fold, table
 
-SEGMENTS, CHUNK_BYTES, BITS_PER_ENTRY, HASHES = 1024, 4 << 20, 12, 4
-LOG_BASE, LEVELS = 1.5, 64
+CHUNK_BYTES, BITS_PER_ENTRY, HASHES = 4 << 20, 16, 6
+#: The least segments, as a power of two, and the training tokens for which there is one more segment.
+LEAST_BITS, MOST_BITS, SEGMENT_TOKENS = 10, 30, 1 << 18
+EXACT, STEP, LEVELS = 16, 1.15, 194
 HEAD = 1 << 19
 MU = 200.0
 FLUSH = 1 << 22
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Comes after all segments.
+_LAST = (1 << 31) - 1
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b" begin"))
 
@@ -79,20 +88,26 @@ def before(t: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return v
 
 
-def level(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(LOG_BASE) + 1e-9), LEVELS).astype(np.int64)
+def _thresholds() -> np.ndarray:
+    """The least count of each level: 1 to EXACT + 1, then steps of at least STEP."""
+    out = list(range(1, EXACT + 2))
+    while len(out) < LEVELS:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * STEP)))
+    return np.array(out, np.int64)
+
 
+THRESHOLDS = _thresholds()
+#: The count that a level is read as: the mean of the whole numbers that have it.
+VALUES = np.concatenate([[0.0], (THRESHOLDS + np.append(THRESHOLDS[1:] - 1, THRESHOLDS[-1])) / 2])
 
-def _values() -> np.ndarray:
-    """The count that a level is read as: the mean of the whole numbers that have it."""
-    out = np.zeros(LEVELS + 1)
-    for j in range(1, LEVELS + 1):
-        low, high = np.ceil(LOG_BASE ** (j - 1) - 1e-9), np.ceil(LOG_BASE**j - 1e-9) - 1
-        out[j] = (low + max(low, high)) / 2
-    return out
 
+def level(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(THRESHOLDS, counts, "right")
 
-VALUES = _values()
+
+def segment_bits(n_tokens: int) -> int:
+    """The segments, as a power of two, with SEGMENT_TOKENS training tokens to each at most."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(n_tokens, 1) / SEGMENT_TOKENS))))
 
 
 # ---- counting
@@ -128,27 +143,26 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 18)].view(np.int64)), pa.array(counts[k : k + (1 << 18)])], names=["h", "c"])
 
 
-def _keys(t: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Of each token the unigram, then of each the bigram, as the filter knows them."""
-    return np.concatenate([unigrams(t), bigrams(before(t, starts), t)]) >> np.uint64(22)
+def _keys(t: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
+    """Of each token the unigram, then of each the bigram, as the filter knows them: ``bits`` of the segment, then 32."""
+    return np.concatenate([unigrams(t), bigrams(before(t, starts), t)]) >> np.uint64(32 - bits)
 
 
 def _by_segment(chunk: int | None, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each segment: sorted n-gram hashes and their training counts, empty if all are 0."""
-    cuts = np.searchsorted(keys >> np.uint64(32), np.arange(SEGMENTS + 1, dtype=np.uint64))
-    low = keys.astype(np.uint32)
-    which = [s for s in range(SEGMENTS) if cuts[s] < cuts[s + 1]]
-    for k in range(0, len(which), 64):
-        some = which[k : k + 64]
-        own = [counts[cuts[s] : cuts[s + 1]] for s in some]
-        packed = [c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes() if c.any() else b"" for c in own]
+    which, first = np.unique((keys >> np.uint64(32)).astype(np.int32), return_index=True)
+    cuts, low = np.append(first, len(keys)), keys.astype(np.uint32)
+    for k in range(0, len(which), 4096):
+        some = range(k, min(k + 4096, len(which)))
+        own = [counts[cuts[i] : cuts[i + 1]] for i in some]
+        packed = [c.astype(np.uint8 if c.max() < 256 else np.uint32 if c.max() < 1 << 32 else np.uint64).tobytes() if c.any() else b"" for c in own]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([low[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()), pa.array(packed, pa.binary())],
+            [pa.array(which[k : k + len(some)]), pa.array([chunk] * len(some), pa.int64()), pa.array([low[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()), pa.array(packed, pa.binary())],
             names=["segment", "chunk", "hashes", "counts"])
 
 
-def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for keys, counts in _counted(batches, _keys):
+def _count_ngrams(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for keys, counts in _counted(batches, functools.partial(_keys, bits=bits)):
         yield from _by_segment(None, keys, counts)
 
 
@@ -174,17 +188,17 @@ def _homes(batches: Iterator[pa.RecordBatch], column: str, keep: list[str]) -> I
     """The rows with their chunk, in the order after its segments."""
     for chunk, rows, _ in _dealt(batches, column):
         n = rows.num_rows
-        yield with_columns(rows, keep, {"__rl_chunk": pa.array([chunk] * n, pa.int64()), "__rl_segment": pa.array([SEGMENTS] * n, pa.int32())})
+        yield with_columns(rows, keep, {"__rl_chunk": pa.array([chunk] * n, pa.int64()), "__rl_segment": pa.array([_LAST] * n, pa.int32())})
 
 
-def _asked(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], column: str, bits: int) -> Iterator[pa.RecordBatch]:
     """Each chunk's different n-grams, with how often its training texts (``__rl_train``) have them."""
     seen = Words()
 
     def rows() -> Iterator[pa.RecordBatch]:
         t, starts = tokens([x for texts, _ in held for x in texts], seen)
         train = np.repeat(np.concatenate([x for _, x in held]), np.diff(starts)).astype(np.uint64)
-        both, n = np.unique((_keys(t, starts) << np.uint64(1)) | np.concatenate([train, train]), return_counts=True)
+        both, n = np.unique((_keys(t, starts, bits) << np.uint64(1)) | np.concatenate([train, train]), return_counts=True)
         keys = both >> np.uint64(1)
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         yield from _by_segment(now, keys[first], np.add.reduceat(np.where(both & np.uint64(1), n, 0), first))
@@ -202,46 +216,50 @@ def _asked(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of segment -> the segment is built, and the levels of what each chunk asked are read from it."""
-    now, parts = None, []
+    now, held = None, None
     for batch in batches:
         for s, chunk, h, c in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if s != now and parts:
-                yield _answer(now, parts)
-                parts = []
-            now = s
-            keys = np.frombuffer(h, np.uint32)
-            parts.append((chunk, keys, np.frombuffer(c, np.uint8 if len(c) == len(keys) else np.uint32) if c else None))
-    if parts:
-        yield _answer(now, parts)
-
-
-def _answer(segment: int, parts: list[tuple]) -> pa.RecordBatch:
-    bits = _segment(segment, [(k, c) if c.all() else (k[c > 0], c[c > 0]) for _, k, c in parts if c is not None]).column(1)[0].as_py()
-    asking = [(chunk, k) for chunk, k, _ in parts if chunk is not None]
-    asked = np.unique(np.concatenate([np.empty(0, np.uint32), *(k for _, k in asking)]))
-    levels = LogFrequencyFilter({segment: bits}).levels(asked.astype(np.uint64) | np.uint64(segment << 32)).astype(np.uint8)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([chunk for chunk, _ in asking], pa.int64()), pa.array([segment] * len(asking), pa.int32()), pa.array([levels[np.searchsorted(asked, k)].tobytes() for _, k in asking], pa.binary())],
-        names=["__rl_chunk", "__rl_segment", "__rl_levels"])
-
-
-def _segment(segment: int, parts: list[tuple[np.ndarray, np.ndarray]], most: int | None = None) -> pa.RecordBatch:
-    """The bits of all n-grams; with ``most`` bytes at most, of those of the highest counts that fit."""
-    keys, counts = _merged(parts) if parts else (np.empty(0, np.uint32), np.empty(0, np.int64))
-    levels = level(counts)
-    room = None if most is None else most * 8 // BITS_PER_ENTRY
-    if room is not None and levels.sum() > room:
-        by_level = np.bincount(levels, np.maximum(levels, 0), LEVELS + 2)
-        fits = np.flatnonzero(np.cumsum(by_level[::-1])[::-1] <= room)
-        keep = levels >= (fits[0] if len(fits) else LEVELS + 1)
-        keys, levels = keys[keep], levels[keep]
-    bits = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 8) * 8)
-    out = np.zeros(bits, bool)
-    for j in range(1, int(levels.max(initial=0)) + 1):
-        at = keys[levels >= j].astype(np.uint64)
-        for p in positions(at | np.uint64(segment << 32), j, np.uint64(bits)):
-            out[p] = True
-    return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
+            if s != now:
+                if held:
+                    yield from held.answers()
+                now, held = s, _Segment(s)
+            held.add(chunk, h, c)
+    if held:
+        yield from held.answers()
+
+
+class _Segment:
+    """What has come for one segment: counts, summed as they come, and the chunks with what they ask, packed."""
+
+    def __init__(self, segment: int):
+        self.segment, self.counted, self.new = segment, [], 0
+        self.chunks: list[int] = []
+        self.sizes: list[int] = []
+        self.asked = bytearray()
+
+    def add(self, chunk: int | None, hashes: bytes, counts: bytes) -> None:
+        keys = np.frombuffer(hashes, np.uint32)
+        if counts:
+            c = np.frombuffer(counts, {1: np.uint8, 4: np.uint32, 8: np.uint64}[len(counts) // len(keys)])
+            self.counted.append((keys[c > 0], c[c > 0]))
+            self.new += len(self.counted[-1][0])
+            if self.new > FLUSH:
+                self.counted, self.new = [_merged(self.counted)], 0
+        if chunk is not None:
+            self.chunks.append(chunk)
+            self.sizes.append(len(keys))
+            self.asked += hashes
+
+    def answers(self) -> Iterator[pa.RecordBatch]:
+        found, asked = LogFrequencyFilter.of(self.segment, self.counted), np.frombuffer(self.asked, np.uint32)
+        different = np.unique(asked)
+        levels, at = found.levels(different.astype(np.uint64) | np.uint64(self.segment << 32)).astype(np.uint8), 0
+        for k in range(0, len(self.chunks), 4096):
+            rows = []
+            for n in self.sizes[k : k + 4096]:
+                rows.append(levels[np.searchsorted(different, asked[at : at + n])].tobytes())
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(self.chunks[k : k + 4096], pa.int64()), pa.array([self.segment] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["__rl_chunk", "__rl_segment", "__rl_levels"])
 
 
 def positions(keys: np.ndarray, j: int, bits) -> Iterator[np.ndarray]:
@@ -252,23 +270,38 @@ def positions(keys: np.ndarray, j: int, bits) -> Iterator[np.ndarray]:
 
 
 class LogFrequencyFilter:
-    """Quantised counts of n-grams, as a Bloom filter in segments."""
+    """Quantised counts of n-grams, as a Bloom filter in segments, or one segment of it."""
 
     def __init__(self, segments: dict[int, bytes]):
-        empty = b"\0" * 8
-        own = [segments.get(s, empty) for s in range(SEGMENTS)]
-        self.bits = np.array([len(x) * 8 for x in own], np.uint64)
-        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])[:-1]]).astype(np.int64)
-        self.data = np.frombuffer(b"".join(own), np.uint8)
-
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        return VALUES[self.levels(hashes >> np.uint64(22))]
+        own = sorted(segments.items()) or [(0, b"\0" * 8)]
+        self.segments = np.array([s for s, _ in own], np.int64)
+        self.bits = np.array([len(x) * 8 for _, x in own], np.uint64)
+        self.offsets = np.concatenate([[0], np.cumsum([len(x) for _, x in own])[:-1]]).astype(np.int64)
+        self.data = np.frombuffer(b"".join(x for _, x in own), np.uint8)
+
+    @classmethod
+    def of(cls, segment: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> LogFrequencyFilter:
+        """The segment of these counts (32-bit hashes, counts), which may name an n-gram more than once."""
+        keys, counts = _merged(parts) if parts else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        levels = level(counts)
+        bits = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 8) * 8)
+        out = np.zeros(bits, bool)
+        for j in range(1, int(levels.max(initial=0)) + 1):
+            keys, levels = keys[levels >= j], levels[levels >= j]
+            for p in positions(keys.astype(np.uint64) | np.uint64(segment << 32), j, np.uint64(bits)):
+                out[p] = True
+        return cls({segment: np.packbits(out, bitorder="little").tobytes()})
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return VALUES[self.levels(keys)]
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of n-grams as ``_keys`` names them; 0 in a segment that isn't there."""
         segment = (keys >> np.uint64(32)).astype(np.int64)
-        found, active = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        at = np.minimum(np.searchsorted(self.segments, segment), len(self.segments) - 1)
+        found, active = np.zeros(len(keys), np.int64), np.flatnonzero(self.segments[at] == segment)
         for j in range(1, LEVELS + 1):
-            k, s = keys[active], segment[active]
+            k, s = keys[active], at[active]
             bits, offsets = self.bits[s], self.offsets[s]
             here = np.ones(len(active), bool)
             for p in positions(k, j, bits):
@@ -281,10 +314,11 @@ class LogFrequencyFilter:
 
 
 class Model:
-    """N, V, the exact counts of the frequent tokens and, on the driver only, the training texts."""
+    """N, V, the sum of the quantised counts, the exact counts of the frequent tokens and, on the driver only, the training texts."""
 
-    def __init__(self, n: int, v: int, head: np.ndarray, head_counts: np.ndarray, complete: bool, texts: DataFrame | None = None):
-        self.n, self.v, self.complete, self.texts = n, v, complete, texts
+    def __init__(self, n: int, v: int, quantised: float, head: np.ndarray, head_counts: np.ndarray, complete: bool, texts: DataFrame | None = None):
+        self.n, self.v, self.quantised, self.complete, self.texts = n, v, quantised, complete, texts
+        self.bits = segment_bits(n)
         order = np.argsort(head)
         self.head, self.head_counts = head[order], head_counts[order]
 
@@ -300,7 +334,7 @@ class Model:
 
     def log10_probabilities(self, t: np.ndarray, starts: np.ndarray, levels: np.ndarray) -> np.ndarray:
         """Of each token, from the levels of its chunk's different n-grams in their order."""
-        keys, where = np.unique(_keys(t, starts), return_inverse=True)
+        keys, where = np.unique(_keys(t, starts, self.bits), return_inverse=True)
         if len(keys) != len(levels):
             raise RuntimeError("the scored table gave other rows when read again; pass a scan or a checkpoint")
         c = VALUES[levels[where]]
@@ -308,7 +342,7 @@ class Model:
         cv = np.empty_like(cw)
         cv[1:] = cw[:-1]
         cv[starts[:-1]] = cw[-1]  # as many texts begin as end
-        return np.log10((np.minimum(c2, cv) + MU * (cw + 1) / (self.n + self.v + 1)) / (cv + MU))
+        return np.log10((np.minimum(c2, cv) + MU * (cw + 1) / (self.quantised + self.v + 1)) / (cv + MU))
 
 
 MADE = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("rare", T.ArrayType(T.LongType())), ("rare_n", T.ArrayType(T.LongType()))]
@@ -327,7 +361,7 @@ def _score(batches: Iterator[pa.RecordBatch], column: str, keep: list[str], mode
                 yield from _score_chunk(held, levels, column, keep, model, seen)
             if chunk[a] != now:
                 now, levels, held = chunk[a], [], []
-            docs = a + int(np.searchsorted(segment[a:b], SEGMENTS))
+            docs = a + int(np.searchsorted(segment[a:b], _LAST))
             levels += batch.column(batch.schema.names.index("__rl_levels")).slice(a, docs - a).to_pylist()
             if docs < b:
                 held.append(batch.slice(docs, b - docs))
@@ -358,6 +392,10 @@ def _score_chunk(held: list[pa.RecordBatch], levels: list[bytes], column: str, k
         at += batch.num_rows
 
 
+def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([pa.array([float(sum(VALUES[level(b.column(0).to_numpy(zero_copy_only=False))].sum() for b in batches))])], names=["q"])
+
+
 def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model, and the table (h, c) of all token counts."""
     texts = train.select(F.col(text_col))
@@ -372,7 +410,8 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
         held, least = held + size, low
     head = counts.filter(F.col("c") >= (least or 0)).toArrow() if least else None
     ids, sums = (head.column(k).to_numpy() for k in (0, 1)) if head else (np.empty(0, np.int64), np.empty(0, np.int64))
-    return Model(n, v, ids.view(np.uint64), sums, held == v, texts), counts
+    quantised = counts.select("c").mapInArrow(_quantised, "q double").agg(F.coalesce(F.sum("q"), F.lit(0.0))).first()[0]
+    return Model(n, v, quantised, ids.view(np.uint64), sums, held == v, texts), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "text", keep: list[str] | None = None, trained: Column | None = None) -> DataFrame:
@@ -385,9 +424,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "tex
     keep = [c for c in (docs.columns if keep is None else keep) if c not in [*made, "train_tokens"]]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     ngrams = "segment int, chunk long, hashes binary, counts binary"
-    asked = docs.select(text_col, F.coalesce(F.lit(False) if trained is None else trained, F.lit(False)).alias("__rl_train")).mapInArrow(functools.partial(_asked, column=text_col), ngrams)
+    asked = docs.select(text_col, F.coalesce(F.lit(False) if trained is None else trained, F.lit(False)).alias("__rl_train")).mapInArrow(functools.partial(_asked, column=text_col, bits=model.bits), ngrams)
     if trained is None:
-        asked = asked.unionAll(model.texts.mapInArrow(_count_ngrams, ngrams))
+        asked = asked.unionAll(model.texts.mapInArrow(functools.partial(_count_ngrams, bits=model.bits), ngrams))
     answers = asked.repartition("segment").sortWithinPartitions("segment").mapInArrow(_answers, "__rl_chunk long, __rl_segment int, __rl_levels binary")
     own = list(dict.fromkeys([*keep, text_col]))
     homes = docs.select(*own).mapInArrow(functools.partial(_homes, column=text_col, keep=own), T.StructType([T.StructField(c, docs.schema[c].dataType) for c in own] + [T.StructField("__rl_chunk", T.LongType()), T.StructField("__rl_segment", T.IntegerType())]))
