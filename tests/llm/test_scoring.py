@@ -38,58 +38,101 @@ def test_scores_against_brute_force(spark, docs, texts, head, monkeypatch):
     assert all(r.score < 0 for r in got)
 
 
+def whole_filter(keys, counts):
+    """All segments in one place."""
+    seg, low = (keys >> np.uint64(32)).astype(int), keys.astype(np.uint32)
+    out = {}
+    for s in set(seg.tolist()):
+        f = L.LogFrequencyFilter.of(s, [(low[seg == s], counts[seg == s])])
+        out[s] = f.data.tobytes()
+    return L.LogFrequencyFilter(out)
+
+
 def test_filter_never_reads_below_a_level_and_rarely_invents():
     rng = np.random.default_rng(1)
-    keys = rng.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2)
+    keys = rng.integers(0, 1 << 42, 4000).astype(np.uint64)
     counts = rng.integers(1, 5000, 4000)
-    low = (keys >> np.uint64(22))
-    seg = (low >> np.uint64(32)).astype(int)
-    made = {}
-    for s in range(L.SEGMENTS):
-        at = seg == s
-        if at.any():
-            made[s] = L._segment(s, [(low[at].astype(np.uint32), counts[at].astype(np.uint32))]).column(1)[0].as_py()
-    f = L.LogFrequencyFilter(made)
-    assert (f.counts(keys) >= L.VALUES[L.level(counts)]).all()
-    assert (f.counts(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
-
-
-def test_full_segment_keeps_the_highest_counts():
-    keys, counts = np.arange(1000, dtype=np.uint32), np.ones(1000, np.uint32)
-    counts[:10] = 100
-    bits = L._segment(0, [(keys, counts)], most=300).column(1)[0].as_py()
-    assert len(bits) <= 300
-    f = L.LogFrequencyFilter({0: bits})
-    assert (f.counts(np.arange(10, dtype=np.uint64) << np.uint64(22)) > 50).all()
-
-
-def test_segment_grows_with_its_ngrams():
+    f = whole_filter(keys, counts)
+    got = f.counts(keys)
+    assert (got >= L.VALUES[L.level(counts)]).all() and (np.abs(got / counts - 1) < 0.1).mean() > 0.98
+    assert (f.counts(rng.integers(0, 1 << 42, 20_000).astype(np.uint64)) > 0).mean() < 0.01
+
+
+def test_levels_are_exact_for_small_counts_and_close_for_others():
+    n = np.concatenate([np.arange(1, 5000), 10 ** np.arange(4, 12)])
+    v = L.VALUES[L.level(n)]
+    assert (v[: L.EXACT] == n[: L.EXACT]).all() and (np.abs(v / n - 1) <= (L.STEP - 1) / 2 + 0.01).all() and L.LEVELS < 256
+
+
+def test_segment_grows_with_its_ngrams_and_their_number_with_the_tokens():
     keys = np.arange(60_000, dtype=np.uint32)
-    bits = L._segment(0, [(keys, np.ones(len(keys), np.uint32))]).column(1)[0].as_py()
-    assert (L.LogFrequencyFilter({0: bits}).counts(keys.astype(np.uint64) << np.uint64(22)) >= 1).all()
+    assert (L.LogFrequencyFilter.of(3, [(keys, np.ones(len(keys), np.uint32))]).counts(keys.astype(np.uint64) | np.uint64(3 << 32)) >= 1).all()
+    assert L.segment_bits(0) == L.segment_bits(10**8) == 10 and all(n / 2 ** L.segment_bits(n) <= L.SEGMENT_TOKENS for n in (10**9, 10**12, 10**14))
 
 
-@pytest.mark.parametrize("chunk", [4 << 20, 3000])
+@pytest.mark.parametrize("chunk,bits,flush", [(4 << 20, 10, 1 << 22), (3000, 10, 50), (3000, 16, 1 << 22)])
 @pytest.mark.parametrize("together", [True, False])
-def test_scores_are_those_of_the_whole_filter(spark, docs, texts, chunk, together, monkeypatch):
+def test_scores_are_those_of_the_whole_filter(spark, docs, texts, chunk, bits, flush, together, monkeypatch):
     monkeypatch.setattr(L, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(L, "segment_bits", lambda n: bits)
+    monkeypatch.setattr(L, "FLUSH", flush)
     held = docs.withColumn("held_out", L.is_held_out(F.col("doc_id")))
     model, counts = L.fit(held.filter("not held_out"))
     got = L.score(held, model, counts, trained=~F.col("held_out") if together else None).collect()
-    ngrams = lambda t: (lambda x, starts: (L.unigrams(x), L.bigrams(L.before(x, starts), x)))(*L.tokens([(t or "").encode()], L.Words()))
+    ngrams = lambda t: np.split(L._keys(*L.tokens([(t or "").encode()], L.Words()), bits), 2)
     train = [t for i, t in texts if not (i is not None and zlib.crc32(str(i).encode()) % 7 == 2)]
-    keys, n = np.unique(np.concatenate([x for t in train for x in ngrams(t)]) >> np.uint64(22), return_counts=True)
-    seg = (keys >> np.uint64(32)).astype(int)
-    f = L.LogFrequencyFilter({s: L._segment(s, [(keys[seg == s].astype(np.uint32), n[seg == s])]).column(1)[0].as_py() for s in set(seg.tolist())})
+    f = whole_filter(*np.unique(np.concatenate([x for t in train for x in ngrams(t)]), return_counts=True))
     want = Counter()
     for i, t in texts:
         c, c2 = map(f.counts, ngrams(t))
         cv = np.concatenate([c[-1:], c[:-1]])
-        score = np.log10((np.minimum(c2, cv) + L.MU * (c + 1) / (model.n + model.v + 1)) / (cv + L.MU)).sum()
+        score = np.log10((np.minimum(c2, cv) + L.MU * (c + 1) / (model.quantised + model.v + 1)) / (cv + L.MU)).sum()
         want[i, t, round(float(score), 4)] += 1
     assert Counter((r.doc_id, r.text, round(r.score, 4)) for r in got) == want
 
 
+def exact_model(train):
+    """P(w | v) of the same smoothing from exact counts, with nothing hashed or quantised."""
+    tokens = lambda t: WORD.findall((t or "").translate(LOWER)) + [None]
+    c, pairs, after = Counter(), Counter(), Counter()
+    for t in train:
+        w = tokens(t)
+        c.update(w)
+        pairs.update(zip([None, *w[:-1]], w))
+        after.update([None, *w[:-1]])
+    n, v = sum(c.values()), len(c)
+    return tokens, c, lambda w, v_: (pairs[v_, w] + L.MU * (c[w] + 1) / (n + v + 1)) / (after[v_] + L.MU)
+
+
+def test_scores_are_close_to_those_of_exact_counts(spark, docs, texts):
+    model, counts = L.fit(docs)
+    tokens, c, p = exact_model([t for _, t in texts])
+    assert abs(sum(p(w, "the") for w in [*c, "unseen"]) - 1) < 1e-9
+    for r in L.score(docs, model, counts).collect():
+        w = tokens(r.text)
+        want = sum(math.log10(p(b, a)) for a, b in zip([None, *w[:-1]], w))
+        assert abs(r.score - want) <= 0.01 * abs(want) + 0.05
+
+
+def test_probabilities_of_a_context_sum_to_one(texts):
+    """Exactly where the counts are exact; else within half a step of the scale."""
+    train = [(t or "").encode() for _, t in texts]
+    seen = L.Words()
+    t, starts = L.tokens(train, seen)
+    f = whole_filter(*np.unique(L._keys(t, starts, 10), return_counts=True))
+    types, n = np.unique(t, return_counts=True)
+    q = f.counts(L.unigrams(types) >> np.uint64(22))
+    p1 = (q + 1) / (L.VALUES[L.level(n)].sum() + len(types) + 1)
+    assert abs(p1.sum() + 1 / (L.VALUES[L.level(n)].sum() + len(types) + 1) - 1) < 1e-3
+    pairs = set(zip(L.before(t, starts).tolist(), t.tolist()))
+    for at in np.flatnonzero(types != L.END)[::37]:
+        # The pairs that the filter was given; what it invents is bounded by the test above.
+        known = np.array([w for v, w in pairs if v == int(types[at])], np.uint64)
+        c2 = np.minimum(f.counts(L.bigrams(np.full(len(known), types[at]), known) >> np.uint64(22)), q[at])
+        total = (c2.sum() + L.MU) / (q[at] + L.MU)
+        assert abs(total - 1) < (1e-9 if n[at] <= L.EXACT else (L.STEP - 1) / 2)
+
+
 def test_model_without_training_rows(spark, docs, none):
     model, counts = L.fit(none)
     r = L.score(docs, model, counts).first()
