@@ -1,18 +1,25 @@
-"""Near copies by the similarity of word shingles: candidates by MinHash bands, all of them verified.
+"""Near copies by SimHash and the similarity of word shingles: candidates, all of them verified.
 
 A text is the set of its ``SHINGLE``-word shingles (64-bit hashes); two texts are near copies if the
 Jaccard similarity of their sets is ``SIMILARITY`` or more. In the order of ids a document is dropped
 if it is a near copy of one that is kept, so no two kept near copies remain among the candidates and
 every dropped one has a kept near copy.
 
-Equal sets are one node. Nodes that agree in one of ``BANDS`` bands of ``ROWS`` least hashes are linked
-to the least of the band's value, and the components of these links are candidate groups: a pair of
-similarity s is missed with probability (1 - s^ROWS)^BANDS at most, 6e-5 at 0.8. Inside a group each
-node, in the order of ids, meets the kept ones that share one of its least hashes (prefix filter,
-exact); a task holds the kept sets of one group, never the dropped ones.
+Equal sets are one node. Candidates are first the links of the SimHash operator: fingerprints within
+its ``RADIUS`` bits, found by the generalised pigeonhole. At similarity 0.8 fingerprints differ in 9.7 of 64 bits
+on average (the angle's share, acos(8/9) / pi = 0.15), and a radius that covers that costs more probes and
+random candidates than the data have rows, so pairs further apart than RADIUS are found by MinHash: nodes that
+agree in one of ``BANDS`` bands of ``ROWS`` least hashes are linked to the least of the band's value. The
+components of all links are candidate groups: a pair of similarity s is missed with probability
+(1 - s^ROWS)^BANDS at most, 6e-5 at 0.8.
+
+Groups of more than ``LARGE`` nodes are first held against their first member, which is kept, in as many
+parts as they need; what is like it is gone, and so on for ``ROUNDS`` rounds, so a large group of near copies is
+no single task's. In what is left of a group each node, in the order of ids, meets the kept ones that share
+one of its least hashes (prefix filter, exact); a task holds the kept sets of one group, never the dropped ones.
 
 Defined results: null and empty texts are copies of each other; texts of fewer words than a shingle
-are one shingle; rows without an id stay.
+are one shingle; rows without an id stay; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,10 +37,12 @@ from pyspark.sql import types as T
 from .arrow import Words, as_bytes
 from .common import cut
 from .components import components
-from .simhash import keep_firsts
+from .simhash import fingerprint, keep_firsts, links
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
+#: Members of a group that one task compares with the first one, and how often a group gets a new first.
+LARGE, ROUNDS = 128, 3
 _RNG = np.random.default_rng(20)
 _XOR, _TIMES = _RNG.integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64, endpoint=False)
 _TIMES |= np.uint64(1)
@@ -80,11 +89,13 @@ def similar(x: np.ndarray, y: np.ndarray, thousandths: int) -> bool:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, h, bands)."""
+    """(id, text) -> (id, h, fp, bands)."""
     seen = Words()
     for batch in batches:
-        sets = [shingles(t, n, seen) for t in as_bytes(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "h", "bands"])
+        texts = as_bytes(batch.column(1))
+        sets = [shingles(t, n, seen) for t in texts]
+        fps = np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_hash(x) for x in sets], pa.int64()), pa.array(fps), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "h", "fp", "bands"])
 
 
 def _to_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,19 +137,66 @@ def _copies(batches: Iterator[pa.RecordBatch], n: int, thousandths: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
 
 
+def _like_first(batches: Iterator[pa.RecordBatch], n: int, thousandths: int) -> Iterator[pa.RecordBatch]:
+    """(root, salt, member, h, text), the first of a root and salt before its members -> the h that are near copies of it."""
+    seen, now, first = Words(), None, None
+    for batch in batches:
+        out = []
+        for root, salt, member, h, text in zip(*(batch.column(i).to_pylist() for i in range(4)), as_bytes(batch.column(4))):
+            if (root, salt) != now:
+                now, first = (root, salt), None
+            x = shingles(text, n, seen)
+            if set_hash(x) != h:  # another text under the same id
+                continue
+            if not member:
+                first = x
+            elif first is not None and similar(x, first, thousandths):
+                out.append(h)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v) links of nodes (h, fp, bands): those of the SimHash operator and those of the bands."""
+    same = nodes.groupBy("fp").agg(F.min("h").alias("at"))
+    equal = nodes.select("h", "fp").join(same, "fp").filter("h <> at").select(F.col("h").alias("u"), F.col("at").alias("v"))
+    near = links(same).join(same.select(F.col("fp").alias("u"), F.col("at").alias("a")), "u").join(same.select(F.col("fp").alias("v"), F.col("at").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    keyed = nodes.select(F.explode("bands").alias("key"), "h").repartition("key").sortWithinPartitions("key", "h")
+    return keyed.mapInArrow(_to_least, "u long, v long").unionAll(equal).unionAll(near)
+
+
+def _against_first(asked: DataFrame, named: DataFrame, n: int, thousandths: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes (root, h, least) of large groups that are near copies of their group's first, and the firsts."""
+    sizes = asked.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("least", "h")).alias("first")).filter(F.col("n") > LARGE)
+    firsts = cut(sizes.select("root", F.ceil(F.col("n") / LARGE).cast("int").alias("parts"), F.col("first.h").alias("first"), F.col("first.least").alias("first_id")))
+    members = asked.join(firsts, "root").filter("h <> first").select("root", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("salt"), F.lit(True).alias("member"), "h", "least")
+    heads = firsts.select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("first").alias("h"), F.col("first_id").alias("least"))
+    texts = named.join(members.unionAll(heads), F.col("doc_id") == F.col("least")).select("root", "salt", "member", "h", "text")
+    dealt = texts.repartition("root", "salt").sortWithinPartitions("root", "salt", "member", "h")
+    gone = cut(dealt.mapInArrow(functools.partial(_like_first, n=n, thousandths=thousandths), "h long").distinct())
+    return gone, firsts.select(F.col("first").alias("h"))
+
+
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without near copies of documents with a lesser id that are kept."""
     thousandths = round(1000 * similarity)
     named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("h", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("h", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     rows = cut(named.mapInArrow(functools.partial(_nodes, n=shingle), schema))
-    nodes = cut(rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
-    keyed = nodes.select(F.explode("bands").alias("key"), "h").repartition("key").sortWithinPartitions("key", "h")
-    roots = components(keyed.mapInArrow(_to_least, "u long, v long"))
+    # Texts of one set have one fingerprint unless they repeat shingles differently; any of them will do.
+    nodes = cut(rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.min("fp").alias("fp")))
+    roots = components(candidates(nodes))
     members = roots.select(F.col("node").alias("h"), "root").unionAll(roots.select(F.col("root").alias("h"), "root").distinct())
-    asked = members.join(nodes.select("h", "least"), "h")
+    asked = cut(members.join(nodes.select("h", "least"), "h").select("root", "h", "least"))
+    gone = None
+    for _ in range(ROUNDS):
+        if asked.groupBy("root").count().filter(F.col("count") > LARGE).isEmpty():
+            break
+        like, firsts = _against_first(asked, named, shingle, thousandths)
+        gone = like if gone is None else gone.unionAll(like)
+        asked = cut(asked.join(like.unionAll(firsts), "h", "left_anti"))
     texts = named.join(asked, F.col("doc_id") == F.col("least")).select("root", "h", "text", "least")
     copies = texts.repartition("root").sortWithinPartitions("root", "least", "h").select("root", "h", "text")
-    gone = copies.mapInArrow(functools.partial(_copies, n=shingle, thousandths=thousandths), "h long").select(F.col("h").alias("__rl_gone"))
+    last = copies.mapInArrow(functools.partial(_copies, n=shingle, thousandths=thousandths), "h long")
+    gone = (last if gone is None else last.unionAll(gone)).select(F.col("h").alias("__rl_gone"))
     found = rows.select("doc_id", "h").join(nodes.select("h", "least"), "h").join(gone, F.col("h") == F.col("__rl_gone"), "left")
     return keep_firsts(docs, cut(found.select("doc_id", ((F.col("doc_id") == F.col("least")) & F.col("__rl_gone").isNull()).alias("first"))), id_col)
