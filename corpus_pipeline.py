@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but
 the last return the columns of ``docs``. Between stages the rows are written as Parquet to the
-folder that the cluster shares and read again, so a lost executor costs a stage at most.
+folder that the cluster shares and read again, so a lost executor costs a stage at most. With a folder
+of its own (``work``) a run that failed is taken up after the last stage that it finished.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlark.llm.common import delete_path, shared_path, table
+from roadlark.llm.common import delete_path, path_exists, shared_path, table
 from roadlark.llm.decontaminate import decontaminate
 from roadlark.llm.mixing import temperature_mix
 from roadlark.llm.near_copies import keep_distinct
@@ -34,8 +35,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the passes that their source's weight gives them, each once at least."""
-    return temperature_mix(docs).select(*docs.columns)
+    """The documents in the passes that their source's weight gives them, each once at least, in the order
+    of the permuted blocks of all sources and passes."""
+    mixed = temperature_mix(docs).withColumn("__place", F.xxhash64("epoch", "position"))
+    return mixed.repartitionByRange("__place").sortWithinPartitions("__place").select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,15 +53,17 @@ STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination",
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
+    """All stages over ``documents``. What a stage has written goes when the next one is done, unless the folder is named."""
     docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = shared_path(spark, f"stage-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-            if last:
-                delete_path(spark, last)
-            last = path
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        path = f"{work.rstrip('/')}/{k}-{name}" if work else shared_path(spark, f"stage-{name}")
+        if not path_exists(spark, f"{path}/_SUCCESS"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        if last and not work:
+            delete_path(spark, last)
+        last = path
     return docs
