@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from roadlark.llm import decontaminate as D
-from roadlark.llm import mixing, sharding, simhash, warc
+from roadlark.llm import mixing, near_copies, quality_rules, sharding, simhash, warc
 from roadlark.llm.components import components
 from roadlark.llm.sql import SQL
 
@@ -217,7 +217,20 @@ def brute_set(t):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
 
 
-def test_pipeline_keeps_no_near_copies(spark, docs, texts):
+def brute_kept(rows):
+    """Ids that stay: in their order, those that are no near copy of one that stays."""
+    kept = {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        x = brute_set(t)
+        if i not in kept and not any(5 * len(x & y) >= 4 * len(x | y) for y in kept.values()):
+            kept[i] = x
+    return set(kept)
+
+
+@pytest.mark.parametrize("large,rounds", [(128, 3), (3, 3), (3, 1), (3, 0)])
+def test_pipeline_keeps_no_near_copies(spark, docs, texts, large, rounds, monkeypatch):
+    monkeypatch.setattr(near_copies, "LARGE", large)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
     rng = random.Random(11)
     rows = []
     for _ in range(40):
@@ -230,12 +243,7 @@ def test_pipeline_keeps_no_near_copies(spark, docs, texts):
     rng.shuffle(rows)
     rows = list(enumerate(rows, 1000)) + [(i, t) for i, t in texts if i is not None]
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), None).collect()}
-    kept = {}
-    for i, t in sorted(rows, key=lambda r: r[0]):
-        x = brute_set(t)
-        if i not in kept and not any(5 * len(x & y) >= 4 * len(x | y) for y in kept.values()):
-            kept[i] = x
-    assert got == set(kept)
+    assert got == brute_kept(rows)
     assert corpus_pipeline.near_dedup(spark, docs, None).filter("doc_id is null").count() == 1
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), None).count() == 0
 
@@ -343,26 +351,64 @@ def test_two_writers_at_once(spark, docs, tmp_path):
 
 
 def test_pipeline_stages_against_brute_force(spark, docs, texts, tmp_path):
-    """Stages by their own rules on awkward rows, with a benchmark made of one document's words."""
+    """Each stage's rows by its own rule, on the rows that brute force says the one before keeps."""
+    from .test_scoring import brute_quality
+
     text = next(t for i, t in texts if i == 5)
     (tmp_path / "sf").mkdir()
     spark.createDataFrame([(1, " ".join(text.split()[:20]))], "item_id long, text string").write.parquet(str(tmp_path / "sf/benchmark.parquet"))
     docs.write.parquet(str(tmp_path / "sf/documents.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path / "sf"))
-    assert out.columns == docs.columns
-    ids = {r.doc_id for r in out.collect()}
-    from .test_scoring import brute_quality
+    sf, work = str(tmp_path / "sf"), str(tmp_path / "work")
+    out = corpus_pipeline.run(spark, sf, work).collect()
+    stage = lambda k, name: spark.read.parquet(f"{work}/{k}-{name}").collect()
+    rows = lambda k, name: Counter((r.doc_id, r.text) for r in stage(k, name))
+
+    # The verdict of divergence has its own tests; here it only takes what the base rules leave.
+    verdicts = {(r.doc_id, r.text): r.kept for r in quality_rules.quality_rules(docs).collect()}
+    fine = lambda t: (lambda n, rep: n >= 50 and 100 * rep <= 50 * n)(*brute_quality(t)[::4])
+    assert all(not kept or fine(t) for (_, t), kept in verdicts.items()) and sum(verdicts.values()) > 25
+    want = Counter((i, t) for i, t in texts if verdicts[i, t])
+    assert rows(0, "quality") == want
+
+    kept = brute_kept([r for r in want if r[0] is not None])
+    want = Counter({r: n if r[0] is None else 1 for r, n in want.items() if r[0] is None or r[0] in kept})
+    assert rows(1, "near_dedup") == want and len(want) < len(texts)
+
+    clean = {i for i, _, _, n_hit, _, _ in brute_hits(list(want), [(1, " ".join(text.split()[:20]))]) if not n_hit}
+    want = Counter({r: n for r, n in want.items() if r[0] in clean})
+    assert rows(2, "decontamination") == want and (5, text) not in want
+
+    passes = Counter((r.doc_id, r.text) for r in mixing.temperature_mix(spark.read.parquet(f"{work}/2-decontamination")).collect())
+    assert set(passes) == set(want) and all(passes[r] >= n for r, n in want.items())
+    assert rows(3, "mixing") == passes
+    assert Counter((r.doc_id, r.text) for r in out) == passes and set(out[0].asDict()) == set(docs.columns)
+    assert len(corpus_pipeline.STAGES) == 5
 
-    def passes(t):
-        n, _, _, _, rep = brute_quality(t)
-        return n >= 50 and 100 * rep <= 50 * n
 
-    first = [(i, t) for i, t in texts if passes(t)]
-    assert ids <= {i for i, _ in first} and 5 not in ids
-    named = [(i, t) for i, t in first if i is not None]
-    one = {i for i, c in zip((i for i, _ in named), brute_components([i for i, _ in named], [brute_fingerprint(t) for _, t in named])) if i == c}
-    assert {i for i in ids if i is not None} <= one
-    assert len(corpus_pipeline.STAGES) == 5
+def test_pipeline_is_taken_up_again(spark, docs, none, tmp_path, monkeypatch):
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame([(1, "no such words anywhere")], "item_id long, text string").write.parquet(str(tmp_path / "sf/benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "sf/documents.parquet"))
+    sf, work, ran = str(tmp_path / "sf"), str(tmp_path / "work"), []
+
+    def broken(spark, docs, sf_dir):
+        raise RuntimeError("lost")
+
+    stages = [(n, lambda s, d, p, n=n, f=f: (ran.append(n), f(s, d, p))[1]) for n, f in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*stages[:2], ("decontamination", broken), *stages[3:]])
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, sf, work)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    again = corpus_pipeline.run(spark, sf, work)
+    assert ran == ["quality", "near_dedup", "decontamination", "mixing", "sharding"]
+    monkeypatch.undo()
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, corpus_pipeline.run(spark, sf).collect()))
+
+    (tmp_path / "none").mkdir()
+    none.write.parquet(str(tmp_path / "none/documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none/benchmark.parquet"))
+    empty = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert empty.columns == docs.columns and empty.count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
