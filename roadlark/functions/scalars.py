@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 EARTH_M = 6_371_000.0
 #: Day parts as (name, first hour, hour after the last); three definitions are in use.
 BANDS = {
-    "official": [("morning", 6, 9), ("day", 9, 18), ("evening", 18, 21)],
+    "official": [("morning", 6, 9), ("day", 9, 18), ("dusk", 18, 21)],
     "research": [("am_peak", 7, 9), ("day", 9, 17)],
     "wide": [("am_peak", 7, 10)],
 }

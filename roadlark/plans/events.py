@@ -190,7 +190,7 @@ def night_degradation(spark, sf_dir):
 SELECT event_id, CASE WHEN value < 0 OR value > 200 THEN NULL ELSE round(value,6) END speed, CASE WHEN value IS NULL THEN 'missing' WHEN value < 0 OR value > 200 THEN 'invalid' WHEN value >= 160 THEN 'high' ELSE 'ok' END speed_flag,
  CASE WHEN event_id % 97 = 0 THEN NULL ELSE round(30 + (event_id % 1000)/1000.0::DOUBLE,6) END lat, CASE WHEN event_id % 97 = 0 THEN 'zero' ELSE 'ok' END coord_flag,
  CASE WHEN ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-21' THEN 'kept' ELSE 'quarantined' END fate,
- CASE WHEN hour(ts) >= 21 OR hour(ts) < 6 THEN 'night' WHEN hour(ts) < 9 THEN 'morning' WHEN hour(ts) < 18 THEN 'day' ELSE 'evening' END band, json_extract_string(props, '$.k')::BIGINT k
+ CASE WHEN hour(ts) >= 21 OR hour(ts) < 6 THEN 'night' WHEN hour(ts) < 9 THEN 'morning' WHEN hour(ts) < 18 THEN 'day' ELSE 'dusk' END band, json_extract_string(props, '$.k')::BIGINT k
 FROM events""")
 def clean_flags(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
