@@ -80,3 +80,27 @@ def diminishing(points: str, factor: float = 0.25) -> Column:
     """The largest of a group and ``factor`` times the mean of the rest."""
     rest = ratio(F.sum(points) - F.max(points), F.count(points) - 1)
     return F.max(points) + factor * F.coalesce(rest, F.lit(0.0))
+
+
+def cohort_relative(df: DataFrame, cohort: str, x: str, train: str, least: int = 30, eps: float = 1e-9) -> DataFrame:
+    """``df`` with ``z`` and ``pct`` (share of training values at most x) within the cohort, and ``fallback``.
+
+    Statistics are those of rows with ``train``; a cohort with fewer than ``least`` of them takes those of all. ``z`` is null
+    where the deviation is 0, both where x is missing. Shares come from counts by value, so ties meet once.
+    """
+    from .windows import running
+
+    fit = F.when(F.col(train), F.col(x).cast("double"))
+    counts = df.filter(F.col(x).isNotNull()).groupBy(cohort, F.col(x).cast("double").alias("__x")).agg(F.sum(F.col(train).cast("long")).alias("__k"))
+    by = Window.partitionBy(cohort)
+    own = counts.withColumns({"__own": F.sum("__k").over(by.orderBy("__x")), "__n_own": F.sum("__k").over(by)}).drop("__k")
+    fleet = running(counts.groupBy("__x").agg(F.sum("__k").alias("__k")), ["__x"], {"__below": "__k"}).select("__x", (F.col("__below") + F.col("__k")).alias("__all"))
+    stats = lambda by: [F.avg(fit).alias(f"__m{by}"), F.stddev_pop(fit).alias(f"__d{by}"), F.count(fit).alias(f"__n{by}")]
+    size = F.count_if(F.col(train)).alias("__size")
+    out = df.join(df.groupBy(F.col(cohort).alias("__c")).agg(size, *stats("c")), F.col(cohort).eqNullSafe(F.col("__c"))).join(F.broadcast(df.agg(*stats("a"))))  # one row
+    out = out.withColumn("fallback", (F.col("__size") < least).cast("int")).withColumn("__x", F.col(x).cast("double"))
+    own = own.select(F.col(cohort).alias("__c2"), F.col("__x").alias("__x2"), "__own")
+    out = out.join(own, F.col(cohort).eqNullSafe(F.col("__c2")) & (F.col("__x") == F.col("__x2")), "left").join(fleet.withColumnRenamed("__x", "__x3"), F.col("__x") == F.col("__x3"), "left")
+    pick = lambda a, b: F.when(F.col("fallback") == 1, F.col(b)).otherwise(F.col(a))
+    z = F.when(pick("__dc", "__da") > eps, (F.col("__x") - pick("__mc", "__ma")) / pick("__dc", "__da"))
+    return out.select(*df.columns, z.alias("z"), ratio(pick("__own", "__all"), pick("__nc", "__na")).alias("pct"), "fallback")

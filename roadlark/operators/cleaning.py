@@ -103,9 +103,12 @@ def without_equal(df: DataFrame, names: list[str], atol: float = 1e-12) -> list[
 
 def prune_correlated(df: DataFrame, names: list[str], limit: float = 0.95, ranks: bool = True) -> list[str]:
     """Keep a column if it correlates by at most ``limit`` with all kept before it (Spearman, or Pearson)."""
-    from .windows import average_rank
+    from .windows import with_average_rank
 
-    src = df.select(*((average_rank(c) if ranks else F.col(c)).cast("double").alias(c) for c in names))
+    src = df.select(*names)
+    if ranks:
+        src = with_average_rank(src, {f"__r_{c}": c for c in names}).select(*(F.col(f"__r_{c}").alias(c) for c in names))
+    src = src.select(*(F.col(c).cast("double").alias(c) for c in names))
     pairs = [(a, b) for i, b in enumerate(names) for a in names[:i]]
     row = src.agg(*(F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs))).first() if pairs else {}
     kept: list[str] = []

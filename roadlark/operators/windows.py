@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +69,51 @@ def ewma(values: Column, decay: float) -> Column:
 def half(row_number: Column, count: Column) -> Column:
     """'early' for the first n // 2 rows, else 'late'."""
     return F.when(row_number <= F.floor(count / 2), "early").otherwise("late")
+
+
+# ---- order over a whole table, without a window that one task would have to read
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """``df`` with, for each (name, column) of ``sums``, the sum of the column over all rows before in ``order``.
+
+    Rows are dealt by range and summed within their range; what the ranges before hold is one row for each range.
+    ``order`` should tell all rows apart, as that of counts by value does.
+    """
+    from ..sources.shared import checkpoint
+
+    by = [F.desc(c) if descending else F.asc(c) for c in order]
+    src = checkpoint(df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()))
+    here = Window.partitionBy("__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = src.groupBy("__part").agg(*(F.sum(c).alias(f"__t_{name}") for name, c in sums.items()))
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range: as many as partitions
+    starts = totals.select("__part", *(F.coalesce(F.sum(f"__t_{name}").over(upto), F.lit(0)).alias(f"__s_{name}") for name in sums))
+    out = src.withColumns({name: F.coalesce(F.sum(c).over(here), F.lit(0)) for name, c in sums.items()}).join(F.broadcast(starts), "__part")
+    return out.withColumns({name: F.col(name) + F.col(f"__s_{name}") for name in sums}).drop("__part", *(f"__s_{name}" for name in sums))
+
+
+def with_average_rank(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
+    """``df`` with, for each (name, column), the column's rank over the whole table, ties at their mean rank; null last."""
+    for name, c in ranks.items():
+        counts = running(df.groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("__n")).withColumn("__null", F.col("__v").isNull()), ["__null", "__v"], {"__before": "__n"})
+        rank = counts.select("__v", (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
+        df = df.join(rank, F.col(c).eqNullSafe(F.col("__v")), "left").drop("__v")
+    return df
+
+
+def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """``df`` with its row number, from 0, over the whole table in an order that tells all rows apart."""
+    return running(df.withColumn("__one", F.lit(1)), order, {name: "__one"}).drop("__one")
+
+
+def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles over a whole table, from counts by value: no task holds all values."""
+    counts = running(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n")), ["__v"], {"__before": "__n"})
+    n = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    at = lambda k: F.max(F.when((F.col("__before") <= k) & (F.col("__before") + F.col("__n") > k), F.col("__v")))
+    out = []
+    for name, q in quantiles.items():
+        k = (n - 1) * q
+        low, high = at(math.floor(k)), at(math.ceil(k))
+        out.append((low + (high - low) * (k - math.floor(k))).alias(name))
+    return counts.agg(*out)

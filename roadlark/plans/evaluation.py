@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, ratio
 from ..operators import cleaning, evaluation, models
-from ..operators.windows import average_rank
+from ..operators.windows import with_average_rank
 from .registry import big, query, r6, table
 
 _D = """WITH d AS (SELECT doc_id, lang, source, least(n_chars/8000.0::DOUBLE,1) p, least(length(source)*0.1::DOUBLE + n_chars/20000.0::DOUBLE,1) p2, quality y, toxic t FROM documents JOIN labels USING (doc_id))
@@ -136,13 +136,14 @@ def feature_prune(spark, sf_dir):
 
 @query()
 def bootstrap_auc(spark, sf_dir):
-    return evaluation.paired_bootstrap_auc(scored(spark, sf_dir), "p", "p2", "y", "doc_id")
+    """AUC and top-share recall of two scores, resampled in pairs."""
+    return evaluation.paired_bootstrap(scored(spark, sf_dir), "p", "p2", "y", "doc_id")
 
 
 @query()
 def kmeans_profile(spark, sf_dir):
     e = models.to_vector(table(spark, sf_dir, "embeddings"), "embedding")
-    out, k, _ = models.kmeans_by_silhouette(e.select("vec_id", "label", "features"), range(2, 6))
+    out, k, _ = models.kmeans_by_silhouette(e.select("vec_id", "label", "features"), range(2, 9))
     return out.groupBy("cluster").agg(F.lit(k).alias("k"), F.count("*").alias("n"), r6(F.avg("label")).alias("mean_label"), F.min("vec_id").alias("first_id"))
 
 
@@ -163,5 +164,5 @@ def logit_fusion(spark, sf_dir):
 @query(_D + """, q AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p)-1)/2.0::DOUBLE ra, rank() OVER (ORDER BY p2) + (count(*) OVER (PARTITION BY p2)-1)/2.0::DOUBLE rb FROM d)
 SELECT doc_id, ra, rb, abs(ra-rb) apart FROM q ORDER BY apart DESC, doc_id LIMIT 20""")
 def rank_disagreements(spark, sf_dir):
-    q = scored(spark, sf_dir).select("doc_id", average_rank("p").alias("ra"), average_rank("p2").alias("rb"))
+    q = with_average_rank(scored(spark, sf_dir).select("doc_id", "p", "p2"), {"ra": "p", "rb": "p2"}).select("doc_id", "ra", "rb")
     return q.withColumn("apart", F.abs(F.col("ra") - F.col("rb"))).orderBy(F.desc("apart"), "doc_id").limit(20)
