@@ -31,15 +31,15 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, left_s: str, ri
     """Each left row with the right row of its key nearest in time, within ``within_s`` seconds.
 
     Times meet by cell: each left row looks into its own cell and both neighbours, so the join is on
-    equality whatever the length of a key's history.
+    equality whatever the length of a key's history. Equal left rows meet once and stay as many as they were.
     """
-    row = F.struct(*map(F.col, left.columns))
-    src = left.withColumn("__row", F.xxhash64(row)).withColumn("__cell", F.explode(F.array(*(F.floor(F.col(left_s) / within_s) + d for d in (-1, 0, 1)))))
+    rows = left.groupBy(*left.columns).agg(F.count("*").alias("__times"))
+    src = rows.withColumn("__cell", F.explode(F.array(*(F.floor(F.col(left_s) / within_s) + d for d in (-1, 0, 1)))))
     other = right.select(F.col(key).alias("__key"), F.floor(F.col(right_s) / within_s).alias("__rcell"), F.col(right_s).alias("__at"), *(F.col(c).alias(f"__v_{c}") for c in dict.fromkeys([*values, *tie])))
     apart = F.abs(F.col(left_s) - F.col("__at"))
     met = src.join(other, (F.col(key) == F.col("__key")) & (F.col("__cell") == F.col("__rcell")) & (apart <= within_s), "left")
     best = F.min_by(F.when(F.col("__at").isNotNull(), F.struct(F.col("__at").alias("at"), *(F.col(f"__v_{c}").alias(c) for c in values))), F.struct(F.col("__at").isNull(), apart, "__at", *(F.col(f"__v_{c}") for c in tie)))
-    out = met.groupBy(*left.columns).agg(best.alias("__best"))
+    out = met.groupBy(*left.columns, "__times").agg(best.alias("__best")).withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
     return out.select(*left.columns, F.col("__best.at").alias("nearest_s"), *(F.col(f"__best.{c}").alias(c) for c in values))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import haversine, night_seconds
+from ..functions.scalars import EARTH_M, haversine, night_seconds
 from .windows import islands
 
 JUMP_M_PER_S, NEAR_M = 70.0, 50.0
@@ -63,25 +65,40 @@ def centroid_shift(df: DataFrame, key: str, lat: str, lon: str, night: Column) -
     return g.select(key, haversine(*map(F.col, "abcd")).alias("shift_m"))
 
 
-def _cell(lat: Column, lon: Column, metres: float) -> tuple[Column, Column]:
-    """Grid cells at least ``metres`` high and, below 60 degrees, wide."""
+def _row_cells(row: Column, metres: float) -> Column:
+    """How many cells a grid row (a band of latitudes) has around the globe, each at least ``metres`` wide for
+    points of this row and of those beside it; 1 near the poles."""
     size = metres / 111_000.0
-    return F.floor(lat / size).cast("long"), F.floor(lon / (2 * size)).cast("long")
+    edge = F.least(F.greatest(F.abs((row - 1) * size), F.abs((row + 2) * size)), F.lit(90.0))
+    # Points d apart at latitudes a, b differ in longitude by at most 2 asin(sin(d / 2R) / sqrt(cos a cos b)).
+    x = math.sin(metres / (2 * EARTH_M)) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
+    return F.when(x >= 1, 1).otherwise(F.greatest(F.floor(360.0 / F.degrees(2 * F.asin(F.least(x, F.lit(1.0)))) * (1 - 1e-9)), F.lit(1))).cast("long")
+
+
+def _column(lon: Column, cells: Column) -> Column:
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * cells), cells).cast("long")
 
 
 def hotspots(df: DataFrame, key: str, id_col: str, lat: str, lon: str, metres: float = 200.0) -> DataFrame:
     """Density clusters with min_samples 2, which are the connected parts of the graph of points within
     ``metres``: (key, id, cluster), the cluster by its least id; lone points are noise and left out.
 
-    Neighbours meet by grid cell. Components come from repeated passing of the least label over
-    the links, cut by a checkpoint each round, with pointer jumping.
+    Points of a key at one place are one node. Neighbours meet by grid cell, whose width follows the latitude and
+    which wraps at 180 degrees. Components come from repeated passing of the least label over the links, cut
+    by a checkpoint each round, with pointer jumping.
     """
-    a, b = _cell(F.col(lat), F.col(lon), metres)
-    pts = df.select(F.col(key).alias("pk"), F.col(id_col).alias("id"), F.col(lat).alias("la"), F.col(lon).alias("lo"), a.alias("ci"), b.alias("cj"))
-    near = F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    probe = pts.withColumn("d", F.explode(near)).select(F.col("pk").alias("k"), F.col("id").alias("u"), F.col("la").alias("ua"), F.col("lo").alias("uo"), (F.col("ci") + F.col("d.di")).alias("ui"), (F.col("cj") + F.col("d.dj")).alias("uj"))
+    raw = df.select(F.col(key).alias("pk"), F.col(id_col).alias("pid"), F.col(lat).cast("double").alias("la"), F.col(lon).cast("double").alias("lo"))
+    place = raw.groupBy("pk", "la", "lo").agg(F.min("pid").alias("id"), F.count("*").alias("times"))
+    size = metres / 111_000.0
+    pts = place.withColumn("ci", F.floor(F.col("la") / size).cast("long")).withColumn("cj", _column(F.col("lo"), _row_cells(F.col("ci"), metres)))
+    rows = pts.withColumn("ui", F.explode(F.array(*(F.col("ci") + i for i in (-1, 0, 1)))))
+    width = _row_cells(F.col("ui"), metres)
+    near = F.array_distinct(F.array(*(F.pmod(_column(F.col("lo"), width) + j, width) for j in (-1, 0, 1))))
+    probe = rows.withColumn("uj", F.explode(near)).select(F.col("pk").alias("k"), F.col("id").alias("u"), F.col("la").alias("ua"), F.col("lo").alias("uo"), "ui", "uj")
     met = probe.join(pts, (F.col("k") == F.col("pk")) & (F.col("ui") == F.col("ci")) & (F.col("uj") == F.col("cj")) & (F.col("u") != F.col("id")))
     edges = met.filter(haversine(F.col("ua"), F.col("uo"), F.col("la"), F.col("lo")) <= metres).select("k", "u", F.col("id").alias("v")).distinct()
+    # A place with several points is a cluster even if nothing is near it.
+    edges = edges.unionByName(place.filter("times > 1").select(F.col("pk").alias("k"), F.col("id").alias("u"), F.col("id").alias("v")))
     edges = _checkpoint(edges)
     labels = _checkpoint(edges.groupBy("k", "u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
     while True:
@@ -93,7 +110,8 @@ def hotspots(df: DataFrame, key: str, id_col: str, lat: str, lon: str, metres: f
         done = nxt.filter("label <> new").isEmpty()
         labels = nxt.select("k", "u", F.col("new").alias("label"))
         if done:
-            return labels.select(F.col("k").alias(key), F.col("u").alias(id_col), F.col("label").alias("cluster"))
+            ids = raw.join(place, ["pk", "la", "lo"]).select("pk", "pid", "id")
+            return ids.join(labels, (F.col("pk") == F.col("k")) & (F.col("id") == F.col("u"))).select(F.col("pk").alias(key), F.col("pid").alias(id_col), F.col("label").alias("cluster"))
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
