@@ -63,10 +63,8 @@ def resolve_review(status: Column, age_days: Column, deadline: int = 3) -> Colum
 
 
 def hysteresis(values: Column, enter: float, leave: float) -> Column:
-    """State after each value of an array: 'in' at first, out under ``enter``, in again over ``leave``."""
-    step = lambda s, x: F.when((s == 1) & (x < enter), 0).when((s == 0) & (x > leave), 1).otherwise(s)
-    grow = lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x)))
-    return F.slice(F.aggregate(values, F.array(F.lit(1)), grow), 2, 1_000_000_000)
+    """State after an array of values: 1 at first, 0 under ``enter``, 1 again over ``leave``."""
+    return F.aggregate(values, F.lit(1), lambda s, x: F.when((s == 1) & (x < enter), 0).when((s == 0) & (x > leave), 1).otherwise(s))
 
 
 def replay(days: DataFrame, key: str, day: str, points: str, exposure: str, half_life: float = 7.0, prior: float = 80.0, k: float = 5.0, recovery: float = 2.0) -> DataFrame:

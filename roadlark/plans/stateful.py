@@ -22,7 +22,7 @@ def hysteresis_door(spark, sf_dir):
 
     x = F.percent_rank().over(Window.partitionBy("day").orderBy("n"))
     g = panel(spark, sf_dir).select("user_id", "d", x.alias("x")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("days"))
-    return g.select("user_id", F.element_at(rules.hysteresis(F.transform("days", lambda s: s.x), 0.2, 0.8), -1).alias("final"))
+    return g.select("user_id", rules.hysteresis(F.transform("days", lambda s: s.x), 0.2, 0.8).alias("final"))
 
 
 @query()
@@ -115,14 +115,14 @@ def lookup_join(spark, sf_dir):
 
 @query("SELECT ts::DATE AS day, event_type, count(*) n, round(sum(value),4) \"value\" FROM events GROUP BY 1,2")
 def stream_daily_counts(spark, sf_dir):
-    return streams.run(streams.daily_counts(streams.event_stream(spark, sf_dir)), "complete").withColumn("value", F.round("value", 4))
+    return streams.run(streams.daily_counts(streams.event_stream(spark, sf_dir)), "update", ["day", "event_type"]).withColumn("value", F.round("value", 4))
 
 
 @query("""
 WITH d AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-25', INTERVAL 1 DAY))::DATE AS as_of)
 SELECT as_of, event_type, count(*) n FROM d JOIN events ON ts < as_of AND ts >= as_of - INTERVAL 20 DAY GROUP BY 1,2""")
 def stream_sliding_counts(spark, sf_dir):
-    return streams.run(streams.sliding_counts(streams.event_stream(spark, sf_dir)), "complete")
+    return streams.run(streams.sliding_counts(streams.event_stream(spark, sf_dir)), "update", ["as_of", "event_type"])
 
 
 @query("""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,9 +77,32 @@ def manifest(df: DataFrame, key: str, label: str | None = None) -> str:
 
 
 def fingerprint(df: DataFrame, by: str, id_col: str) -> DataFrame:
-    """SHA-256 of each group's sorted ids, comma-joined."""
-    ids = F.transform(F.array_sort(F.collect_list(F.col(id_col))), lambda x: x.cast("string"))
-    return df.groupBy(by).agg(F.count("*").alias("n"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("sha256"))
+    """SHA-256 of each group's sorted ids, comma-joined: a sorted partition is hashed as it comes, no group is gathered."""
+    kind = df.schema[by].dataType
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, digest = None, 0, None
+
+        def done(values: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v[0] for v in values], batch.schema.field(0).type), pa.array([v[1] for v in values], pa.int64()), pa.array([v[2] for v in values], pa.string())], names=[by, "n", "sha256"])
+
+        for batch in batches:
+            out = []
+            for group, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                if digest is None or group != now:
+                    if digest is not None:
+                        out.append((now, n, digest.hexdigest()))
+                    now, n, digest, first = group, 0, hashlib.sha256(), True
+                n += 1
+                if text is not None:
+                    digest.update((text if first else f",{text}").encode())
+                    first = False
+            yield done(out)
+        if digest is not None:
+            yield done([(now, n, digest.hexdigest())])
+
+    dealt = df.select(by, id_col).repartition(by).sortWithinPartitions(by, id_col).select(by, F.col(id_col).cast("string").alias("__id"))
+    return dealt.mapInArrow(scan, T.StructType([T.StructField(by, kind), T.StructField("n", T.LongType()), T.StructField("sha256", T.StringType())]))
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,8 @@ def folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("name a folder that the driver and the executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="roadlark-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.shared import path as shared_path
@@ -60,8 +61,70 @@ def scores(s: DataFrame, decay: float = 0.9, prior: float = 80.0, k: float = 10.
     return s.groupBy("user_id").applyInPandasWithState(update, "user_id long, events long, score double", "risk double, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run(out: DataFrame, mode: str) -> DataFrame:
-    """Process all available input; the table that results. 'complete' keeps the last state, others every row."""
+def evidence(s: DataFrame, deadline_days: int = 3) -> DataFrame:
+    """Review states as they come, (event_id, ts, status) rows -> (event_id, resolved, included) when evidence is decided.
+
+    'valid' and 'exempt' decide at once; pending evidence is held until the watermark is ``deadline_days`` past its
+    time and then counts. A decision after the deadline is too late and changes nothing.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, over = state.get if state.exists else (0, False)
+
+        def decided(status: str, included: bool) -> pd.DataFrame:
+            state.update((at, True))
+            return pd.DataFrame({"event_id": [key[0]], "resolved": [status], "included": [included]})
+
+        if state.hasTimedOut:
+            if not over:
+                yield pd.DataFrame({"event_id": [key[0]], "resolved": ["auto_valid_after_deadline"], "included": [True]})
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("ts")
+        at = at or int(rows["ts"].iloc[0].timestamp() * 1000) + deadline_days * 86_400_000
+        passed, final = at <= state.getCurrentWatermarkMs(), rows[rows["status"].isin(["valid", "exempt"])]
+        held = state.exists  # pending evidence whose deadline passes before this batch has counted already
+        if not over and len(final) and not (held and passed):
+            yield decided(final["status"].iloc[0], final["status"].iloc[0] == "valid")
+        elif not over and passed:
+            yield decided("auto_valid_after_deadline", True)
+        else:
+            state.update((at, over))
+        if not passed:
+            state.setTimeoutTimestamp(at)
+
+    w = s.withWatermark("ts", "1 hour").select("event_id", "ts", "status").groupBy("event_id")
+    return w.applyInPandasWithState(update, "event_id long, resolved string, included boolean", "at long, over boolean", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def doors(s: DataFrame, leave: float = 0.45, again: float = 0.55, gate: float = 0.6, start: float = 0.5) -> DataFrame:
+    """Hysteresis state by user over (user_id, ts, x, teacher) rows: (user_id, state) after each batch.
+
+    'in' at first where the teacher is over ``gate`` and x at least ``start``, else 'off' for good; 'out' under ``leave``,
+    'in' again over ``again`` under an open gate. Rows that come after a later one of their user are not counted.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, last = state.get if state.exists else (None, -1)
+        for at, x, teacher in pd.concat(list(batches)).sort_values("ts")[["ts", "x", "teacher"]].itertuples(index=False, name=None):
+            if (at := int(at.timestamp() * 1000)) < last:
+                continue
+            last = at
+            if now is None:
+                now = "in" if teacher > gate and x >= start else "off"
+            elif now == "in" and x < leave:
+                now = "out"
+            elif now == "out" and x > again and teacher > gate:
+                now = "in"
+        state.update((now, last))
+        yield pd.DataFrame({"user_id": [key[0]], "state": [now]})
+
+    return s.select("user_id", "ts", "x", "teacher").groupBy("user_id").applyInPandasWithState(update, "user_id long, state string", "now string, last long", "update", GroupStateTimeout.NoTimeout)
+
+
+def run(out: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Process all available input; the table that results: of 'complete' the last state, of others every row, or with
+    ``keys`` each key's last one. Only 'complete' keeps all state for ever; 'update' and 'append' drop what the watermark passes."""
     spark = out.sparkSession
     result, state = shared_path(spark, "stream"), shared_path(spark, "stream-state")
 
@@ -70,5 +133,8 @@ def run(out: DataFrame, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(folder)
 
     out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.schema(out.schema).parquet(result)
+    found = spark.read.schema(out.schema if mode == "complete" else T.StructType([*out.schema.fields, T.StructField("batch", T.LongType())])).parquet(result)
+    if keys:
+        rest = [c for c in out.columns if c not in keys]
+        return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last")).select(*keys, *(F.col(f"__last.{c}").alias(c) for c in rest)).select(*out.columns)
     return found.select(*out.columns)
