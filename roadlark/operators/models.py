@@ -6,10 +6,11 @@ trees stand in for them. Monotone constraints on trees are not supported there.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -45,15 +46,15 @@ ESTIMATORS = {
 }
 
 
-def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds: list[int], kind: str = "logistic", seed: int = 42) -> DataFrame:
-    """Each row with ``p`` from a model that has not seen its fold; scaling is fitted on training rows too."""
+def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds: list[int], kind: str | Callable = "logistic", seed: int = 42) -> DataFrame:
+    """``kind`` names an estimator or makes one from a seed. Each row with ``p`` from a model that has not seen its fold; scaling is fitted on training rows too."""
     parts = []
     for f in folds:
         train, test = (to_vector(df.filter(c), features, "__raw") for c in (F.col(fold) != f, F.col(fold) == f))
         scaler = StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(train)
-        model = ESTIMATORS[kind](seed).setLabelCol(label).setFeaturesCol("features").fit(scaler.transform(train))
+        model = (ESTIMATORS[kind] if isinstance(kind, str) else kind)(seed).setLabelCol(label).setFeaturesCol("features").fit(scaler.transform(train))
         p = vector_to_array("probability")[1]
-        parts.append(model.transform(scaler.transform(test)).withColumn("p", p).select(*df.columns, "p"))
+        parts.append(model.transform(scaler.transform(test)).withColumn("p", p).select(*(c for c in df.columns if c != "p"), "p"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -88,3 +89,58 @@ def group_calibration(df: DataFrame, p: str, label: str, group: str, n0: float =
     g = df.groupBy(group).agg(F.count("*").alias("__n"), F.avg(label).alias("__y"), F.avg(p).alias("__p"))
     shift = F.col("__n") / (F.col("__n") + n0) * (logit(F.col("__y"), 1e-3) - logit(F.col("__p"), 1e-3))
     return df.join(g.select(group, shift.alias("__s")), group).withColumn("calibrated", sigmoid(logit(F.col(p)) + F.col("__s"))).drop("__s")
+
+
+def cluster_drivers(model: KMeansModel, features: list[str], k: int = 10) -> list[tuple[int, int, str, float]]:
+    """(cluster, rank, feature, centre) of the k features whose standardised centre is largest in size; ties by position."""
+    out = []
+    for c, centre in enumerate(model.clusterCenters()):
+        order = sorted(range(len(centre)), key=lambda i: (-abs(centre[i]), i))[:k]
+        out += [(c, rank, features[i], float(centre[i])) for rank, i in enumerate(order, 1)]
+    return out
+
+
+def full_fit(train: DataFrame, test: DataFrame, features: list[str], label: str, members: dict[str, str], weights: dict[str, float], seeds: tuple[int, ...] = (42, 7, 2024)) -> DataFrame:
+    """``test`` with ``p``: each member (name -> kind) fitted to all of ``train`` for each seed, its probabilities averaged
+    over the seeds and the members fused by weighted logits."""
+    out = test
+    for name, kind in members.items():
+        for seed in seeds:
+            both = [to_vector(df, features, "__raw") for df in (train, out)]
+            scaler = StandardScaler(inputCol="__raw", outputCol="__features", withMean=True).fit(both[0])
+            model = (ESTIMATORS[kind] if isinstance(kind, str) else kind)(seed).setLabelCol(label).setFeaturesCol("__features").setPredictionCol("__hat").setProbabilityCol("__prob").setRawPredictionCol("__score").fit(scaler.transform(both[0]))
+            out = model.transform(scaler.transform(both[1])).withColumn(f"__p_{name}_{seed}", vector_to_array("__prob")[1]).drop("__raw", "__features", "__hat", "__prob", "__score")
+    mean = {name: sum((F.col(f"__p_{name}_{s}") for s in seeds[1:]), F.col(f"__p_{name}_{seeds[0]}")) / len(seeds) for name in members}
+    return out.withColumns({f"__m_{n}": c for n, c in mean.items()}).withColumn("p", logit_fusion({f"__m_{n}": w for n, w in weights.items()})).select(*test.columns, "p")
+
+
+def save_model(model, path: str) -> None:
+    """A fitted model below a path that isn't there yet."""
+    model.write().save(path)
+
+
+def platt(df: DataFrame, p: str, label: str) -> tuple[float, float]:
+    """Slope and intercept of a logistic fit of the label to logit(p)."""
+    src = to_vector(df.select(logit(F.col(p)).alias("__z"), F.col(label).cast("double").alias("label")), ["__z"])
+    m = LogisticRegression(maxIter=100, standardization=False).fit(src)
+    return float(m.coefficients[0]), float(m.intercept)
+
+
+def cross_fit(df: DataFrame, xs: list[str], y: str, fold: str, folds: list[int], penalty: float = 1.0) -> DataFrame:
+    """Each row with ``distilled``, a non-negative ridge of the other folds, for the fidelity to ``y`` out of fold."""
+    from .rules import nonnegative_ridge
+
+    parts = []
+    for f in folds:
+        w = nonnegative_ridge(df.filter(F.col(fold) != f), xs, y, penalty)
+        parts.append(df.filter(F.col(fold) == f).withColumn("distilled", sum((F.lit(a) * F.col(x) for a, x in zip(w, xs)), F.lit(w[-1]))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fidelity(df: DataFrame, a: str, b: str, by: float = 0.2) -> DataFrame:
+    """How well ``a`` stands for ``b``: Pearson, mean distance and the share of rows on the same side of the 1 - ``by`` quantile."""
+    from .windows import exact_quantiles
+
+    cut = exact_quantiles(df, a, {"__ca": 1 - by}).crossJoin(exact_quantiles(df, b, {"__cb": 1 - by}))  # one row each
+    same = ((F.col(a) >= F.col("__ca")) == (F.col(b) >= F.col("__cb"))).cast("double")
+    return df.join(F.broadcast(cut)).agg(F.corr(a, b).alias("pearson"), F.avg(F.abs(F.col(a) - F.col(b))).alias("distance"), F.avg(same).alias("same_side"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, evaluation, events, panels, sensors, stateful  # noqa: F401
+from . import audits, dynamics, evaluation, events, panels, protocol, sensors, stateful  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -44,7 +44,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL) - {"kmeans_profile", "logistic_oof"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_query_has_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
