@@ -85,9 +85,9 @@ def door_states(spark, sf_dir):
     return g.select("user_id", dynamics.door(F.transform("days", lambda s: s.x), (F.col("user_id") % 10) / 10.0).alias("state"))
 
 
-@query("""SELECT user_id, CASE WHEN count(DISTINCT event_type) < 5 THEN 50.0::DOUBLE ELSE round(100 - least(avg(value), 100), 6) END score, CASE WHEN count(DISTINCT event_type) < 5 THEN 'low_evidence_prior' ELSE 'raw_rule_score' END policy FROM events GROUP BY 1""")
+@query("""SELECT user_id, CASE WHEN count(DISTINCT event_type) < 5 THEN 50.0::DOUBLE ELSE round(100 - least(max(value), 100), 6) END score, CASE WHEN count(DISTINCT event_type) < 5 THEN 'low_evidence_prior' ELSE 'raw_rule_score' END policy FROM events GROUP BY 1""")
 def publication(spark, sf_dir):
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("classes"), (100 - F.least(F.avg("value"), F.lit(100.0))).alias("raw"))
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("classes"), (100 - F.least(F.max("value"), F.lit(100.0))).alias("raw"))
     score, policy = dynamics.publish(F.col("raw"), F.col("classes"), least=5)
     return g.select("user_id", r6(score).alias("score"), policy.alias("policy"))
 
@@ -125,13 +125,13 @@ def direction_free_scenarios(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT user_id, count(*) FILTER (event_type='error') errors, count(*) FILTER (event_type='click') clicks FROM events GROUP BY 1), d AS (SELECT user_id, count(DISTINCT ts::DATE) AS "days", round(avg(value),6) AS "mean" FROM events GROUP BY 1)
-SELECT c_custkey user_id, coalesce(errors,0) errors, coalesce(clicks,0) clicks, "days", "mean", round(CASE WHEN "days" >= 3 THEN coalesce(errors,0)*100/"days"::DOUBLE END,6) errors_rate, round(CASE WHEN "days" >= 3 THEN coalesce(clicks,0)*100/"days"::DOUBLE END,6) clicks_rate FROM customer LEFT JOIN e ON e.user_id = c_custkey LEFT JOIN d ON d.user_id = c_custkey""")
+WITH e AS (SELECT user_id, count(*) FILTER (event_type='error') errors, count(*) FILTER (event_type='click') clicks FROM events GROUP BY 1), d AS (SELECT user_id, count(DISTINCT ts::DATE) AS "days", round(max(value),6) AS "largest" FROM events GROUP BY 1)
+SELECT c_custkey user_id, coalesce(errors,0) errors, coalesce(clicks,0) clicks, "days", "largest", round(CASE WHEN "days" >= 3 THEN coalesce(errors,0)*100/"days"::DOUBLE END,6) errors_rate, round(CASE WHEN "days" >= 3 THEN coalesce(clicks,0)*100/"days"::DOUBLE END,6) clicks_rate FROM customer LEFT JOIN e ON e.user_id = c_custkey LEFT JOIN d ON d.user_id = c_custkey""")
 def vehicle_assembly(spark, sf_dir):
     """A roster's row with all families' features, counts also as rates by exposure."""
     ev = table(spark, sf_dir, "events")
     e = ev.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") == "click").alias("clicks"))
-    d = ev.groupBy("user_id").agg(F.count_distinct(F.to_date("ts")).alias("days"), r6(F.avg("value")).alias("mean"))
+    d = ev.groupBy("user_id").agg(F.count_distinct(F.to_date("ts")).alias("days"), r6(F.max("value")).alias("largest"))
     roster = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
     out = dynamics.assemble(roster, "user_id", {"events": e, "days": d}, ["errors", "clicks"], "days", 100.0, 3)
     return out.withColumns({"errors_rate": r6("errors_rate"), "clicks_rate": r6("clicks_rate")})
