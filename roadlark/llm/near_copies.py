@@ -13,10 +13,11 @@ agree in one of ``BANDS`` bands of ``ROWS`` least hashes are linked to the least
 components of all links are candidate groups: a pair of similarity s is missed with probability
 (1 - s^ROWS)^BANDS at most, 6e-5 at 0.8.
 
-Groups of more than ``LARGE`` nodes are first held against their first member, which is kept, in as many
-parts as they need; what is like it is gone, and so on for ``ROUNDS`` rounds, so a large group of near copies is
-no single task's. In what is left of a group each node, in the order of ids, meets the kept ones that share
-one of its least hashes (prefix filter, exact); a task holds the kept sets of one group, never the dropped ones.
+Groups of more than ``LARGE`` nodes are first held against their first ``HEADS`` members, in as many parts as
+they need: of these some are kept, what is like a kept one is gone, and so on for ``ROUNDS`` rounds, so a large
+group of near copies is no single task's. In what is left of a group each node, in the order of ids, meets the kept
+ones that share one of its least hashes (prefix filter, exact); a task holds the kept sets of one group, never
+the dropped ones. The texts of all candidates are gathered once.
 
 Defined results: null and empty texts are copies of each other; texts of fewer words than a shingle
 are one shingle; rows without an id stay; an empty table stays empty.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +42,10 @@ from .simhash import fingerprint, keep_firsts, links
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
-#: Members of a group that one task compares with the first one, and how often a group gets a new first.
-LARGE, ROUNDS = 128, 3
+#: Members of a group that one task compares with the group's first HEADS, and how often that is done.
+LARGE, HEADS, ROUNDS = 256, 32, 4
+#: Rows of two numbers that may be sent to all workers; more are joined by shuffle.
+MAX_SENT = 500_000
 _RNG = np.random.default_rng(20)
 _XOR, _TIMES = _RNG.integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64, endpoint=False)
 _TIMES |= np.uint64(1)
@@ -137,21 +140,24 @@ def _copies(batches: Iterator[pa.RecordBatch], n: int, thousandths: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
 
 
-def _like_first(batches: Iterator[pa.RecordBatch], n: int, thousandths: int) -> Iterator[pa.RecordBatch]:
-    """(root, salt, member, h, text), the first of a root and salt before its members -> the h that are near copies of it."""
-    seen, now, first = Words(), None, None
+def _like_heads(batches: Iterator[pa.RecordBatch], n: int, thousandths: int) -> Iterator[pa.RecordBatch]:
+    """(root, salt, member, h, text), the heads of a root and salt before its members, each in the order of
+    ids -> the h that are near copies of a head that is kept."""
+    seen, now, last = Words(), None, None
+    kept: list[np.ndarray] = []
     for batch in batches:
         out = []
         for root, salt, member, h, text in zip(*(batch.column(i).to_pylist() for i in range(4)), as_bytes(batch.column(4))):
             if (root, salt) != now:
-                now, first = (root, salt), None
+                now, last, kept = (root, salt), None, []
             x = shingles(text, n, seen)
-            if set_hash(x) != h:  # another text under the same id
+            if h == last or set_hash(x) != h:  # the row again, or another text under the same id
                 continue
-            if not member:
-                first = x
-            elif first is not None and similar(x, first, thousandths):
+            last = h
+            if any(similar(x, y, thousandths) for y in kept):
                 out.append(h)
+            elif not member:
+                kept.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
 
 
@@ -164,16 +170,23 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return keyed.mapInArrow(_to_least, "u long, v long").unionAll(equal).unionAll(near)
 
 
-def _against_first(asked: DataFrame, named: DataFrame, n: int, thousandths: int) -> tuple[DataFrame, DataFrame]:
-    """The nodes (root, h, least) of large groups that are near copies of their group's first, and the firsts."""
-    sizes = asked.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("least", "h")).alias("first")).filter(F.col("n") > LARGE)
-    firsts = cut(sizes.select("root", F.ceil(F.col("n") / LARGE).cast("int").alias("parts"), F.col("first.h").alias("first"), F.col("first.least").alias("first_id")))
-    members = asked.join(firsts, "root").filter("h <> first").select("root", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("salt"), F.lit(True).alias("member"), "h", "least")
-    heads = firsts.select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("first").alias("h"), F.col("first_id").alias("least"))
-    texts = named.join(members.unionAll(heads), F.col("doc_id") == F.col("least")).select("root", "salt", "member", "h", "text")
-    dealt = texts.repartition("root", "salt").sortWithinPartitions("root", "salt", "member", "h")
-    gone = cut(dealt.mapInArrow(functools.partial(_like_first, n=n, thousandths=thousandths), "h long").distinct())
-    return gone, firsts.select(F.col("first").alias("h"))
+def _sent(keys: DataFrame) -> DataFrame:
+    """A checkpointed table of keys, to be broadcast if it is small."""
+    return F.broadcast(keys) if keys.count() <= MAX_SENT else keys
+
+
+def _against_heads(texts: DataFrame, n: int, thousandths: int) -> tuple[DataFrame, DataFrame]:
+    """Of the nodes (root, h, least, text) of large groups those that are near copies of a kept head, and the heads."""
+    large = cut(texts.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("root", F.ceil(F.col("n") / LARGE).cast("int").alias("parts")))
+    own = texts.join(_sent(large), "root")
+    place = F.row_number().over(Window.partitionBy("root").orderBy("least", "h"))
+    heads = cut(own.select("root", "h", "least", "parts").withColumn("place", place).filter(F.col("place") <= HEADS).select("h", "parts").distinct())
+    salt = F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")
+    members = own.join(_sent(heads.select("h")), "h", "left_anti").select("root", salt.alias("salt"), F.lit(True).alias("member"), "least", "h", "text")
+    first = texts.join(_sent(heads), "h").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"), "least", "h", "text")
+    dealt = members.unionAll(first).repartition("root", "salt").sortWithinPartitions("root", "salt", "member", "least", "h").select("root", "salt", "member", "h", "text")
+    gone = cut(dealt.mapInArrow(functools.partial(_like_heads, n=n, thousandths=thousandths), "h long").distinct())
+    return gone, heads.select("h")
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -186,15 +199,16 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = cut(rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.min("fp").alias("fp")))
     roots = components(candidates(nodes))
     members = roots.select(F.col("node").alias("h"), "root").unionAll(roots.select(F.col("root").alias("h"), "root").distinct())
-    asked = cut(members.join(nodes.select("h", "least"), "h").select("root", "h", "least"))
-    gone = None
+    asked = members.join(nodes.select("h", "least"), "h")
+    all_texts = cut(named.join(asked, F.col("doc_id") == F.col("least")).select("root", "h", "least", "text"))
+    texts, gone, decided = all_texts, None, None
     for _ in range(ROUNDS):
-        if asked.groupBy("root").count().filter(F.col("count") > LARGE).isEmpty():
+        if texts.groupBy("root").count().filter(F.col("count") > LARGE).isEmpty():
             break
-        like, firsts = _against_first(asked, named, shingle, thousandths)
+        like, heads = _against_heads(texts, shingle, thousandths)
         gone = like if gone is None else gone.unionAll(like)
-        asked = cut(asked.join(like.unionAll(firsts), "h", "left_anti"))
-    texts = named.join(asked, F.col("doc_id") == F.col("least")).select("root", "h", "text", "least")
+        decided = like.unionAll(heads) if decided is None else decided.unionAll(like).unionAll(heads)
+        texts = all_texts.join(_sent(decided), "h", "left_anti")
     copies = texts.repartition("root").sortWithinPartitions("root", "least", "h").select("root", "h", "text")
     last = copies.mapInArrow(functools.partial(_copies, n=shingle, thousandths=thousandths), "h long")
     gone = (last if gone is None else last.unionAll(gone)).select(F.col("h").alias("__rl_gone"))

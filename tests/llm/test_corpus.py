@@ -227,9 +227,10 @@ def brute_kept(rows):
     return set(kept)
 
 
-@pytest.mark.parametrize("large,rounds", [(128, 3), (3, 3), (3, 1), (3, 0)])
-def test_pipeline_keeps_no_near_copies(spark, docs, texts, large, rounds, monkeypatch):
+@pytest.mark.parametrize("large,heads,rounds", [(256, 32, 4), (3, 2, 3), (3, 1, 1), (3, 1, 0)])
+def test_pipeline_keeps_no_near_copies(spark, docs, texts, large, heads, rounds, monkeypatch):
     monkeypatch.setattr(near_copies, "LARGE", large)
+    monkeypatch.setattr(near_copies, "HEADS", heads)
     monkeypatch.setattr(near_copies, "ROUNDS", rounds)
     rng = random.Random(11)
     rows = []
