@@ -45,8 +45,7 @@ MIN_SUPPORT, MIN_WEIGHT, MAX_BROADCAST_FEATURES = 4, 2.0, 1 << 20
 MAX_BROADCAST_LABELS = 2_000_000
 _EDGE = b"\"'()[]{}.,;:"
 _SPELT = re.compile(rb"(?<!\S)(?:[a-z0-9@$!|+(<] ){2,}[a-z0-9@$!|+(<](?!\S)")
-#: A longer run is decoded in pieces of so many characters.
-MAX_SPELT = 4096
+_OTHER = re.compile(rf"[^a-z{SIGNS}]+")
 _DISGUISED = re.compile(rf"(?=.*[a-z])(?:.*[a-z{SIGNS}][{SIGNS}][a-z]|[{SIGNS}][a-z]|.*[a-z][{SIGNS}]|.*([a-z])\1\1|(?:[a-z{SIGNS}][{re.escape(SEPARATORS)}]){{2,}})")
 
 
@@ -117,27 +116,29 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(word: str, model: np.ndarray, breaks: bool = False) -> str:
-    """The likeliest word of a disguised one's lattice; with ``breaks`` the likeliest words, a space between."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(word):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-
-        def reach(at: tuple[int, int], score: float, text: str) -> None:
-            if at not in new or (score, text) > new[at]:
-                new[at] = (score, text)
+    """The likeliest word of a disguised one's lattice; with ``breaks`` the likeliest words, a space between.
 
-        for (a, b), (score, text) in paths.items():
+    Few states are reached at each character and paths share their beginnings, so the work is linear."""
+    paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    for options in lattice(word):
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (score, before) in paths.items():
             for letters, cost in options:
                 x, y, s = a, b, score + cost
                 for ch in letters:
                     c = ord(ch) - 96
                     s += model[x, y, c]
                     x, y = y, c
-                reach((x, y), s, text + letters)
-                if breaks and letters:
-                    reach((0, 0), s + model[x, y, 0] + COST_BREAK, text + letters + " ")
+                if (x, y) not in new or s > new[x, y][0]:
+                    new[x, y] = (s, (before, letters))
+                if breaks and letters and ((0, 0) not in new or s + model[x, y, 0] + COST_BREAK > new[0, 0][0]):
+                    new[0, 0] = (s + model[x, y, 0] + COST_BREAK, (before, letters + " "))
         paths = new
-    return max((s + model[a, b, 0] * ((a, b) != (0, 0)), t) for (a, b), (s, t) in paths.items())[1]
+    (_, last), out = max(((s + model[a, b, 0] * ((a, b) != (0, 0)), t) for (a, b), (s, t) in paths.items()), key=lambda p: p[0]), []
+    while last:
+        last, letters = last
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def restore(word: str, model: np.ndarray) -> str:
@@ -169,18 +170,13 @@ class Features(dict):
         text = text.lower()
         words = set(text.split())
         for m in _SPELT.finditer(text):
-            letters = m[0][::2].decode()
-            for k in range(0, len(letters), MAX_SPELT):
-                words.update(w.encode() for w in self.spelt(letters[k : k + MAX_SPELT]) if len(w) > 2)
+            words.update(w.encode() for w in self.spelt(m[0][::2].decode()) if len(w) > 2)
         return {self[w] for w in words}
 
-    @functools.lru_cache(maxsize=4096)  # noqa: B019
-    def spelt(self, letters: str) -> tuple[str, ...]:
+    def spelt(self, letters: str) -> list[str]:
         """The words of a run of single characters; digits that stand for no letter end a word."""
-        return tuple(w for part in re.split(rf"[^a-z{SIGNS}]+", letters) for w in (decode(part, self.model, True).split() if any("a" <= c <= "z" for c in part) else ()))
-
-    def __hash__(self) -> int:
-        return id(self)
+        parts = (p for p in _OTHER.split(letters) if any("a" <= c <= "z" for c in p))
+        return [w for p in parts for w in decode(p, self.model, True).split()]
 
 
 def _evidence(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
