@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,34 +55,27 @@ _DISGUISED = re.compile(rf"(?=.*[a-z])(?:.*[a-z{SIGNS}][{SIGNS}][a-z]|[{SIGNS}][
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts of all words made of a to z, with two edges before and one after."""
-    total, words = np.zeros(LETTERS**3, np.int64), {}
+    total, words = np.zeros(LETTERS**3, np.int64), Counter()
 
     def flush():
-        for w, n in words.items():
-            s = [0, 0, *(b - 96 for b in w), 0]
-            for a, b, c in zip(s, s[1:], s[2:]):
-                total[(a * LETTERS + b) * LETTERS + c] += n
+        for word, n in words.items():
+            w = word.strip(_EDGE)
+            if w.isalpha() and w.isascii():
+                s = [0, 0, *(b - 96 for b in w), 0]
+                for a, b, c in zip(s, s[1:], s[2:]):
+                    total[(a * LETTERS + b) * LETTERS + c] += n
         words.clear()
 
     for batch in batches:
         for text in as_bytes(batch.column(0)):
-            for w in text.lower().split():
-                w = w.strip(_EDGE)
-                words[w] = words.get(w, 0) + 1
-            if len(words) > 200_000:
-                _only_letters(words)
+            words.update(text.lower().split())
+            if len(words) > 400_000:
                 flush()
-    _only_letters(words)
     flush()
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["i", "n"])
 
 
-def _only_letters(words: dict[bytes, int]) -> None:
-    for w in [w for w in words if not (w.isalpha() and w.isascii())]:
-        del words[w]
-
-
 def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """log P(c | a b) as a 27 x 27 x 27 table, from all texts."""
     sums = docs.select(text_col).mapInArrow(_letters, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
@@ -165,13 +159,16 @@ class Features(dict):
         self[word] = found = tuple(sorted(xxhash.xxh3_64_intdigest(f) >> 1 for f in out))
         return found
 
-    def of(self, text: bytes) -> set[tuple[int, ...]]:
-        """The features of each different word."""
+    def words(self, text: bytes) -> set[bytes]:
         text = text.lower()
         words = set(text.split())
         for m in _SPELT.finditer(text):
             words.update(w.encode() for w in self.spelt(m[0][::2].decode()) if len(w) > 2)
-        return {self[w] for w in words}
+        return words
+
+    def of(self, text: bytes) -> set[tuple[int, ...]]:
+        """The features of each different word."""
+        return set(map(self.__getitem__, self.words(text)))
 
     def spelt(self, letters: str) -> list[str]:
         """The words of a run of single characters; digits that stand for no letter end a word."""
@@ -183,26 +180,25 @@ def _evidence(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
     """Rows (text, toxic) -> for each feature the texts of either kind that have it, and a bitmap of
     the toxic ones' hashes, by which copies of one text are told from different texts."""
     features = Features(model.value)
-    counts: dict[int, list[int]] = {}
+    toxic, clean, bits = Counter(), Counter(), {}
 
     def out():
-        keys = list(counts)
-        rows = [counts[k] for k in keys]
-        made = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([r[i] - (1 << 64) * (i == 2 and r[i] >= 1 << 63) for r in rows], pa.int64()) for i in range(3))], names=["f", "t", "n", "bits"])
-        counts.clear()
+        keys = list(toxic | clean)
+        signed = [b - (1 << 64) * (b >= 1 << 63) for b in (bits.get(k, 0) for k in keys)]
+        made = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (toxic, clean)), pa.array(signed, pa.int64())], names=["f", "t", "n", "bits"])
+        for c in (toxic, clean, bits):
+            c.clear()
         return made
 
     for batch in batches:
-        for text, toxic in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
-            bit = 1 << (_sketch(text) % 64)
-            for f in {f for fs in features.of(text) for f in fs}:
-                c = counts.setdefault(f, [0, 0, 0])
-                if toxic:
-                    c[0] += 1
-                    c[2] |= bit
-                else:
-                    c[1] += 1
-            if len(counts) > 1 << 20:
+        for text, kind in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
+            found = set().union(*map(features.__getitem__, features.words(text)))
+            (toxic if kind else clean).update(found)
+            if kind:
+                bit = 1 << (_sketch(text) % 64)
+                for f in found:
+                    bits[f] = bits.get(f, 0) | bit
+            if len(toxic) + len(clean) > 1 << 20:
                 yield out()
     yield out()
 
@@ -239,18 +235,21 @@ def _word_features(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Reco
 def _score(batches: Iterator[pa.RecordBatch], column: str, keep: list[str], scorer) -> Iterator[pa.RecordBatch]:
     scorer = scorer.value
     features, weights = Features(scorer.model), scorer.weights
-    best: dict[tuple[int, ...], float] = {}
+    idle: set[bytes] = set()  # words known to have no weight: most
     for batch in batches:
         scores = []
         for text in as_bytes(batch.column(batch.schema.names.index(column))):
-            total = scorer.prior
-            for fs in features.of(text):
-                w = best.get(fs)
-                if w is None:
-                    if len(best) >= 1 << 19:
-                        best.clear()
-                    best[fs] = w = max([weights[f] for f in fs if f in weights], default=0.0)
-                total += w
+            found: dict[tuple[int, ...], float] = {}
+            for word in features.words(text) - idle:
+                fs = features[word]
+                own = [weights[f] for f in fs if f in weights]
+                if own:
+                    found[fs] = max(own)
+                else:
+                    idle.add(word)
+            if len(idle) > features.most:
+                idle.clear()
+            total = scorer.prior + math.fsum(found.values())
             scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))))
         yield with_columns(batch, keep, {"score": pa.array(scores, pa.float64())})
 
