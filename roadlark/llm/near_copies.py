@@ -43,7 +43,7 @@ from .simhash import fingerprint, keep_firsts, links
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Members of a group that one task compares with the group's first HEADS, and how often that is done.
-LARGE, HEADS, ROUNDS = 256, 32, 4
+LARGE, HEADS, ROUNDS = 256, 16, 4
 #: Rows of two numbers that may be sent to all workers; more are joined by shuffle.
 MAX_SENT = 500_000
 _RNG = np.random.default_rng(20)
@@ -179,9 +179,11 @@ def _against_heads(texts: DataFrame, n: int, thousandths: int) -> tuple[DataFram
     """Of the nodes (root, h, least, text) of large groups those that are near copies of a kept head, and the heads."""
     large = cut(texts.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("root", F.ceil(F.col("n") / LARGE).cast("int").alias("parts")))
     own = texts.join(_sent(large), "root")
-    place = F.row_number().over(Window.partitionBy("root").orderBy("least", "h"))
-    heads = cut(own.select("root", "h", "least", "parts").withColumn("place", place).filter(F.col("place") <= HEADS).select("h", "parts").distinct())
     salt = F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")
+    first = own.select("root", salt.alias("salt"), "h", "least", "parts").distinct()
+    for by in (["root", "salt"], ["root"]):  # first of each part, so that none sees a large group whole
+        first = first.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("least", "h"))).filter(F.col("place") <= HEADS)
+    heads = cut(first.select("h", "parts"))
     members = own.join(_sent(heads.select("h")), "h", "left_anti").select("root", salt.alias("salt"), F.lit(True).alias("member"), "least", "h", "text")
     first = texts.join(_sent(heads), "h").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"), "least", "h", "text")
     dealt = members.unionAll(first).repartition("root", "salt").sortWithinPartitions("root", "salt", "member", "least", "h").select("root", "salt", "member", "h", "text")
