@@ -9,9 +9,10 @@ are dealt into chunks of about ``CHUNK_BYTES`` of text; each chunk sends its dif
 by shuffle, the task that builds a segment probes it, and the levels go back to the chunk. With c the counts as
 read back, q their sum over the V training tokens,
 P(w | v) = (min(c(v w), c(v)) + MU * P1(w)) / (c(v) + MU), P1(w) = (c(w) + 1) / (q + V + 1).
-P1 sums to 1 over the training tokens and one unknown. P(. | v) does where all counts of v are up to EXACT; above it
-the sum is off by what quantising does to the counts that follow v, within half a step of the scale, and by
-the filter's false positives, which add at most the rate ``(1 - exp(-HASHES / BITS_PER_ENTRY)) ** HASHES`` for each unseen pair.
+P1 sums to 1 over the training tokens and one unknown. P(. | v) does where all counts of v are up to EXACT, but for
+the filter's false positives: an unseen pair is read as one seen once at the rate
+``(1 - exp(-HASHES / BITS_PER_ENTRY)) ** HASHES``, 6e-6, or a few times that (2.5e-5 measured). Above EXACT the sum is also off by what quantising does to the
+counts that follow v, within half a step of the scale. No sum over the whole vocabulary is stored with a context.
 Chunks are named by partition and place, so the scored table must give the same rows in the same
 partitions each time it is read, as a scan or a checkpoint does; a chunk that doesn't is refused.
 
@@ -41,7 +42,9 @@ from pyspark.sql import types as T
 from .arrow import Words, as_bytes, in_pieces, with_columns
 from .common import cut, fold, table
 
-CHUNK_BYTES, BITS_PER_ENTRY, HASHES = 4 << 20, 16, 6
+CHUNK_BYTES, BITS_PER_ENTRY, HASHES = 4 << 20, 28, 10
+#: Hashes that are looked at before the others of what has them.
+FIRST = 4
 #: The least segments, as a power of two, and the training tokens for which there is one more segment.
 LEAST_BITS, MOST_BITS, SEGMENT_TOKENS = 10, 30, 1 << 18
 EXACT, STEP, LEVELS = 16, 1.15, 194
@@ -262,10 +265,10 @@ class _Segment:
             yield pa.RecordBatch.from_arrays([pa.array(self.chunks[k : k + 4096], pa.int64()), pa.array([self.segment] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["__rl_chunk", "__rl_segment", "__rl_levels"])
 
 
-def positions(keys: np.ndarray, j: int, bits) -> Iterator[np.ndarray]:
+def positions(keys: np.ndarray, j: int, bits, first: int = 0, last: int = HASHES) -> Iterator[np.ndarray]:
     x = _mix(keys * _M1 + np.uint64(j * int(_M2) % (1 << 64)))
     a, step = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
-    for i in range(HASHES):
+    for i in range(first, last):
         yield ((a + np.uint64(i) * step) % bits).astype(np.int64)
 
 
@@ -301,12 +304,13 @@ class LogFrequencyFilter:
         at = np.minimum(np.searchsorted(self.segments, segment), len(self.segments) - 1)
         found, active = np.zeros(len(keys), np.int64), np.flatnonzero(self.segments[at] == segment)
         for j in range(1, LEVELS + 1):
-            k, s = keys[active], at[active]
-            bits, offsets = self.bits[s], self.offsets[s]
-            here = np.ones(len(active), bool)
-            for p in positions(k, j, bits):
-                here &= (self.data[offsets + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1
-            active = active[here]
+            for first, last in ((0, FIRST), (FIRST, HASHES)):
+                s = at[active]
+                bits, offsets = self.bits[s], self.offsets[s]
+                here = np.ones(len(active), bool)
+                for p in positions(keys[active], j, bits, first, last):
+                    here &= (self.data[offsets + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1
+                active = active[here]
             if not len(active):
                 break
             found[active] = j
