@@ -141,6 +141,6 @@ def fidelity(df: DataFrame, a: str, b: str, by: float = 0.2) -> DataFrame:
     """How well ``a`` stands for ``b``: Pearson, mean distance and the share of rows on the same side of the 1 - ``by`` quantile."""
     from .windows import exact_quantiles
 
-    cut = exact_quantiles(df, a, {"__ca": 1 - by}).crossJoin(exact_quantiles(df, b, {"__cb": 1 - by}))  # one row each
+    cut = exact_quantiles(df, a, {"__ca": 1 - by}).drop("n").crossJoin(exact_quantiles(df, b, {"__cb": 1 - by}).drop("n"))  # one row each
     same = ((F.col(a) >= F.col("__ca")) == (F.col(b) >= F.col("__cb"))).cast("double")
     return df.join(F.broadcast(cut)).agg(F.corr(a, b).alias("pearson"), F.avg(F.abs(F.col(a) - F.col(b))).alias("distance"), F.avg(same).alias("same_side"))

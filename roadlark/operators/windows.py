@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,14 +104,22 @@ def with_position(df: DataFrame, order: list[str], name: str = "position") -> Da
     return running(df.withColumn("__one", F.lit(1)), order, {name: "__one"}).drop("__one")
 
 
-def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles over a whole table, from counts by value: no task holds all values."""
-    counts = running(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n")), ["__v"], {"__before": "__n"})
-    n = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    at = lambda k: F.max(F.when((F.col("__before") <= k) & (F.col("__before") + F.col("__n") > k), F.col("__v")))
+def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by: str | None = None) -> DataFrame:
+    """Linearly interpolated quantiles over a whole table or of each ``by`` that isn't null, and ``n``, from counts by
+    value: no task holds all values."""
+    group = F.col(by) if by else F.lit(0)
+    src = df.select(group.alias("__by"), F.col(value).cast("double").alias("__v")).filter("__v is not null and __by is not null")
+    counts = running(src.groupBy("__by", "__v").agg(F.count("*").alias("__n")), ["__by", "__v"], {"__before": "__n"})
+    sizes = counts.groupBy("__by").agg(F.min("__before").alias("__start"), F.sum("__n").alias("__all"))
+    c = counts.join(sizes, "__by").withColumn("__at", F.col("__before") - F.col("__start"))
+    at = lambda k: F.max(F.when((F.col("__at") <= k) & (F.col("__at") + F.col("__n") > k), F.col("__v")))
     out = []
     for name, q in quantiles.items():
-        k = (n - 1) * q
-        low, high = at(math.floor(k)), at(math.ceil(k))
-        out.append((low + (high - low) * (k - math.floor(k))).alias(name))
-    return counts.agg(*out)
+        k = (F.col("__all") - 1) * q
+        low, high = at(F.floor(k)), at(F.ceil(k))
+        out.append((low + (high - low) * F.max(k - F.floor(k))).alias(name))
+    found = c.groupBy("__by").agg(*out, F.max("__all").alias("n"))
+    if by:
+        return found.withColumnRenamed("__by", by)
+    empty = [F.coalesce(F.max(name), F.lit(None).cast("double")).alias(name) for name in quantiles]
+    return found.agg(*empty, F.coalesce(F.max("n"), F.lit(0)).alias("n"))  # one row at most

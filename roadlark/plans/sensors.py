@@ -6,9 +6,7 @@ plain arithmetic.
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_seconds, norm, ratio
@@ -79,21 +77,16 @@ def edge_histogram(spark, sf_dir):
 
 @query(_ROWS + """SELECT coalesce(flag,'__global__') flag, count(*) n, round(quantile_cont(v,0.9),4) p90, round(quantile_cont(v,0.95),4) p95 FROM r GROUP BY GROUPING SETS ((flag),())""")
 def fleet_reference(spark, sf_dir):
-    """Quantiles of each flag (a few) and of all rows, each from counts by value."""
-    r = rows(spark, sf_dir)
-    out = []
-    for flag in [x.flag for x in r.select("flag").distinct().orderBy("flag").collect()] + ["__global__"]:
-        own = r if flag == "__global__" else r.filter(F.col("flag") == flag)
-        out.append(exact_quantiles(own, "v", {"p90": 0.9, "p95": 0.95}).crossJoin(own.agg(F.count("*").alias("n"))).withColumn("flag", F.lit(flag)))  # one row each
-    return functools.reduce(DataFrame.unionByName, out).select("flag", "n", F.round("p90", 4).alias("p90"), F.round("p95", 4).alias("p95"))
+    """Quantiles of each flag and of all rows, from counts by value."""
+    r, q = rows(spark, sf_dir), {"p90": 0.9, "p95": 0.95}
+    both = exact_quantiles(r, "v", q, "flag").unionByName(exact_quantiles(r, "v", q).withColumn("flag", F.lit("__global__")))
+    return both.select("flag", "n", F.round("p90", 4).alias("p90"), F.round("p95", 4).alias("p95"))
 
 
 @query(_ROWS + """, q AS (SELECT flag, least(greatest(quantile_cont(norm,0.99),0.8),1.3) hi FROM r GROUP BY 1), u AS (SELECT max(hi) a, min(hi) b, avg(hi) c FROM q)
 SELECT flag, round(CASE WHEN (a-b)/abs(c) < 0.10 THEN c ELSE hi END,6) threshold, CASE WHEN (a-b)/abs(c) < 0.10 THEN 1 ELSE 0 END unified FROM q, u""")
 def calibrated_thresholds(spark, sf_dir):
-    r = rows(spark, sf_dir)
-    flags = [x.flag for x in r.select("flag").distinct().orderBy("flag").collect()]  # a few
-    q = functools.reduce(DataFrame.unionByName, [exact_quantiles(r.filter(F.col("flag") == f), "norm", {"q": 0.99}).select(F.lit(f).alias("flag"), F.least(F.greatest("q", F.lit(0.8)), F.lit(1.3)).alias("hi")) for f in flags])
+    q = exact_quantiles(rows(spark, sf_dir), "norm", {"q": 0.99}, "flag").select("flag", F.least(F.greatest("q", F.lit(0.8)), F.lit(1.3)).alias("hi"))
     u = q.agg(F.max("hi").alias("a"), F.min("hi").alias("b"), F.avg("hi").alias("c"))
     one = ratio(F.col("a") - F.col("b"), F.abs("c")) < 0.10
     return q.join(F.broadcast(u)).select("flag", r6(F.when(one, F.col("c")).otherwise(F.col("hi"))).alias("threshold"), one.cast("int").alias("unified"))  # u: one row
@@ -103,7 +96,7 @@ def calibrated_thresholds(spark, sf_dir):
 SELECT k, CASE WHEN count(*) >= 500 THEN round(stddev_pop(v),6) END sd, CASE WHEN count(*) >= 500 THEN round(stddev_pop(v)/avg(v),6) END cv, CASE WHEN count(*) >= 500 THEN round(quantile_cont(v,0.75)-quantile_cont(v,0.25),4) END iqr, round(avg(CASE WHEN v > p90 THEN 1.0 ELSE 0 END)::DOUBLE,6) over_p90, round(avg(CASE WHEN v > p95 THEN 1.0 ELSE 0 END)::DOUBLE,6) over_p95, round(median(norm),6) median_norm FROM r, f GROUP BY k""")
 def volatility(spark, sf_dir):
     r = rows(spark, sf_dir)
-    f = exact_quantiles(r, "v", {"p90": 0.9, "p95": 0.95})
+    f = exact_quantiles(r, "v", {"p90": 0.9, "p95": 0.95}).drop("n")
     q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
     enough = lambda c: r6(F.when(F.count("*") >= 500, c))
     return r.join(F.broadcast(f)).groupBy("k").agg(enough(F.stddev_pop("v")).alias("sd"), enough(ratio(F.stddev_pop("v"), F.avg("v"))).alias("cv"), F.round(F.when(F.count("*") >= 500, q[1] - q[0]), 4).alias("iqr"),
