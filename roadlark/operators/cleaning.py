@@ -40,6 +40,75 @@ def sensor_rules(total: Column, stamp: Column, date: Column) -> Column:
     return F.concat_ws(";", F.when((total < 0.1) | (total > 5), "norm"), F.when(F.to_date(stamp) != date, "date"))
 
 
+#: Flags of the cleaning rules.
+SPEED_FLAGS = ("missing", "negative_invalid", "impossible_gt200", "suspicious_gt160")
+COORD_FLAGS = ("missing", "zero_placeholder", "out_of_range")
+
+
+def speed_flag(speed: Column) -> Column:
+    """Null for a good speed; NaN is missing, 160 to 200 suspicious (and kept)."""
+    missing, negative, impossible, suspicious = SPEED_FLAGS
+    v = number(speed)
+    return F.when(v.isNull(), missing).when(v < 0, negative).when(v > 200, impossible).when(v >= 160, suspicious)
+
+
+def coord_flag(lat: Column, lon: Column) -> Column:
+    """Null for a good point."""
+    missing, zero, outside = COORD_FLAGS
+    a, o = number(lat), number(lon)
+    return F.when(a.isNull() | o.isNull(), missing).when((a == 0) & (o == 0), zero).when((F.abs(a) > 90) | (F.abs(o) > 180), outside)
+
+
+def _cleaned(df: DataFrame, lat: str, lon: str, speeds: dict[str, str]) -> DataFrame:
+    """Coordinates and speeds that the flags refuse become null; ``speeds`` maps a speed to its flag's name."""
+    keep = (*SPEED_FLAGS[:1], SPEED_FLAGS[3])
+    out = df.withColumn("coord_flag", coord_flag(F.col(lat), F.col(lon)))
+    out = out.withColumns({flag: speed_flag(F.col(c)) for c, flag in speeds.items()})
+    good = F.col("coord_flag").isNull()
+    valid = {c: F.when(F.col(flag).isNull() | F.col(flag).isin(*keep), number(F.col(c))) for c, flag in speeds.items()}
+    return out.withColumns({lat: F.when(good, F.col(lat)), lon: F.when(good, F.col(lon)), **valid})
+
+
+def clean_events(df: DataFrame, time: str, start: str, end: str, lat: str, lon: str, speed: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(table, quarantine) by the event rules. Rows outside [start, end) or without a time, and all but one of equal rows, are
+    quarantined with a ``reason``. Speeds and coordinates are cleaned and flagged. With ``key``, placeholders and
+    points out of range become the medians of the key's good points, missing ones stay null.
+
+    Equal rows are counted, not gathered, so one row that makes up much of a table costs one task nothing.
+    """
+    inside = F.coalesce((F.col(time) >= F.lit(start).cast("timestamp_ntz")) & (F.col(time) < F.lit(end).cast("timestamp_ntz")), F.lit(False))
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    late = counted.filter(~inside).withColumn("reason", F.lit("out_of_window"))
+    again = counted.filter(inside & (F.col("__n") > 1)).withColumn("reason", F.lit("exact_duplicate")).withColumn("__n", F.col("__n") - 1)
+    out = late.unionByName(again).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__n")
+    table = _cleaned(counted.filter(inside).drop("__n"), lat, lon, {speed: "speed_flag"})
+    if key:
+        mid = table.groupBy(key).agg(F.percentile(lat, 0.5).alias("__lat"), F.percentile(lon, 0.5).alias("__lon"))
+        mid = mid.select(F.col(key).alias("__key"), "__lat", "__lon")
+        fill = F.col("coord_flag").isin(*COORD_FLAGS[1:])
+        table = table.join(mid, F.col(key).eqNullSafe(F.col("__key")), "left").withColumns({lat: F.when(fill, F.col("__lat")).otherwise(F.col(lat)), lon: F.when(fill, F.col("__lon")).otherwise(F.col(lon))}).drop("__key", "__lat", "__lon")
+    return table, out
+
+
+def clean_trajectory(df: DataFrame, date: str, start: str, end: str, lat: str, lon: str, speed: str, course: str, run_time: str) -> DataFrame:
+    """Trajectory rows, all kept, cleaned and flagged: speed, course in [0, 360), coordinates (never filled), moving with no run
+    time, and ``window_flag`` 0 outside [start, end)."""
+    c = number(F.col(course))
+    out = _cleaned(df.withColumn("course_flag", F.when(c.isNull(), "missing").when((c < 0) | (c >= 360), "out_of_range")), lat, lon, {speed: "speed_flag"})
+    return out.withColumns({course: F.when(F.col("course_flag").isNull(), c), "runtime_flag": F.when((F.col(speed) > 5) & (F.col(run_time) == 0), "runtime_inconsistent_moving"), "window_flag": window_flag(F.col(date), start, end)})
+
+
+def clean_sensors(df: DataFrame, stamp: str, date: str, start: str, end: str, ems: str, gps: str, total: Column) -> DataFrame:
+    """Sensor rows, all kept and flagged: missing speeds, acceleration norm (g) under 0.1 or over 5, a time of another date."""
+    return df.withColumns({
+        ems: number(F.col(ems)), gps: number(F.col(gps)), "ems_flag": F.when(number(F.col(ems)).isNull(), "missing"), "gps_flag": F.when(number(F.col(gps)).isNull(), "missing"),
+        "accel_flag": F.when((total < 0.1) | (total > 5), "accel_extreme"), "date_flag": F.when(F.to_date(stamp) != F.col(date), "date_mismatch"), "window_flag": window_flag(F.col(date), start, end)})
+
+
+def window_flag(date: Column, start: str, end: str) -> Column:
+    return F.coalesce(((date >= F.lit(start).cast("date")) & (date < F.lit(end).cast("date"))).cast("int"), F.lit(0))
+
+
 def split_window(df: DataFrame, inside: Column) -> tuple[DataFrame, DataFrame]:
     """Rows inside, and the quarantine of all others."""
     good = F.coalesce(inside, F.lit(False))

@@ -14,10 +14,10 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import logit, sigmoid
+from ..functions.scalars import logit, number, sigmoid
 from .evaluation import auc
 
 
@@ -144,3 +144,42 @@ def fidelity(df: DataFrame, a: str, b: str, by: float = 0.2) -> DataFrame:
     cut = exact_quantiles(df, a, {"__ca": 1 - by}).drop("n").crossJoin(exact_quantiles(df, b, {"__cb": 1 - by}).drop("n"))  # one row each
     same = ((F.col(a) >= F.col("__ca")) == (F.col(b) >= F.col("__cb"))).cast("double")
     return df.join(F.broadcast(cut)).agg(F.corr(a, b).alias("pearson"), F.avg(F.abs(F.col(a) - F.col(b))).alias("distance"), F.avg(same).alias("same_side"))
+
+
+def fused_views(df: DataFrame, arms: dict[str, str], label: str, keep: int = 4) -> tuple[list[tuple[str, str, float]], DataFrame]:
+    """The best arm of each view (``arms``: score column -> view), the ``keep`` best of these, and ``df`` with a column
+    ``fuse_<a>__<b>`` for every pair of them, by equal logit weights. Arms by AUC, ties to the later name; views by AUC, ties to the earlier."""
+    found = {a: auc(df, a, label).first().auc for a in arms}  # one number for each arm
+    rank = lambda a: (found[a] if found[a] is not None else -1.0, a)
+    best = {v: max((a for a in arms if arms[a] == v), key=rank) for v in arms.values()}
+    views = sorted(best, key=lambda v: (-rank(best[v])[0], v))[:keep]
+    chosen = [best[v] for v in views]
+    fused = {f"fuse_{a}__{b}": logit_fusion({a: 0.5, b: 0.5}) for i, a in enumerate(chosen) for b in chosen[i + 1:]}
+    return [(v, best[v], found[best[v]]) for v in views], df.withColumns(fused) if fused else df
+
+
+def clusters_with_rank(df: DataFrame, ks: range, features: list[str], index: str, eligible: Column) -> tuple[DataFrame, int]:
+    """``df`` with ``cluster`` and ``risk_rank``: standardised eligible rows in the k of best silhouette, clusters ranked from 1 by
+    their mean ``index``, lowest first, ties by cluster. Rows that are not eligible or lack a feature are -1 in both; if fewer rows than
+    ``ks`` starts with are left, all are."""
+    whole = F.coalesce(eligible, F.lit(False))
+    for c in features:
+        whole = whole & number(F.col(c)).isNotNull()
+    fit = to_vector(df.filter(whole), features, "__raw")
+    none = df.withColumns({"cluster": F.lit(-1), "risk_rank": F.lit(-1)})
+    n = df.filter(whole).count()
+    ks = [k for k in ks if k < n]
+    if not ks:
+        return none, 0
+    scaled = StandardScaler(inputCol="__raw", outputCol="__features", withMean=True).fit(fit).transform(fit)
+    out, k, _ = kmeans_by_silhouette(scaled, ks, "__features")
+    means = out.groupBy("cluster").agg(F.avg(index).alias("__mean"))  # k rows
+    ranks = means.select("cluster", F.row_number().over(Window.orderBy("__mean", "cluster")).alias("risk_rank"))
+    found = out.join(F.broadcast(ranks), "cluster").select(*df.columns, "cluster", "risk_rank")
+    return found.unionByName(none.filter(~whole)), k
+
+
+def risk_group(df: DataFrame, rank: str = "risk_rank") -> DataFrame:
+    """``df`` with ``risk_group``: -1 or null is 'insufficient', the highest rank 'high', all others 'low'."""
+    top = df.agg(F.max(rank).alias("__top"))  # one row
+    return df.join(F.broadcast(top)).withColumn("risk_group", F.when(F.coalesce(F.col(rank), F.lit(-1)) < 0, "insufficient").when(F.col(rank) == F.col("__top"), "high").otherwise("low")).drop("__top")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import date, timedelta
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +40,52 @@ def read_shards(spark: SparkSession, pattern: str, order: list[str], types: dict
     named = {c: aliases.get(c, c) for c in types}
     if missing := [c for c in required if named[c] not in order]:
         raise ContractError(f"the shards have no {missing}")
-    raw = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in order])).csv(pattern, sep="\t", header=False, nullValue=r"\N")
+    raw = spark.read.schema(_texts(order)).csv(pattern, sep="\t", header=False, nullValue=r"\N")
+    return raw.select(*_typed(order, types, named))
+
+
+def _texts(order: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in order])
+
+
+def _typed(order: list[str], types: dict[str, str], named: dict[str, str]) -> list[Column]:
     clean = lambda c: F.when(~F.trim(F.col(c)).isin(*NULL_TOKENS), F.trim(F.col(c)))
-    return raw.select(*((clean(named[c]).try_cast(t) if named[c] in order else F.lit(None).cast(t)).alias(c) for c, t in types.items()))
+    return [(clean(named[c]).try_cast(t) if named[c] in order else F.lit(None).cast(t)).alias(c) for c, t in types.items()]
+
+
+def scan_window(spark: SparkSession, pattern: str, order: list[str], types: dict[str, str], at: str, start: str, end: str, allowed: dict[str, list] | None = None) -> DataFrame:
+    """Rows of headerless TSV shards whose time ``at`` (named in ``types``) lies in [start, end).
+
+    Lines without the text of one of the window's dates are passed over before any value is parsed. Rows whose time
+    can't be read go. A value that ``allowed`` doesn't list for its column stops the scan; null is no value.
+    """
+    first, last = (date.fromisoformat(x[:10]) for x in (start, end))
+    days = [(first + timedelta(days=d)).isoformat() for d in range((last - first).days + 1)]
+    lines = spark.read.text(pattern).filter(F.col("value").rlike("|".join(days)))
+    raw = lines.select(F.from_csv("value", _texts(order).simpleString()[7:-1].replace(":", " "), {"sep": "\t"}).alias("r")).select("r.*")
+    rows = raw.select(*_typed(order, types, {c: c for c in types}))
+    rows = rows.filter((F.col(at) >= F.lit(start).cast("timestamp_ntz")) & (F.col(at) < F.lit(end).cast("timestamp_ntz")))
+    for c, values in (allowed or {}).items():
+        bad = F.raise_error(F.concat(F.lit(f"{c} can't be "), F.col(c).cast("string"))).cast("boolean")
+        rows = rows.filter(F.when(F.col(c).isNull() | F.col(c).isin(*values), True).otherwise(bad))
+    return rows
+
+
+def disorder(spark: SparkSession, pattern: str, order: list[str], key: str, at: str) -> DataFrame:
+    """(file, key, n): how many rows of a key in a file have a lesser time than the one before. Whole files may be large,
+    so places are those of the splits and the rows within; a key's rows in one file are read in their order."""
+    raw = spark.read.schema(_texts(order)).csv(pattern, sep="\t", header=False, nullValue=r"\N")
+    src = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__row"), F.col(key).alias("key"), F.col(at).try_cast("timestamp_ntz").alias("__at"))
+    w = Window.partitionBy("file", "key").orderBy("__split", "__row")
+    back = src.filter("__at is not null").withColumn("__back", F.col("__at") < F.lag("__at").over(w))
+    return back.filter("__back").groupBy("file", "key").agg(F.count("*").alias("n"))
+
+
+def embedded_json(html: Column, name: str, schema: str) -> Column:
+    """The object that a line ``window.<name> = {...};`` of a page assigns, parsed; null without one or if it can't be read."""
+    if not re.fullmatch(r"[A-Za-z_$][\w$]*", name):
+        raise ContractError(f"{name} is no name")
+    return F.from_json(F.nullif(F.regexp_extract(html, r"(?m)^window\." + name.replace("$", r"\$") + r" = (\{.*\});$", 1), F.lit("")), schema)
 
 
 def schema_of(spark: SparkSession, path: str) -> list[str]:
@@ -49,8 +96,6 @@ def schema_of(spark: SparkSession, path: str) -> list[str]:
 def shard_coverage(df: DataFrame, at: Column, start: str, end: str, rows: int = 1000) -> DataFrame:
     """For each file the position of its first rows in time: before, inside and after [start, end)."""
     src = df.withColumn("file", F.input_file_name()).withColumn("at", at)
-    from pyspark.sql import Window
-
     first = src.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy(F.monotonically_increasing_id()))).filter(F.col("n") <= rows)
     a, b = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     return first.groupBy("file").agg(F.count_if(F.col("at") < a).alias("before"), F.count_if((F.col("at") >= a) & (F.col("at") < b)).alias("inside"), F.count_if(F.col("at") >= b).alias("after"), F.min("at").alias("first"), F.max("at").alias("last"))
@@ -76,6 +121,31 @@ def manifest(df: DataFrame, key: str, label: str | None = None) -> str:
     return json.dumps(row, sort_keys=True, default=float)
 
 
+def drop_ledger(kept: list[str], dropped: list[tuple[str, str, str]], rules: dict) -> str:
+    """Which columns went, at which stage and why, as JSON with sorted keys: equal input gives equal bytes, so it
+    holds no time. A column can't be kept and dropped, or dropped twice."""
+    gone = [c for c, _, _ in dropped]
+    if len(set(gone)) != len(gone) or set(gone) & set(kept):
+        raise ContractError("a column has two fates")
+    body = {"rules": rules, "kept": kept, "dropped": [{"column": c, "stage": stage, "reason": reason} for c, stage, reason in dropped]}
+    return json.dumps(body, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
+
+
+def write_atomic(text: str, path: str) -> None:
+    """A small file on the driver, whole or not at all: written beside its place and renamed to it."""
+    folder = Path(path).resolve().parent
+    handle, name = tempfile.mkstemp(dir=folder, prefix=f".{Path(path).name}.")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8", newline="\n") as out:
+            out.write(text)
+            out.flush()
+            os.fsync(out.fileno())
+        os.replace(name, path)
+    except BaseException:
+        Path(name).unlink(missing_ok=True)
+        raise
+
+
 def fingerprint(df: DataFrame, by: str, id_col: str) -> DataFrame:
     """SHA-256 of each group's sorted ids, comma-joined: a sorted partition is hashed as it comes, no group is gathered."""
     kind = df.schema[by].dataType
