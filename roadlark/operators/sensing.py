@@ -94,3 +94,14 @@ def volatility_parts(df: DataFrame, key: str, signals: list[str], driving: Colum
     cell = lambda s, c: F.when(c, F.col(s).cast("double"))
     cols = [F.struct(F.lit(s).alias("signal"), F.lit(p).alias("part"), F.count(cell(s, c)).alias("n"), F.avg(cell(s, c)).alias("mean"), F.stddev_pop(cell(s, c)).alias("sd")) for s in signals for p, c in parts.items()]
     return df.filter(driving).groupBy(key).agg(F.array(*cols).alias("__parts")).select(key, F.inline("__parts"))
+
+
+def thresholds_for(kinds: DataFrame, fitted: DataFrame, kind: str, names: list[str], defaults: dict[str, float], unified: dict[str, float] | None = None) -> DataFrame:
+    """``kinds`` with a threshold for each name: the kind's own row of ``fitted``, without one the row of the first kind by name,
+    without any the defaults; what is ``unified`` overrides all three. The row is taken whole, so a null in it stays null."""
+    own = fitted.select(F.col(kind).alias("__kind"), F.struct(*names).alias("__own"))
+    first = fitted.agg(F.min_by(F.struct(*names), F.col(kind)).alias("__first"))  # one row
+    base = F.struct(*(F.lit(defaults[n]).cast("double").alias(n) for n in names))
+    out = kinds.join(own, F.col(kind) == F.col("__kind"), "left").join(F.broadcast(first))
+    row = F.coalesce(*(x.cast(f"struct<{','.join(f'{n}:double' for n in names)}>") for x in (F.col("__own"), F.col("__first"), base)))
+    return out.select(*kinds.columns, *((F.lit(float(unified[n])) if unified and n in unified else row[n].cast("double")).alias(n) for n in names))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_seconds
-from ..operators import cleaning, contract, cross_checks, evaluation, models, sensing
+from ..operators import cleaning, contract, cross_checks, evaluation, models, replay, sensing
+from ..operators.windows import exact_quantiles
 from ..sources import files
 from ..sources.shared import path as shared_path
 from .evaluation import _AUC, _D, scored
@@ -252,3 +253,23 @@ def risk_clusters(spark, sf_dir):
     d = scored(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     out, k = models.clusters_with_rank(d, range(2, 5), ["p", "p2"], "y", F.col("n_chars") >= 1000)
     return models.risk_group(out).groupBy("cluster", "risk_rank", "risk_group").agg(F.count("*").alias("n")).withColumn("k", F.lit(k))
+
+
+@query()
+def rule_replay(spark, sf_dir):
+    """The rule over users, with event types as codes and values as kilometres."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("code"), F.to_date("ts").alias("day"), F.abs("value").alias("km"))
+    c = table(spark, sf_dir, "customer").join(e.select(F.col("key").alias("c_custkey")).distinct(), "c_custkey", "left_semi")
+    roster = c.select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 5).alias("fold"), (F.col("c_acctbal") / 10000).alias("teacher"), (60 + F.col("c_custkey") % 40).cast("double").alias("final"), (F.col("c_nationkey") % 2 == 0).alias("equipped"))
+    codes = spark.createDataFrame([("click", "g1"), ("view", "g1"), ("error", "g2"), ("purchase", "g3"), ("signup", "g6")], "code string, grp string")
+    counts = e.groupBy("key", "code", "day").agg(F.count("*").alias("n"))
+    return replay.replay_rules(counts, e.select("key", "day", "km"), roster, codes, "2024-01-01", "2024-01-30", "2024-01-21", blind=("purchase",), unscored=("g6",), top=20)
+
+
+@query("""SELECT mode, kind, coalesce(o.p90, f.p90, 1.5) p90, 9.0::DOUBLE p95 FROM (SELECT unnest(['A','N','R','Z']) kind) k LEFT JOIN (SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 3) p90 FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) o ON kind = l_returnflag, (SELECT round(quantile_cont(l_extendedprice, 0.9), 3) p90 FROM lineitem WHERE l_returnflag = 'A') f, (SELECT 'chain' mode)""")
+def threshold_fallback(spark, sf_dir):
+    """Thresholds of kinds, two of which have none of their own."""
+    fitted = exact_quantiles(table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'"), "l_extendedprice", {"p90": 0.9, "p95": 0.95}, "l_returnflag").withColumnRenamed("l_returnflag", "kind")
+    kinds = spark.createDataFrame([(k, "chain") for k in "ANRZ"], "kind string, mode string")
+    out = sensing.thresholds_for(kinds, fitted, "kind", ["p90", "p95"], {"p90": 1.5, "p95": 2.5}, {"p95": 9.0})
+    return out.withColumn("p90", F.round("p90", 3))

@@ -88,6 +88,37 @@ def embedded_json(html: Column, name: str, schema: str) -> Column:
     return F.from_json(F.nullif(F.regexp_extract(html, r"(?m)^window\." + name.replace("$", r"\$") + r" = (\{.*\});$", 1), F.lit("")), schema)
 
 
+def read_ordered(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A headed CSV, all text, with ``ordinal``: the row's place in the file from 0, by the place of its split and within. For one file."""
+    from ..operators.windows import with_position
+
+    src = spark.read.csv(path, header=True, encoding="UTF-8")
+    if key not in src.columns:
+        raise ContractError(f"{path} has no {key}")
+    return with_position(src.select("*", F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__row")), ["__split", "__row"], "ordinal").drop("__split", "__row")
+
+
+def read_member(table: DataFrame, roster: DataFrame, key: str, meta: list[str], blocked: list[str], forbidden: list[str] | None = None) -> DataFrame:
+    """(key, ordinal, features as double) for exactly the keys of ``roster`` (key, ordinal). Columns of ``meta`` and ``blocked`` are no
+    features. A column that is ``forbidden`` here, keys that repeat, are missing or unknown, a text that is no number and a table without
+    features are refused."""
+    if seen := sorted(set(forbidden or []) & set(table.columns)):
+        raise ContractError(f"columns that must not be here: {seen}")
+    names = [c for c in table.columns if c not in {key, "ordinal", *meta, *blocked}]
+    if not names:
+        raise ContractError("no features")
+    held = require_unique(table.withColumn(key, F.trim(F.col(key).cast("string"))), [key])
+    order = require_unique(roster.select(F.trim(F.col(key).cast("string")).alias(key), "ordinal"), [key])
+    text = {c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in names}
+    both = order.withColumn("__r", F.lit(1)).join(held.select(key, F.lit(1).alias("__t"), *(v.alias(c) for c, v in text.items())), key, "full")
+    bad = both.agg(F.count_if(F.col("__r").isNull() | F.col("__t").isNull()).alias("__keys"), *(F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in names)).first()
+    if bad["__keys"]:
+        raise ContractError(f"{bad['__keys']} keys are in one of table and roster only")
+    if wrong := [c for c in names if bad[c]]:
+        raise ContractError(f"not numbers: {wrong}")
+    return both.select(key, "ordinal", *(F.col(c).try_cast("double").alias(c) for c in names))
+
+
 def schema_of(spark: SparkSession, path: str) -> list[str]:
     """Column names without reading data."""
     return spark.read.parquet(path).columns

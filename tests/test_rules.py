@@ -148,3 +148,50 @@ def test_ledger_bytes_and_atomic_write(tmp_path):
     with pytest.raises(TypeError):
         files.write_atomic(None, str(target))
     assert target.read_text() == make({}) and [p.name for p in tmp_path.iterdir()] == ["ledger.json"]
+
+
+def test_route_repeat_equals_all_pairs(spark):
+    from roadlark.operators import trajectory
+
+    rng = random.Random(9)
+    far = [(rng.choice("abc"), rng.choice([0, 1, 2, 5]), rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)]
+    near = [("d", d, 70 + rng.uniform(0, 0.01), 179.995 + rng.uniform(0, 0.01)) for d in (0, 1) for _ in range(25)]
+    near = [(k, d, a, o if o <= 180 else o - 360) for k, d, a, o in near]
+    rows = far + near + near[:3] + [("a", 1, None, 1.0), ("e", 1, 1.0, 1.0), (None, 1, 1.0, 1.0)]
+
+    def metres(p, q):
+        a, b, c, d = map(math.radians, (p[2], p[3], q[2], q[3]))
+        return 2 * 6_371_000 * math.asin(math.sqrt(min(1, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    want = {}
+    full = [r for r in rows if r[0] and r[2] is not None]
+    for p in full:
+        for side in (1, -1):
+            if other := [metres(p, q) for q in full if q[0] == p[0] and q[1] == p[1] + side]:
+                want.setdefault(p[0], []).append(min(other))
+    df = spark.createDataFrame([(k, d, i, a, o) for i, (k, d, a, o) in enumerate(rows)], "key string, day int, id int, lat double, lon double")
+    for src in (df, df.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")))):
+        got = {r.key: r.repeat_m for r in trajectory.route_repeat(src, "key", "day", "id", "lat", "lon").collect()}
+        assert got == {k: pytest.approx(sum(v) / len(v), rel=1e-9) for k, v in want.items()}
+    assert trajectory.route_repeat(df.limit(0), "key", "day", "id", "lat", "lon").count() == 0
+
+
+def test_thresholds_fall_back(spark):
+    kinds = spark.createDataFrame([("x",), ("b",), (None,)], "kind string")
+    fitted = spark.createDataFrame([("b", 3.0, None), ("a", 1.0, 2.0)], "kind string, hi double, lo double")
+    take = lambda f, u=None: {r.kind: (r.hi, r.lo) for r in sensing.thresholds_for(kinds, f, "kind", ["hi", "lo"], {"hi": 9.0, "lo": 8.0}, u).collect()}
+    assert take(fitted) == {"b": (3.0, None), "x": (1.0, 2.0), None: (1.0, 2.0)}
+    assert take(fitted.limit(0)) == dict.fromkeys(("b", "x", None), (9.0, 8.0))
+    assert take(fitted, {"lo": 5})["b"] == (3.0, 5.0)
+
+
+def test_members_in_the_order_of_the_roster(spark, tmp_path):
+    (tmp_path / "roster.csv").write_text("id\nc\na\nb\n")
+    (tmp_path / "member.csv").write_text("id,sample,x,note\na ,s1,1.5,q\nb,s2,,q\nc,s3,3,q\n")
+    roster = files.read_ordered(spark, str(tmp_path / "roster.csv"), "id")
+    table = spark.read.csv(str(tmp_path / "member.csv"), header=True)
+    got = files.read_member(table, roster, "id", ["sample"], ["note"], ["y", "fold"]).orderBy("ordinal").collect()
+    assert [(r.id, r.ordinal, r.x) for r in got] == [("c", 0, 3.0), ("a", 1, 1.5), ("b", 2, None)]
+    for bad, blocked in ((table, []), (table.withColumn("y", F.lit(1)), ["note"]), (table.filter("id <> 'c'"), ["note"]), (table.unionAll(table), ["note"]), (table.select("id", "sample"), ["note"])):
+        with pytest.raises(files.ContractError):
+            files.read_member(bad, roster, "id", ["sample"], blocked, ["y", "fold"])
