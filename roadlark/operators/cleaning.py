@@ -187,6 +187,39 @@ def prune_correlated(df: DataFrame, names: list[str], limit: float = 0.95, ranks
     return kept
 
 
+def finalize_columns(df: DataFrame, declared: list[str], limit: float = 0.95, least_variance: float = 1e-12, twins: tuple[str, str] = ("_per_1000km", "_per_100h")) -> tuple[list[str], list[tuple[str, str, str]]]:
+    """(kept, dropped) of the declared columns in their order. First those with the second of ``twins`` whose twin with
+    the first is declared, then those (almost) constant, then those whose Spearman correlation with a kept one before is
+    over ``limit`` in size. ``dropped``: (column, stage, reason). Ranks are those among a column's own present values."""
+    names, (stays, goes) = list(dict.fromkeys(declared)), twins
+    twin = {c: c[: -len(goes)] + stays for c in names if c.endswith(goes) and c[: -len(goes)] + stays in names}
+    rest = [c for c in names if c not in twin]
+    varied = informative(df, rest, least_variance)
+    dropped = [(c, "dual_track", t) for c, t in twin.items()] + [(c, "near_zero_variance", f"variance at most {least_variance:g}") for c in rest if c not in varied]
+    found = correlations(df, varied)
+    kept: list[str] = []
+    for b in varied:
+        near = next((a for a in kept if found[a, b] is not None and abs(found[a, b]) > limit), None)
+        if near is None:
+            kept.append(b)
+        else:
+            dropped.append((b, "spearman_rho", f"{near} {found[near, b]:.6f}"))
+    return kept, dropped
+
+
+def correlations(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float | None]:
+    """Spearman correlation of every column with each after it, over the rows where both are present."""
+    from .windows import with_average_rank
+
+    pairs = [(a, b) for i, b in enumerate(names) for a in names[:i]]
+    if not pairs:
+        return {}
+    src = with_average_rank(df.select(*(number(F.col(c)).alias(c) for c in names)), {f"__r_{c}": c for c in names})
+    rank = {c: F.when(F.col(c).isNotNull(), F.col(f"__r_{c}")) for c in names}
+    row = src.agg(*(F.corr(rank[a], rank[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs))).first()
+    return {pair: row[f"p{i}"] for i, pair in enumerate(pairs)}
+
+
 def select_by_quota(families: dict[str, list[str]], first: str, first_most: int = 6, each: int = 6, total: int = 40) -> list[str]:
     """The first family's columns, then one of each family in turn, up to the quotas."""
     out = families.get(first, [])[:first_most]

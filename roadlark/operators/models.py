@@ -126,6 +126,38 @@ def platt(df: DataFrame, p: str, label: str) -> tuple[float, float]:
     return float(m.coefficients[0]), float(m.intercept)
 
 
+def platt_by_group(train: DataFrame, p: str, label: str, group: str, own: list, shrunk: list, least_rows: int = 30, least_positives: int = 5) -> Callable[[float], Column]:
+    """From logistic fits of ``train`` a function of n0 that gives the calibrated probability as a column: groups in ``own`` by their own
+    fit, those in ``shrunk`` by n / (n + n0) of theirs and the rest of that of all rows, in logits; other groups, and those with few
+    rows or positives or one class only, by that of all rows. The groups are parameters, so few."""
+    slope, cut = platt(train, p, label)
+    z = logit(F.col(p))
+    sizes = {r[group]: (r["__n"], r["__k"]) for r in train.filter(F.col(group).isin(*own, *shrunk)).groupBy(group).agg(F.count("*").alias("__n"), F.sum(label).alias("__k")).collect()}
+    fits = {g: (*platt(train.filter(F.col(group) == g), p, label), n) for g, (n, k) in sizes.items() if n >= least_rows and least_positives <= k < n}
+
+    def calibrated(n0: float) -> Column:
+        whole = out = slope * z + cut
+        for g, (a, b, n) in fits.items():
+            w = 1.0 if g in own else n / (n + n0)
+            out = F.when(F.col(group) == g, w * (a * z + b) + (1 - w) * whole).otherwise(out)
+        return sigmoid(out)
+
+    return calibrated
+
+
+def best_n0(df: DataFrame, p: str, label: str, group: str, own: list, shrunk: list, fold: str, grid: list[float], splits: int = 3) -> float:
+    """The n0 of best mean AUC over splits of the folds, each fitted on the others; the larger of equals. Splits with one class don't count."""
+    found: dict[float, list[float]] = {n0: [] for n0 in grid}
+    for h in range(splits):
+        fit, held = df.filter(F.col(fold) % splits != h), df.filter(F.col(fold) % splits == h)
+        if fit.select(label).distinct().count() < 2 or held.select(label).distinct().count() < 2:
+            continue
+        at = platt_by_group(fit, p, label, group, own, shrunk)
+        for n0 in grid:
+            found[n0].append(auc(held.withColumn("__c", F.round(at(n0), 12)), "__c", label).first().auc)
+    return max(grid, key=lambda n0: (sum(found[n0]) / len(found[n0]) if found[n0] else 0.5, n0))
+
+
 def cross_fit(df: DataFrame, xs: list[str], y: str, fold: str, folds: list[int], penalty: float = 1.0) -> DataFrame:
     """Each row with ``distilled``, a non-negative ridge of the other folds, for the fidelity to ``y`` out of fold."""
     from .rules import nonnegative_ridge

@@ -273,3 +273,23 @@ def threshold_fallback(spark, sf_dir):
     kinds = spark.createDataFrame([(k, "chain") for k in "ANRZ"], "kind string, mode string")
     out = sensing.thresholds_for(kinds, fitted, "kind", ["p90", "p95"], {"p90": 1.5, "p95": 2.5}, {"p95": 9.0})
     return out.withColumn("p90", F.round("p90", 3))
+
+
+@query()
+def finalized_columns(spark, sf_dir):
+    """The fate of each declared column: twins, constants, monotone images."""
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    p = table(spark, sf_dir, "part").select(price.alias("price"), size.alias("size_per_1000km"), size.alias("size_per_100h"), F.lit(1.0).alias("constant"), F.log(price).alias("log_price"), (-size).alias("minus"))
+    kept, dropped = cleaning.finalize_columns(p, p.columns)
+    return spark.createDataFrame([*((c, "kept", "") for c in kept), *dropped], "column string, stage string, reason string")
+
+
+@query()
+def grouped_platt(spark, sf_dir):
+    """Scores of one fold calibrated by fits of the others, by source and shrunk by the n0 of best AUC."""
+    d = scored(spark, sf_dir).withColumn("fold", (F.col("doc_id") % 5).cast("int"))
+    sources = [r.source for r in d.groupBy("source").count().orderBy(F.desc("count"), "source").limit(2).collect()]
+    train, own, shrunk = d.filter("fold <> 0"), sources[:1], sources[1:]
+    n0 = models.best_n0(train, "p", "y", "source", own, shrunk, "fold", [20.0, 80.0])
+    at = models.platt_by_group(train, "p", "y", "source", own, shrunk)
+    return d.filter("fold = 0").select("doc_id", F.lit(n0).alias("n0"), r6(at(n0)).alias("calibrated"))

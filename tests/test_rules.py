@@ -195,3 +195,33 @@ def test_members_in_the_order_of_the_roster(spark, tmp_path):
     for bad, blocked in ((table, []), (table.withColumn("y", F.lit(1)), ["note"]), (table.filter("id <> 'c'"), ["note"]), (table.unionAll(table), ["note"]), (table.select("id", "sample"), ["note"])):
         with pytest.raises(files.ContractError):
             files.read_member(bad, roster, "id", ["sample"], blocked, ["y", "fold"])
+
+
+def test_finalize_columns_in_three_stages(spark):
+    rng = random.Random(2)
+    x = [rng.random() for _ in range(50)]
+    rows = [(v, v ** 3, -v, 1.0, rng.random(), v, None if i == 3 else float("nan") if i == 4 else v * 2 + 1) for i, v in enumerate(x)]
+    names = ["a_per_1000km", "cube", "down", "flat", "free", "a_per_100h", "b_per_100h"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    kept, dropped = cleaning.finalize_columns(df, [*names, "free"])
+    assert kept == ["a_per_1000km", "free"]
+    assert [d[:2] for d in dropped] == [("a_per_100h", "dual_track"), ("flat", "near_zero_variance"), ("cube", "spearman_rho"), ("down", "spearman_rho"), ("b_per_100h", "spearman_rho")]
+    assert dropped[3][2] == "a_per_1000km -1.000000"
+    assert cleaning.finalize_columns(df, [])[0] == []
+
+
+def test_platt_by_group(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        g = ("low", "high", "none")[i % 3]
+        p = rng.uniform(0.05, 0.95)
+        z = math.log(p / (1 - p)) + {"low": -1.5, "high": 1.5, "none": 0.0}[g]
+        rows.append((i, g, i % 5, p, int(rng.random() < 1 / (1 + math.exp(-z)))))
+    df = spark.createDataFrame([*rows, (999, None, 0, 0.5, 1)], "id int, g string, fold int, p double, y int")
+    at = models.platt_by_group(df, "p", "y", "g", ["low"], ["high", "absent"])
+    got = {r.g: r for r in df.withColumns({"few": at(1e9), "much": at(0.0), "some": at(50.0)}).groupBy("g").agg(*(F.avg(c).alias(c) for c in ("few", "much", "some", "y"))).collect()}
+    assert abs(got["low"].much - got["low"].y) < 0.01 and abs(got["high"].much - got["high"].y) < 0.01  # a fit with an intercept meets its mean
+    assert got["high"].few < got["high"].some < got["high"].much and got["none"].few == got["none"].much and got["low"].few == got["low"].much
+    assert models.best_n0(df, "p", "y", "g", ["low"], ["high"], "fold", [0.0, 1e9]) == 0.0
+    assert models.best_n0(df.filter("y = 1"), "p", "y", "g", ["low"], ["high"], "fold", [20.0, 80.0]) == 80.0
