@@ -120,27 +120,29 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return checkpoint(df)
 
 
-def route_repeat(df: DataFrame, key: str, day: str, id_col: str, lat: str, lon: str, first_metres: float = 200.0) -> DataFrame:
+def route_repeat(df: DataFrame, key: str, day: str, id_col: str, lat: str, lon: str, first_metres: float = 200.0, pairs: int = 1 << 16) -> DataFrame:
     """Mean nearest-point distance between each day and the next with points, both ways.
 
-    Points of one place and day meet once. A place looks into its own and the neighbouring cells of the other day; a
-    neighbour within a cell's size is the nearest for sure, the places without one go on with cells eight times the
-    size. So most places meet few others, and in the last round, with cells larger than a hemisphere, all that are left
-    meet all places of the other day.
+    Points of one place and day meet once. Two days of at most ``pairs`` pairs of places are compared whole. Of larger ones
+    a place looks into its own and the neighbouring cells of the other day; a neighbour within a cell's size is the nearest
+    for sure, the places without one go on with cells eight times the size. So most places meet few others, and in the
+    last round, with cells larger than a hemisphere, all that are left meet all places of the other day.
     """
     number = F.unix_date(day) if df.schema[day].dataType.typeName() == "date" else F.col(day)
     raw = df.select(F.col(key).alias("k"), number.cast("long").alias("d"), F.col(lat).cast("double").alias("la"), F.col(lon).cast("double").alias("lo")).dropna()
     place = _checkpoint(raw.groupBy("k", "d", "la", "lo").agg(F.count("*").alias("times")))
-    sides = F.explode(F.array(F.lit(1), F.lit(-1))).alias("side")
-    days = place.select("k", F.col("d").alias("__d")).distinct()
-    left = place.select("k", "d", "la", "lo", "times", sides).withColumn("other", F.col("d") + F.col("side"))
-    left = _checkpoint(left.join(days.withColumnRenamed("__d", "other"), ["k", "other"], "left_semi"))
-    done, size = [], first_metres
-    while True:
+    days = place.groupBy("k", "d").agg(F.count("*").alias("__n"))
+    left = place.join(days, ["k", "d"]).withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("other", F.col("d") + F.col("side"))
+    left = _checkpoint(left.join(days.select("k", F.col("d").alias("other"), F.col("__n").alias("__m")), ["k", "other"]))
+    few = F.col("__n") * F.col("__m") <= pairs
+    there = place.select("k", F.col("d").alias("other"), F.col("la").alias("la2"), F.col("lo").alias("lo2"))
+    apart = F.min(haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2"))).alias("m")
+    done, size = [left.filter(few).join(there, ["k", "other"]).groupBy("k", "d", "la", "lo", "times", "side").agg(apart).select("k", "times", "m")], first_metres
+    left = left.filter(~few).drop("__n", "__m")
+    while not left.isEmpty():
         last = size > 20_100_000  # over half of a great circle: every place is near enough
         if last:
-            probe, held = left, place.select("k", F.col("d").alias("other"), F.col("la").alias("la2"), F.col("lo").alias("lo2"))
-            on = ["k", "other"]
+            probe, held, on = left, there, ["k", "other"]
         else:
             step = size / 111_000.0
             ci = F.floor(F.col("la") / step).cast("long")
@@ -150,15 +152,12 @@ def route_repeat(df: DataFrame, key: str, day: str, id_col: str, lat: str, lon:
             probe = rows.withColumn("uj", F.explode(near))
             held = place.select("k", F.col("d").alias("other"), F.col("la").alias("la2"), F.col("lo").alias("lo2"), ci.alias("ui"), _column(F.col("lo"), _row_cells(ci, size)).alias("uj"))
             on = ["k", "other", "ui", "uj"]
-        metres = F.min(haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2"))).alias("m")
-        met = probe.join(held, on).groupBy("k", "d", "la", "lo", "times", "side", "other").agg(metres)
+        met = probe.join(held, on).groupBy("k", "d", "la", "lo", "times", "side", "other").agg(apart)
         found = _checkpoint(met if last else met.filter(F.col("m") <= size))
         done.append(found.select("k", "times", "m"))
         if last:
             break
         left = _checkpoint(left.join(found.select("k", "d", "la", "lo", "side"), ["k", "d", "la", "lo", "side"], "left_anti"))
-        if left.isEmpty():
-            break
         size *= 8
     every = done[0]
     for part in done[1:]:

@@ -170,8 +170,9 @@ def test_route_repeat_equals_all_pairs(spark):
             if other := [metres(p, q) for q in full if q[0] == p[0] and q[1] == p[1] + side]:
                 want.setdefault(p[0], []).append(min(other))
     df = spark.createDataFrame([(k, d, i, a, o) for i, (k, d, a, o) in enumerate(rows)], "key string, day int, id int, lat double, lon double")
-    for src in (df, df.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")))):
-        got = {r.key: r.repeat_m for r in trajectory.route_repeat(src, "key", "day", "id", "lat", "lon").collect()}
+    dated = df.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")))
+    for src, pairs in ((df, 0), (df, 100), (dated, 1 << 16)):
+        got = {r.key: r.repeat_m for r in trajectory.route_repeat(src, "key", "day", "id", "lat", "lon", pairs=pairs).collect()}
         assert got == {k: pytest.approx(sum(v) / len(v), rel=1e-9) for k, v in want.items()}
     assert trajectory.route_repeat(df.limit(0), "key", "day", "id", "lat", "lon").count() == 0
 
