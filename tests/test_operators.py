@@ -140,3 +140,16 @@ def test_bootstrap_draws_two_thousand(spark):
     df = spark.createDataFrame(rows, "id long, y int, p double, p2 double")
     r = evaluation.paired_bootstrap_auc(df, "p", "p2", "y", "id").first()
     assert r.draws == 2000 and r.low < r.mean < r.high
+
+
+def test_steady_sum_is_the_same_in_any_order(spark):
+    values = [0.1, 0.7, 0.2, 1e6, 0.07 * 10, 0.3, -1e6, 0.6]
+    orders = [values, values[::-1], sorted(values)]
+    rows = [(i, v) for i, o in enumerate(orders) for v in o]
+    got = {r.s for r in spark.createDataFrame(rows, "k int, v double").coalesce(1).groupBy("k").agg(aggregates.steady_sum(F.col("v")).alias("s")).collect()}
+    assert got == {2.6000000000000001}
+    odd = {"nan": [float("nan"), 1.0], "inf": [float("inf"), 1.0], "huge": [1e300, 1.0], "tiny": [1e-30, 1e-30], "null": [None], "mixed": [None, 0.1, 0.2], "zero": [0.0], "beyond": [1e15] * 8}
+    df = spark.createDataFrame([(k, v) for k, vs in odd.items() for v in vs], "k string, v double")
+    s = {r.k: r.s for r in df.groupBy("k").agg(aggregates.steady_sum(F.col("v")).alias("s")).collect()}
+    assert math.isnan(s.pop("nan"))
+    assert s == {"inf": float("inf"), "huge": 1e300, "tiny": 2e-30, "null": None, "mixed": 0.3, "zero": 0.0, "beyond": 8e15}
