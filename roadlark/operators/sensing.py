@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm, ratio
+from .aggregates import places, steady_mean
 from .windows import exact_quantiles
 
 Vector = tuple[Column, Column, Column]
@@ -89,11 +90,13 @@ def residuals(df: DataFrame, key: str, total: str, driving: Column, name: str =
 
 def volatility_parts(df: DataFrame, key: str, signals: list[str], driving: Column, parts: dict[str, Column]) -> DataFrame:
     """(key, signal, part, n, mean, sd) while driving, for 'all' rows and those of each part (first half, night, not
-    saturated, ...); one pass of conditional sums. A part without rows has n 0 and nulls."""
+    saturated, ...); one pass of conditional sums, the mean the same in any order of rows. A part without rows has n 0 and nulls."""
     parts = {"all": F.lit(True), **parts}
+    src = df.filter(driving).withColumns({f"__{s}": places(F.col(s)) for s in signals})
     cell = lambda s, c: F.when(c, F.col(s).cast("double"))
-    cols = [F.struct(F.lit(s).alias("signal"), F.lit(p).alias("part"), F.count(cell(s, c)).alias("n"), F.avg(cell(s, c)).alias("mean"), F.stddev_pop(cell(s, c)).alias("sd")) for s in signals for p, c in parts.items()]
-    return df.filter(driving).groupBy(key).agg(F.array(*cols).alias("__parts")).select(key, F.inline("__parts"))
+    mean = lambda s, c: steady_mean(cell(s, c), F.when(c, F.col(f"__{s}")))
+    cols = [F.struct(F.lit(s).alias("signal"), F.lit(p).alias("part"), F.count(cell(s, c)).alias("n"), mean(s, c).alias("mean"), F.stddev_pop(cell(s, c)).alias("sd")) for s in signals for p, c in parts.items()]
+    return src.groupBy(key).agg(F.array(*cols).alias("__parts")).select(key, F.inline("__parts"))
 
 
 def thresholds_for(kinds: DataFrame, fitted: DataFrame, kind: str, names: list[str], defaults: dict[str, float], unified: dict[str, float] | None = None) -> DataFrame:

@@ -226,3 +226,14 @@ def test_platt_by_group(spark):
     assert got["high"].few < got["high"].some < got["high"].much and got["none"].few == got["none"].much and got["low"].few == got["low"].much
     assert models.best_n0(df, "p", "y", "g", ["low"], ["high"], "fold", [0.0, 1e9]) == 0.0
     assert models.best_n0(df.filter("y = 1"), "p", "y", "g", ["low"], ["high"], "fold", [20.0, 80.0]) == 80.0
+
+
+def test_volatility_means_are_the_same_in_any_order(spark):
+    tenths = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.07 * 10, 0.8] * 28 + [0.3] * 4  # 102.0 in 256 rows: a tie at six places
+    rng = random.Random(7)
+    rows = [(k, v) for k in range(12) for v in rng.sample(tenths, len(tenths))] + [(99, float("nan")), (99, 1.0)]
+    df = spark.createDataFrame(rows, "k int, az double").coalesce(1)
+    got = {(r.k, r.part): (r.n, r.mean) for r in sensing.volatility_parts(df, "k", ["az"], F.lit(True), {"none": F.col("az") < 0}).collect()}
+    assert math.isnan(got.pop((99, "all"))[1]) and got.pop((99, "none")) == (0, None)
+    assert {v for (_, p), v in got.items() if p == "none"} == {(0, None)}
+    assert {v for (_, p), v in got.items() if p == "all"} == {(256, 0.3984375)}
