@@ -7,6 +7,7 @@ from .lm_scoring import op2_lm_scoring
 from .mixing import op10_mixing
 from .pii import op7_pii
 from .quality_rules import op6_quality_rules
+from .repeats import op13_repeats
 from .sharding import op9_sharding
 from .simhash import op4_simhash
 from .toxicity import op8_toxicity
@@ -24,4 +25,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op13_repeats": op13_repeats,
 }
