@@ -5,7 +5,9 @@ from __future__ import annotations
 from .decontaminate import op3_decontamination
 from .lm_scoring import op2_lm_scoring
 from .mixing import op10_mixing
+from .negatives import op12_negatives
 from .pii import op7_pii
+from .prefix_trie import op11_prefix_trie
 from .quality_rules import op6_quality_rules
 from .repeats import op13_repeats
 from .sharding import op9_sharding
@@ -25,5 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_negatives": op12_negatives,
     "op13_repeats": op13_repeats,
 }
