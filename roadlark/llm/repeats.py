@@ -43,9 +43,9 @@ GRAM = 32
 CHUNK, PIECE = 24 << 20, 1 << 20
 #: Different contexts from which on an anchor is replaced by its windows; the list of such anchors
 #: has at most 2**MOST entries, for which the limit rises with the number of all anchors.
-HOT, MOST = 1 << 15, 20
+HOT, MOST = 1 << 11, 20
 #: Different contexts in a chunk from which on they count towards HOT.
-SEEN = 16
+SEEN = 4
 #: Bytes of contexts in one suffix array, if they belong to several anchors.
 BLOCK = 1 << 20
 #: A null id takes this place in the order.
