@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import running
 from .common import SPACES, cut, table
 
 #: Sequences of a run, and bytes of them; bytes of the sequences of a range.
@@ -251,12 +252,13 @@ def trie(held: DataFrame) -> DataFrame:
     own = cut(joined.withColumn("n_leaves", F.col("n_leaves") + (F.col("n_children") == 0).cast("long")).withColumn("saved_tokens", F.col("saved_tokens") + (F.col("n_convs") - 1) * F.col("words")))
 
     # a node first met on a path holds the nodes after it on that path, and all first met on later paths up to its last
-    paths = edges.select(F.explode(F.array("first_path", "last_path")).alias("from")).distinct().join(own.groupBy("from").agg(F.sum("n_leaves").alias("l"), F.sum("saved_tokens").alias("s")), "from", "left")
-    up_to = Window.orderBy("from").rowsBetween(Window.unboundedPreceding, 0)  # two rows a range
-    running = paths.select("from", *(F.sum(F.coalesce(c, F.lit(0))).over(up_to).alias(c) for c in ("l", "s")))
+    firsts = own.groupBy("from").agg(F.sum("n_leaves").alias("l"), F.sum("saved_tokens").alias("s"))
+    paths = edges.select(F.explode(F.array("first_path", "last_path")).alias("from")).distinct().join(firsts, "from", "left").na.fill(0)
+    before = running(paths, ["from"], {"l_before": "l", "s_before": "s"})
+    up_to = before.select("from", (F.col("l") + F.col("l_before")).alias("l"), (F.col("s") + F.col("s_before")).alias("s"))
     below = Window.partitionBy("from").orderBy(F.col("depth").desc()).rowsBetween(Window.unboundedPreceding, 0)
     sums = own.select("*", F.sum("n_leaves").over(below).alias("ln"), F.sum("saved_tokens").over(below).alias("sn"))
-    begin, end = running.select("from", F.col("l").alias("l0"), F.col("s").alias("s0")), running.select(F.col("from").alias("to"), F.col("l").alias("l1"), F.col("s").alias("s1"))
+    begin, end = up_to.select("from", F.col("l").alias("l0"), F.col("s").alias("s0")), up_to.select(F.col("from").alias("to"), F.col("l").alias("l1"), F.col("s").alias("s1"))
     digests = edges.filter("ends IS NOT NULL").select("path", "first_path", "ends").repartition("path").sortWithinPartitions("path", "first_path").mapInArrow(_digests, "path binary, digest string")
     above = own.select(F.col("path").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     spread = sums.join(begin, "from").join(end, "to").join(above, "parent", "left").join(digests, "path", "left").select(

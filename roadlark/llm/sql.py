@@ -107,6 +107,42 @@ SELECT doc_id, source, epoch::BIGINT epoch, position FROM q WHERE epoch < passes
 SHARDING = "SELECT doc_id, source, strlen(text)::BIGINT n_bytes, md5(text) text_md5 FROM documents"
 
 #: op2, op4, op7 and op8 have no SQL form; tests/llm holds them against brute force, round trips and held-out rows.
+TRIE = r"""
+WITH t AS (SELECT conv_id c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) k, {'r': coalesce(role, ''), 'x': coalesce(text, '')} s FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(s ORDER BY k) s FROM t GROUP BY 1),
+h AS (SELECT *, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(c::VARCHAR, ''), lambda ch: list_concat([ascii(ch)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 h FROM o),
+b AS (SELECT h.c, list_concat(coalesce(list_slice(o.s, 1, h.h), []), list_slice(h.s, h.h + 1, len(h.s))) s FROM h LEFT JOIN o ON o.c = h.c - h.c % 20),
+m AS (SELECT c, d, list_slice(s, 1, d) p, len(s) = d AS done FROM (SELECT c, s, unnest(range(0, len(s) + 1)) d FROM b)),
+n AS (SELECT p, d, min(c) c, count(*) n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (done), '') ends FROM m GROUP BY 1, 2),
+k AS (SELECT list_slice(p, 1, d - 1) p, count(*) kids FROM n WHERE d > 0 GROUP BY 1),
+w AS (SELECT n.*, coalesce(kids, 0) kids, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(string_split_regex(p[d].x, '[\x20\x09-\x0D]+'), lambda v: v <> '')) END saved FROM n LEFT JOIN k USING (p)),
+a AS (SELECT list_slice(p, 1, e) p, sum((kids = 0)::INTEGER) n_leaves, sum(saved) saved FROM (SELECT *, unnest(range(0, d + 1)) e FROM w) GROUP BY 1)
+SELECT w.c conv_id, w.d depth, u.c parent_conv_id, w.n_convs, w.kids n_children, a.n_leaves::BIGINT n_leaves, a.saved::BIGINT saved_tokens, sha256(w.ends) ends_sha256
+FROM w JOIN a USING (p) LEFT JOIN n u ON w.d > 0 AND u.d = w.d - 1 AND u.p = list_slice(w.p, 1, w.d - 1)"""
+
+NEGATIVES = """
+WITH v AS (SELECT row_number() OVER () r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END l, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) e
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r ar, b.r br, a.vec_id anchor_id, b.vec_id, a.l = b.l same, list_inner_product(a.e, b.e)::BIGINT score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (SELECT ar, br, anchor_id, vec_id positive_id, score positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.ar, p.br ORDER BY score DESC, vec_id))::INTEGER "rank", vec_id negative_id, positive_score, score negative_score
+FROM p JOIN s ON p.ar = s.ar AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY "rank" <= 3"""
+
+# in blocks of 1,000 bytes, for a substring far into a text is slow to reach
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(doc_id, 9223372036854775807) o, hex(encode(coalesce(text, ''))) x FROM documents),
+b AS (SELECT r, o, j, substr(x, (2000 * j + 1)::BIGINT, 2198) y FROM (SELECT *, unnest(range(0, (length(x) + 1801) // 2000)) j FROM d)),
+w AS (SELECT r, o, 1000 * j + q p, substr(y, (2 * q + 1)::BIGINT, 200) g FROM (SELECT *, unnest(range(0, length(y) // 2 - 99)) q FROM b)),
+f AS (SELECT r, p FROM w JOIN (SELECT g, min((o, p)) first FROM w GROUP BY 1) USING (g) WHERE (o, p) > first),
+s AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY p) run FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 100 THEN 0 ELSE 1 END new FROM f)),
+i AS (SELECT r, min(p) lo, max(p) + 100 hi FROM s GROUP BY r, run),
+k AS (SELECT r, sum(hi - lo)::BIGINT gone, count(*) spans, list(lo ORDER BY lo) lo, list(hi ORDER BY lo) hi FROM i GROUP BY 1)
+SELECT doc_id, (length(x) // 2)::BIGINT n_bytes, coalesce(gone, 0) n_removed, coalesce(spans, 0) n_spans,
+ sha256(unhex(CASE WHEN gone IS NULL THEN x ELSE array_to_string(list_transform(range(0, spans + 1), lambda j: substr(x, (CASE WHEN j = 0 THEN 1 ELSE 2 * hi[j] + 1 END)::BIGINT,
+  (CASE WHEN j = spans THEN length(x) ELSE 2 * lo[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE 2 * hi[j] END)::BIGINT)), '') END)) kept_sha256
+FROM d LEFT JOIN k USING (r)"""
+
 SQL = {
     "op1_warc": WARC,
     "op3_decontamination": DECONTAMINATION,
@@ -114,4 +150,7 @@ SQL = {
     "op6_quality_rules": _quality(),
     "op9_sharding": SHARDING,
     "op10_mixing": _mixing(),
+    "op11_prefix_trie": TRIE,
+    "op12_negatives": NEGATIVES,
+    "op13_repeats": REPEATS,
 }

@@ -418,7 +418,7 @@ def test_query_equals_sql(spark, name):
     from roadlark.llm.queries import QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     rel = con.sql(SQL[name])
     df = QUERIES[name](spark, SF)
