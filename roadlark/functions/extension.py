@@ -10,7 +10,12 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..operators.scans import equal_keys
 
 
 class Accumulator(Protocol):
@@ -27,48 +32,59 @@ def accumulate(df: DataFrame, key: str, make: Callable[[], Accumulator], result:
     """One row of ``result`` (a schema that begins with the key) for each key.
 
     Each task accumulates its own rows, at most ``most`` keys at a time, so only states are shuffled; a key's states,
-    one for each task and flush, are merged one after another.
+    one for each task and flush, are merged one after another. Null is a key; keys of any size stay exact, and the
+    key column of the rows that ``add`` gets holds the key itself.
     """
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = dict(df.dtypes)[key]
+    held = T._parse_datatype_string(f"__key {kind}, __state binary")
+    arrow, names = to_arrow_schema(held), [f.name for f in T._parse_datatype_string(result).fields]
+    made = to_arrow_schema(T._parse_datatype_string(result))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict = {}
 
-        def out() -> pd.DataFrame:
-            made = pd.DataFrame({key: list(states), "__state": [pickle.dumps(s) for s in states.values()]})
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in states.values()], arrow[0].type), pa.array([pickle.dumps(s) for _, s in states.values()], pa.binary())], schema=arrow)
             states.clear()
-            return made
-
-        for pdf in batches:
-            for k, rows in pdf.groupby(key, sort=False, dropna=False):
-                states.setdefault(k, None)
-                if states[k] is None:
-                    states[k] = make()
-                states[k].add(rows)
+            return batch
+
+        for batch in batches:
+            at = batch.schema.names.index(key)
+            coded = batch.column(at).dictionary_encode(null_encoding="encode")
+            which, keys = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+            pdf = batch.to_pandas()
+            for i, k in enumerate(keys):
+                rows = pdf[which == i] if k is None or len(keys) > 1 else pdf
+                rows = rows.assign(**{key: pd.Series([k] * len(rows), index=rows.index, dtype=object)})
+                own = ("nan",) if k != k else k  # NaN is one key, as null is
+                if own not in states:
+                    states[own] = (k, make())
+                states[own][1].add(rows)
             if len(states) > most:
                 yield out()
         yield out()
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
-        for pdf in batches:
+        rows = lambda found: pa.RecordBatch.from_pylist([{names[0]: k, **s.finish()} for k, s in found], made)
+        for batch in batches:
             out = []
-            for k, raw in zip(pdf[key], pdf["__state"]):
-                if state is not None and k != now:
-                    out.append({key: now, **state.finish()})
-                    state = None
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 other = pickle.loads(raw)
                 if state is None:
                     now, state = k, other
-                else:
+                elif equal_keys((k,), (now,)):
                     state.merge(other)
-            yield pd.DataFrame(out, columns=names)
+                else:
+                    out.append((now, state))
+                    now, state = k, other
+            yield rows(out)
         if state is not None:
-            yield pd.DataFrame([{key: now, **state.finish()}], columns=names)
+            yield rows([(now, state)])
 
-    names = [x.split()[0] for x in result.split(",")]
-    kind = dict(df.dtypes)[key]
-    states = df.mapInPandas(partial, f"{key} {kind}, __state binary")
-    return states.repartition(key).sortWithinPartitions(key).mapInPandas(merged, result)
+    states = df.mapInArrow(partial, f"__key {kind}, __state binary")
+    return states.repartition("__key").sortWithinPartitions("__key").mapInArrow(merged, result)
 
 
 def expand(df: DataFrame, rows_of: Callable[[pd.DataFrame], Iterable[pd.DataFrame]], result: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import ContractError
+from ..sources.shared import checkpoint
 from .joins import repeated_keys
 from .windows import with_position
 
@@ -17,17 +20,101 @@ from .windows import with_position
 # ---- inputs
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sha256, bytes) of every file below a path, hashed where it is read."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+#: Bytes of a file that one leaf of its hash covers.
+LEAF_BYTES = 64 << 20
+
+
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, start, closed, open, bytes): hashes of each range's bytes, with a line feed at the end and without."""
+    names = ["path", "start", "closed", "open", "bytes"]
+    now, digest, size = None, None, 0
+
+    def done() -> pa.RecordBatch:
+        closed = digest.copy()
+        closed.update(b"\n")
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in (*now, closed.hexdigest(), digest.hexdigest(), size + 1)], names=names)
+
+    for batch in batches:
+        paths, starts, lines = (batch.column(i) for i in range(3))
+        for (path, start), (i, j) in _stretches(paths.to_pylist(), starts.to_pylist()):
+            data = b"\n".join(lines.slice(i, j - i).to_pylist())
+            if now == (path, start):
+                digest.update(b"\n")
+                size += 1
+            else:
+                if now:
+                    yield done()
+                now, digest, size = (path, start), hashlib.sha256(), 0
+            digest.update(data)
+            size += len(data)
+    if now:
+        yield done()
+
 
+def _stretches(paths: list, starts: list) -> Iterator[tuple]:
+    begin = 0
+    for i in range(1, len(paths) + 1):
+        if i == len(paths) or (paths[i], starts[i]) != (paths[begin], starts[begin]):
+            yield (paths[begin], starts[begin]), (begin, i)
+            begin = i
 
-def read_locked(spark: SparkSession, path: str, hashes: dict[str, str], columns: list[str] | None = None) -> DataFrame:
-    """Parquet files whose hashes are those of a manifest, with exactly the columns of its ledger."""
-    found = {r.name: r.sha256 for r in file_hashes(spark, path).collect()}  # one row for each file of the manifest
-    if found != hashes:
-        raise ContractError(f"hashes differ for {sorted(k for k in found.keys() | hashes.keys() if found.get(k) != hashes.get(k))}")
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha256, bytes) of every file below a path, by its relative path.
+
+    Files are read in ranges of LEAF_BYTES, each hashed in its task a few lines at a time, so a file may be larger than a
+    row or a task's memory. A file of one range has its plain SHA-256; that of a larger one is the hash of its ranges'
+    hashes in order. A file without bytes isn't listed.
+    """
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in held:  # both, so that ranges begin at multiples of LEAF_BYTES whatever the cluster
+            spark.conf.set(k, LEAF_BYTES)
+        lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+        parts = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+        leaves = checkpoint(parts.mapInArrow(_leaves, "path string, start long, closed string, open string, bytes long"))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    files = leaves.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "closed", "open"))).alias("leaves"), F.sum("bytes").alias("read"))
+    last = F.element_at("leaves", -1)
+    own = F.when(F.col("read") == F.col("bytes"), last["closed"]).otherwise(last["open"])
+    many = F.sha2(F.concat(F.lit("ranges:"), F.array_join(F.transform(F.slice("leaves", 1, F.size("leaves") - 1), lambda x: x["closed"]), ","), F.lit(","), own), 256)
+    sha = F.when(F.col("leaves").isNull(), F.sha2(F.lit(""), 256)).when(F.size("leaves") == 1, own).otherwise(many)
+    return whole.join(files, "path", "left").select(relative(F.col("path"), spark, path).alias("name"), sha.alias("sha256"), "bytes")
+
+
+def relative(file: Column, spark: SparkSession, base: str) -> Column:
+    """A file's path below ``base``; of a file that is the base itself its name."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    root = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().getRawPath().rstrip("/")
+    plain = F.regexp_replace(file, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.when(plain.startswith(root + "/"), F.substring(plain, len(root) + 2, 1 << 30)).otherwise(F.substring_index(plain, "/", -1))
+
+
+def tree_hash(hashes: DataFrame) -> str:
+    """One hash of (name, sha256) rows: those of a folder are folded in the order of their names, then the folders."""
+    folder = F.regexp_extract("name", "^(.*/)?[^/]*$", 1)
+    line = F.concat("name", F.lit(":"), "sha256")
+    folded = hashes.groupBy(folder.alias("folder")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("h"))
+    return folded.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("folder", F.lit(":"), "h"))), "\n"), 256)).first()[0]
+
+
+def read_locked(spark: SparkSession, path: str, hashes: dict[str, str] | str, columns: list[str] | None = None) -> DataFrame:
+    """Parquet files that are those of a manifest, with exactly the columns of its ledger.
+
+    ``hashes`` has every file's hash by its relative path, or is the ``tree_hash`` of all: a file that was changed, added,
+    taken away, renamed or moved is refused.
+    """
+    now = file_hashes(spark, path)
+    if isinstance(hashes, str):
+        if (found := tree_hash(now)) != hashes:
+            raise ContractError(f"the files' hash is {found}, not {hashes}")
+    else:
+        found = {r.name: r.sha256 for r in now.collect()}  # one row for each file of the manifest
+        if found != hashes:
+            raise ContractError(f"hashes differ for {sorted(k for k in found.keys() | hashes.keys() if found.get(k) != hashes.get(k))}")
     df = spark.read.parquet(path)
     if columns is not None and set(df.columns) != set(columns):
         raise ContractError(f"columns differ: {sorted(set(df.columns) ^ set(columns))}")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import scan_by_key
 from .windows import islands
 
 
@@ -29,29 +27,25 @@ def cool_down(df: DataFrame, by: list[str], seconds: str, value: str, wait_s: fl
     """Of events within ``wait_s`` of the last kept one only the larger |value| stays.
 
     A larger event replaces the kept one and moves the clock, so the scan is sequential within a
-    key: sorted partitions are read once with one kept row of state, never a whole group.
+    key: sorted partitions are read once with one kept row of state, never a whole group. A null key is a
+    key, a null value counts as 0, and rows without a time stay as they are.
     """
-    columns = [*by, seconds, value]
-    spread = df.select(*columns).repartition(*by).sortWithinPartitions(*by, seconds, value)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept = None, None
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False, name=None):
-                at, v = row[-2], row[-1]
-                if kept is not None and row[:-2] == key and at - kept[-2] <= wait_s:
-                    if abs(v) > abs(kept[-1]):
-                        kept = row
-                    continue
-                if kept is not None:
-                    out.append(kept)
-                key, kept = row[:-2], row
-            yield pd.DataFrame(out, columns=columns)
-        if kept is not None:
-            yield pd.DataFrame([kept], columns=columns)
-
-    return spread.mapInPandas(scan, df.select(*columns).schema)
+    src = df.select(*by, seconds, value)
+
+    def step(state: list, row: tuple) -> list[tuple]:
+        at, v = row[-2], row[-1]
+        kept = state[0]
+        if kept is None or at - kept[-2] > wait_s:
+            state[0] = row
+            return [kept] if kept is not None else []
+        if abs(v or 0) > abs(kept[-1] or 0):
+            state[0] = row
+        return []
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in src.dtypes)
+    timed = src.filter(F.col(seconds).isNotNull())
+    kept = scan_by_key(timed, by, [seconds, value], lambda row: [None], step, schema, lambda state: [state[0]])
+    return kept.unionByName(src.filter(F.col(seconds).isNull()))
 
 
 def risk_segments(df: DataFrame, contract: DataFrame, by: str, code: str, ts: Column, severity: str, order: str) -> DataFrame:

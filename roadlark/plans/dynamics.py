@@ -154,10 +154,11 @@ class Moments:
         return {"n": self.n, "mean": round(self.total / self.n, 4), "largest": self.largest}
 
 
-@query('SELECT user_id, count(*) n, round(avg("value"),4) mean, max("value") largest FROM events GROUP BY 1')
+@query('SELECT CASE WHEN user_id % 10 <> 0 THEN user_id + 9007199254740992 END user_id, count(*) n, round(avg("value"),4) mean, max("value") largest FROM events GROUP BY 1')
 def accumulator(spark, sf_dir):
-    """A user's own mergeable accumulator."""
-    return extension.accumulate(table(spark, sf_dir, "events").select("user_id", "value"), "user_id", Moments, "user_id long, n long, mean double, largest double")
+    """A user's own mergeable accumulator, by keys over 2**53 and a null one."""
+    key = F.when(F.col("user_id") % 10 != 0, F.col("user_id") + (1 << 53))
+    return extension.accumulate(table(spark, sf_dir, "events").select(key.alias("user_id"), "value"), "user_id", Moments, "user_id long, n long, mean double, largest double")
 
 
 @query("SELECT o_orderstatus status, o_orderpriority priority, count(*) n FROM orders GROUP BY 1, 2 UNION ALL SELECT o_orderstatus, 'all', count(*) FROM orders GROUP BY 1")

@@ -239,7 +239,12 @@ def peak_events(spark, sf_dir):
     return sessions.peak_events(e, ["user_id", "event_type"], "s", "value", 7200).withColumn("peak", r6("peak"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_type, epoch(date_trunc('second', ts))::BIGINT s, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY date_trunc('second', ts), value) rn FROM events),
+r AS (SELECT user_id, event_type, rn, s ks, value kv, 1 AS c FROM e WHERE rn = 1
+ UNION ALL SELECT e.user_id, e.event_type, e.rn, CASE WHEN e.s - r.ks > 21600 OR abs(e.value) > abs(r.kv) THEN e.s ELSE r.ks END, CASE WHEN e.s - r.ks > 21600 OR abs(e.value) > abs(r.kv) THEN e.value ELSE r.kv END, r.c + CASE WHEN e.s - r.ks > 21600 THEN 1 ELSE 0 END
+ FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.rn = r.rn + 1)
+SELECT user_id, event_type, max_by(ks, rn) s, max_by(kv, rn) "value" FROM r GROUP BY user_id, event_type, c""")
 def cool_down_events(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_type", epoch_seconds(F.col("ts")).alias("s"), "value")
     return sessions.cool_down(e, ["user_id", "event_type"], "s", "value", 6 * 3600)

@@ -25,7 +25,12 @@ def hysteresis_door(spark, sf_dir):
     return g.select("user_id", rules.hysteresis(F.transform("days", lambda s: s.x), 0.2, 0.8).alias("final"))
 
 
-@query()
+@query(_PANEL.replace("WITH u", "WITH RECURSIVE u") + """,
+r AS (SELECT user_id, -1::BIGINT AS d, 0.0::DOUBLE risk, 0.0::DOUBLE seen, 80.0::DOUBLE score, false observed FROM u
+ UNION ALL SELECT p.user_id, p.d, CASE WHEN p.n > 0 THEN pow(0.5::DOUBLE, 1/7.0::DOUBLE) * r.risk + 2.0 * p.e ELSE r.risk END, r.seen + p.n,
+ CASE WHEN p.n > 0 THEN least(r.score + 2.0, (r.seen + p.n) / (r.seen + p.n + 5.0) * greatest(0.0, 100.0 - (pow(0.5::DOUBLE, 1/7.0::DOUBLE) * r.risk + 2.0 * p.e)) + (1 - (r.seen + p.n) / (r.seen + p.n + 5.0)) * 80.0) ELSE r.score END, p.n > 0
+ FROM r JOIN p ON p.user_id = r.user_id AND p.d = r.d + 1)
+SELECT user_id, d, round(score, 6) score, observed FROM r WHERE d >= 0""")
 def score_replay(spark, sf_dir):
     days = panel(spark, sf_dir).select("user_id", "d", (F.col("e") * 2.0).alias("points"), F.col("n").cast("double").alias("exposure"))
     return rules.replay(days, "user_id", "d", "points", "exposure").withColumn("score", r6("score"))
