@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, dynamics, evaluation, events, panels, protocol, rules, sensors, stateful  # noqa: F401
+from . import audits, boosted, dynamics, evaluation, events, panels, protocol, rules, sensors, stateful  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
