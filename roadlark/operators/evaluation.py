@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from ..sources.shared import checkpoint
 from .windows import running, with_average_rank, with_position
 
 
@@ -55,19 +57,71 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return with_average_rank(df.select(F.col(a).alias("a"), F.col(b).alias("b")), {"ra": "a", "rb": "b"}).select(F.col("ra").alias("a"), F.col("rb").alias("b")).agg(F.corr("a", "b").alias("spearman"))
 
 
+#: Rows of a range in which inversions are counted, and the most ranges.
+RANGE_ROWS, MAX_RANGES = 1 << 20, 1024
+
+
+def weighted_inversions(order: np.ndarray, weight: np.ndarray) -> int:
+    """Sum of weight[i] weight[j] over i < j with order[i] > order[j], for a permutation ``order``: bit by bit, the weight
+    with a set bit that stands before one without, among those whose higher bits are equal."""
+    total, at = 0, np.arange(len(order))
+    for bit in reversed(range(max(1, len(order)).bit_length())):
+        o, w = order[at], weight[at]
+        one = (o >> bit) & 1
+        group = o >> (bit + 1)
+        ones = np.cumsum(w * one)
+        new = np.concatenate([[True], group[1:] != group[:-1]]) if len(o) else np.zeros(0, bool)
+        before = (ones - w * one)[np.flatnonzero(new)][np.cumsum(new) - 1] if len(o) else ones
+        total += int((w * (1 - one) * (ones - before)).sum())
+        at = at[np.argsort((group << 1) | one, kind="stable")]
+    return total
+
+
+def _inversions(batches: Iterator[pa.RecordBatch], first: list[str]) -> Iterator[pa.RecordBatch]:
+    """The weight of pairs of this partition's rows that lie one way by ``first`` and the other way by (b, a)."""
+    held = list(batches)
+    if not held or not sum(b.num_rows for b in held):
+        return
+    t = pa.Table.from_batches(held)
+    a, b, n = (t.column(c).to_numpy() for c in ("a", "b", "n"))
+    by = np.lexsort([*(t.column(c).to_numpy() for c in reversed(first))])
+    rank = np.empty(len(a), np.int64)
+    rank[np.lexsort((a, b))] = np.arange(len(a))
+    yield pa.RecordBatch.from_arrays([pa.array([weighted_inversions(rank[by], n[by])], pa.int64())], names=["s"])
+
+
 def kendall_tau_b(df: DataFrame, a: str, b: str) -> DataFrame:
-    """From the counts of value pairs; the pairs of different value pairs meet, not those of rows.
+    """Kendall's rank correlation with ties, from the number of inversions: n log n, no pairs of rows meet.
 
-    Both scores are compared with all others, so this is for audit samples of bounded size.
+    Counts by value pair are dealt to ranges of (a, b) and to ranges of (b, a), in which equal values of one side are ordered by the
+    other, so that a value of any frequency is split and ties are no inversions. Pairs in one range of either are counted in its
+    task; pairs apart in both come from a table of counts by ranges, at most MAX_RANGES squared. Rows with a missing value are left
+    out; without two different values on each side the result is null.
     """
-    h = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    other = h.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("m"))
-    met = h.join(other, (F.col("a") < F.col("a2")) & (F.col("b") != F.col("b2")))
-    s = met.agg(F.sum(F.when(F.col("b") < F.col("b2"), 1).otherwise(-1) * F.col("n") * F.col("m")).alias("s"))
-    pairs = lambda c: df.groupBy(c).count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2))
-    ties = pairs(a).toDF("ta").crossJoin(pairs(b).toDF("tb")).crossJoin(df.agg(F.count("*").alias("n")))
-    total = F.col("n") * (F.col("n") - 1) / 2
-    return s.crossJoin(ties).select(ratio(F.coalesce("s", F.lit(0)), F.sqrt((total - F.col("ta")) * (total - F.col("tb")))).alias("kendall_tau_b"))
+    known = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
+    h = checkpoint(known.groupBy("a", "b").agg(F.count("*").alias("n")))
+    ranges = max(1, min(MAX_RANGES, math.ceil(h.count() / RANGE_ROWS)))
+    by_a = checkpoint(h.repartitionByRange(ranges, "a", "b").withColumn("i", F.spark_partition_id()))
+    by_b = checkpoint(by_a.repartitionByRange(ranges, "b", "a").withColumn("k", F.spark_partition_id()))
+    add = lambda src, first: sum(r.s for r in src.select("a", "b", "n", *(["i"] if "i" in first else [])).mapInArrow(functools.partial(_inversions, first=first), "s long").collect())  # noqa: E731  a row for each range
+    opposed = add(by_a, ["a", "b"]) + add(by_b, ["i", "b", "a"])
+    table = [[0] * ranges for _ in range(ranges)]
+    for r in by_b.groupBy("i", "k").agg(F.sum("n").alias("n")).toLocalIterator():
+        table[r.i][r.k] = r.n
+    before = [0] * ranges  # rows of earlier ranges of a, by range of b
+    for line in table:
+        above = 0
+        for k in reversed(range(ranges)):
+            opposed += line[k] * above
+            above += before[k]
+        before = [x + y for x, y in zip(before, line)]
+    pairs = lambda src: src.agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("decimal(38,0)")), F.lit(0))).first()[0]
+    tied = [int(pairs(h.groupBy(c).agg(F.sum("n").alias("n")))) for c in "ab"]
+    both, n = int(pairs(h)), h.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = n * (n - 1) // 2
+    room = (total - tied[0]) * (total - tied[1])
+    tau = (total - tied[0] - tied[1] + both - 2 * opposed) / math.sqrt(room) if room > 0 else None
+    return df.sparkSession.createDataFrame([(tau,)], "kendall_tau_b double")
 
 
 def top_k(df: DataFrame, score: str, id_col: str, quota: float) -> DataFrame:

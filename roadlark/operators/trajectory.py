@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EARTH_M, haversine, night_seconds
+from .nearest import nearest_sums
 from .windows import islands
 
 JUMP_M_PER_S, NEAR_M = 70.0, 50.0
@@ -120,46 +121,27 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return checkpoint(df)
 
 
-def route_repeat(df: DataFrame, key: str, day: str, id_col: str, lat: str, lon: str, first_metres: float = 200.0, pairs: int = 1 << 16) -> DataFrame:
+def route_repeat(df: DataFrame, key: str, day: str, id_col: str, lat: str, lon: str, pairs: int = 1 << 16, least_day: int = 1, least_total: int = 1) -> DataFrame:
     """Mean nearest-point distance between each day and the next with points, both ways.
 
-    Points of one place and day meet once. Two days of at most ``pairs`` pairs of places are compared whole. Of larger ones
-    a place looks into its own and the neighbouring cells of the other day; a neighbour within a cell's size is the nearest
-    for sure, the places without one go on with cells eight times the size. So most places meet few others, and in the
-    last round, with cells larger than a hemisphere, all that are left meet all places of the other day.
+    Days of fewer than ``least_day`` points don't count, nor do keys with fewer than ``least_total`` points on the days that do. Points of one
+    place and day meet once. Two days of at most ``pairs`` pairs of places are compared whole, larger ones by blocks and boxes
+    (``nearest.nearest_sums``), so that places far from all others are compared with few. Rows with a missing value are left out.
     """
     number = F.unix_date(day) if df.schema[day].dataType.typeName() == "date" else F.col(day)
     raw = df.select(F.col(key).alias("k"), number.cast("long").alias("d"), F.col(lat).cast("double").alias("la"), F.col(lon).cast("double").alias("lo")).dropna()
     place = _checkpoint(raw.groupBy("k", "d", "la", "lo").agg(F.count("*").alias("times")))
-    days = place.groupBy("k", "d").agg(F.count("*").alias("__n"))
-    left = place.join(days, ["k", "d"]).withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("other", F.col("d") + F.col("side"))
-    left = _checkpoint(left.join(days.select("k", F.col("d").alias("other"), F.col("__n").alias("__m")), ["k", "other"]))
-    few = F.col("__n") * F.col("__m") <= pairs
+    days = place.groupBy("k", "d").agg(F.count("*").alias("__n"), F.sum("times").alias("__points")).filter(F.col("__points") >= least_day)
+    keys = days.groupBy("k").agg(F.sum("__points").alias("__all")).filter(F.col("__all") >= least_total)
+    days = days.join(keys.select("k"), "k").select("k", "d", "__n")
+    sides = days.withColumn("other", F.explode(F.array(F.col("d") + 1, F.col("d") - 1))).join(days.select("k", F.col("d").alias("other"), F.col("__n").alias("__m")), ["k", "other"])
+    sides = _checkpoint(sides)
+    small = F.col("__n") * F.col("__m") <= pairs
     there = place.select("k", F.col("d").alias("other"), F.col("la").alias("la2"), F.col("lo").alias("lo2"))
-    apart = F.min(haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2"))).alias("m")
-    done, size = [left.filter(few).join(there, ["k", "other"]).groupBy("k", "d", "la", "lo", "times", "side").agg(apart).select("k", "times", "m")], first_metres
-    left = left.filter(~few).drop("__n", "__m")
-    while not left.isEmpty():
-        last = size > 20_100_000  # over half of a great circle: every place is near enough
-        if last:
-            probe, held, on = left, there, ["k", "other"]
-        else:
-            step = size / 111_000.0
-            ci = F.floor(F.col("la") / step).cast("long")
-            rows = left.withColumn("ui", F.explode(F.array(*(ci + i for i in (-1, 0, 1)))))
-            width = _row_cells(F.col("ui"), size)
-            near = F.array_distinct(F.array(*(F.pmod(_column(F.col("lo"), width) + j, width) for j in (-1, 0, 1))))
-            probe = rows.withColumn("uj", F.explode(near))
-            held = place.select("k", F.col("d").alias("other"), F.col("la").alias("la2"), F.col("lo").alias("lo2"), ci.alias("ui"), _column(F.col("lo"), _row_cells(ci, size)).alias("uj"))
-            on = ["k", "other", "ui", "uj"]
-        met = probe.join(held, on).groupBy("k", "d", "la", "lo", "times", "side", "other").agg(apart)
-        found = _checkpoint(met if last else met.filter(F.col("m") <= size))
-        done.append(found.select("k", "times", "m"))
-        if last:
-            break
-        left = _checkpoint(left.join(found.select("k", "d", "la", "lo", "side"), ["k", "d", "la", "lo", "side"], "left_anti"))
-        size *= 8
-    every = done[0]
-    for part in done[1:]:
-        every = every.unionByName(part)
-    return every.groupBy(F.col("k").alias(key)).agg((F.sum(F.col("m") * F.col("times")) / F.sum("times")).alias("repeat_m"))
+    met = place.join(sides.filter(small).select("k", "d", "other"), ["k", "d"]).join(there, ["k", "other"])
+    near = met.groupBy("k", "d", "other", "la", "lo", "times").agg(F.min(haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2"))).alias("m"))
+    every = near.groupBy("k").agg(F.sum(F.col("m") * F.col("times")).alias("metres"), F.sum("times").cast("double").alias("times"))
+    if not (large := sides.filter(~small).select("k", "d", "other")).isEmpty():
+        asked = large.select("k", "d").unionByName(large.select("k", F.col("other").alias("d"))).distinct()
+        every = every.unionByName(nearest_sums(place.join(asked, ["k", "d"], "left_semi"), large))
+    return every.groupBy(F.col("k").alias(key)).agg((F.sum("metres") / F.sum("times")).alias("repeat_m"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import extension
 from ..operators import aggregates, dynamics, joins
+from ..sources.shared import path as shared_path
 from ..streaming import events as streams
+from ..streaming import history
 from .panels import _PANEL, panel
 from .registry import big, query, r6, table
 
@@ -191,3 +193,22 @@ def stream_doors(spark, sf_dir):
     """The last hysteresis state of each user."""
     s = streams.event_stream(spark, sf_dir).select("user_id", "ts", F.least(F.col("value") / 100, F.lit(1.0)).alias("x"), ((F.col("user_id") % 10) / 10.0).alias("teacher"))
     return streams.run(streams.doors(s), "update", ["user_id"])
+
+
+@query(_HISTORY + "SELECT r.user_id, r.day, round(times,6) multiplier, round(risk,6) risk, round(ewma,5) ewma, round(score,5) score, status FROM r JOIN q USING (user_id, d) WHERE r.d BETWEEN 0 AND 26")
+def stream_history(spark, sf_dir):
+    """Daily scores from a stream of days and evidence in several files, up to the last day whose evidence is decided."""
+    folder, at = shared_path(spark, "facts"), F.col("day").cast("timestamp")
+    none = lambda kind: F.lit(None).cast(kind)
+    days = panel(spark, sf_dir).select("user_id", at.alias("ts"), F.col("n").cast("double").alias("exposure"), none("long").alias("event_id"), none("double").alias("points"), none("string").alias("status"))
+    evidence = _evidence(spark, sf_dir).select("user_id", F.col("ts").cast("timestamp").alias("ts"), none("double").alias("exposure"), "event_id", "points", "status")
+    last = spark.createDataFrame([(-1,)], "user_id long").select("user_id", F.expr("timestamp '2024-06-01'").alias("ts"), F.lit(0.0).alias("exposure"), none("long").alias("event_id"), none("double").alias("points"), none("string").alias("status"))
+    days.unionByName(evidence).repartition(6).write.parquet(folder)
+    last.coalesce(1).write.mode("append").parquet(folder)
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        s = history.with_state_store(spark).readStream.schema(history.SCHEMA).option("maxFilesPerTrigger", 3).parquet(folder)
+        out = streams.run(history.score_stream(s, _starts(spark, sf_dir), POLICY, "60 days"), "append")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+    return out.filter("day <= '2024-01-27'").select("user_id", "day", *(r6(c).alias(c) for c in ("multiplier", "risk")), F.round("ewma", 5).alias("ewma"), F.round("score", 5).alias("score"), "status")
