@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,14 +174,12 @@ def without_equal(df: DataFrame, names: list[str], atol: float = 1e-12) -> list[
 
 def prune_correlated(df: DataFrame, names: list[str], limit: float = 0.95, ranks: bool = True) -> list[str]:
     """Keep a column if it correlates by at most ``limit`` with all kept before it (Spearman, or Pearson)."""
-    from .windows import with_average_rank
-
-    src = df.select(*names)
-    if ranks:
-        src = with_average_rank(src, {f"__r_{c}": c for c in names}).select(*(F.col(f"__r_{c}").alias(c) for c in names))
-    src = src.select(*(F.col(c).cast("double").alias(c) for c in names))
     pairs = [(a, b) for i, b in enumerate(names) for a in names[:i]]
-    row = src.agg(*(F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs))).first() if pairs else {}
+    if ranks:
+        found = correlations(df, names)
+        row = {f"p{i}": found[p] for i, p in enumerate(pairs)}
+    else:
+        row = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs))).first() if pairs else {}
     kept: list[str] = []
     for b in names:
         if not any(a in kept and row[f"p{i}"] is not None and abs(row[f"p{i}"]) > limit for i, (a, y) in enumerate(pairs) if y == b):
@@ -190,7 +190,7 @@ def prune_correlated(df: DataFrame, names: list[str], limit: float = 0.95, ranks
 def finalize_columns(df: DataFrame, declared: list[str], limit: float = 0.95, least_variance: float = 1e-12, twins: tuple[str, str] = ("_per_1000km", "_per_100h")) -> tuple[list[str], list[tuple[str, str, str]]]:
     """(kept, dropped) of the declared columns in their order. First those with the second of ``twins`` whose twin with
     the first is declared, then those (almost) constant, then those whose Spearman correlation with a kept one before is
-    over ``limit`` in size. ``dropped``: (column, stage, reason). Ranks are those among a column's own present values."""
+    over ``limit`` in size. ``dropped``: (column, stage, reason). A pair's ranks are those among the rows where both are present."""
     names, (stays, goes) = list(dict.fromkeys(declared)), twins
     twin = {c: c[: -len(goes)] + stays for c in names if c.endswith(goes) and c[: -len(goes)] + stays in names}
     rest = [c for c in names if c not in twin]
@@ -208,16 +208,26 @@ def finalize_columns(df: DataFrame, declared: list[str], limit: float = 0.95, le
 
 
 def correlations(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float | None]:
-    """Spearman correlation of every column with each after it, over the rows where both are present."""
-    from .windows import with_average_rank
+    """Spearman correlation of every column with each after it, over the rows where both are present: a pair's ranks are
+    those among its own common rows. None with fewer than two different values on either side."""
+    from ..sources.shared import checkpoint
+    from .windows import running
 
     pairs = [(a, b) for i, b in enumerate(names) for a in names[:i]]
     if not pairs:
         return {}
-    src = with_average_rank(df.select(*(number(F.col(c)).alias(c) for c in names)), {f"__r_{c}": c for c in names})
-    rank = {c: F.when(F.col(c).isNotNull(), F.col(f"__r_{c}")) for c in names}
-    row = src.agg(*(F.corr(rank[a], rank[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs))).first()
-    return {pair: row[f"p{i}"] for i, pair in enumerate(pairs)}
+    src = df.select(*(number(F.col(c)).alias(c) for c in names))
+    both = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))) for i, (a, b) in enumerate(pairs)]
+    cells = checkpoint(src.select(F.inline(F.filter(F.array(*both), lambda c: c.isNotNull()))).groupBy("pair", "x", "y").agg(F.count("*").alias("n")))
+    values = cells.select("pair", "n", F.inline(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))))
+    before = running(values.groupBy("pair", "side", "v").agg(F.sum("n").alias("n")), ["pair", "side", "v"], {"before": "n"})
+    sizes = before.groupBy("pair", "side").agg(F.min("before").alias("start"), F.sum("n").alias("all"))
+    # the mean rank of a value less that of all rows: sums of these lose nothing to their size
+    ranks = before.join(sizes, ["pair", "side"]).select("pair", "side", "v", (F.col("before") - F.col("start") + F.col("n") / 2 - F.col("all") / 2).alias("r"))
+    of = lambda side: ranks.filter(F.col("side") == side).select("pair", F.col("v").alias(side), F.col("r").alias(f"r{side}"))
+    met = cells.join(of("x"), ["pair", "x"]).join(of("y"), ["pair", "y"])
+    sums = {r.pair: r for r in met.groupBy("pair").agg(*(F.sum(F.col("n") * F.col(f"r{a}") * F.col(f"r{b}")).alias(a + b) for a, b in ("xy", "xx", "yy"))).collect()}  # a row for each pair of columns
+    return {p: sums[i].xy / (sums[i].xx * sums[i].yy) ** 0.5 if i in sums and sums[i].xx * sums[i].yy > 0 else None for i, p in enumerate(pairs)}
 
 
 def select_by_quota(families: dict[str, list[str]], first: str, first_most: int = 6, each: int = 6, total: int = 40) -> list[str]:
@@ -242,6 +252,85 @@ def one_hot(df: DataFrame, col: str, values: list[str], drop_first: bool = False
     return df.withColumns({f"{col}_{v}": F.coalesce((F.col(col) == v).cast("int"), F.lit(0)) for v in values[drop_first:]})
 
 
+def normal_cdf(z: Column) -> Column:
+    """The standard normal distribution function: 1/2 and the density times z + z^3/3 + z^5/15 + ..., exact to 1e-15 for |z| up to 6."""
+    start = F.struct(z.alias("term"), z.alias("total"))
+    step = lambda s, k: F.struct((s["term"] * z * z / (2 * k + 1)).alias("term"), (s["total"] + s["term"] * z * z / (2 * k + 1)).alias("total"))
+    return 0.5 + F.exp(-z * z / 2) / (2 * math.pi) ** 0.5 * F.aggregate(F.sequence(F.lit(1), F.lit(90)), start, step, lambda s: s["total"])
+
+
+def normal_quantile(p: Column) -> Column:
+    """Standard normal quantile: ``inverse_normal`` with a step of Newton's method."""
+    once = lambda z: z - (normal_cdf(z) - p) * (2 * math.pi) ** 0.5 * F.exp(z * z / 2)
+    return F.get(F.transform(F.array(inverse_normal(p)), once), F.lit(0))
+
+
+@dataclass(frozen=True)
+class QuantileNormal:
+    """Columns brought to a normal shape by the quantiles of the rows that it was fitted on, group by group of weight 1 / sqrt(d)."""
+
+    medians: dict[str, float]
+    quantiles: dict[str, list[float]]
+    weights: dict[str, float]
+
+    #: Nothing is further out than the quantile of this share.
+    EDGE = 1e-7
+
+    @classmethod
+    def fit(cls, train: DataFrame, groups: dict[str, list[str]], most: int = 200) -> QuantileNormal:
+        """Medians and up to ``most`` reference quantiles of the columns of each group, from counts by value of all rows of
+        ``train`` in one pass. A column without values has none and becomes 0 everywhere."""
+        from .windows import exact_quantiles
+
+        columns = [c for cs in groups.values() for c in cs]
+        rows = train.select(*(number(F.col(c)).alias(c) for c in columns))
+        n = max(2, min(most, train.count()))
+        at = {f"q{i}": i / (n - 1) for i in range(n)}
+        long = lambda src: src.select(F.inline(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(columns)))))
+        middle = {columns[r.c]: r.m for r in exact_quantiles(long(rows), "v", {"m": 0.5}, "c").collect()}  # a row for each column
+        filled = rows.na.fill(middle) if middle else rows
+        found = {columns[r.c]: [r[k] for k in at] for r in exact_quantiles(long(filled), "v", at, "c").collect()}
+        return cls({c: middle.get(c) for c in columns}, {c: found.get(c, []) for c in columns}, {c: len(cs) ** -0.5 for cs in groups.values() for c in cs})
+
+    def share(self, name: str) -> Column:
+        """Where a value stands among the references, 0 to 1: the mean of the interpolations from below and from above, so that a run of
+        equal references has its middle. A missing value counts as the median."""
+        q = self.quantiles[name]
+        if not q:
+            return F.lit(0.5)
+        x, n, held = F.coalesce(number(F.col(name)), F.lit(self.medians[name])), len(q), F.array(*map(F.lit, q))
+        ref = lambda i: i / F.lit(float(n - 1))
+        upto, under = F.size(F.filter(held, lambda e: e <= x)), F.size(F.filter(held, lambda e: e < x))
+
+        def between(i: Column) -> Column:
+            low, high = F.get(held, i), F.get(held, i + 1)
+            return ref(i) + (x - low) / (high - low) / (n - 1)
+
+        low = F.when(upto == 0, 0.0).when(upto == n, 1.0).otherwise(between(upto - 1))
+        high = F.when(under == 0, 0.0).when(under == n, 1.0).when(x == F.get(held, under), ref(under)).otherwise(between(under - 1))
+        return F.when(x <= q[0], 0.0).when(x >= q[-1], 1.0).otherwise((low + high) / 2)
+
+    def normal(self, name: str) -> Column:
+        return normal_quantile(F.greatest(F.lit(self.EDGE), F.least(F.lit(1 - self.EDGE), self.share(name)))) if self.quantiles[name] else F.lit(0.0)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with each column's normal value times its group's weight."""
+        return df.withColumns({c: self.normal(c) * self.weights[c] for c in self.quantiles})
+
+    def inverse(self, df: DataFrame) -> DataFrame:
+        """Back from ``transform``: values inside the references as they were, those outside at their ends."""
+        return df.withColumns({c: self.value(c, normal_cdf(F.col(c) / self.weights[c])) for c in self.quantiles})
+
+    def value(self, name: str, share: Column) -> Column:
+        q, n = self.quantiles[name], len(self.quantiles[name])
+        if not q:
+            return F.lit(None).cast("double")
+        p = F.when(share <= self.EDGE * 1.0000001, 0.0).when(share >= 1 - self.EDGE * 1.0000001, 1.0).otherwise(share) * (n - 1)
+        i = F.least(F.floor(p), F.lit(n - 2)).cast("int")
+        held = F.array(*map(F.lit, q))
+        return F.get(held, i) + (p - i) * (F.get(held, i + 1) - F.get(held, i))
+
+
 def inverse_normal(p: Column) -> Column:
     """Standard normal quantile by a rational approximation (error under 1.2e-9)."""
     # Acklam's coefficients.

@@ -46,15 +46,15 @@ ESTIMATORS = {
 }
 
 
-def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds: list[int], kind: str | Callable = "logistic", seed: int = 42) -> DataFrame:
-    """``kind`` names an estimator or makes one from a seed. Each row with ``p`` from a model that has not seen its fold; scaling is fitted on training rows too."""
+def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds: list[int], kind: str | Callable = "logistic", seed: int = 42, name: str = "p") -> DataFrame:
+    """``kind`` names an estimator or makes one from a seed. Each row with ``p`` (or ``name``) from a model that has not seen its fold; scaling is fitted on training rows too."""
     parts = []
     for f in folds:
         train, test = (to_vector(df.filter(c), features, "__raw") for c in (F.col(fold) != f, F.col(fold) == f))
         scaler = StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(train)
         model = (ESTIMATORS[kind] if isinstance(kind, str) else kind)(seed).setLabelCol(label).setFeaturesCol("features").fit(scaler.transform(train))
         p = vector_to_array("probability")[1]
-        parts.append(model.transform(scaler.transform(test)).withColumn("p", p).select(*(c for c in df.columns if c != "p"), "p"))
+        parts.append(model.transform(scaler.transform(test)).withColumn(name, p).select(*(c for c in df.columns if c != name), name))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -215,3 +215,43 @@ def risk_group(df: DataFrame, rank: str = "risk_rank") -> DataFrame:
     """``df`` with ``risk_group``: -1 or null is 'insufficient', the highest rank 'high', all others 'low'."""
     top = df.agg(F.max(rank).alias("__top"))  # one row
     return df.join(F.broadcast(top)).withColumn("risk_group", F.when(F.coalesce(F.col(rank), F.lit(-1)) < 0, "insufficient").when(F.col(rank) == F.col("__top"), "high").otherwise("low")).drop("__top")
+
+
+def blend_residuals(df: DataFrame, features: list[str], label: str, fold: str, folds: list[int], group: str, groups: list, inner: dict[int, str], outer: str, grid: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3, 0.5), least_rows: int = 40, least_positives: int = 8, least_gain: float = 1e-4) -> tuple[DataFrame, list[tuple[int, object, float]]]:
+    """(``df`` with ``blended``, [(fold, group, lambda)]): a probability and that of a model of what it leaves unexplained, in logits.
+
+    ``outer`` is the probability of a row from models that haven't seen its fold, ``inner[k]`` that of the rows outside fold k from models that
+    have seen neither their own fold nor k. For each fold and each of ``groups``, logistic models of ``features`` and the
+    logit of the probability are fitted on the rows outside the fold, leaving out one of their folds in turn; the lambda of the grid whose blend
+    (1 - lambda) base + lambda residual has the best AUC there is taken, 0 unless it gains over ``least_gain``, the smaller of equals. The fold's
+    own rows are blended with a model of all rows outside it and have no say. Groups with few rows or positives, one class or fewer
+    than two folds, and all other groups, keep the base.
+    """
+    parts, chosen = [], []
+    taken = F.coalesce(F.col(group).isin(groups), F.lit(False))
+    for k in folds:
+        held, rest = df.filter(F.col(fold) == k), df.filter(F.col(fold) != k)
+        parts.append(held.filter(~taken).withColumn("blended", F.col(outer)))
+        for g in groups:
+            test = held.filter(F.col(group) == g)
+            train = rest.filter(F.col(group) == g).withColumn("__z", logit(F.col(inner[k])))
+            sizes = train.groupBy(fold).agg(F.count("*").alias("n"), F.sum(label).alias("k")).collect()  # a row for each fold
+            n, ones = sum(r.n for r in sizes), sum(r.k for r in sizes)
+            best, names = 0.0, [*features, "__z"]
+            apart = [r[fold] for r in sizes if 0 < ones - r.k < n - r.n]
+            if n >= least_rows and least_positives <= ones < n and len(sizes) > 1 and len(apart) == len(sizes):
+                seen = out_of_fold(train, names, label, fold, sorted(apart), name="__r")
+                blends = F.array(*(F.struct(F.lit(x).alias("lam"), F.round((1 - x) * F.col("__z") + x * logit(F.col("__r")), 12).alias("b")) for x in grid))
+                found = {r.lam: r.auc for r in auc(seen.select(label, F.inline(blends)), "b", label, ["lam"]).collect()}
+                top = max(sorted(grid), key=lambda x: (found[x] if found[x] is not None else -1.0, -x))
+                best = top if found.get(0.0) is None or found[top] > found[0.0] + least_gain else 0.0
+            chosen.append((k, g, best))
+            if best:
+                at = test.withColumn("__z", logit(F.col(outer))).withColumn("__part", F.lit(1))
+                whole = train.withColumn("__part", F.lit(0))
+                made = out_of_fold(whole.unionByName(at), names, label, "__part", [1], name="__r")
+                test = made.withColumn("blended", sigmoid((1 - best) * F.col("__z") + best * logit(F.col("__r"))))
+                parts.append(test.select(*df.columns, "blended"))
+            else:
+                parts.append(test.withColumn("blended", F.col(outer)))
+    return reduce(DataFrame.unionByName, parts), chosen

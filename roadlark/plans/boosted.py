@@ -1,10 +1,14 @@
-"""Queries over boosted models: monotone trees and additive shapes from counts of events by user."""
+"""Queries over fitted models: monotone trees and additive shapes from counts of events by user, quantile transforms, blended residuals."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import boosting
+from ..operators import boosting, cleaning, models
+from .evaluation import _D, scored
 from .registry import AS_OF, query, r6, table
 
 _KINDS = ("click", "error", "purchase", "signup", "view")
@@ -64,3 +68,36 @@ def additive_scores(spark, sf_dir):
     model = boosting.fit_additive(u, list(_KINDS), "y", rounds=3, bins=16)
     out = model.transform(u)
     return out.select("user_id", r6("p").alias("p"), *(r6(F.get("p_terms", F.lit(i))).alias(f"{k}_term") for i, k in enumerate(_KINDS)))
+
+
+_SHARE = """list_transform([{q}], lambda q: CASE WHEN {x} <= q[1] THEN 0.0 WHEN {x} >= q[50] THEN 1.0 ELSE (
+ (len(list_filter(q, lambda e: e <= {x})) - 1 + ({x} - q[len(list_filter(q, lambda e: e <= {x}))]) / (q[len(list_filter(q, lambda e: e <= {x})) + 1] - q[len(list_filter(q, lambda e: e <= {x}))])) / 49.0 +
+ CASE WHEN {x} = q[len(list_filter(q, lambda e: e < {x})) + 1] THEN len(list_filter(q, lambda e: e < {x})) / 49.0 ELSE
+ (len(list_filter(q, lambda e: e < {x})) - 1 + ({x} - q[len(list_filter(q, lambda e: e < {x}))]) / (q[len(list_filter(q, lambda e: e < {x})) + 1] - q[len(list_filter(q, lambda e: e < {x}))])) / 49.0 END) / 2 END)[1]"""
+
+
+@query(_D + f""", r AS (SELECT [i / 49.0::DOUBLE for i in range(50)] at), z AS (SELECT doc_id, (doc_id % 2)::INT fold, p::DOUBLE p, CASE WHEN doc_id % 9 <> 0 THEN p2::DOUBLE END p2 FROM d),
+m AS (SELECT f, median(p) mp, median(p2) mp2 FROM z, (VALUES (0), (1)) t(f) WHERE fold <> f GROUP BY 1),
+q AS (SELECT f, quantile_cont(coalesce(p, mp), (SELECT refs FROM r)) qp, quantile_cont(coalesce(p2, mp2), (SELECT refs FROM r)) qp2 FROM z JOIN m ON fold <> f GROUP BY 1),
+x AS (SELECT doc_id, fold, coalesce(p, mp) p, coalesce(p2, mp2) p2, qp, qp2 FROM z JOIN m ON f = fold JOIN q USING (f))
+SELECT doc_id, fold, round({_SHARE.format(x='p', q='qp')}, 6) p_share, round({_SHARE.format(x='p2', q='qp2')}, 6) p2_share, round(least(greatest(p, qp[1]), qp[50]), 6) p_back, true ordered FROM x""".replace("[i / 49.0::DOUBLE for i in range(50)]", "list_transform(range(50), lambda i: i / 49.0::DOUBLE)"))
+def quantile_normal(spark, sf_dir):
+    """Scores brought to a normal shape by the quantiles of the other fold: shares, the value that comes back, and whether the normal value has the share's side."""
+    d = scored(spark, sf_dir).select("doc_id", (F.col("doc_id") % 2).cast("int").alias("fold"), "p", F.when(F.col("doc_id") % 9 != 0, F.col("p2")).alias("p2"))
+    out = []
+    for f in (0, 1):
+        fitted = cleaning.QuantileNormal.fit(d.filter(F.col("fold") != f), {"scores": ["p", "p2"]}, most=50)
+        part = d.filter(F.col("fold") == f).withColumns({f"{c}_share": fitted.share(c) for c in ("p", "p2")})
+        back = fitted.inverse(fitted.transform(part).withColumn("p_normal", F.col("p")))
+        side = (F.col("p_normal") > 0) == (F.col("p_share") > 0.5)
+        out.append(back.select("doc_id", "fold", r6("p_share").alias("p_share"), r6("p2_share").alias("p2_share"), r6("p").alias("p_back"), (side | (F.abs(F.col("p_share") - 0.5) < 1e-9)).alias("ordered")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query()
+def residual_blend(spark, sf_dir):
+    """A score blended with models of what it leaves unexplained, by language."""
+    d = scored(spark, sf_dir).withColumn("fold", (F.col("doc_id") % 3).cast("int")).withColumn("length", F.length("source").cast("double"))
+    out, chosen = models.blend_residuals(d, ["p2", "length"], "y", "fold", [0, 1, 2], "lang", ["en", "de"], {k: "p" for k in range(3)}, "p")
+    lam = F.coalesce(*(F.when((F.col("fold") == k) & (F.col("lang") == g), F.lit(x)) for k, g, x in chosen), F.lit(0.0))
+    return out.select("doc_id", "fold", "lang", lam.alias("lambda"), r6("blended").alias("blended"))

@@ -53,6 +53,7 @@ def test_first_decisions_late_rows_and_forgotten_keys(store, tmp_path):
         [day(1, "2024-01-01", 10.0), (1, "2024-01-01 12:00:00", None, 5, 4.0, "pending"), (1, "2024-01-01 12:00:00", None, 6, 4.0, "valid")],
         [(1, "2024-01-01 12:00:00", None, 5, 4.0, "exempt"), (1, "2024-01-01 12:00:00", None, 6, 4.0, "exempt")],
         [day(8, "2024-01-20", 1.0)],
+        [day(8, "2024-01-21", 1.0)],
         [(1, "2024-01-01 13:00:00", None, 7, 50.0, "valid"), day(8, "2024-06-01", 1.0)],
         [day(1, "2024-06-02", 5.0), day(8, "2024-07-01", 1.0)],
         [day(8, "2024-08-01", 1.0)],
