@@ -1,9 +1,11 @@
 """Temperature mixing of sources (native expressions only).
 
 A source's weight is its token share to the power alpha, normalised. Alpha is the smallest
-exponent in [0, 1] at which the mixture's entropy is at most ``target_entropy`` (a share of the
-largest possible, ln of the number of sources) and no source is passed more than ``max_epochs``
-times; it is found by bisection, whose steps are aggregates over the table of source totals.
+exponent at which the mixture's entropy is at most ``target_entropy`` (a share of the largest
+possible, ln of the number of sources) and no source is passed more than ``max_epochs`` times. It lies
+below 1 where the sources are less even than that, which evens them out, and above 1 where they are more even;
+there the repetitions grow with it, and if they meet their limit first, alpha is the last exponent within it.
+It is found by bisection, whose steps are aggregates over the table of source totals.
 The budget is by default the least that passes every source once, so nothing is lost.
 
 A source's part of the budget is realised by permutations of its blocks: whole passes, each in
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, cut, table
 
 TARGET_ENTROPY, MAX_EPOCHS, STEPS, AT_ONCE = 0.92, 2.0, 24, 6
+#: The largest exponent that is tried.
+MOST_ALPHA = 33.0
 SEED = "mix"
 #: Rows of the table of sources that may be sent to all workers; a longer table is joined by shuffle.
 MAX_BROADCAST_SOURCES = 50_000
@@ -49,29 +53,44 @@ def _order(source: Column, epoch: Column, block: Column) -> Column:
 
 
 def find_exponent(sources: DataFrame, target_entropy: float = TARGET_ENTROPY, max_epochs: float = MAX_EPOCHS, budget: float | None = None) -> float:
-    """The exponent for a table (source, tokens) of positive totals, to 2**-STEPS.
+    """The exponent for a table (source, tokens) of positive totals, to 2**-STEPS of the range in which it lies.
 
-    Where no exponent meets the limits (sources as even as can be, for one, are over any entropy below 1)
-    it is 1, the sources' own shares, and a warning says so.
+    Where no exponent up to MOST_ALPHA meets the target (sources of equal size have the same shares at any) and none meets the limit
+    of repetitions, or the given budget alone is over it, it is 1, the sources' own shares, and a warning says so.
     """
     total, most, n = sources.agg(F.sum("tokens"), F.max("tokens"), F.count("*")).first()
     if not n or n == 1:
         return 1.0
-    low, high = 0.0, 1.0
-    for _ in range(STEPS // AT_ONCE):
-        parts = 1 << AT_ONCE
-        grid = sources.crossJoin(F.broadcast(sources.sparkSession.range(parts + 1).select(F.lit(low) + F.col("id") * ((high - low) / parts)).toDF("alpha")))
+
+    def at(low: float, high: float, parts: int) -> list[tuple[float, bool, bool]]:
+        """(alpha, even enough, few enough passes) of evenly spaced exponents."""
+        grid = sources.crossJoin(F.broadcast(sources.sparkSession.range(parts + 1).select(F.lit(low) + F.col("id") * ((high - low) / max(1, parts))).toDF("alpha")))
         p = F.col("tokens") / F.lit(float(total))
-        sums = grid.select("alpha", p.alias("p"), F.pow(p, F.col("alpha")).alias("x")).groupBy("alpha").agg(
-            F.sum("x").alias("z"), F.sum(F.col("x") * F.log("x")).alias("xl"), F.max(F.col("x") / F.col("p")).alias("most"), F.min(F.col("x") / F.col("p")).alias("least"))
+        # shares of the largest source, so that large exponents don't vanish
+        sums = grid.select("alpha", p.alias("p"), F.pow(p / F.lit(most / total), F.col("alpha")).alias("x")).groupBy("alpha").agg(
+            F.sum("x").alias("z"), F.sum(F.when(F.col("x") > 0, F.col("x") * F.log("x")).otherwise(0.0)).alias("xl"), F.max(F.col("x") / F.col("p")).alias("most"), F.min(F.col("x") / F.col("p")).alias("least"))
         entropy = F.log("z") - F.col("xl") / F.col("z")
         passes = F.col("most") / F.col("least") if budget is None else F.col("most") / F.col("z") * (budget / total)
-        fits = sums.filter((entropy <= target_entropy * F.log(F.lit(float(n)))) & (passes <= max_epochs)).agg(F.min("alpha")).first()[0]
-        if fits is None and high == 1.0:
+        found = sums.select("alpha", (entropy <= target_entropy * F.log(F.lit(float(n)))).alias("e"), F.coalesce(passes <= max_epochs, F.lit(False)).alias("f")).orderBy("alpha").collect()  # a row for each exponent
+        return [(r.alpha, r.e, r.f) for r in found]
+
+    ((_, even, few),) = at(1.0, 1.0, 0)
+    low, high = (0.0, 1.0) if even else (1.0, MOST_ALPHA)
+    # under 1 the first exponent that meets both limits, over 1 the first that meets the target or breaks the limit
+    meets = (lambda e, f: e and f) if even else (lambda e, f: e or not f)
+    ok = True
+    for _ in range(STEPS // AT_ONCE):
+        parts = 1 << AT_ONCE
+        found = at(low, high, parts)
+        hit = next((i for i, (_, e, f) in enumerate(found) if meets(e, f)), None)
+        if not few or hit is None and high in (1.0, MOST_ALPHA):
             warnings.warn(f"no exponent gives an entropy of {target_entropy} of the largest within {max_epochs} passes; the sources keep their shares", stacklevel=2)
             return 1.0
-        high, low = (high, high - (high - low) / parts) if fits is None else (fits, max(low, fits - (high - low) / parts))
-    return high
+        if hit is None:
+            low = high - (high - low) / parts
+        else:
+            high, low, ok = found[hit][0], found[max(0, hit - 1)][0], found[hit][2]
+    return high if ok else low
 
 
 def source_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, target_entropy: float, max_epochs: float, budget: float | None) -> DataFrame:
@@ -83,7 +102,8 @@ def source_plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
     alpha = find_exponent(used, target_entropy, max_epochs, budget)
     total = used.agg(F.sum("tokens")).first()[0] or 1
     p = F.col("tokens") / F.lit(float(total))
-    x = F.pow(p, F.lit(alpha))
+    largest = used.agg(F.max("tokens")).first()[0] or 1
+    x = F.pow(F.col("tokens") / F.lit(float(largest)), F.lit(alpha))
     z, least = used.agg(F.sum(x), F.min(x / p)).first()
     epochs = F.round(x / p / F.lit(least or 1.0) if budget is None else x / p / F.lit(z or 1.0) * F.lit(budget / total), 6)
     plan = sources.select("__rl_source", "tokens", F.when(F.col("tokens") > 0, x / F.lit(z or 1.0)).otherwise(0.0).alias("__rl_weight"), F.when(F.col("tokens") > 0, epochs).otherwise(1.0).alias("__rl_epochs"))

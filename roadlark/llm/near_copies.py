@@ -13,11 +13,12 @@ agree in one of ``BANDS`` bands of ``ROWS`` least hashes are linked to the least
 components of all links are candidate groups: a pair of similarity s is missed with probability
 (1 - s^ROWS)^BANDS at most, 6e-5 at 0.8.
 
-Groups of more than ``LARGE`` nodes are first held against their first ``HEADS`` members, in as many parts as
-they need: of these some are kept, what is like a kept one is gone, and so on for ``ROUNDS`` rounds, so a large
-group of near copies is no single task's. In what is left of a group each node, in the order of ids, meets the kept
-ones that share one of its least hashes (prefix filter, exact); a task holds the kept sets of one group, never
-the dropped ones. The texts of all candidates are gathered once.
+Groups of more than ``LARGE`` nodes are held against their first members in the order of ids, in as many parts as
+they need: of these some are kept, what is like a kept one is gone, and so on with more members each round, from
+``HEADS`` up to ``MOST_HEADS``, until no group is larger. So neither a large group of near copies nor what is left of one is a
+single task's. In a group of LARGE or less each node, in the order of ids, meets the kept ones that share one of its
+least hashes (prefix filter, exact); a task holds the kept sets of one group, never the dropped ones. The texts of
+all candidates are gathered once.
 
 Defined results: null and empty texts are copies of each other; texts of fewer words than a shingle
 are one shingle; rows without an id stay; an empty table stays empty.
@@ -42,8 +43,8 @@ from .simhash import fingerprint, keep_firsts, links
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
-#: Members of a group that one task compares with the group's first HEADS, and how often that is done.
-LARGE, HEADS, ROUNDS = 256, 16, 4
+#: Members of a group that one task takes; first members that a large group is held against, at first and at most.
+LARGE, HEADS, MOST_HEADS = 256, 16, 1024
 #: Rows of two numbers that may be sent to all workers; more are joined by shuffle.
 MAX_SENT = 500_000
 _RNG = np.random.default_rng(20)
@@ -116,48 +117,43 @@ def _to_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h[apart]), pa.array(to[apart])], names=["u", "v"])
 
 
-def _copies(batches: Iterator[pa.RecordBatch], n: int, thousandths: int) -> Iterator[pa.RecordBatch]:
-    """(root, h, text) in the order of root and id -> the h that are near copies of one kept before."""
-    seen, now, last = Words(), None, None
-    kept: list[np.ndarray] = []
-    index: dict[int, list[int]] = {}
-    for batch in batches:
-        out = []
-        for root, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
-            if root != now:
-                now, last, kept, index = root, None, [], {}
-            x = shingles(text, n, seen)
-            if h == last or set_hash(x) != h:  # the row again, or another text under the same id
-                continue
-            last = h
-            prefix = x[: len(x) + 1 + -thousandths * len(x) // 1000].tolist()
-            if any(similar(x, kept[k], thousandths) for k in sorted({k for p in prefix for k in index.get(p, ())})):
-                out.append(h)
-            else:
-                for p in prefix:
-                    index.setdefault(p, []).append(len(kept))
-                kept.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
+class Kept:
+    """Kept sets, by the least hashes that a set similar to one of them shares with it."""
+
+    def __init__(self, thousandths: int):
+        self.thousandths = thousandths
+        self.sets: list[np.ndarray] = []
+        self.index: dict[int, list[int]] = {}
+
+    def _prefix(self, x: np.ndarray) -> list[int]:
+        return x[: len(x) + 1 + -self.thousandths * len(x) // 1000].tolist()
 
+    def like(self, x: np.ndarray) -> bool:
+        return any(similar(x, self.sets[k], self.thousandths) for k in sorted({k for p in self._prefix(x) for k in self.index.get(p, ())}))
 
-def _like_heads(batches: Iterator[pa.RecordBatch], n: int, thousandths: int) -> Iterator[pa.RecordBatch]:
-    """(root, salt, member, h, text), the heads of a root and salt before its members, each in the order of
-    ids -> the h that are near copies of a head that is kept."""
-    seen, now, last = Words(), None, None
-    kept: list[np.ndarray] = []
+    def add(self, x: np.ndarray) -> None:
+        for p in self._prefix(x):
+            self.index.setdefault(p, []).append(len(self.sets))
+        self.sets.append(x)
+
+
+def _copies(batches: Iterator[pa.RecordBatch], n: int, thousandths: int) -> Iterator[pa.RecordBatch]:
+    """(root, salt, member, h, text), by root and salt, members last, each in the order of ids -> the h that are
+    near copies of one kept before. A member is kept by none but itself: it is compared and forgotten."""
+    seen, now, last, kept = Words(), None, None, Kept(thousandths)
     for batch in batches:
         out = []
         for root, salt, member, h, text in zip(*(batch.column(i).to_pylist() for i in range(4)), as_bytes(batch.column(4))):
             if (root, salt) != now:
-                now, last, kept = (root, salt), None, []
+                now, last, kept = (root, salt), None, Kept(thousandths)
             x = shingles(text, n, seen)
             if h == last or set_hash(x) != h:  # the row again, or another text under the same id
                 continue
             last = h
-            if any(similar(x, y, thousandths) for y in kept):
+            if kept.like(x):
                 out.append(h)
             elif not member:
-                kept.append(x)
+                kept.add(x)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
 
 
@@ -175,20 +171,27 @@ def _sent(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= MAX_SENT else keys
 
 
-def _against_heads(texts: DataFrame, n: int, thousandths: int) -> tuple[DataFrame, DataFrame]:
-    """Of the nodes (root, h, least, text) of large groups those that are near copies of a kept head, and the heads."""
+def _against_heads(texts: DataFrame, heads: int, n: int, thousandths: int) -> tuple[DataFrame, DataFrame]:
+    """Of the nodes (root, h, least, text) of large groups those that are near copies of a kept head, and the heads: about
+    ``heads`` of each group, all that come before some place in the order of ids."""
     large = cut(texts.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("root", F.ceil(F.col("n") / LARGE).cast("int").alias("parts")))
     own = texts.join(_sent(large), "root")
-    salt = F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")
-    first = own.select("root", salt.alias("salt"), "h", "least", "parts").distinct()
-    for by in (["root", "salt"], ["root"]):  # first of each part, so that none sees a large group whole
-        first = first.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("least", "h"))).filter(F.col("place") <= HEADS)
-    heads = cut(first.select("h", "parts"))
-    members = own.join(_sent(heads.select("h")), "h", "left_anti").select("root", salt.alias("salt"), F.lit(True).alias("member"), "least", "h", "text")
-    first = texts.join(_sent(heads), "h").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"), "least", "h", "text")
+    salt = lambda parts: F.pmod(F.xxhash64("h"), parts).cast("int")
+    # the first of each part, as far as no part hides one that comes before them
+    first = own.select("root", salt(F.col("parts")).alias("salt"), F.struct("least", "h").alias("at"), F.greatest(F.lit(1), F.ceil(F.lit(4 * heads) / F.col("parts"))).alias("most")).distinct()
+    place = F.row_number().over(Window.partitionBy("root", "salt").orderBy("at"))
+    shown = cut(first.withColumn("place", place).filter(F.col("place") <= F.col("most")))
+    full = shown.groupBy("root", "salt").agg(F.max("at").alias("end"), (F.count("*") == F.max("most")).alias("full")).filter("full")
+    ends = full.groupBy("root").agg(F.min("end").alias("end"))
+    chosen = shown.join(_sent(cut(ends)), "root", "left").filter(F.col("end").isNull() | (F.col("at") <= F.col("end"))).select("root", F.col("at.h").alias("h"))
+    chosen = cut(chosen)
+    sizes = chosen.groupBy("root").agg(F.count("*").alias("k"))
+    parts = cut(large.join(sizes, "root").select("root", F.ceil(F.col("parts") * LARGE / F.greatest(F.lit(LARGE), F.col("k"))).cast("int").alias("parts")))
+    members = texts.join(_sent(parts), "root").join(_sent(chosen.select("h")), "h", "left_anti").select("root", salt(F.col("parts")).alias("salt"), F.lit(True).alias("member"), "least", "h", "text")
+    first = texts.join(_sent(chosen.select("h")), "h").join(_sent(parts), "root").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"), "least", "h", "text")
     dealt = members.unionAll(first).repartition("root", "salt").sortWithinPartitions("root", "salt", "member", "least", "h").select("root", "salt", "member", "h", "text")
-    gone = cut(dealt.mapInArrow(functools.partial(_like_heads, n=n, thousandths=thousandths), "h long").distinct())
-    return gone, heads.select("h")
+    gone = cut(dealt.mapInArrow(functools.partial(_copies, n=n, thousandths=thousandths), "h long").distinct())
+    return gone, chosen.select("h")
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -203,15 +206,14 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = roots.select(F.col("node").alias("h"), "root").unionAll(roots.select(F.col("root").alias("h"), "root").distinct())
     asked = members.join(nodes.select("h", "least"), "h")
     all_texts = cut(named.join(asked, F.col("doc_id") == F.col("least")).select("root", "h", "least", "text"))
-    texts, gone, decided = all_texts, None, None
-    for _ in range(ROUNDS):
-        if texts.groupBy("root").count().filter(F.col("count") > LARGE).isEmpty():
-            break
-        like, heads = _against_heads(texts, shingle, thousandths)
+    texts, gone, decided, heads = all_texts, None, None, HEADS
+    while not texts.groupBy("root").count().filter(F.col("count") > LARGE).isEmpty():
+        like, first = _against_heads(texts, heads, shingle, thousandths)
         gone = like if gone is None else gone.unionAll(like)
-        decided = like.unionAll(heads) if decided is None else decided.unionAll(like).unionAll(heads)
+        decided = like.unionAll(first) if decided is None else decided.unionAll(like).unionAll(first)
         texts = all_texts.join(_sent(decided), "h", "left_anti")
-    copies = texts.repartition("root").sortWithinPartitions("root", "least", "h").select("root", "h", "text")
+        heads = min(MOST_HEADS, 4 * heads)
+    copies = texts.repartition("root").sortWithinPartitions("root", "least", "h").select("root", F.lit(0).alias("salt"), F.lit(False).alias("member"), "h", "text")
     last = copies.mapInArrow(functools.partial(_copies, n=shingle, thousandths=thousandths), "h long")
     gone = (last if gone is None else last.unionAll(gone)).select(F.col("h").alias("__rl_gone"))
     found = rows.select("doc_id", "h").join(nodes.select("h", "least"), "h").join(gone, F.col("h") == F.col("__rl_gone"), "left")

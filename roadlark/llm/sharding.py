@@ -1,7 +1,7 @@
 """Size-tiered compaction of immutable Parquet shards under versioned manifests.
 
 ``append`` writes arrivals as small shards that never change; ``compact`` merges runs of shards
-of one size tier into files of about the target size; each ends by committing a new manifest.
+of similar size into files of about the target size; each ends by committing a new manifest.
 A manifest lists all live files with bytes; it is written beside its final name and renamed,
 and the rename fails if the version exists, so a version is there whole or not at all and of two
 writers one loses and nothing of its work is seen. Readers name a version and never see files
@@ -12,18 +12,17 @@ Spark's own commit protocol; the files of a failed job are in no manifest and ``
 they are older than ``keep_seconds``, so what another writer has written and not yet committed stays, as
 do the files of the newest ``keep_versions`` versions.
 
-A tier is merged by reading its files and coalescing their partitions, so no row is shuffled,
+A run is merged by reading its files and coalescing their partitions, so no row is shuffled,
 whatever the source, key or length of a document.
 
 Defined results: nulls, empty and very long texts, repeated rows and extra columns are stored
-as they are; an empty table gives a version without rows that keeps the columns; a tier of fewer
-than ``fanout`` small files waits for more arrivals.
+as they are; an empty table gives a version without rows that keeps the columns; fewer than
+``fanout`` small files of similar size wait for more arrivals.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import time
 import uuid
 
@@ -36,6 +35,8 @@ from .common import shared_path, table
 TARGET_BYTES = 64 << 20
 FANOUT = 4
 KEEP_SECONDS, KEEP_VERSIONS = 7 * 86400.0, 3
+#: Of the query: lots in which the documents arrive, and rows of one of their shards.
+ARRIVALS, SMALL_ROWS = FANOUT, 5000
 
 
 class CommitConflict(RuntimeError):
@@ -105,31 +106,24 @@ class ShardStore:
         base = self.manifest()
         return self._commit(base, arrivals.schema, base["files"] + self._write(arrivals, self.small_rows))
 
-    def tier(self, size: int) -> int:
-        """0 for shards of at least the target; else how many times FANOUT smaller they are, rounded up."""
-        return max(0, math.ceil(math.log(self.target / max(size, 1), self.fanout)))
-
     def compact(self) -> int:
-        """Merge every tier that has a run of ``fanout`` files, smallest first, until none has; one commit."""
+        """Merge runs of ``fanout`` or more files of similar size, none ``fanout`` times another, smallest first, until there are none; one commit."""
         base = self.manifest()
-        files, changed = base["files"], False
         schema = T.StructType.fromJson(base["schema"]) if base["schema"] else T.StructType()
-        tiers: dict[int, list[dict]] = {}
-        for f in files:
-            tiers.setdefault(self.tier(f["bytes"]), []).append(f)
-        for k in sorted((k for k in tiers if k), reverse=True):
-            run = tiers.pop(k, [])
+        size = lambda f: f["bytes"]
+        whole = [f for f in base["files"] if size(f) >= self.target]
+        small, at, changed = sorted((f for f in base["files"] if size(f) < self.target), key=size), 0, False
+        while at < len(small):
+            run = [f for f in small[at:] if size(f) <= self.fanout * max(1, size(small[at]))]
             if len(run) < self.fanout:
-                tiers[k] = run
+                at += 1
                 continue
-            held = sum(f["bytes"] for f in run)
-            n = max(1, round(held / self.target)) if held >= self.target else 1
-            merged = self._write(self.spark.read.schema(schema).parquet(*(f["path"] for f in run)).coalesce(n))
-            for f in merged:
-                # What is still small waits in its new tier, which comes later in this loop if it is a larger one.
-                tiers.setdefault(min(self.tier(f["bytes"]), k - 1), []).append(f)
-            changed = True
-        return self._commit(base, schema, [f for run in tiers.values() for f in run]) if changed else base["version"]
+            # fewer files than before, so this ends
+            merged = self._write(self.spark.read.schema(schema).parquet(*(f["path"] for f in run)).coalesce(max(1, sum(map(size, run)) // self.target)))
+            whole += [f for f in merged if size(f) >= self.target]
+            small = sorted(small[:at] + small[at + len(run):] + [f for f in merged if size(f) < self.target], key=size)
+            at, changed = 0, True
+        return self._commit(base, schema, whole + small) if changed else base["version"]
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
@@ -161,5 +155,15 @@ def shard(docs: DataFrame, root: str | None = None, target_bytes: int = TARGET_B
 
 
 def op9_sharding(spark, sf_dir):
-    store, version = shard(table(spark, sf_dir, "documents"))
-    return store.read(version).select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+    """Documents that arrive in ARRIVALS lots of small shards, compacted: what a reader of the committed version gets, with the lot,
+    the version, and whether the row's file is a merged one."""
+    store = ShardStore(spark, shared_path(spark, "shards"), small_rows=SMALL_ROWS)
+    lot = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("arrival:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 4), 16, 10).cast("int"), F.lit(ARRIVALS))
+    docs = table(spark, sf_dir, "documents").withColumn("arrival", lot)
+    for k in range(ARRIVALS):
+        store.append(docs.filter(F.col("arrival") == k))
+    arrived = {f["path"].rsplit("/", 2)[1] for f in store.manifest()["files"]}  # a folder for each arrival
+    version = store.compact()
+    folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    rows = store.read(version).select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"), "arrival", F.lit(version).cast("long").alias("version"), (~folder.isin(arrived)).alias("merged"))
+    return rows

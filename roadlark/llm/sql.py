@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, sharding
 from .decontaminate import SPAN
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -83,17 +83,22 @@ SELECT doc_id, n_words, word_chars::BIGINT word_chars, n_symbols::BIGINT n_symbo
 
 def _mixing() -> str:
     source, block = "coalesce('=' || source, '')", f"substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 3)"
-    fits = f"""(SELECT ln(sum(x)) - sum(x * ln(x)) / sum(x) <= {mixing.TARGET_ENTROPY} * ln(count(*)) AND max(x / p) / min(x / p) <= {mixing.MAX_EPOCHS} FROM (SELECT tok / (SELECT sum(tok) FROM t)::DOUBLE p, pow(tok / (SELECT sum(tok) FROM t)::DOUBLE, {{a}}) x FROM t))"""
-    steps, last = ["b0 AS (SELECT 0.0::DOUBLE lo, 1.0::DOUBLE hi)"], "b0"
+    share = "tok / (SELECT sum(tok) FROM t)::DOUBLE"
+    of = "(SELECT {what} FROM (SELECT " + share + " p, pow(tok / (SELECT max(tok) FROM t)::DOUBLE, {a}) x FROM t))"
+    even = of.replace("{what}", f"ln(sum(x)) - sum(CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END) / sum(x) <= {mixing.TARGET_ENTROPY} * ln(count(*))")
+    few = of.replace("{what}", f"coalesce(max(x / p) / nullif(min(x / p), 0) <= {mixing.MAX_EPOCHS}, false)")
+    steps, last = [f"b0 AS MATERIALIZED (SELECT CASE WHEN {even.format(a='1.0')} THEN 0.0 ELSE 1.0 END::DOUBLE lo, CASE WHEN {even.format(a='1.0')} THEN 1.0 ELSE {mixing.MOST_ALPHA} END::DOUBLE hi, {even.format(a='1.0')} AS under)"], "b0"
     for k in range(1, mixing.STEPS + 1):
-        ok = fits.format(a=f"(SELECT (lo + hi) / 2 FROM {last})")
-        steps.append(f"b{k} AS MATERIALIZED (SELECT CASE WHEN ok THEN lo ELSE (lo + hi) / 2 END lo, CASE WHEN ok THEN (lo + hi) / 2 ELSE hi END hi FROM {last}, (SELECT {ok} ok))")
+        middle = f"(SELECT (lo + hi) / 2 FROM {last})"
+        ok = f"(SELECT CASE WHEN under THEN {even.format(a=middle)} AND {few.format(a=middle)} ELSE {even.format(a=middle)} OR NOT {few.format(a=middle)} END FROM {last})"
+        steps.append(f"b{k} AS MATERIALIZED (SELECT CASE WHEN ok THEN lo ELSE (lo + hi) / 2 END lo, CASE WHEN ok THEN (lo + hi) / 2 ELSE hi END hi, under FROM {last}, (SELECT {ok} ok))")
         last = f"b{k}"
     return rf"""
 WITH k AS MATERIALIZED (SELECT {source} src, {block} blk, sum(len({_WORDS.format("coalesce(text, '')")}))::BIGINT tok FROM documents GROUP BY 1, 2),
 s AS MATERIALIZED (SELECT src, sum(tok)::BIGINT tok FROM k GROUP BY 1), t AS MATERIALIZED (SELECT * FROM s WHERE tok > 0), {', '.join(steps)},
-al AS MATERIALIZED (SELECT CASE WHEN (SELECT count(*) FROM t) <= 1 THEN 1.0 WHEN {fits.format(a='0.0')} THEN 0.0 ELSE hi END a FROM {last}),
-x AS MATERIALIZED (SELECT src, tok, tok / (SELECT sum(tok) FROM t)::DOUBLE p, pow(tok / (SELECT sum(tok) FROM t)::DOUBLE, a) x FROM t, al),
+al AS MATERIALIZED (SELECT CASE WHEN (SELECT count(*) FROM t) <= 1 THEN 1.0 WHEN under AND {even.format(a='0.0')} AND {few.format(a='0.0')} THEN 0.0
+ WHEN NOT under AND NOT {even.format(a=f'{mixing.MOST_ALPHA}')} AND {few.format(a=f'{mixing.MOST_ALPHA}')} THEN 1.0 WHEN under OR {few.format(a=f'(SELECT hi FROM {last})')} THEN hi ELSE lo END a FROM {last}),
+x AS MATERIALIZED (SELECT src, tok, {share} p, pow(tok / (SELECT max(tok) FROM t)::DOUBLE, a) x FROM t, al),
 e AS (SELECT s.src, s.tok, coalesce(round(x / p / (SELECT min(x / p) FROM x), 6), 1.0) ep FROM s LEFT JOIN x USING (src)),
 pl AS MATERIALIZED (SELECT src, floor(ep)::BIGINT passes, (ep - floor(ep)) * tok rest FROM e),
 o AS (SELECT k.src, tok, rest, md5('{mixing.SEED}:' || passes::VARCHAR || ':' || k.src || ':' || blk) ord FROM k JOIN pl USING (src)),
@@ -104,9 +109,9 @@ q AS (SELECT *, md5('{mixing.SEED}:' || epoch::VARCHAR || ':' || src || ':' || b
 SELECT doc_id, source, epoch::BIGINT epoch, position FROM q WHERE epoch < passes OR position <= last"""
 
 
-SHARDING = "SELECT doc_id, source, strlen(text)::BIGINT n_bytes, md5(text) text_md5 FROM documents"
+SHARDING = f"""SELECT doc_id, source, strlen(text)::BIGINT n_bytes, md5(text) text_md5, (('0x' || substr(md5('arrival:' || coalesce(doc_id::VARCHAR, '')), 1, 4))::INTEGER % {sharding.ARRIVALS})::INTEGER arrival,
+ {sharding.ARRIVALS + 1}::BIGINT "version", true merged FROM documents"""
 
-#: op2, op4, op7 and op8 have no SQL form; tests/llm holds them against brute force, round trips and held-out rows.
 TRIE = r"""
 WITH t AS (SELECT conv_id c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) k, {'r': coalesce(role, ''), 'x': coalesce(text, '')} s FROM conversations WHERE conv_id IS NOT NULL),
 o AS (SELECT c, list(s ORDER BY k) s FROM t GROUP BY 1),
@@ -143,6 +148,7 @@ SELECT doc_id, (length(x) // 2)::BIGINT n_bytes, coalesce(gone, 0) n_removed, co
   (CASE WHEN j = spans THEN length(x) ELSE 2 * lo[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE 2 * hi[j] END)::BIGINT)), '') END)) kept_sha256
 FROM d LEFT JOIN k USING (r)"""
 
+#: op2, op4, op7 and op8 have no SQL form; tests/llm holds them against brute force, round trips and held-out rows.
 SQL = {
     "op1_warc": WARC,
     "op3_decontamination": DECONTAMINATION,

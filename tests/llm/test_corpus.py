@@ -227,11 +227,11 @@ def brute_kept(rows):
     return set(kept)
 
 
-@pytest.mark.parametrize("large,heads,rounds", [(256, 32, 4), (3, 2, 3), (3, 1, 1), (3, 1, 0)])
-def test_pipeline_keeps_no_near_copies(spark, docs, texts, large, heads, rounds, monkeypatch):
+@pytest.mark.parametrize("large,heads,most", [(256, 32, 1024), (3, 2, 8), (3, 1, 1)])
+def test_pipeline_keeps_no_near_copies(spark, docs, texts, large, heads, most, monkeypatch):
     monkeypatch.setattr(near_copies, "LARGE", large)
     monkeypatch.setattr(near_copies, "HEADS", heads)
-    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    monkeypatch.setattr(near_copies, "MOST_HEADS", most)
     rng = random.Random(11)
     rows = []
     for _ in range(40):
@@ -249,6 +249,27 @@ def test_pipeline_keeps_no_near_copies(spark, docs, texts, large, heads, rounds,
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), None).count() == 0
 
 
+def test_large_groups_of_near_copies_and_of_others(spark, monkeypatch):
+    """A group of near copies, and one whose members are candidates of each other without being near copies."""
+    monkeypatch.setattr(near_copies, "LARGE", 40)
+    monkeypatch.setattr(near_copies, "HEADS", 4)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdeorst") for _ in range(6))
+    one, other = ([word() for _ in range(150)] for _ in range(2))
+
+    def edited(base, edits):
+        w = list(base)
+        for at in rng.sample(range(len(w)), edits):
+            w[at] = word()
+        return " ".join(w)
+
+    texts = [edited(one, rng.choice([1, 2, 3])) for _ in range(500)] + [edited(other, rng.choice([5, 6, 7, 8])) for _ in range(300)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r.doc_id for r in near_copies.keep_distinct(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_kept(rows) and 100 < len(got) < 500
+
+
 # ---- mixing and sharding
 
 
@@ -274,6 +295,11 @@ def test_exponent_meets_its_limits(spark):
     r = share(b) / p
     assert abs(r.max() / r.min() - 4.0) < 1e-4
     assert mixing.find_exponent(s.limit(1)) == 1.0
+    even, q = spark.createDataFrame([("a", 100), ("b", 120), ("c", 150)], "source string, tokens long"), np.array([100, 120, 150]) / 370
+    up = mixing.find_exponent(even, 0.95, 1e9)
+    assert up > 1 and abs(h(q**up / (q**up).sum()) - 0.95) < 1e-4
+    last = mixing.find_exponent(even, 0.5, 2.0)
+    assert last == pytest.approx(1 + np.log(2) / np.log(1.5), abs=1e-4) and 1.5 ** (last - 1) <= 2.0
     with pytest.warns(UserWarning, match="no exponent"):
         assert mixing.find_exponent(spark.createDataFrame([(c, 10) for c in "abcd"], "source string, tokens long")) == 1.0
 
@@ -313,6 +339,8 @@ def test_store_versions(spark, docs, none, tmp_path):
     assert store.append(docs) == 1 and store.append(docs) == 2
     files = len(store.manifest()["files"])
     assert store.compact() == 3 and len(store.manifest()["files"]) < files
+    sizes = sorted(f["bytes"] for f in store.manifest()["files"] if f["bytes"] < store.target)
+    assert all(sum(x <= y <= store.fanout * x for y in sizes) < store.fanout for x in sizes), "no run is left"
     key = lambda df: Counter(map(tuple, df.collect()))
     assert key(store.read()) == key(docs.union(docs)) and key(store.read(1)) == key(docs)
     other = sharding.ShardStore(spark, str(tmp_path / "s"))
