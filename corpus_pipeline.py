@@ -36,9 +36,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the passes that their source's weight gives them, each once at least, in the order
-    of the permuted blocks of all sources and passes."""
-    mixed = temperature_mix(docs).withColumn("__place", F.xxhash64("epoch", "position"))
-    return mixed.repartitionByRange("__place").sortWithinPartitions("__place").select(*docs.columns)
+    of the permuted blocks of all sources and passes, and in a block in an order of its own."""
+    mixed = temperature_mix(docs).withColumns({"__place": F.xxhash64("epoch", "position"), "__in": F.xxhash64("epoch", "doc_id")})
+    return mixed.repartitionByRange("__place", "__in").sortWithinPartitions("__place", "__in").select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
