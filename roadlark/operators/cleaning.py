@@ -265,6 +265,29 @@ def normal_quantile(p: Column) -> Column:
     return F.get(F.transform(F.array(inverse_normal(p)), once), F.lit(0))
 
 
+def _quantiles(long: DataFrame, shares: list[float]) -> dict[int, list[float]]:
+    """Linearly interpolated quantiles of the values v of each c, from counts by value; only the values next to a quantile reach
+    the driver, two for each share and c at most."""
+    from .windows import running
+
+    counts = running(long.filter("v is not null").groupBy("c", "v").agg(F.count("*").alias("n")), ["c", "v"], {"before": "n"})
+    sizes = counts.groupBy("c").agg(F.min("before").alias("start"), F.sum("n").alias("all"))
+    at = counts.join(sizes, "c").select("c", "v", "n", "all", (F.col("before") - F.col("start")).alias("at"))
+    holds = lambda k: (k >= F.col("at")) & (k < F.col("at") + F.col("n"))
+    near = F.exists(F.array(*map(F.lit, shares)), lambda q: holds(F.floor((F.col("all") - 1) * q)) | holds(F.ceil((F.col("all") - 1) * q)))
+    out: dict[int, list] = {}
+    for r in at.filter(near).orderBy("c", "at").collect():
+        out.setdefault(r.c, []).append(r)
+    value = lambda rows, k: next(r.v for r in rows if r.at <= k < r.at + r.n)
+
+    def one(rows: list, q: float) -> float:
+        k = (rows[0]["all"] - 1) * q
+        low, high = value(rows, math.floor(k)), value(rows, math.ceil(k))
+        return low + (high - low) * (k - math.floor(k))
+
+    return {c: [one(rows, q) for q in shares] for c, rows in out.items()}
+
+
 @dataclass(frozen=True)
 class QuantileNormal:
     """Columns brought to a normal shape by the quantiles of the rows that it was fitted on, group by group of weight 1 / sqrt(d)."""
@@ -280,16 +303,12 @@ class QuantileNormal:
     def fit(cls, train: DataFrame, groups: dict[str, list[str]], most: int = 200) -> QuantileNormal:
         """Medians and up to ``most`` reference quantiles of the columns of each group, from counts by value of all rows of
         ``train`` in one pass. A column without values has none and becomes 0 everywhere."""
-        from .windows import exact_quantiles
-
         columns = [c for cs in groups.values() for c in cs]
         rows = train.select(*(number(F.col(c)).alias(c) for c in columns))
         n = max(2, min(most, train.count()))
-        at = {f"q{i}": i / (n - 1) for i in range(n)}
         long = lambda src: src.select(F.inline(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(columns)))))
-        middle = {columns[r.c]: r.m for r in exact_quantiles(long(rows), "v", {"m": 0.5}, "c").collect()}  # a row for each column
-        filled = rows.na.fill(middle) if middle else rows
-        found = {columns[r.c]: [r[k] for k in at] for r in exact_quantiles(long(filled), "v", at, "c").collect()}
+        middle = {columns[i]: q[0] for i, q in _quantiles(long(rows), [0.5]).items()}
+        found = {columns[i]: q for i, q in _quantiles(long(rows.na.fill(middle) if middle else rows), [i / (n - 1) for i in range(n)]).items()}
         return cls({c: middle.get(c) for c in columns}, {c: found.get(c, []) for c in columns}, {c: len(cs) ** -0.5 for cs in groups.values() for c in cs})
 
     def share(self, name: str) -> Column:

@@ -78,6 +78,9 @@ class DailyScore(StatefulProcessor):
             return
         p, decay, out = self.policy, 0.5 ** (1 / self.policy.half_life), []
         for day in due:
+            if 0 <= closed < day - self.idle_days:  # forgotten since, whether or not its timer came first
+                initial, valid, first, ewma, score, total, _, active, *_ = self._fresh(p.prior, False)
+            closed = day
             exposure, before = days.pop(day), score
             base = sum(x for _, d, x, s in sorted(events) if d == day and s != "exempt")
             if exposure == 0:
@@ -96,7 +99,6 @@ class DailyScore(StatefulProcessor):
                 status = "observed" if total >= p.least_exposure else "low_exposure"
             first = False
             out.append((*key, datetime.date(1970, 1, 1) + datetime.timedelta(days=day), exposure, base, times, risk, ewma, score, score - before, status))
-        closed = due[-1]
         left = [e for e in events if e[1] > closed]
         self.held.update((initial, valid, first, ewma, score, total, closed, active, list(days), list(days.values()), *([e[i] for e in left] for i in range(4))))
         if not days:
