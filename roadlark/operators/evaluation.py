@@ -143,72 +143,6 @@ def calibration(df: DataFrame, p: str, label: str, bins: int = 10) -> DataFrame:
     return df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(label).alias("mean_y"))
 
 
-#: Rows of (score, score, label) that may be sent to the workers for resampling: 64 MB at most.
-MAX_RESAMPLED = 2_000_000
-
-
-def paired_bootstrap(df: DataFrame, a: str, b: str, label: str, id_col: str, quota: float = 0.2, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """Of auc(a) - auc(b) the point and, over resamples, mean, 95 % interval and share above 0; of the recall in the top
-    ceil(quota N), ranked by (-score, id), the median difference and its interval.
-
-    For the AUC positives and negatives are resampled each on their own, for the recall all rows together. Each task makes a
-    range of draws from the rows, which are sent to it: at most MAX_RESAMPLED, more are refused (``paired_bootstrap_auc`` takes
-    any number). A draw's generator is seeded by (seed, draw), so the result doesn't depend on the tasks.
-    """
-    rows = df.select(F.col(a).cast("double"), F.col(b).cast("double"), F.col(label).cast("int"), F.col(id_col).cast("string"))
-    if (n := rows.count()) > MAX_RESAMPLED:
-        raise ValueError(f"{n} rows are more than {MAX_RESAMPLED}; use paired_bootstrap_auc")
-    held = rows.toArrow()
-    x, y, labels = (held.column(i).to_numpy() for i in range(3))
-    ids = np.argsort(np.argsort(np.array(held.column(3).to_pylist(), dtype=object))) if n else np.empty(0, int)
-    sent = df.sparkSession.sparkContext.broadcast((x, y, labels == 1, ids))
-
-    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y, positive, ids = sent.value
-        pos, neg = np.flatnonzero(positive), np.flatnonzero(~positive)
-        ranked = [np.lexsort((ids, -s)) for s in (x, y)]
-        for batch in batches:
-            out = []
-            for draw in batch.column(0).to_pylist():
-                rng = np.random.default_rng([seed, draw])
-                weight = np.zeros(len(x), np.int64)
-                for part in (pos, neg):
-                    if len(part):
-                        weight[part] = rng.multinomial(len(part), np.full(len(part), 1 / len(part)))
-                own = _weighted_auc(x, positive, weight) - _weighted_auc(y, positive, weight)
-                weight = rng.multinomial(len(x), np.full(len(x), 1 / len(x))) if len(x) else weight
-                all_pos = int(weight[positive].sum())
-                recall = [_top(o, weight, positive, quota) / all_pos if all_pos else math.nan for o in ranked]
-                out.append((own, recall[0] - recall[1]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.float64()) for i in range(2)], names=["d", "r"])
-
-    spark = df.sparkSession
-    made = spark.range(0, draws, numPartitions=min(draws, max(1, spark.sparkContext.defaultParallelism))).mapInArrow(resample, "d double, r double")
-    made = made.select(F.nanvl("d", F.lit(None).cast("double")).alias("d"), F.nanvl("r", F.lit(None).cast("double")).alias("r"))
-    one = np.ones(len(x), np.int64)
-    point = _weighted_auc(x, labels == 1, one) - _weighted_auc(y, labels == 1, one)
-    return made.agg(
-        F.count("d").alias("draws"), F.lit(None if math.isnan(point) else float(point)).cast("double").alias("point"), F.avg("d").alias("mean"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg((F.col("d") > 0).cast("double")).alias("improved"),
-        F.percentile("r", 0.5).alias("recall_median"), F.percentile("r", 0.025).alias("recall_low"), F.percentile("r", 0.975).alias("recall_high"))
-
-
-def _weighted_auc(score: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> float:
-    """Ties count half; NaN for a single class."""
-    _, at = np.unique(score, return_inverse=True)
-    size = int(at.max(initial=-1)) + 1
-    p, n = (np.bincount(at[m], weight[m], size) for m in (positive, ~positive))
-    if not p.sum() or not n.sum():
-        return math.nan
-    return float((p * (np.cumsum(n) - n / 2)).sum() / (p.sum() * n.sum()))
-
-
-def _top(order: np.ndarray, weight: np.ndarray, positive: np.ndarray, quota: float) -> int:
-    """Positives among the first ceil(quota N) of the resampled rows."""
-    w = weight[order]
-    room = np.clip(max(1, math.ceil(quota * w.sum())) - (np.cumsum(w) - w), 0, w)
-    return int(room[positive[order]].sum())
-
-
 def paired_bootstrap_auc(df: DataFrame, a: str, b: str, label: str, id_col: str, draws: int = 2000, seed: int = 42) -> DataFrame:
     """Percentiles of auc(a) - auc(b) over draws, for tables of any size.
 

@@ -68,7 +68,7 @@ def severity_diversity(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT user_id, event_type, sum(value) points FROM events WHERE value > 0 GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY points DESC, event_type) rn FROM p)
+WITH p AS (SELECT user_id, event_type, sum(value::VARCHAR::DECIMAL(38,18)) points FROM events WHERE value > 0 GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY points DESC, event_type) rn FROM p)
 SELECT user_id, string_agg(event_type, ',' ORDER BY rn) reasons, 'Most points: ' || max(CASE WHEN rn=1 THEN event_type END) sentence FROM r WHERE rn <= 3 GROUP BY 1""")
 def top_reasons(spark, sf_dir):
     p = table(spark, sf_dir, "events").filter("value > 0").groupBy("user_id", "event_type").agg(aggregates.steady_sum(F.col("value")).alias("points"))

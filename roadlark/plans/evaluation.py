@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, ratio
-from ..operators import cleaning, evaluation, models
+from ..operators import bootstrap, cleaning, evaluation, models
 from ..operators.windows import with_average_rank
 from .registry import big, query, r6, table
 
@@ -137,7 +137,7 @@ def feature_prune(spark, sf_dir):
 @query()
 def bootstrap_auc(spark, sf_dir):
     """AUC and top-share recall of two scores, resampled in pairs."""
-    return evaluation.paired_bootstrap(scored(spark, sf_dir), "p", "p2", "y", "doc_id")
+    return bootstrap.paired_bootstrap(scored(spark, sf_dir), "p", "p2", "y", "doc_id")
 
 
 @query()

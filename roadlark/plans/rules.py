@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_seconds
-from ..operators import cleaning, contract, cross_checks, evaluation, models, replay, sensing
+from ..operators import bootstrap, cleaning, contract, cross_checks, evaluation, models, replay, sensing
 from ..operators.windows import exact_quantiles
 from ..sources import files
 from ..sources.shared import path as shared_path
@@ -155,7 +155,7 @@ def rotated_signals(spark, sf_dir):
 
 @query(_ROWS + """, q AS (SELECT k, quantile_cont(norm,0.5) FILTER (v >= 20) md FROM r GROUP BY 1), sg AS (SELECT r.k, abs(norm - md) residual, az, ax, d, flag FROM r JOIN q USING (k) WHERE v >= 20),
 u AS (SELECT k, unnest(['residual','az']) signal, unnest([residual, az]) x, ax, d, flag FROM sg), p AS (SELECT u.*, part FROM u, (VALUES ('all'),('front'),('back'),('night'),('desaturated')) z(part) WHERE part = 'all' OR (part = 'front' AND d < DATE '1998-01-01') OR (part = 'back' AND d >= DATE '1998-01-01') OR (part = 'night' AND flag = 'R') OR (part = 'desaturated' AND ax < 1))
-SELECT b.k, b.signal, b.part, count(p.x) n, round(avg(p.x),6) mean, round(stddev_pop(p.x),5) sd FROM (SELECT DISTINCT k, signal, z.part FROM u, (VALUES ('all'),('front'),('back'),('night'),('desaturated')) z(part)) b LEFT JOIN p ON p.k = b.k AND p.signal = b.signal AND p.part = b.part GROUP BY 1,2,3""")
+SELECT b.k, b.signal, b.part, count(p.x) n, round(sum(p.x::VARCHAR::DECIMAL(38,18))::DOUBLE / count(p.x),6) mean, round(stddev_pop(p.x),5) sd FROM (SELECT DISTINCT k, signal, z.part FROM u, (VALUES ('all'),('front'),('back'),('night'),('desaturated')) z(part)) b LEFT JOIN p ON p.k = b.k AND p.signal = b.signal AND p.part = b.part GROUP BY 1,2,3""")
 def volatility_parts(spark, sf_dir):
     src, driving = rows(spark, sf_dir), F.col("v") >= 20
     early = F.col("d") < F.lit("1998-01-01").cast("date")
@@ -228,7 +228,7 @@ def gains(d):
 def candidate_gates(spark, sf_dir):
     """All gates, the lower bound from a paired bootstrap."""
     d = scored(spark, sf_dir)
-    x = gains(d).crossJoin(evaluation.paired_bootstrap(d, "p2", "p", "y", "doc_id").select("low"))  # one row each
+    x = gains(d).crossJoin(bootstrap.paired_bootstrap(d, "p2", "p", "y", "doc_id").select("low"))  # one row each
     return x.select(*(v.alias(k) for k, v in contract.candidate_gates(F.col("da"), F.col("low"), F.col("dr"), -F.col("db")).items()))
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadlark.operators import cleaning, dynamics, evaluation, joins, models, protocol, trajectory
+from roadlark.operators import bootstrap, cleaning, dynamics, evaluation, joins, models, protocol, trajectory
 from roadlark.operators.windows import exact_quantiles, running, with_average_rank, with_position
 from roadlark.sources import files
 from roadlark.streaming import events as streams
@@ -92,12 +92,12 @@ def test_bootstrap(spark):
     y = rng.integers(0, 2, 400)
     rows = [(i, float(a), float(b), int(t)) for i, (a, b, t) in enumerate(zip(y + rng.normal(0, 1, 400), rng.normal(0, 1, 400), y))]
     df = spark.createDataFrame(rows, "i long, a double, b double, y int")
-    one, again = (evaluation.paired_bootstrap(df.repartition(n), "a", "b", "y", "i", draws=200).first() for n in (1, 5))
+    one, again = (bootstrap.paired_bootstrap(df.repartition(n), "a", "b", "y", "i", draws=200).first() for n in (1, 5))
     auc = lambda k: np.mean([(p[k] > n[k]) + (p[k] == n[k]) / 2 for p in rows if p[3] for n in rows if not n[3]])
     assert one.point == pytest.approx(auc(1) - auc(2)) and one.low < one.point < one.high and one.improved == 1.0 and one.draws == 200
     assert 0 < one.recall_low <= one.recall_median <= one.recall_high
     assert again.draws == 200 and abs(again.mean - one.mean) < 0.02
-    none = evaluation.paired_bootstrap(df.limit(0), "a", "b", "y", "i", draws=5).first()
+    none = bootstrap.paired_bootstrap(df.limit(0), "a", "b", "y", "i", draws=5).first()
     assert none.draws == 0 and none.point is None
 
 
