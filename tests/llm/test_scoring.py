@@ -464,3 +464,69 @@ def test_as_of_join_against_brute_force(spark):
     captures += [(1000, long, 12), (1001, "http://a.org/p/q/" + "x" * 100_000, 12)]
     got = url_filters.filter_urls(spark.createDataFrame(captures, "id int, url string, fetched int"), spark.createDataFrame(entries, "list string, action string, pattern string, change string, at int")).collect()
     assert {r.id: r.decision for r in got} == {i: brute_decision(u, t, entries) for i, u, t in captures}
+
+
+# ---- rows of op7
+
+
+def planted_text(rng):
+    """A text with known values in many ways of writing, decoys that must stay, and the values as (kind, written, canonical)."""
+    found, parts = [], []
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    card = with_check(rng.choice("3456") + digits(14))
+    iban = next(x for x in (f"DE{k:02d}{digits(18)}" for k in range(2, 99) for _ in range(97)) if pii._mod97(x) == 1)
+    day = f"{rng.randint(1950, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(13, 28):02d}"
+    ssn = f"{rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+    ways = [
+        ("card", card), ("card", " ".join(card[k : k + 4] for k in range(0, 16, 4))), ("card", ".".join(card[k : k + 4] for k in range(0, 16, 4))), ("card", "-".join(card[k : k + 4] for k in range(0, 16, 4))),
+        ("iban", iban), ("iban", " ".join(iban[k : k + 4] for k in range(0, 22, 4))), ("iban", iban.lower()), ("date", day), ("date", day.replace("-", "/")), ("ssn", ssn), ("ip", f"10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.7"), ("email", f"ann.o'neil{rng.randint(1, 99)}@example.org"),
+    ]
+    for kind, written in rng.sample(ways, rng.randint(1, len(ways))):
+        parts += [rng.choice(["call", "see", "pay to", "on"]), (kind, written)]
+        found.append(kind)
+    parts += ["decoys", "1234567812345678", "999-00-1234", "2024-02-30", "300.1.1.1", "ab12 this that then when", "0000 0000 0000 0000", "SSN", ("ssn", ssn.replace("-", "")), "end-"]
+    found.append("ssn")
+    return parts, Counter(found)
+
+
+def with_check(body):
+    return body + str(-pii.luhn(body + "0") % 10)
+
+
+def test_query_rows_equal_replacement_of_known_values(spark, tmp_path):
+    rng, key = random.Random(17), "a key of the tests"
+    made = [planted_text(rng) for _ in range(60)]
+    plain = [" ".join(p if isinstance(p, str) else p[1] for p in parts) for parts, _ in made]
+    rows = list(enumerate(plain)) + [(100, None), (101, ""), (101, ""), (None, plain[0]), (102, "1 " * 60_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set(pii.KEY_SETTING, key)
+    try:
+        got = pii.op7_pii(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    own = {k: (" ".join(p if isinstance(p, str) else pii._MAKERS[p[0]](p[1], key.encode(), False) for p in parts), kinds) for k, (parts, kinds) in enumerate(made)}
+    own |= {100: (None, Counter()), 101: ("", Counter()), None: own[0], 102: ("1 " * 60_000, Counter())}
+    assert len(got) == len(rows)
+    for r in got:
+        text, kinds = own[r.doc_id]
+        assert r.text == text and {k: r[f"n_{k}"] for k in pii.KINDS if r[f"n_{k}"]} == dict(kinds)
+    one, two = (sorted(pii.op7_pii(spark, str(tmp_path)).collect(), key=repr) for _ in range(2))
+    assert len(one) == len(rows) and [r.text for r in one] != [r.text for r in two], "without a setting each run has its own key"
+
+
+def test_keys():
+    long = b"k" * 100
+    new, found = pii.pseudonymise("pay 4111 1111 1111 1111 on 2024-05-17", long)
+    assert [k for k, _, _ in found] == ["card", "date"] and pii.reveal(new, long, found) == "pay 4111 1111 1111 1111 on 2024-05-17" and pii.pseudonymise(new, b"k" * 101)[0] != new
+    for key in (b"", None):
+        with pytest.raises(ValueError):
+            pii.pseudonymise("x", key)
+
+
+def test_written_alike_or_not_values_are_linked():
+    card = with_check("411111111111111")
+    a, b = (pii.pseudonymise(x, b"k")[0] for x in (f"{card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]}-", card))
+    assert pii._digits(a) == pii._digits(b) != card and a.endswith("-")
+    x, y = (pii.pseudonymise(t, b"k")[0] for t in ("GB82WEST12345698765432", "gb82west12345698765432"))
+    assert x.lower() == y and x != "GB82WEST12345698765432"
+    assert pii.pseudonymise("SSN 123456789", b"k")[0] == "SSN " + pii.pseudonymise("123-45-6789", b"k")[0].replace("-", "")
