@@ -9,10 +9,11 @@ deepest pattern of the lists, which changes no result and keeps very long URLs l
 An allow entry outweighs a block entry of the same or a shorter pattern, so the longest active
 pattern decides and allow wins a tie.
 
-All steps are built-in expressions. Captures and intervals meet by an equi-join on the pattern key
-with the interval as a residual condition; captures of a hot host are dealt over ``SALTS`` keys, for which
-the intervals of each key are repeated, and what was matched is aggregated by capture partially
-before any shuffle.
+All steps are built-in expressions. The intervals of a list and pattern are one row, in the order of time; captures
+meet it by an equi-join on the pattern and find the interval that holds by halving, so a pattern with many changes
+costs a capture their logarithm. Captures of a hot key, one with a ``HOT_SHARE`` of all, are dealt over as many keys as
+it has such shares, for which that key's row alone is repeated; what was matched is aggregated by
+capture partially before any shuffle.
 
 Defined results: a null or malformed URL has no host, matches nothing and is kept; a null fetch
 time is never in an interval; entries with a null pattern or time are void; of entries of one
@@ -25,10 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
-#: Keys that a hot host's captures are dealt over; the adaptive planner splits what is still too large.
-SALTS = 8
+#: A key with this share of all probes, and LEAST_HOT of them, is hot: there are at most 1 / HOT_SHARE such keys.
+HOT_SHARE, LEAST_HOT = 1 / 1000, 1000
 
 
 def host_of(url: Column) -> Column:
@@ -55,6 +56,16 @@ def canonical(pattern: Column) -> Column:
     return F.concat(F.lower(host), F.substr(pattern, F.length(host) + 1))
 
 
+def as_of(runs: Column, time: Column) -> Column:
+    """Of (valid_from, valid_until) in the order of time the last that begins at or before ``time``, found by halving; null if it is over by then."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(runs) + 1)).cast("int"))
+    half = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
+    # low begins at or before the time, high after it
+    narrow = lambda s, _: F.when(s["high"] - s["low"] <= 1, s).otherwise(F.when(F.get(runs, half(s))["valid_from"] <= time, F.struct(half(s).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), half(s).alias("high"))))
+    found = F.aggregate(steps, F.struct(F.lit(-1).alias("low"), F.size(runs).alias("high")), narrow, lambda s: F.when(s["low"] >= 0, F.get(runs, s["low"])))
+    return F.when(found["valid_until"].isNull() | (time < found["valid_until"]), found)
+
+
 def depths(spans: DataFrame) -> tuple[int, int]:
     """The most labels and the most directories that a pattern has."""
     host = F.substring_index("pattern", "/", 1)
@@ -78,13 +89,17 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     keep = [c for c in captures.columns if c not in made]
     spans = intervals(entries)
     labels, directories = depths(spans)
-    spans = spans.withColumn("__rl_s", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    runs = spans.groupBy("list", "action", "pattern").agg(F.sort_array(F.collect_list(F.struct("valid_from", "valid_until"))).alias("runs"))
     # One row for each different capture, so that repeated captures meet the lists once.
     seen = captures.select(F.col(url_col).alias("__rl_url"), F.col(time_col).alias("__rl_time")).filter("__rl_url is not null and __rl_time is not null").distinct()
     parsed = seen.withColumns({"__rl_host": host_of(F.col("__rl_url")), "__rl_path": path_of(F.col("__rl_url"))}).filter("__rl_host is not null")
-    probes = parsed.withColumn("__rl_key", F.explode(keys_of(F.col("__rl_host"), F.col("__rl_path"), labels, directories))).drop("__rl_host", "__rl_path").withColumn("__rl_salt", F.pmod(F.xxhash64("__rl_url", "__rl_time"), F.lit(SALTS)).cast("int"))
-    active = (F.col("__rl_time") >= F.col("valid_from")) & (F.col("valid_until").isNull() | (F.col("__rl_time") < F.col("valid_until")))
-    hits = probes.join(spans, (F.col("__rl_key") == F.col("pattern")) & (F.col("__rl_salt") == F.col("__rl_s")) & active)
+    probes = parsed.withColumn("__rl_key", F.explode(keys_of(F.col("__rl_host"), F.col("__rl_path"), labels, directories))).drop("__rl_host", "__rl_path")
+    counts = cut(probes.join(runs.select(F.col("pattern").alias("__rl_key")).distinct(), "__rl_key", "left_semi").groupBy("__rl_key").agg(F.count("*").alias("n")))
+    least = max(LEAST_HOT, int((counts.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
+    hot = F.broadcast(counts.filter(F.col("n") >= least).select("__rl_key", F.ceil(F.col("n") / least).cast("int").alias("__rl_salts")))  # 1 / HOT_SHARE rows at most
+    dealt = probes.join(hot, "__rl_key", "left").withColumn("__rl_salt", F.pmod(F.xxhash64("__rl_url", "__rl_time"), F.coalesce("__rl_salts", F.lit(1))).cast("int"))
+    held = runs.withColumnRenamed("pattern", "__rl_key").join(hot, "__rl_key", "left").withColumn("__rl_salt", F.explode(F.sequence(F.lit(0), F.coalesce("__rl_salts", F.lit(1)) - 1))).drop("__rl_salts")
+    hits = dealt.join(held, ["__rl_key", "__rl_salt"]).filter(as_of(F.col("runs"), F.col("__rl_time")).isNotNull()).withColumnRenamed("__rl_key", "pattern")
     # allow > block; of equal patterns the list first in name order is named.
     weight = F.struct(F.length("pattern").alias("n"), (F.col("action") == "allow").cast("int").alias("allow"), "pattern", "list", "action")
     best = hits.groupBy("__rl_url", "__rl_time").agg(F.max(weight).alias("__rl_best"))

@@ -530,3 +530,12 @@ def test_written_alike_or_not_values_are_linked():
     x, y = (pii.pseudonymise(t, b"k")[0] for t in ("GB82WEST12345698765432", "gb82west12345698765432"))
     assert x.lower() == y and x != "GB82WEST12345698765432"
     assert pii.pseudonymise("SSN 123456789", b"k")[0] == "SSN " + pii.pseudonymise("123-45-6789", b"k")[0].replace("-", "")
+
+
+def test_a_pattern_with_many_changes_and_a_hot_host(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "LEAST_HOT", 50)
+    rng = random.Random(21)
+    entries = [(name, action, "hot.example", rng.choice(["add", "remove"]), rng.randint(0, 300)) for name, action in (("a", "block"), ("b", "allow"), ("c", "block")) for _ in range(120)] + [("d", "block", "example", "add", 100), ("d", "block", "example", "remove", 200)]
+    captures = [(i, rng.choice(["https://hot.example/x", "https://www.hot.example/", "https://cold.example/"]), rng.choice([None, rng.randint(-5, 305)])) for i in range(900)]
+    got = url_filters.filter_urls(spark.createDataFrame(captures, "id int, url string, fetched int"), spark.createDataFrame(entries, "list string, action string, pattern string, change string, at int")).collect()
+    assert {r.id: r.decision for r in got} == {i: brute_decision(u, t, entries) for i, u, t in captures}
