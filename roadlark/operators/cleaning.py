@@ -85,13 +85,22 @@ def clean_events(df: DataFrame, time: str, start: str, end: str, lat: str, lon:
     out = late.unionByName(again).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__n")
     table = _cleaned(counted.filter(inside).drop("__n"), lat, lon, {speed: "speed_flag"})
     if key:
-        mid = table.groupBy(key).agg(F.percentile(lat, 0.5).alias("__lat"), F.percentile(lon, 0.5).alias("__lon"))
-        mid = mid.select(F.col(key).alias("__key"), "__lat", "__lon")
+        mid = key_medians(table, key, lat, lon)
         fill = F.col("coord_flag").isin(*COORD_FLAGS[1:])
         table = table.join(mid, F.col(key).eqNullSafe(F.col("__key")), "left").withColumns({lat: F.when(fill, F.col("__lat")).otherwise(F.col(lat)), lon: F.when(fill, F.col("__lon")).otherwise(F.col(lon))}).drop("__key", "__lat", "__lon")
     return table, out
 
 
+def key_medians(df: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
+    """(__key, __lat, __lon): medians of each key's coordinates, null a key of its own, from counts by value."""
+    from .windows import exact_quantiles
+
+    named = df.withColumn("__tag", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    one = lambda c: exact_quantiles(named, c, {f"__m{c}": 0.5}, "__tag").select("__tag", f"__m{c}")
+    keys = named.groupBy("__tag").agg(F.first(key, ignorenulls=True).alias("__key"))
+    return keys.join(one(lat), "__tag", "left").join(one(lon), "__tag", "left").select("__key", F.col(f"__m{lat}").alias("__lat"), F.col(f"__m{lon}").alias("__lon"))
+
+
 def clean_trajectory(df: DataFrame, date: str, start: str, end: str, lat: str, lon: str, speed: str, course: str, run_time: str) -> DataFrame:
     """Trajectory rows, all kept, cleaned and flagged: speed, course in [0, 360), coordinates (never filled), moving with no run
     time, and ``window_flag`` 0 outside [start, end)."""
@@ -123,7 +132,7 @@ def drop_exact_duplicates(df: DataFrame, signature: list[str]) -> DataFrame:
 
 def fill_median_in_box(df: DataFrame, key: str, lat: str, lon: str, box: tuple[float, float, float, float]) -> DataFrame:
     """Missing coordinates become their key's medians where these lie in (lat0, lat1, lon0, lon1)."""
-    mid = df.groupBy(key).agg(F.percentile(lat, 0.5).alias("__lat"), F.percentile(lon, 0.5).alias("__lon"))
+    mid = key_medians(df, key, lat, lon).filter(F.col("__key").isNotNull()).withColumnRenamed("__key", key)
     inside = F.col("__lat").between(box[0], box[1]) & F.col("__lon").between(box[2], box[3])
     out = df.join(mid, key, "left")
     return out.withColumns({lat: F.coalesce(lat, F.when(inside, F.col("__lat"))), lon: F.coalesce(lon, F.when(inside, F.col("__lon")))}).drop("__lat", "__lon")
@@ -242,9 +251,13 @@ def select_by_quota(families: dict[str, list[str]], first: str, first_most: int
 
 
 def impute(train: DataFrame, df: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
-    """Medians (numbers) and modes (texts) of the training rows for missing values."""
-    row = train.agg(*(F.percentile(c, 0.5).alias(c) for c in numbers), *(F.mode(c).alias(c) for c in texts)).first()
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(row[c])) if row[c] is not None else F.col(c) for c in [*numbers, *texts]})
+    """Medians (numbers) and modes (texts, the first of equals) of the training rows for missing values."""
+    long = train.select(F.inline(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(numbers))))) if numbers else None
+    held = {numbers[i]: q[0] for i, q in _quantiles(long, [0.5]).items()} if numbers else {}
+    for c in texts:
+        top = train.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
+        held[c] = top[c] if top else None
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(held[c])) if held.get(c) is not None else F.col(c) for c in [*numbers, *texts]})
 
 
 def one_hot(df: DataFrame, col: str, values: list[str], drop_first: bool = False) -> DataFrame:

@@ -206,6 +206,70 @@ def window_errors(columns: dict[str, str | None], as_of: str, forbidden: str = r
     return bad + [f"{c} has seen {until}" for c, until in columns.items() if until is None or str(until)[:10] > as_of]
 
 
+def data_visibility(sources: dict[str, tuple[DataFrame, str, list[str]]], as_of: str) -> DataFrame:
+    """(column, source, until, visible) of the columns made from each source, named with its rows, its time column and those columns: a
+    column is visible if the last row that the source really has is from before ``as_of``. Sources without a row or a time are not."""
+    out = None
+    for name, (df, time, columns) in sources.items():
+        until = df.agg(F.max(F.to_date(time)).alias("until"))
+        part = until.select(F.explode(F.array(*map(F.lit, columns))).alias("column"), F.lit(name).alias("source"), "until")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("visible", F.coalesce(F.col("until") < F.lit(as_of).cast("date"), F.lit(False)))
+
+
+def window_evidence(df: DataFrame, time: str, columns: dict[str, Column], as_of: str, forbidden: str = r"(?i)(label|target|future|^y$)") -> DataFrame:
+    """(column, rows, first, last, error) of candidate columns, each with the condition on the rows that it is made of: one pass over the
+    rows. An error is a name like a label's, a row from ``as_of`` on, a row without a time, or no row at all; null if there is none."""
+    cell = lambda c, x: F.when(F.coalesce(c, F.lit(False)), x)
+    each = [F.struct(F.lit(n).alias("column"), F.count(cell(c, F.lit(1))).alias("rows"), F.count(cell(c & F.col(time).isNull(), F.lit(1))).alias("bare"), F.min(cell(c, F.col(time))).alias("first"), F.max(cell(c, F.col(time))).alias("last")) for n, c in columns.items()]
+    found = df.agg(F.array(*each).alias("x")).select(F.inline("x"))
+    late = F.col("last") >= F.lit(as_of).cast("timestamp_ntz")
+    error = F.when(F.col("column").rlike(forbidden), "named like a label").when(F.col("rows") == 0, "made of nothing").when(F.col("bare") > 0, "a row without a time").when(late, "a row from the label's time")
+    return found.select("column", "rows", F.to_date("first").alias("first"), F.to_date("last").alias("last"), error.alias("error"))
+
+
+def manifest_faults(manifests: DataFrame) -> DataFrame:
+    """(rule, violations) of a table of protocol manifests (feature_from, feature_to, as_of, label_from, label_to, label_version,
+    split_version, target_count, label_used_in_features, test_used_in_fit), half-open windows: the rules of ``manifest_errors`` for any number of them."""
+    c = F.col
+    text = lambda name: F.coalesce(F.length(F.trim(c(name))) > 0, F.lit(False))
+    return assertions(manifests, {
+        "feature window before as_of": (c("feature_from") < c("feature_to")) & (c("feature_to") <= c("as_of")), "label window after as_of": (c("as_of") <= c("label_from")) & (c("label_from") < c("label_to")),
+        "label version": text("label_version"), "split version": text("split_version"), "target count": c("target_count") > 0,
+        "no label in features": ~F.coalesce(c("label_used_in_features"), F.lit(False)), "no test in the fit": ~F.coalesce(c("test_used_in_fit"), F.lit(False)),
+    })
+
+
+def view_contents(df: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """(view, column, present, different): what each view of ``views`` holds of the rows, in one pass."""
+    found = views(df.columns, rules)
+    each = [F.struct(F.lit(v).alias("view"), F.lit(c).alias("column"), F.count(F.col(c)).alias("present"), F.count_distinct(F.col(c)).alias("different")) for v, cs in found.items() for c in cs]
+    return df.agg(F.array(*each).alias("x")).select(F.inline("x"))
+
+
+def uniform(seed: int, name: str, key: Column) -> Column:
+    """A number in [0, 1) by a hash of (seed, name, key)."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{name}:"), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def synthetic_like(df: DataFrame, key: str, columns: list[str], seed: int = 42, points: int = 21) -> DataFrame:
+    """A row for each of ``df`` with its key and, for each column, a value drawn from the column's own distribution: the
+    interpolated quantile at a hash of (seed, column, key). The columns are independent of each other and of the real row."""
+    from .windows import exact_quantiles
+
+    out = df.select(key)
+    for c in columns:
+        held = exact_quantiles(df, c, {f"q{i}": i / (points - 1) for i in range(points)}).drop("n").first()  # one row
+        if held[0] is None:
+            out = out.withColumn(c, F.lit(None).cast("double"))
+            continue
+        place = uniform(seed, c, F.col(key)) * (points - 1)
+        at = lambda i: F.get(F.array(*(F.lit(float(q)) for q in held)), i.cast("int"))  # noqa: E731, B023
+        low = F.floor(place)
+        out = out.withColumn(c, at(low) + (place - low) * (at(low + 1) - at(low)))
+    return out
+
+
 # ---- results
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import diminishing
 from .scans import scan_by_key
+from .windows import exact_quantiles
 from ..functions.scalars import ratio
 
 
@@ -27,7 +28,8 @@ def pool_adjacent(values: list[float], weights: list[float]) -> list[float]:
 
 def fit_bins(df: DataFrame, x: str, y: str, n: int = 4) -> DataFrame:
     """Quantile bins of x with the monotone mean of y: (bin, low, n, risk). At most n rows reach the driver."""
-    edges = sorted(set(df.agg(F.percentile(x, F.array(*(F.lit(i / n) for i in range(1, n))))).first()[0] or []))
+    found = exact_quantiles(df, x, {f"q{i}": i / n for i in range(1, n)}).drop("n").first()
+    edges = sorted({v for v in found if v is not None})
     b = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(x))) if edges else F.lit(0)
     rows = df.filter(F.col(x).isNotNull()).groupBy(b.alias("bin")).agg(F.min(x).alias("low"), F.count("*").alias("n"), F.avg(y).alias("mean")).orderBy("bin").collect()
     risk = pool_adjacent([r.mean for r in rows], [r.n for r in rows])

@@ -104,6 +104,20 @@ def with_position(df: DataFrame, order: list[str], name: str = "position") -> Da
     return running(df.withColumn("__one", F.lit(1)), order, {name: "__one"}).drop("__one")
 
 
+def counts_below(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, __n, __below, __all): of each value of a group its rows, those of lesser values, and all of the group; null least. A group
+    of any size is counted over ranges, by no single task."""
+    counts = running(df.groupBy(*by, value).agg(F.count("*").alias("__n")), [*by, value], {"__before": "__n"})
+    sizes = counts.groupBy(*by).agg(F.min("__before").alias("__start"), F.sum("__n").alias("__all"))
+    return counts.join(sizes, by).select(*by, value, "__n", (F.col("__before") - F.col("__start")).alias("__below"), "__all")
+
+
+def with_share_below(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with (rank - 1) / (rows - 1) of a value in its group, as PERCENT_RANK has it, 0 in a group of one row."""
+    below = counts_below(df, by, value).select(*by, value, F.when(F.col("__all") > 1, F.col("__below") / (F.col("__all") - 1)).otherwise(0.0).alias(name))
+    return df.join(below, [*by, value])
+
+
 def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles over a whole table or of each ``by`` that isn't null, and ``n``, from counts by
     value: no task holds all values."""

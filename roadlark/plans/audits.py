@@ -9,7 +9,7 @@ from ..functions.scalars import epoch_seconds, ratio
 from ..operators import aggregates, contract, evaluation
 from .evaluation import _AUC, _D, scored
 from .registry import AS_OF, LOOKBACK, big, query, r6, table
-from ..operators.windows import in_history
+from ..operators.windows import exact_quantiles, in_history
 
 
 @query("SELECT event_type, count(*) n, count(*) FILTER (user_id NOT IN (SELECT c_custkey FROM customer)) orphans FROM events GROUP BY 1")
@@ -154,8 +154,9 @@ def signal_quantiles(spark, sf_dir):
     pairs = (("quantity", F.col("l_quantity").cast("double")), ("price", F.col("l_extendedprice") / 1000), ("tax", F.col("l_tax") * 100))
     s = l.select(F.col("l_returnflag").alias("flag"), F.inline(F.array(*(F.struct(F.lit(n).alias("signal"), c.alias("v")) for n, c in pairs))))
     qs = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p995": 0.995}
-    g = s.groupBy("flag", "signal").agg(F.count("*").alias("n"), F.percentile("v", F.array(*map(F.lit, qs.values()))).alias("q"))
-    return g.select("flag", "signal", "n", *(F.round(F.col("q")[i], 3).alias(n) for i, n in enumerate(qs)))
+    g = exact_quantiles(s.select(F.concat_ws("|", "flag", "signal").alias("key"), "v"), "v", qs, "key")
+    part = F.split("key", r"\|")
+    return g.select(part[0].alias("flag"), part[1].alias("signal"), "n", *(F.round(c, 3).alias(c) for c in qs))
 
 
 @query("""

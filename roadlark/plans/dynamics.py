@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extension
 from ..operators import aggregates, dynamics, joins
+from ..operators.windows import with_share_below
 from ..sources.shared import path as shared_path
 from ..streaming import events as streams
 from ..streaming import history
@@ -80,10 +81,7 @@ z AS (SELECT user_id, list_reduce(list_prepend(CASE WHEN t > 0.6 AND xs[1] >= 0.
 SELECT user_id, CASE f WHEN 1 THEN 'in' WHEN 0 THEN 'out' ELSE 'off' END state FROM z""")
 def door_states(spark, sf_dir):
     """Hysteresis with a teacher's gate and an absorbing off state."""
-    from pyspark.sql import Window
-
-    x = F.percent_rank().over(Window.partitionBy("day").orderBy("n"))
-    g = panel(spark, sf_dir).select("user_id", "d", x.alias("x")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("days"))  # as many as days
+    g = with_share_below(panel(spark, sf_dir).select("user_id", "day", "d", "n"), ["day"], "n", "x").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("days"))  # as many as days
     return g.select("user_id", dynamics.door(F.transform("days", lambda s: s.x), (F.col("user_id") % 10) / 10.0).alias("state"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, ratio
 from ..operators import bootstrap, cleaning, evaluation, models
-from ..operators.windows import with_average_rank
+from ..operators.windows import exact_quantiles, with_average_rank
 from .registry import big, query, r6, table
 
 _D = """WITH d AS (SELECT doc_id, lang, source, least(n_chars/8000.0::DOUBLE,1) p, least(length(source)*0.1::DOUBLE + n_chars/20000.0::DOUBLE,1) p2, quality y, toxic t FROM documents JOIN labels USING (doc_id))
@@ -89,7 +89,9 @@ def topk_set_change(spark, sf_dir):
 @query(_D + """, q AS (SELECT *, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END h FROM d) SELECT y || '/' || h cell, count(*) n, round(median(p),6) median_p, round(median(p2),6) median_p2 FROM q GROUP BY 1""")
 def error_cells(spark, sf_dir):
     cell = F.concat(F.col("y").cast("string"), F.lit("/"), (F.col("p") >= 0.5).cast("int").cast("string"))
-    return scored(spark, sf_dir).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), r6(F.percentile("p", 0.5)).alias("median_p"), r6(F.percentile("p2", 0.5)).alias("median_p2"))
+    d = scored(spark, sf_dir).withColumn("cell", cell)
+    median = lambda c: exact_quantiles(d, c, {"m": 0.5}, "cell").select("cell", r6("m").alias(f"median_{c}"))
+    return d.groupBy("cell").agg(F.count("*").alias("n")).join(median("p"), "cell", "left").join(median("p2"), "cell", "left")
 
 
 @query("""
@@ -105,8 +107,9 @@ def column_audit(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").withColumn("l_discount", F.when(F.col("l_discount") > 0.05, F.col("l_discount")))
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     long = l.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols))))
-    g = long.groupBy("column_name").agg(F.count("*").alias("n"), (F.count("*") - F.count("v")).alias("nulls"), F.count_if(F.col("v") == 0).alias("zeros"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("v").alias("mx"))
-    return g.select("column_name", "n", "nulls", "zeros", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p25", "p50", "p75"))), F.round("mx", 4).alias("mx"))
+    g = long.groupBy("column_name").agg(F.count("*").alias("n"), (F.count("*") - F.count("v")).alias("nulls"), F.count_if(F.col("v") == 0).alias("zeros"), F.max("v").alias("mx"))
+    q = exact_quantiles(long, "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, "column_name").drop("n")
+    return g.join(q, "column_name", "left").select("column_name", "n", "nulls", "zeros", *(F.round(c, 4).alias(c) for c in ("p25", "p50", "p75", "mx")))
 
 
 @query(_D + "SELECT count(*) n, count(*) - count(DISTINCT doc_id) repeated, count(*) FILTER (p IS NULL) missing, count(*) FILTER (p < 0 OR p > 1) outside, count(*) FILTER (y NOT IN (0,1)) bad_label FROM d")

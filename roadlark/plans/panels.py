@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import knots, ratio
 from ..operators import aggregates, joins
-from ..operators.windows import average_rank, dense_days, ewma, half, runs, trailing
+from ..operators.windows import average_rank, counts_below, dense_days, ewma, exact_quantiles, half, runs, trailing, with_position
 from .registry import big, query, r6, table
 
 FIRST, LAST = "2024-01-01", "2024-01-30"
@@ -68,8 +68,8 @@ def knot_replay(spark, sf_dir):
     p = panel(spark, sf_dir)
     x = trailing(F.col("n"), "user_id", F.col("d"), -20, -1) / 20.0
     r = p.select("user_id", "day", x.alias("x"))
-    k = r.agg(F.percentile("x", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.95))).alias("k"))
-    return r.join(F.broadcast(k)).select("user_id", "day", r6(knots(F.col("x"), F.col("k")[0], F.col("k")[1], F.col("k")[2])).alias("frac"))  # k: one row
+    k = exact_quantiles(r, "x", {"k50": 0.5, "k75": 0.75, "k95": 0.95})
+    return r.join(F.broadcast(k)).select("user_id", "day", r6(knots(F.col("x"), F.col("k50"), F.col("k75"), F.col("k95"))).alias("frac"))  # k: one row
 
 
 @query("""
@@ -95,7 +95,8 @@ st AS (SELECT f, cohort, avg(x) mu, stddev_pop(x) sd, count(*) n FROM k WHERE fo
 FROM k LEFT JOIN st ON k.f=st.f AND k.cohort=st.cohort JOIN g ON g.f=k.f WHERE k.fold = k.f""")
 def cohort_relative(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_mktsegment").alias("seg"), (F.col("c_custkey") % 5).cast("int").alias("fold"))
-    med = aggregates.fold_out(c, "fold", [], [F.percentile("x", 0.5).alias("med")], 5)
+    others = c.select("x", F.explode(F.filter(F.array(*map(F.lit, range(5))), lambda f: f != F.col("fold"))).alias("target_fold"))
+    med = exact_quantiles(others, "x", {"med": 0.5}, "target_fold").drop("n")
     keyed = lambda df: df.withColumn("cohort", F.concat("seg", F.lit(":"), F.when(F.col("x") > F.col("med"), "hi").otherwise("lo")))
     train = keyed(c.join(F.broadcast(med), F.col("fold") != F.col("target_fold")))  # one row for each of 5 folds
     st = train.groupBy("target_fold", "cohort").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"), F.count("*").alias("n"))
@@ -115,10 +116,10 @@ r AS (SELECT *, rank() OVER (PARTITION BY decile ORDER BY v) + (count(*) OVER (P
 SELECT o_custkey, decile::BIGINT decile, round(rk/c,6) pct FROM r""")
 def decile_percentile(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("v"))
-    edges = o.agg(F.percentile("n", F.array(*(F.lit(i / 10) for i in range(1, 10)))).alias("edges"))
+    edges = exact_quantiles(o, "n", {f"e{i}": i / 10 for i in range(1, 10)}).select(F.array(*(f"e{i}" for i in range(1, 10))).alias("edges"))
     b = o.join(F.broadcast(edges)).withColumn("decile", big(F.size(F.filter("edges", lambda e: e < F.col("n"))) + 1))  # edges: one row
-    rank = average_rank("v", "decile") / F.count("*").over(Window.partitionBy("decile"))
-    return b.select("o_custkey", "decile", r6(rank).alias("pct"))
+    rank = counts_below(b, ["decile"], "v").select("decile", "v", r6((F.col("__below") + (F.col("__n") + 1) / 2) / F.col("__all")).alias("pct"))
+    return b.join(rank, ["decile", "v"]).select("o_custkey", "decile", "pct")
 
 
 @query("""
@@ -148,10 +149,9 @@ def three_cutoffs(spark, sf_dir):
     p = panel(spark, sf_dir)
     upto = lambda k: big(F.sum(F.when(F.col("d") < k, F.col("n")).otherwise(0)))
     t = p.groupBy("user_id").agg(upto(10).alias("a"), upto(20).alias("b"), upto(30).alias("c"))
-    # One row for each user of the roster: an audit table, ranked as a whole.
-    rank = lambda c: F.row_number().over(Window.orderBy(c, "user_id"))
+    t = with_position(with_position(t, ["a", "user_id"], "ra"), ["c", "user_id"], "rc")
     way = F.when(F.col("c") > 2 * F.col("a"), "improved").when(F.col("c") < 2 * F.col("a"), "worsened").otherwise("unchanged")
-    return t.select("user_id", "a", "b", "c", (F.col("c") - F.col("a")).alias("change"), way.alias("direction"), big(F.abs(rank("a") - rank("c"))).alias("moved"))
+    return t.select("user_id", "a", "b", "c", (F.col("c") - F.col("a")).alias("change"), way.alias("direction"), big(F.abs(F.col("ra") - F.col("rc"))).alias("moved"))
 
 
 @query("""

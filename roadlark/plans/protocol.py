@@ -157,3 +157,57 @@ def ridge_identity(spark, sf_dir):
     d = table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("a"), F.col("c_acctbal").alias("y"))
     w = nonnegative_ridge(d, ["a"], "y", penalty=0.0)
     return spark.createDataFrame([("a", round(w[0], 6)), ("intercept", round(w[1], 4) + 0.0)], "term string, weight double")
+
+
+@query("""SELECT unnest(['evt_20d', 'evt_active', 'evt_all', 'orders_sum', 'clicks']) AS "column", unnest(['past', 'past', 'events', 'orders', 'none']) source, unnest([
+ (SELECT max(ts)::DATE FROM events WHERE ts < TIMESTAMP '2024-01-21'), (SELECT max(ts)::DATE FROM events WHERE ts < TIMESTAMP '2024-01-21'), (SELECT max(ts)::DATE FROM events), (SELECT max(o_orderdate)::DATE FROM orders), NULL]) AS "until",
+ unnest([(SELECT max(ts)::DATE FROM events WHERE ts < TIMESTAMP '2024-01-21') < DATE '2024-01-21', (SELECT max(ts)::DATE FROM events WHERE ts < TIMESTAMP '2024-01-21') < DATE '2024-01-21', (SELECT max(ts)::DATE FROM events) < DATE '2024-01-21', (SELECT max(o_orderdate)::DATE FROM orders) < DATE '2024-01-21', false]) visible""")
+def column_visibility(spark, sf_dir):
+    """Columns made from the events before a day, from all events, from orders and from nothing: which may be used on the day."""
+    ev, orders = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
+    past = ev.filter("ts < '2024-01-21'")
+    return protocol.data_visibility({"past": (past, "ts", ["evt_20d", "evt_active"]), "events": (ev, "ts", ["evt_all"]), "orders": (orders, "o_orderdate", ["orders_sum"]), "none": (ev.filter("event_type = 'never'"), "ts", ["clicks"])}, "2024-01-21")
+
+
+@query("""
+WITH c AS (SELECT 'error_20d' AS "column", ts FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-21' AND ts >= TIMESTAMP '2024-01-01' UNION ALL SELECT 'error_30d', ts FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-31' UNION ALL SELECT 'label_rate', ts FROM events WHERE ts < TIMESTAMP '2024-01-05'),
+n AS (SELECT unnest(['error_20d', 'error_30d', 'label_rate', 'never']) AS "column"), g AS (SELECT n."column", count(ts) "rows", min(ts) f, max(ts) l FROM n LEFT JOIN c USING ("column") GROUP BY 1)
+SELECT "column", "rows", f::DATE AS "first", l::DATE AS "last", CASE WHEN "column" = 'label_rate' THEN 'named like a label' WHEN "rows" = 0 THEN 'made of nothing' WHEN l >= TIMESTAMP '2024-01-21' THEN 'a row from the label''s time' END error FROM g""")
+def column_evidence(spark, sf_dir):
+    """The rows that candidate columns are made of, and why some may not be used."""
+    error, ts = F.col("event_type") == "error", F.col("ts")
+    columns = {"error_20d": error & (ts < "2024-01-21") & (ts >= "2024-01-01"), "error_30d": error & (ts < "2024-01-31"), "label_rate": ts < "2024-01-05", "never": F.col("event_type") == "never"}
+    return protocol.window_evidence(table(spark, sf_dir, "events"), "ts", columns, "2024-01-21")
+
+
+@query("""
+WITH m AS (SELECT o_custkey, min(o_orderdate)::DATE f0, max(o_orderdate)::DATE l1, DATE '1996-01-01' cut, min(o_orderdate)::DATE + (o_custkey % 700)::INTEGER f1, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'v1' END v, count(*) - 5 n, o_custkey % 11 = 0 leak FROM orders GROUP BY 1)
+SELECT unnest(['feature window before as_of', 'label window after as_of', 'label version', 'split version', 'target count', 'no label in features', 'no test in the fit']) AS "rule",
+ unnest([count(*) FILTER (NOT (f0 < f1 AND f1 <= cut)), count(*) FILTER (NOT (cut < l1)), count(*) FILTER (v = ''), 0, count(*) FILTER (n <= 0), count(*) FILTER (leak), 0]) violations FROM m""")
+def protocol_manifests(spark, sf_dir):
+    """A manifest for each customer's orders: how many break which rule."""
+    first, key = F.to_date(F.min("o_orderdate")), F.col("o_custkey")
+    m = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(first.alias("feature_from"), F.to_date(F.max("o_orderdate")).alias("label_to"), F.count("*").alias("orders"))
+    at = F.lit("1996-01-01").cast("date")
+    m = m.withColumns({"feature_to": F.date_add("feature_from", (key % 700).cast("int")), "as_of": at, "label_from": at, "label_version": F.when(key % 3 == 0, "").otherwise("v1"), "split_version": F.lit("s1"), "target_count": F.col("orders") - 5, "label_used_in_features": key % 11 == 0, "test_used_in_fit": F.lit(False)})
+    return protocol.manifest_faults(m)
+
+
+@query("""SELECT unnest(['keys','keys','slim','facts','facts','slim']) AS "view", unnest(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','o_orderpriority']) AS "column",
+ unnest([count(o_orderkey), count(o_custkey), count(o_orderstatus), count(o_totalprice), count(o_orderdate), count(o_orderpriority)]) present, unnest([count(DISTINCT o_orderkey), count(DISTINCT o_custkey), count(DISTINCT o_orderstatus), count(DISTINCT o_totalprice), count(DISTINCT o_orderdate), count(DISTINCT o_orderpriority)]) "different" FROM orders""")
+def view_contents(spark, sf_dir):
+    """What each view of the orders' columns holds."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    return protocol.view_contents(o, {"keys": "key$", "facts": "date|price"})
+
+
+_DRAWN = "('0x' || substr(md5('42:{c}:' || c_custkey::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 20"
+
+
+@query(f"""
+WITH q AS (SELECT quantile_cont(c_acctbal::DOUBLE, [{', '.join(repr(i / 20) for i in range(21))}]) a, quantile_cont(c_nationkey::DOUBLE, [{', '.join(repr(i / 20) for i in range(21))}]) n FROM customer), u AS (SELECT c_custkey, {_DRAWN.format(c='c_acctbal')} x, {_DRAWN.format(c='c_nationkey')} y FROM customer)
+SELECT c_custkey, round(a[floor(x)::INT + 1] + (x - floor(x)) * (a[floor(x)::INT + 2] - a[floor(x)::INT + 1]), 6) c_acctbal, round(n[floor(y)::INT + 1] + (y - floor(y)) * (n[floor(y)::INT + 2] - n[floor(y)::INT + 1]), 6) c_nationkey FROM u, q""")
+def synthetic_customers(spark, sf_dir):
+    """A made-up row for each customer, with balances and nations as they are distributed."""
+    made = protocol.synthetic_like(table(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"])
+    return made.select("c_custkey", r6("c_acctbal").alias("c_acctbal"), r6("c_nationkey").alias("c_nationkey"))

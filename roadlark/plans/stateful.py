@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_index, ratio, sha_bucket
 from ..operators import rules
+from ..operators.windows import with_share_below
 from ..sources import files
 from ..sources.shared import path as shared_path
 from ..streaming import events as streams
@@ -18,10 +19,7 @@ w AS (SELECT user_id, list(x ORDER BY d) xs FROM r GROUP BY 1),
 z AS (SELECT user_id, list_reduce(list_prepend(1.0::DOUBLE, xs), lambda s, x: CASE WHEN s = 1 AND x < 0.2 THEN 0.0 WHEN s = 0 AND x > 0.8 THEN 1.0 ELSE s END) final FROM w)
 SELECT user_id, final::INT AS final FROM z""")
 def hysteresis_door(spark, sf_dir):
-    from pyspark.sql import Window
-
-    x = F.percent_rank().over(Window.partitionBy("day").orderBy("n"))
-    g = panel(spark, sf_dir).select("user_id", "d", x.alias("x")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("days"))
+    g = with_share_below(panel(spark, sf_dir).select("user_id", "day", "d", "n"), ["day"], "n", "x").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("days"))
     return g.select("user_id", rules.hysteresis(F.transform("days", lambda s: s.x), 0.2, 0.8).alias("final"))
 
 
