@@ -6,9 +6,11 @@ fingerprints gives aligned positions; each is extended word by word to the whole
 which counts if it has at least ``SPAN`` words. Items shorter than a span are one window of
 their own, found by grams of their own length and verified the same way.
 
-Documents stay where they are: the item index is sent to them in blocks of at most
-``BLOCK_WORDS`` words, each a broadcast of bounded size that a worker holds one at a time, so
-the benchmark may be of any size and no document is shuffled.
+Items are hashed in tasks and dealt into blocks of ``BLOCK_WORDS`` words (and one item more at most).
+Documents stay where they are: a block is sent to them, a broadcast of bounded size, and they are
+read once for each block; a benchmark of one block needs no more. Of several blocks each leaves what it has found in the shared
+folder before the next is sent, and the finds are united by text at the end, so neither the driver nor a worker
+ever holds more than one block.
 
 Defined results: null and empty texts have no words, no hits and are not contaminated; null
 or wordless items occur nowhere; items with one id count once, an item without an id has the
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import Words, as_bytes, in_pieces, with_columns
-from .common import table
+from ..operators.windows import running
+from .common import cut, shared_path, table
 
 SPAN, GRAM = 10, 5
 WINDOW = SPAN - GRAM + 1
@@ -141,52 +144,77 @@ class Block:
         return first + (int(differs[j - 1]) + 1 if j else 0), first + int(differs[j]) if j < len(differs) else last
 
 
-def _search(batches: Iterator[pa.RecordBatch], column: str, keep: list[str], blocks: list) -> Iterator[pa.RecordBatch]:
+def _rows_of(counts: list[int], hits: list[np.ndarray], items: list[list[str]]) -> dict[str, pa.Array]:
+    """The made columns from each document's number of words, hit words as a mask and items."""
+    out: dict[str, list] = {f.name: [] for f in MADE}
+    for n, hit, ids in zip(counts, hits, items):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2).tolist() if hit.any() else []
+        for name, value in zip(out, (n, int(hit.sum()), len(ids), ids, edges, bool(edges))):
+            out[name].append(value)
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.bool_()]
+    return {n: pa.array(v, t) for (n, v), t in zip(out.items(), types)}
+
+
+def _search(batches: Iterator[pa.RecordBatch], column: str, keep: list[str], block) -> Iterator[pa.RecordBatch]:
     seen = Words()
-    made = {f.name: None for f in MADE}
     for batch in batches:
         texts = as_bytes(batch.column(batch.schema.names.index(column)))
-        out: dict[str, list] = {name: [] for name in made}
+        counts, hits, ids = [], [], []
         for a, b in in_pieces(texts):
             lists = [words_of(t) for t in texts[a:b]]
             starts = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
             words = np.fromiter((seen[w] for x in lists for w in x), np.uint64, int(starts[-1]))
             hit = np.zeros(len(words), bool)
             items: dict[int, set] = {}
-            for block in blocks:
-                block.value.hits(words, starts, hit, items)
-                if len(blocks) > 1:
-                    del block._value  # one block in memory at a time
-            counts = np.diff(np.concatenate([[0], np.cumsum(hit)])[starts])
-            for d in range(b - a):
-                ids = sorted(items.get(d, ()))
-                edges = []
-                if counts[d]:
-                    own = np.flatnonzero(np.diff(np.concatenate([[0], hit[starts[d] : starts[d + 1]].view(np.int8), [0]])))
-                    edges = own.reshape(-1, 2).tolist()
-                for name, value in zip(made, (len(lists[d]), int(counts[d]), len(ids), ids, edges, bool(counts[d]))):
-                    out[name].append(value)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.bool_()]
-        yield with_columns(batch, keep, {n: pa.array(v, t) for (n, v), t in zip(out.items(), types)})
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list:
-    """The benchmark's items as broadcasts of at most BLOCK_WORDS words (or one longer item)."""
-    sc = benchmark.sparkSession.sparkContext
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    out, held, n, seen = [], [], 0, Words()
-    for r in rows.toLocalIterator():
-        w = words_of(r.t.encode())
-        if not w:
-            continue
-        if n and n + len(w) > BLOCK_WORDS:
-            out.append(sc.broadcast(Block(held)))
-            held, n = [], 0
-        held.append((r.i, np.fromiter((seen[x] for x in w), np.uint64, len(w))))
-        n += len(w)
-    if held:
-        out.append(sc.broadcast(Block(held)))
-    return out
+            block.value.hits(words, starts, hit, items)
+            counts += map(len, lists)
+            hits += [hit[s:e] for s, e in zip(starts[:-1], starts[1:])]
+            ids += [sorted(items.get(d, ())) for d in range(b - a)]
+        yield with_columns(batch, keep, _rows_of(counts, hits, ids))
+
+
+def _united(batches: Iterator[pa.RecordBatch], column: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """The made columns from the spans and items that all blocks have found."""
+    for batch in batches:
+        names = batch.schema.names
+        counts, hits, ids = [], [], []
+        for text, spans, items in zip(as_bytes(batch.column(names.index(column))), batch.column(names.index("__rl_spans")).to_pylist(), batch.column(names.index("__rl_items")).to_pylist()):
+            n = len(words_of(text))
+            hit = np.zeros(n, bool)
+            for a, b in spans or ():
+                hit[a:b] = True
+            counts.append(n)
+            hits.append(hit)
+            ids.append(sorted(set(items or ())))
+        yield with_columns(batch, keep, _rows_of(counts, hits, ids))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, n, words) of the items with words."""
+    seen = Words()
+    for batch in batches:
+        lists = [words_of(t) for t in as_bytes(batch.column(1))]
+        some = [k for k, w in enumerate(lists) if w]
+        ids = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in some], pa.string()), pa.array([len(lists[k]) for k in some], pa.int64()), pa.array([np.fromiter((seen[w] for w in lists[k]), np.uint64).tobytes() for k in some], pa.binary())], names=["id", "n", "words"])
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(block, id, words) of the items, a checkpoint, and the number of blocks."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    hashed = cut(items.mapInArrow(_hashed, "id string, n long, words binary"))
+    total = hashed.agg(F.sum("n")).first()[0] or 0
+    if total <= BLOCK_WORDS:
+        return hashed.select(F.lit(0).cast("long").alias("block"), "id", "words"), int(total > 0)
+    dealt = running(hashed.withColumn("at", F.xxhash64("id", "words")), ["at", "id"], {"before": "n"})
+    dealt = cut(dealt.select(F.floor(F.col("before") / BLOCK_WORDS).alias("block"), "id", "words"))
+    return dealt, dealt.agg(F.max("block")).first()[0] + 1
+
+
+def _sent(blocks: DataFrame, k: int):
+    """A block as a broadcast: at most BLOCK_WORDS words and one item pass through the driver."""
+    rows = blocks.filter(F.col("block") == k).collect()
+    return blocks.sparkSession.sparkContext.broadcast(Block([(r.id, np.frombuffer(r.words, np.uint64)) for r in rows]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -196,7 +224,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     schema = T.StructType([docs.schema[c] for c in keep] + list(MADE))
     src = docs.select(*dict.fromkeys([*keep, text_col]))
-    return src.mapInArrow(functools.partial(_search, column=text_col, keep=keep, blocks=_blocks(benchmark, item_col, item_text_col)), schema)
+    blocks, n = item_blocks(benchmark, item_col, item_text_col)
+    if n <= 1:
+        return src.mapInArrow(functools.partial(_search, column=text_col, keep=keep, block=_sent(blocks, 0)), schema)
+    # equal texts have equal finds, so texts stand for the rows: by 96 bits of two hashes
+    keys = {"__rl_a": F.xxhash64(text_col), "__rl_b": F.hash(text_col)}
+    texts, path = docs.select(F.col(text_col).alias("text"), *(c.alias(k) for k, c in keys.items())), shared_path(docs.sparkSession, "finds")
+    found = T.StructType([T.StructField("__rl_a", T.LongType()), T.StructField("__rl_b", T.IntegerType()), *MADE])
+    for k in range(n):
+        sent = _sent(blocks, k)
+        rows = texts.mapInArrow(functools.partial(_search, column="text", keep=list(keys), block=sent), found).filter("contaminated")
+        rows.select(*keys, "items", "spans").dropDuplicates(list(keys)).write.parquet(f"{path}/{k}")
+        sent.destroy()
+    finds = docs.sparkSession.read.schema(T.StructType([found[c] for c in (*keys, "items", "spans")])).parquet(*(f"{path}/{k}" for k in range(n)))
+    finds = finds.groupBy(*keys).agg(F.flatten(F.collect_list("spans")).alias("__rl_spans"), F.flatten(F.collect_list("items")).alias("__rl_items"))
+    return src.withColumns(keys).join(finds, list(keys), "left").drop(*keys).mapInArrow(functools.partial(_united, column=text_col, keep=keep), schema)
 
 
 def op3_decontamination(spark, sf_dir):

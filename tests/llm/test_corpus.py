@@ -123,9 +123,12 @@ def test_decontamination_against_brute_force(spark, docs, texts, none):
 def test_blocks_give_the_same(spark, docs, texts, monkeypatch):
     own = [t for _, t in texts if t and len(t.split()) > 60][:8]
     bench = spark.createDataFrame([(k, " ".join(t.split()[5:30])) for k, t in enumerate(own)], "item_id long, text string")
-    one = sorted((r.doc_id or -1, r.n_hit, r["items"]) for r in D.decontaminate(docs, bench).collect())
+    bench = bench.union(bench.limit(2)).repartition(3)
+    rows = lambda: Counter((r.doc_id, r.text, r.fp, r.n_words, r.n_hit, tuple(r["items"]), str(r.spans), r.contaminated) for r in D.decontaminate(docs, bench).collect())
+    one = rows()
     monkeypatch.setattr(D, "BLOCK_WORDS", 30)
-    assert sorted((r.doc_id or -1, r.n_hit, r["items"]) for r in D.decontaminate(docs, bench).collect()) == one
+    assert D.item_blocks(bench, "item_id", "text")[1] > 3 and rows() == one
+    assert D.decontaminate(docs, bench, keep=["doc_id"]).columns[:1] == ["doc_id"]
 
 
 def test_winnowing_guarantee():
