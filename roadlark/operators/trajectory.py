@@ -25,6 +25,17 @@ def steps(df: DataFrame, key: str, seconds: str, lat: str, lon: str, speed: str,
     return out.withColumn("stationary", F.coalesce(still, F.lit(False)))
 
 
+def sensor_days(df: DataFrame, key: str, time: str, gap_s: int = 300) -> DataFrame:
+    """(key, day, rows, observed_s, first_s, last_s): of each day its rows, the seconds between rows less than ``gap_s`` apart, and its first and last
+    second of the day. Rows without a time are left out; of one second's rows the gaps are 0."""
+    at = F.unix_seconds(F.col(time).cast("timestamp"))
+    t = df.filter(F.col(time).isNotNull()).select(key, F.to_date(time).alias("day"), at.alias("__s"))
+    gap = F.col("__s") - F.lag("__s").over(Window.partitionBy(key, "day").orderBy("__s"))
+    second = lambda c: F.pmod(c, F.lit(86_400))
+    return t.withColumn("__g", gap).groupBy(key, "day").agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("__g") < gap_s, F.col("__g"))), F.lit(0)).alias("observed_s"), second(F.min("__s")).alias("first_s"), second(F.max("__s")).alias("last_s"))
+
+
 def valid_step(longest_s: int = 180 * 60) -> Column:
     return F.col("dt").isNotNull() & (F.col("dt") > 0) & (F.col("dt") <= longest_s) & F.col("metres").isNotNull() & ~F.col("jump")
 

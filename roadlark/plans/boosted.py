@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import boosting, cleaning, models
+from ..operators.fold_transform import FoldTransform
 from .evaluation import _D, scored
 from .registry import AS_OF, query, r6, table
 
@@ -102,3 +103,20 @@ def residual_blend(spark, sf_dir):
     out, chosen = models.blend_residuals(d, ["p2", "length"], "y", "fold", [0, 1, 2], "lang", ["en", "de"], {k: "p" for k in range(3)}, "p")
     lam = F.coalesce(*(F.when((F.col("fold") == k) & (F.col("lang") == g), F.lit(x)) for k, g, x in chosen), F.lit(0.0))
     return out.select("doc_id", "fold", "lang", lam.alias("lambda"), r6("blended").alias("blended"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_custkey % 5 <> 0 tr, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal::DOUBLE END x, c_nationkey::DOUBLE r, CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END seg FROM customer),
+m AS (SELECT median(r) mr, median(x) mx FROM c WHERE tr), k AS (SELECT c.*, mx, coalesce(seg, 'unknown') || '|' || CASE WHEN r > mr THEN 'hi' ELSE 'lo' END cohort FROM c, m),
+st AS (SELECT cohort, avg(x) mu, stddev_pop(x) sd, count(x) n, count(*) size FROM k WHERE tr GROUP BY 1), g AS (SELECT avg(x) mu, stddev_pop(x) sd, count(x) n FROM k WHERE tr),
+z AS (SELECT k.*, size < 30 OR size IS NULL fb, CASE WHEN size < 30 OR size IS NULL THEN (x - g.mu) / g.sd ELSE (x - st.mu) / st.sd END z,
+ CASE WHEN x IS NULL THEN NULL WHEN size < 30 OR size IS NULL THEN (SELECT count(*) FROM k p WHERE p.tr AND p.x <= k.x) / g.n::DOUBLE ELSE (SELECT count(*) FROM k p WHERE p.tr AND p.cohort = k.cohort AND p.x <= k.x) / st.n::DOUBLE END pct FROM k LEFT JOIN st USING (cohort), g),
+f AS (SELECT median(z) mz, median(pct) mp FROM z WHERE tr)
+SELECT c_custkey, round(coalesce(x, mx), 6) x, round(coalesce(z, mz), 6) x_cohort_z, round(CASE WHEN x IS NULL THEN mp ELSE pct END, 6) x_cohort_pct, (seg IS NULL)::INT missing, coalesce(seg = 'BUILDING', false)::INT building FROM z, f WHERE NOT tr""")
+def fold_transform(spark, sf_dir):
+    """Rows of one fold by what was learnt from the others: cohort positions, medians, categories."""
+    key = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(key % 7 != 0, F.col("c_acctbal").cast("double")).alias("x"), F.col("c_nationkey").cast("double").alias("r"), F.when(key % 11 != 0, F.col("c_mktsegment")).alias("seg"))
+    fitted = FoldTransform.fit(c.filter(key % 5 != 0), "c_custkey", ["x"], ["seg"], ["x"], "seg", "r", limit=1.0)
+    out = fitted.transform(c.filter(key % 5 == 0), ["c_custkey"])
+    return out.select("c_custkey", *(r6(n).alias(n) for n in ("x", "x_cohort_z", "x_cohort_pct")), F.col("`seg=__MISSING__`").alias("missing"), F.col("`seg=BUILDING`").alias("building"))

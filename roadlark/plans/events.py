@@ -263,3 +263,15 @@ WITH x AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) title
 SELECT page_id, title, lang, host, lpad(page_id::VARCHAR, 8, '0') padded FROM x""")
 def html_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.lpad(F.col("page_id").cast("string"), 8, "0").alias("padded"))
+
+
+@query("""
+WITH a AS (SELECT user_id, max(ts) at FROM events WHERE event_type = 'error' GROUP BY 1)
+SELECT a.user_id, count(e.ts) before, count(e.ts) FILTER (e.ts >= a."at" - INTERVAL 20 DAY) recent FROM a LEFT JOIN events e ON e.user_id = a.user_id AND e.ts < a."at" GROUP BY 1""".replace("max(ts) at", 'max(ts) AS "at"'))
+def strict_past(spark, sf_dir):
+    """Events strictly before each user's own day of reference, the last error: that row itself is not in its past."""
+    ev = table(spark, sf_dir, "events")
+    last = ev.filter("event_type = 'error'").groupBy("user_id").agg(F.max("ts").alias("at"))
+    past = last.join(ev.select("user_id", "ts"), "user_id").filter(F.col("ts") < F.col("at"))
+    n = past.groupBy("user_id").agg(F.count("*").alias("before"), F.count_if(F.col("ts") >= F.col("at") - F.expr("interval 20 days")).alias("recent"))
+    return last.select("user_id").join(n, "user_id", "left").na.fill(0)

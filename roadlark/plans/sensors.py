@@ -243,3 +243,11 @@ def rank_fusion(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     r = with_average_rank(p.select("p_partkey", "p_retailprice", "p_size"), {"a": "p_retailprice", "b": "p_size"})
     return r.select("p_partkey", F.round("a", 1).alias("avg_rank"), F.round(F.col("a") + F.col("b"), 1).alias("rank_sum"))
+
+
+@query("""
+WITH e AS (SELECT user_id, ts::DATE AS "day", epoch(date_trunc('second', ts))::BIGINT s FROM events), g AS (SELECT *, s - lag(s) OVER (PARTITION BY user_id, "day" ORDER BY s) gap FROM e)
+SELECT user_id, "day", count(*) "rows", coalesce(sum(gap) FILTER (gap < 7200), 0)::BIGINT observed_s, (min(s) % 86400)::BIGINT first_s, (max(s) % 86400)::BIGINT last_s FROM g GROUP BY 1, 2""")
+def sensor_days(spark, sf_dir):
+    """Rows, observed seconds and first and last second of each user's days."""
+    return trajectory.sensor_days(table(spark, sf_dir, "events"), "user_id", "ts", 7200)

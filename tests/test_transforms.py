@@ -99,3 +99,37 @@ def test_residuals_are_blended_by_lambdas_of_the_other_folds(spark):
     assert lam[0, "low"] == max(sorted(scores), key=lambda x: (scores[x], -x))
     low = [r for r in got.values() if r.g == "low"]
     assert auc_by_force([r.blended for r in low], [r.y for r in low]) > auc_by_force([r.p for r in low], [r.y for r in low]) + 0.05
+
+
+def test_a_fold_learns_from_its_training_rows_alone(spark):
+    from roadlark.operators import fold_transform
+    from roadlark.operators.fold_transform import FoldTransform
+    from roadlark.sources.files import ContractError
+
+    rng = random.Random(6)
+    row = lambda i: (i, rng.choice([None, rng.gauss(0, 1)]), float(i), float(-i), 1.0, rng.choice(["a", "b", None]), "same", rng.choice([None, 0.2, 0.8]))
+    train, test = [row(i) for i in range(120)], [row(i) for i in range(120, 150)] + [(200, None, None, None, None, "new", None, None)]
+    schema = "i long, x double, u double, v double, one double, t string, s string, r double"
+    fit = lambda rows: FoldTransform.fit(spark.createDataFrame(rows, schema).repartition(3), "i", ["x", "u", "v", "one"], ["t", "s"], ["x"], "t", "r", limit=0.999, least=20)
+    one, again = fit(train), fit(train[::-1])
+    assert one.fingerprint == again.fingerprint != fit(train[1:]).fingerprint and one.rows == 120
+    assert {c: why for c, why, _ in one.dropped} == {"v": "spearman_rho", "one": "near_zero_variance", "s": "one_value"}
+    assert one.categories == {"t": ["__MISSING__", "a", "b"]} and one.columns == ["x", "u", "x_cohort_z", "x_cohort_pct", "t=__MISSING__", "t=a", "t=b"]
+    out = {r.i: tuple(r) for r in one.transform(spark.createDataFrame(test, schema), ["i"]).collect()}
+    alone = {r.i: tuple(r) for k in (0, len(test) - 1) for r in one.transform(spark.createDataFrame(test[k : k + 1], schema), ["i"]).collect()}
+    assert len(out) == 31 and all(out[k] == pytest.approx(v) for k, v in alone.items())
+    assert out[200][-3:] == (0, 0, 0) and None not in out[200]
+    held = [r for r in train if r[1] is not None]
+    split = np.median([r[7] for r in train if r[7] is not None])
+    cohort = lambda r: (r[5], None if r[7] is None else r[7] > split)
+    for r in test[:-1]:
+        if r[1] is not None:
+            own = [q for q in train if cohort(q) == cohort(r)]
+            pool = [q[1] for q in (own if len(own) >= 20 else train) if q[1] is not None]
+            assert out[r[0]][3:5] == pytest.approx(((r[1] - np.mean(pool)) / np.std(pool), np.mean(np.array(pool) <= r[1])))
+        else:
+            assert out[r[0]][1] == pytest.approx(np.median([q[1] for q in held]))
+    fold_transform.MAX_CATEGORIES, most = 1, fold_transform.MAX_CATEGORIES
+    with pytest.raises(ContractError):
+        fit(train)
+    fold_transform.MAX_CATEGORIES = most
