@@ -158,24 +158,44 @@ def best_n0(df: DataFrame, p: str, label: str, group: str, own: list, shrunk: li
     return max(grid, key=lambda n0: (sum(found[n0]) / len(found[n0]) if found[n0] else 0.5, n0))
 
 
-def cross_fit(df: DataFrame, xs: list[str], y: str, fold: str, folds: list[int], penalty: float = 1.0) -> DataFrame:
-    """Each row with ``distilled``, a non-negative ridge of the other folds, for the fidelity to ``y`` out of fold."""
+def monotone_curves(train: DataFrame, xs: list[str], y: str, bins: int) -> dict[str, Column]:
+    """For each feature a non-decreasing step function fitted to ``y``: the pooled means of its quantile bins; below the first bin's least value
+    it is the first, a missing value has the mean of all rows."""
+    from .rules import fit_bins
+
+    mean = train.agg(F.avg(y)).first()[0]
+    out = {}
+    for x in xs:
+        steps = fit_bins(train, x, y, bins).orderBy("low").collect()  # a row for each bin
+        curve = F.lit(steps[0].risk) if steps else F.lit(mean)
+        for r in steps[1:]:
+            curve = F.when(F.col(x) >= r.low, r.risk).otherwise(curve)
+        out[x] = F.when(number(F.col(x)).isNull(), mean).otherwise(curve)
+    return out
+
+
+def cross_fit(df: DataFrame, xs: list[str], y: str, fold: str, folds: list[int], penalty: float = 1.0, bins: int | None = None) -> DataFrame:
+    """Each row with ``distilled``, a non-negative ridge of the other folds, for the fidelity to ``y`` out of fold; with ``bins`` over monotone
+    curves of the features, which those folds fit too."""
     from .rules import nonnegative_ridge
 
     parts = []
     for f in folds:
-        w = nonnegative_ridge(df.filter(F.col(fold) != f), xs, y, penalty)
-        parts.append(df.filter(F.col(fold) == f).withColumn("distilled", sum((F.lit(a) * F.col(x) for a, x in zip(w, xs)), F.lit(w[-1]))))
+        train = df.filter(F.col(fold) != f)
+        made = monotone_curves(train, xs, y, bins) if bins else {x: F.col(x) for x in xs}
+        names = [f"__c{i}" for i in range(len(xs))]
+        w = nonnegative_ridge(train.withColumns(dict(zip(names, made.values()))), names, y, penalty)
+        parts.append(df.filter(F.col(fold) == f).withColumn("distilled", sum((F.lit(a) * c for a, c in zip(w, made.values())), F.lit(w[-1]))))
     return reduce(DataFrame.unionByName, parts)
 
 
 def fidelity(df: DataFrame, a: str, b: str, by: float = 0.2) -> DataFrame:
-    """How well ``a`` stands for ``b``: Pearson, mean distance and the share of rows on the same side of the 1 - ``by`` quantile."""
+    """How well ``a`` stands for ``b``: Pearson, mean distance, that of the penalties in points of 100, and the share of rows on the same side of the 1 - ``by`` quantile."""
     from .windows import exact_quantiles
 
     cut = exact_quantiles(df, a, {"__ca": 1 - by}).drop("n").crossJoin(exact_quantiles(df, b, {"__cb": 1 - by}).drop("n"))  # one row each
     same = ((F.col(a) >= F.col("__ca")) == (F.col(b) >= F.col("__cb"))).cast("double")
-    return df.join(F.broadcast(cut)).agg(F.corr(a, b).alias("pearson"), F.avg(F.abs(F.col(a) - F.col(b))).alias("distance"), F.avg(same).alias("same_side"))
+    return df.join(F.broadcast(cut)).agg(F.corr(a, b).alias("pearson"), F.avg(F.abs(F.col(a) - F.col(b))).alias("distance"), F.avg(F.abs(100 * F.col(a) - 100 * F.col(b))).alias("penalty_mae"), F.avg(same).alias("same_side"))
 
 
 def fused_views(df: DataFrame, arms: dict[str, str], label: str, keep: int = 4) -> tuple[list[tuple[str, str, float]], DataFrame]:

@@ -135,7 +135,25 @@ def distillation_fidelity(spark, sf_dir):
     """A non-negative ridge fitted out of fold to a teacher's score, and how well it stands for it."""
     d = scored(spark, sf_dir).withColumn("fold", (F.col("doc_id") % 3).cast("int")).withColumn("teacher", 0.7 * F.col("p") + 0.3 * F.col("p2"))
     out = models.cross_fit(d, ["p", "p2"], "teacher", "fold", [0, 1, 2])
-    return models.fidelity(out, "distilled", "teacher").select(*(F.round(c, 4).alias(c) for c in ("pearson", "distance", "same_side")))
+    return models.fidelity(out, "distilled", "teacher").select(*(F.round(c, 4).alias(c) for c in ("pearson", "distance", "penalty_mae", "same_side")))
+
+
+@query()
+def curve_fidelity(spark, sf_dir):
+    """The same over monotone curves of the features, each fitted out of fold with the ridge."""
+    d = scored(spark, sf_dir).withColumn("fold", (F.col("doc_id") % 3).cast("int")).withColumn("teacher", F.sqrt("p") * 0.7 + 0.3 * F.col("p2"))
+    out = models.cross_fit(d, ["p", "p2"], "teacher", "fold", [0, 1, 2], bins=8)
+    return models.fidelity(out, "distilled", "teacher").select(*(F.round(c, 4).alias(c) for c in ("pearson", "distance", "penalty_mae", "same_side")))
+
+
+@query()
+def model_jitter(spark, sf_dir):
+    """The spread of the out-of-fold AUC over a model's own seeds, and whether the difference to another score is more than three times it."""
+    d = scored(spark, sf_dir).withColumn("fold", (F.col("doc_id") % 2).cast("int")).withColumnRenamed("p", "p1")
+    at = lambda seed: evaluation.auc(models.out_of_fold(d, ["p1", "p2"], "y", "fold", [0, 1], "forest", seed), "p", "y").first().auc
+    j = protocol.jitter(at, (42, 7, 2024))
+    other = evaluation.auc(d, "p1", "y").first().auc
+    return spark.createDataFrame([(*(round(j[k], 5) for k in ("mean", "std", "range")), round(other, 5), abs(j["mean"] - other) > 3 * j["range"])], "mean double, std double, range double, other double, apart boolean")
 
 
 @query()

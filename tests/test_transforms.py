@@ -133,3 +133,23 @@ def test_a_fold_learns_from_its_training_rows_alone(spark):
     with pytest.raises(ContractError):
         fit(train)
     fold_transform.MAX_CATEGORIES = most
+
+
+def test_curves_are_fitted_out_of_fold_and_never_fall(spark):
+    rng = random.Random(9)
+    rows = [(i, i % 3, x := rng.random(), None if i % 20 == 0 else rng.random(), min(1.0, x * x + rng.gauss(0, 0.05))) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, fold int, x double, z double, y double")
+    curve = models.monotone_curves(df.filter("fold <> 0"), ["x", "z"], "y", 6)
+    got = [r.c for r in df.orderBy("x").select(curve["x"].alias("c")).collect()]
+    assert all(a <= b for a, b in zip(got, got[1:])) and 2 < len(set(got)) <= 6
+    train = sorted((x, y) for _, f, x, _, y in rows if f != 0)
+    edges = np.quantile([x for x, _ in train], [k / 6 for k in range(1, 6)])
+    groups = [[y for x, y in train if sum(e <= x for e in edges) == k] for k in range(6)]
+    means = [float(np.mean(g)) for g in groups]
+    assert means == sorted(means) and sorted(set(got)) == pytest.approx(means)
+    mean = float(np.mean([y for _, y in train]))
+    assert {round(r.c, 9) for r in df.filter("z is null").select(curve["z"].alias("c")).collect()} == {round(mean, 9)}
+    out = models.cross_fit(df, ["x", "z"], "y", "fold", [0, 1, 2], bins=6)
+    f, g = models.fidelity(out, "distilled", "y").first(), models.fidelity(models.cross_fit(df.na.fill(0.5), ["x", "z"], "y", "fold", [0, 1, 2]), "distilled", "y").first()
+    held = out.collect()
+    assert f.penalty_mae == pytest.approx(100 * np.mean([abs(r.distilled - r.y) for r in held])) and f.distance < g.distance
