@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import diminishing
 from .scans import scan_by_key
-from .windows import exact_quantiles
+from .windows import exact_quantiles, running
 from ..functions.scalars import ratio
 
 
@@ -26,14 +26,46 @@ def pool_adjacent(values: list[float], weights: list[float]) -> list[float]:
     return [float(least[: j + 1, j].max()) for j in range(n)]
 
 
-def fit_bins(df: DataFrame, x: str, y: str, n: int = 4) -> DataFrame:
-    """Quantile bins of x with the monotone mean of y: (bin, low, n, risk). At most n rows reach the driver."""
-    found = exact_quantiles(df, x, {f"q{i}": i / n for i in range(1, n)}).drop("n").first()
+def pooled_ends(values: list[float], weights: list[float]) -> list[int]:
+    """Where the stretches of the fit end: after each place up to which no stretch has a greater mean than any that begins behind it."""
+    means = lambda v, w: np.cumsum(np.multiply(v, w)) / np.cumsum(w)
+    n = len(values)
+    return [j for j in range(n) if j == n - 1 or means(values[: j + 1][::-1], weights[: j + 1][::-1]).max() <= means(values[j + 1 :], weights[j + 1 :]).min()]
+
+
+def order_statistics(df: DataFrame, x: str, places: list[int]) -> list[float]:
+    """The values at places of the sorted column, from 0, from counts by value; a row for each place reaches the driver."""
+    counts = running(df.filter(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("v")).agg(F.count("*").alias("n")), ["v"], {"before": "n"})
+    held = counts.filter(F.exists(F.array(*map(F.lit, places)), lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")))).collect() if places else []
+    return [next(r.v for r in held if r.before <= k < r.before + r.n) for k in places]
+
+
+def fit_bins(df: DataFrame, x: str, y: str, n: int = 4, compress: bool = False, compat: bool = False) -> DataFrame:
+    """Quantile bins of x with the monotone mean of y: (bin, low, n, risk). At most n rows reach the driver.
+
+    ``compress`` makes one bin of neighbours of equal risk. ``compat`` is the rule as it is in use: edges are the values at the rounded places k N / n,
+    and each stretch of the fit, once, is paired with the bins in order, so that pooling shifts the edges and the last bins are left out; then it compresses.
+    """
+    if compat:
+        known = df.filter(F.col(x).isNotNull()).count()
+        found = order_statistics(df, x, [min(known - 1, round(k * known / n)) for k in range(1, n)]) if known else []
+        found = [] if len(set(order_statistics(df, x, [0, known - 1]) if known else [])) < 2 else found
+    else:
+        found = exact_quantiles(df, x, {f"q{i}": i / n for i in range(1, n)}).drop("n").first()
     edges = sorted({v for v in found if v is not None})
     b = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(x))) if edges else F.lit(0)
     rows = df.filter(F.col(x).isNotNull()).groupBy(b.alias("bin")).agg(F.min(x).alias("low"), F.count("*").alias("n"), F.avg(y).alias("mean")).orderBy("bin").collect()
-    risk = pool_adjacent([r.mean for r in rows], [r.n for r in rows])
-    return df.sparkSession.createDataFrame([(r.bin, float(r.low), r.n, float(v)) for r, v in zip(rows, risk)], "bin int, low double, n long, risk double")
+    means, sizes = [r.mean for r in rows], [r.n for r in rows]
+    risk = pool_adjacent(means, sizes)
+    if compat:
+        risk = [risk[j] for j in pooled_ends(means, sizes)]
+    out: list[list] = []
+    for r, v in zip(rows, risk):
+        if out and (compress or compat) and abs(out[-1][3] - v) <= 1e-12:
+            out[-1][2] += r.n
+        else:
+            out.append([r.bin, float(r.low), r.n, float(v)])
+    return df.sparkSession.createDataFrame([tuple(r) for r in out], "bin int, low double, n long, risk double")
 
 
 def score_with_ledger(rates: DataFrame, ruleset: DataFrame, key: str, budget: float = 100.0) -> tuple[DataFrame, DataFrame]:

@@ -65,6 +65,14 @@ def monotone_rules(spark, sf_dir):
     return _ruleset(spark, sf_dir).select("cls", "bin", r6("low").alias("low"), "n", r6("risk").alias("risk"))
 
 
+@query()
+def compressed_rules(spark, sf_dir):
+    """The bins of the click rate with neighbours of equal risk made one, by the rule as documented and as in use."""
+    rates = _rates(spark, sf_dir).filter(F.col("cls") == "click")
+    out = [rules.fit_bins(rates, "x", "y", 8, compress=True, compat=c).withColumn("compat", F.lit(c)) for c in (False, True)]
+    return out[0].unionByName(out[1]).select("compat", "bin", r6("low").alias("low"), "n", r6("risk").alias("risk"))
+
+
 @query()
 def rule_scores(spark, sf_dir):
     """Scores, and the score made again from the ledger: both columns agree."""

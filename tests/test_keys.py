@@ -141,3 +141,29 @@ def test_files_of_many_ranges(spark, tmp_path, monkeypatch):
         (tmp_path / "f/a").write_bytes(bytes(data))
         seen.add({r.name: r.sha256 for r in protocol.file_hashes(spark, str(tmp_path / "f")).collect()}["a"])
     assert len(seen) == 6
+
+
+def test_bins_are_compressed_as_documented_and_as_in_use(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice([0.1, 0.2, 0.3, rng.random()]), float(rng.random() < 0.4)) for _ in range(90)]
+    df = spark.createDataFrame([*rows, (None, 1.0)], "x double, y double").repartition(3)
+    plain = [tuple(r) for r in rules.fit_bins(df, "x", "y", 8).orderBy("bin").collect()]
+    packed = [tuple(r) for r in rules.fit_bins(df, "x", "y", 8, compress=True).orderBy("bin").collect()]
+    assert [r[3] for r in packed] == pytest.approx(sorted({round(r[3], 12) for r in plain})) and sum(r[2] for r in packed) == sum(r[2] for r in plain) == 90
+    xs = sorted(x for x, _ in rows)
+    edges = sorted({xs[min(89, round(k * 90 / 8))] for k in range(1, 8)})
+    bins = [[y for x, y in rows if sum(e <= x for e in edges) == k] for k in range(len(edges) + 1)]
+    held = [(k, b) for k, b in enumerate(bins) if b]
+    blocks = [[sum(b), len(b)] for _, b in held]
+    while (i := next((i for i in range(len(blocks) - 1) if blocks[i][0] / blocks[i][1] > blocks[i + 1][0] / blocks[i + 1][1]), None)) is not None:
+        blocks[i : i + 2] = [[blocks[i][0] + blocks[i + 1][0], blocks[i][1] + blocks[i + 1][1]]]
+    want = []
+    for (k, b), (t, n) in zip(held, blocks):
+        if want and abs(want[-1][1] - t / n) < 1e-12:
+            want[-1] = (want[-1][0], t / n)
+        else:
+            want.append((k, t / n))
+    got = [(r.bin, r.risk) for r in rules.fit_bins(df, "x", "y", 8, compat=True).orderBy("bin").collect()]
+    assert [k for k, _ in got] == [k for k, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want])
+    one = rules.fit_bins(spark.createDataFrame([(2.0, 1.0), (2.0, 0.0)], "x double, y double"), "x", "y", compat=True).collect()
+    assert [tuple(r) for r in one] == [(0, 2.0, 2, 0.5)] and rules.fit_bins(df.limit(0), "x", "y", compat=True).count() == rules.fit_bins(df.limit(0), "x", "y").count() == 0
