@@ -94,7 +94,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     seen = captures.select(F.col(url_col).alias("__rl_url"), F.col(time_col).alias("__rl_time")).filter("__rl_url is not null and __rl_time is not null").distinct()
     parsed = seen.withColumns({"__rl_host": host_of(F.col("__rl_url")), "__rl_path": path_of(F.col("__rl_url"))}).filter("__rl_host is not null")
     probes = parsed.withColumn("__rl_key", F.explode(keys_of(F.col("__rl_host"), F.col("__rl_path"), labels, directories))).drop("__rl_host", "__rl_path")
-    counts = cut(probes.join(runs.select(F.col("pattern").alias("__rl_key")).distinct(), "__rl_key", "left_semi").groupBy("__rl_key").agg(F.count("*").alias("n")))
+    counts = probes.groupBy("__rl_key").agg(F.count("*").alias("n"))
+    counts = cut(counts.join(runs.select(F.col("pattern").alias("__rl_key")).distinct(), "__rl_key", "left_semi"))
     least = max(LEAST_HOT, int((counts.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
     hot = F.broadcast(counts.filter(F.col("n") >= least).select("__rl_key", F.ceil(F.col("n") / least).cast("int").alias("__rl_salts")))  # 1 / HOT_SHARE rows at most
     dealt = probes.join(hot, "__rl_key", "left").withColumn("__rl_salt", F.pmod(F.xxhash64("__rl_url", "__rl_time"), F.coalesce("__rl_salts", F.lit(1))).cast("int"))
