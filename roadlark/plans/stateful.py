@@ -141,7 +141,14 @@ WITH b AS (SELECT user_id, event_type, ts, event_id, CASE WHEN lag(ts) OVER w IS
 c AS (SELECT *, sum(b) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) s FROM b)
 SELECT user_id, event_type, epoch_us(min(ts)) start_us, count(*) n FROM c GROUP BY user_id, event_type, s""")
 def stream_sessions(spark, sf_dir):
-    s = streams.run(streams.sessions(streams.event_stream(spark, sf_dir), {"error": "12 hours"}), "complete")
+    """Chains as the watermark closes them, in append mode; a last row, long after the others, lets the last ones close."""
+    folder = shared_path(spark, "session-events")
+    ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "user_id", "event_type", "value", "props")
+    ev.write.parquet(f"{folder}/0")
+    last = ev.groupBy().agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
+    last.write.parquet(f"{folder}/1")
+    stream = spark.readStream.schema(streams.SCHEMA).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 8).parquet(folder)
+    s = streams.run(streams.sessions(stream, {"error": "12 hours"}), "append").filter("user_id <> -1")
     return s.select("user_id", "event_type", F.unix_micros("start").alias("start_us"), "n")
 
 
