@@ -69,5 +69,8 @@ def pairs_within(df: DataFrame, by: list[str], position: str, value: str) -> Dat
 
 
 def top_rows(df: DataFrame, by: list[str], order: list[Column], k: int | Column) -> DataFrame:
+    """The first k rows of each group in an order, with ``rank`` from 1. Without groups each task keeps its own first k, and only those meet."""
+    if not by and isinstance(k, int):
+        df = df.orderBy(*order).limit(k)
     w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

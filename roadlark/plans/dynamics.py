@@ -178,7 +178,9 @@ def segment_lookup(spark, sf_dir):
     return joins.lookup(p, codes, "c_mktsegment", "segment", None).select("user_id", "segment", "n")
 
 
-@query()
+@query("""
+WITH e AS (SELECT event_id, ts, CASE event_id % 4 WHEN 1 THEN 'pending' WHEN 2 THEN 'exempt' ELSE 'valid' END st, max(ts) OVER () last FROM events WHERE event_type = 'error')
+SELECT event_id, CASE WHEN st = 'pending' THEN 'auto_valid_after_deadline' ELSE st END resolved, st <> 'exempt' included FROM e WHERE st <> 'pending' OR ts + INTERVAL 3 DAY <= last - INTERVAL 1 HOUR""")
 def stream_evidence(spark, sf_dir):
     """Evidence decided by review, or by the deadline once the watermark has passed it."""
     s = streams.event_stream(spark, sf_dir).filter("event_type = 'error'")
@@ -186,7 +188,10 @@ def stream_evidence(spark, sf_dir):
     return streams.run(streams.evidence(s.withColumn("status", status)), "update")
 
 
-@query()
+@query("""
+WITH w AS (SELECT user_id, list(least(value / 100, 1.0) ORDER BY ts) xs, (user_id % 10) / 10.0::DOUBLE t FROM events GROUP BY 1),
+z AS (SELECT user_id, list_reduce(list_prepend(CASE WHEN t > 0.6 AND xs[1] >= 0.5 THEN 1.0::DOUBLE ELSE -1.0 END, xs[2:]), lambda s, x: CASE WHEN s = 1 AND x < 0.45 THEN 0.0 WHEN s = 0 AND x > 0.55 AND t > 0.6 THEN 1.0 ELSE s END) f FROM w)
+SELECT user_id, CASE f WHEN 1 THEN 'in' WHEN 0 THEN 'out' ELSE 'off' END state FROM z""")
 def stream_doors(spark, sf_dir):
     """The last hysteresis state of each user."""
     s = streams.event_stream(spark, sf_dir).select("user_id", "ts", F.least(F.col("value") / 100, F.lit(1.0)).alias("x"), ((F.col("user_id") % 10) / 10.0).alias("teacher"))

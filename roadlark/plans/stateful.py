@@ -60,7 +60,17 @@ def _ruleset(spark, sf_dir):
     return out
 
 
-@query()
+_RULES = """
+WITH y AS (SELECT user_id, max((ts >= TIMESTAMP '2024-01-21' AND event_type = 'error')::INT) y FROM events GROUP BY 1),
+x AS (SELECT user_id, event_type cls, count(*) / 20.0::DOUBLE x, CASE WHEN event_type IN ('click', 'view') THEN 'attention' ELSE event_type END grp FROM events WHERE ts < TIMESTAMP '2024-01-21' GROUP BY 1, 2),
+t AS (SELECT x.*, y FROM x JOIN y USING (user_id) WHERE user_id % 5 <> 0 AND cls IN ('click', 'error', 'purchase', 'signup', 'view')),
+q AS (SELECT cls, list_distinct(quantile_cont(x, [0.25, 0.5, 0.75])) e FROM t GROUP BY 1),
+b AS (SELECT cls, len(list_filter(e, lambda v: v <= x)) bin, min(x) low, count(*) n, avg(y) m FROM t JOIN q USING (cls) GROUP BY 1, 2),
+s AS (SELECT i.cls, i.bin i, k.bin k, sum(l.n * l.m) / sum(l.n) w FROM b i JOIN b k ON k.cls = i.cls AND k.bin >= i.bin JOIN b l ON l.cls = i.cls AND l.bin BETWEEN i.bin AND k.bin GROUP BY 1, 2, 3),
+r AS (SELECT cls, bin, max(w) risk FROM (SELECT b.cls, b.bin, s.i, min(w) w FROM b JOIN s ON s.cls = b.cls AND s.i <= b.bin AND s.k >= b.bin GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+@query(_RULES + " SELECT cls, bin::INT bin, round(low, 6) low, n, round(risk, 6) risk FROM b JOIN r USING (cls, bin)")
 def monotone_rules(spark, sf_dir):
     return _ruleset(spark, sf_dir).select("cls", "bin", r6("low").alias("low"), "n", r6("risk").alias("risk"))
 
@@ -73,7 +83,10 @@ def compressed_rules(spark, sf_dir):
     return out[0].unionByName(out[1]).select("compat", "bin", r6("low").alias("low"), "n", r6("risk").alias("risk"))
 
 
-@query()
+@query(_RULES + """, p AS (SELECT cls, bin, low, lead(low) OVER (PARTITION BY cls ORDER BY low) high, risk, max(risk) OVER (PARTITION BY cls) top FROM b JOIN r USING (cls, bin)),
+l AS (SELECT user_id, grp, 100.0::DOUBLE / (SELECT count(DISTINCT cls) FROM b) * coalesce(risk / nullif(top, 0), 0) pts FROM x JOIN p ON p.cls = x.cls AND (x >= low OR bin = 0) AND (high IS NULL OR x < high)),
+g AS (SELECT user_id, max(pts) + 0.25::DOUBLE * CASE WHEN count(*) > 1 THEN (sum(pts) - max(pts)) / (count(*) - 1) ELSE 0 END d FROM l GROUP BY user_id, grp)
+SELECT user_id, round(greatest(0, least(100, 100 - sum(d))), 6) score, round(greatest(0, least(100, 100 - sum(d))), 6) recomputed FROM g GROUP BY 1""")
 def rule_scores(spark, sf_dir):
     """Scores, and the score made again from the ledger: both columns agree."""
     scores, ledger = rules.score_with_ledger(_rates(spark, sf_dir), _ruleset(spark, sf_dir), "user_id")
