@@ -61,3 +61,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(id_col.cast("string").cast("binary")) % n
+
+
+def whole_number(df: DataFrame, column: str) -> Column:
+    """A column of ids as longs; other types, whose order would be lost, are refused."""
+    kind = dict(df.dtypes)[column]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} is {kind}; whole numbers are needed")
+    return F.col(column).cast("long")

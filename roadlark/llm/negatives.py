@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_path, table
+from .common import cut, shared_path, table, whole_number
 
 #: Rows of a block of trees, and of a leaf.
 TREE_ROWS, LEAF_ROWS = 8192, 128
@@ -236,7 +236,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, label: Column) -
     whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     part = vectors.filter(label.isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(finite, F.lit(False)))
-    return part.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), label.cast("long").alias("label"), whole.alias("vector"))
+    return part.select(F.coalesce(whole_number(vectors, id_col), F.lit(LAST)).alias("id"), label.cast("long").alias("label"), whole.alias("vector"))
 
 
 def hard_negatives(vectors: DataFrame, anchor: Column, label: Column, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.windows import running
-from .common import SPACES, cut, table
+from .common import SPACES, cut, table, whole_number
 
 #: Sequences of a run, and bytes of them; bytes of the sequences of a range.
 RUN_ROWS, RUN_BYTES, RANGE_BYTES = 4096, 8 << 20, 16 << 20
@@ -210,7 +210,7 @@ def sequences(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     first; turns of one number come in the order of role and text. Null role or text is empty. Rows
     without a conversation's id belong to none."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in (role_col, text_col))
-    named = turns.filter(F.col(conv_col).isNotNull()).select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
+    named = turns.filter(F.col(conv_col).isNotNull()).select(whole_number(turns, conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
     one = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"))
     placed = named.select("conv_id", place.alias("place"), one.alias("hash"), F.regexp_count("text", F.lit(f"[^{SPACES}]+")).alias("words"))

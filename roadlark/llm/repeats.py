@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import as_bytes, with_columns
-from .common import cut, shared_path, table
+from .common import cut, shared_path, table, whole_number
 
 #: Length of a repeated string.
 SPAN = 100
@@ -366,14 +366,14 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for every row of ``docs``, ``kept`` being the bytes left.
 
-    A null text is empty; a text under SPAN bytes keeps all. Rows of one id are one document as to
+    Ids are whole numbers. A null text is empty; a text under SPAN bytes keeps all. Rows of one id are one document as to
     the order of places, so of equal rows none goes because of the other; a null id comes last.
     Texts of one id are told apart by 18 bits of a hash, contexts of one anchor by 64 bits. A cut
     may split a character of several bytes. Texts of any length are worked on in pieces; an empty
     table gives no rows; other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
-    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
+    named = docs.select(F.coalesce(whole_number(docs, id_col), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
     counts = cut(named.mapInArrow(_frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total = next((r.n for r in counts.filter("key IS NULL").collect()), 0)
     hot = [r.key for r in counts.filter(F.col("key").isNotNull() & (F.col("n") >= max(HOT, total >> MOST))).collect()]
@@ -382,7 +382,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     path = shared_path(spark, "repeats")
     rows.repartition("key").sortWithinPartitions("key", "ctx", "doc", "at").mapInArrow(_told_apart, "doc long, at long, length long, key long").write.parquet(path)
     found = spark.read.schema("doc long, at long, length long, key long").parquet(path)
-    by_doc = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("doc")
+    by_doc = docs.select(F.coalesce(whole_number(docs, id_col), F.lit(LAST)).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("doc")
     asked = found.filter("length = 0").repartition("doc").groupBy("doc").agg(F.collect_list(F.struct("at", "key")).alias("asked"))
     # both joins take the same columns of the texts, so one exchange of them serves both
     contexts = by_doc.join(asked.hint("shuffle_hash"), "doc", "left").select("doc", "id", "text", "asked").mapInArrow(_fetched, "key long, doc long, at long, bytes binary")

@@ -265,3 +265,10 @@ def test_loser_tree_merges_with_shared_turns():
         want = sorted(items, key=lambda x: x[:2])
         assert [g[:2] for g in got] == [w[:2] for w in want]
         assert [g[3] for g in got] == [P.shared_turns(a[0], b[0], 0) for a, b in zip([(b"",), *want], want)]
+
+
+def test_ids_are_whole_numbers(spark):
+    df = spark.createDataFrame([("a", "b")], "i string, t string")
+    for make in (lambda: R.without_repeats(df, "i", "t"), lambda: P.sequences(df, "i", "i", "t", "t"), lambda: N.quantised(df, "i", "t", F.lit(1))):
+        with pytest.raises(TypeError):
+            make()
