@@ -268,7 +268,7 @@ def test_loser_tree_merges_with_shared_turns():
 
 
 def test_ids_are_whole_numbers(spark):
-    df = spark.createDataFrame([("a", "b")], "i string, t string")
-    for make in (lambda: R.without_repeats(df, "i", "t"), lambda: P.sequences(df, "i", "i", "t", "t"), lambda: N.quantised(df, "i", "t", F.lit(1))):
+    df = spark.createDataFrame([("a", "b", [1.0])], "i string, t string, v array<double>")
+    for make in (lambda: R.without_repeats(df, "i", "t"), lambda: P.sequences(df, "i", "i", "t", "t"), lambda: N.quantised(df, "i", "v", F.lit(1))):
         with pytest.raises(TypeError):
             make()
