@@ -71,24 +71,24 @@ def additive_scores(spark, sf_dir):
     return out.select("user_id", r6("p").alias("p"), *(r6(F.get("p_terms", F.lit(i))).alias(f"{k}_term") for i, k in enumerate(_KINDS)))
 
 
-_REFS = f"[{', '.join(repr(i / 49) for i in range(50))}]::DOUBLE[]"
-_SHARE = """list_transform([{q}], lambda q: CASE WHEN {x} <= q[1] THEN 0.0 WHEN {x} >= q[50] THEN 1.0 ELSE (
- (len(list_filter(q, lambda e: e <= {x})) - 1 + ({x} - q[len(list_filter(q, lambda e: e <= {x}))]) / (q[len(list_filter(q, lambda e: e <= {x})) + 1] - q[len(list_filter(q, lambda e: e <= {x}))])) / 49.0 +
- CASE WHEN {x} = q[len(list_filter(q, lambda e: e < {x})) + 1] THEN len(list_filter(q, lambda e: e < {x})) / 49.0 ELSE
- (len(list_filter(q, lambda e: e < {x})) - 1 + ({x} - q[len(list_filter(q, lambda e: e < {x}))]) / (q[len(list_filter(q, lambda e: e < {x})) + 1] - q[len(list_filter(q, lambda e: e < {x}))])) / 49.0 END) / 2 END)[1]"""
+_REFS = f"[{', '.join(repr(i / 19) for i in range(20))}]::DOUBLE[]"
+_SHARE = """list_transform([{q}], lambda q: CASE WHEN {x} <= q[1] THEN 0.0 WHEN {x} >= q[20] THEN 1.0 ELSE (
+ (len(list_filter(q, lambda e: e <= {x})) - 1 + ({x} - q[len(list_filter(q, lambda e: e <= {x}))]) / (q[len(list_filter(q, lambda e: e <= {x})) + 1] - q[len(list_filter(q, lambda e: e <= {x}))])) / 19.0 +
+ CASE WHEN {x} = q[len(list_filter(q, lambda e: e < {x})) + 1] THEN len(list_filter(q, lambda e: e < {x})) / 19.0 ELSE
+ (len(list_filter(q, lambda e: e < {x})) - 1 + ({x} - q[len(list_filter(q, lambda e: e < {x}))]) / (q[len(list_filter(q, lambda e: e < {x})) + 1] - q[len(list_filter(q, lambda e: e < {x}))])) / 19.0 END) / 2 END)[1]"""
 
 
 @query(_D + f""", z AS (SELECT doc_id, (doc_id % 2)::INT fold, p::DOUBLE p, CASE WHEN doc_id % 9 <> 0 THEN p2::DOUBLE END p2 FROM d),
 m AS (SELECT f, median(p) mp, median(p2) mp2 FROM z, (VALUES (0), (1)) t(f) WHERE fold <> f GROUP BY 1),
 q AS (SELECT f, quantile_cont(coalesce(p, mp), {_REFS}) qp, quantile_cont(coalesce(p2, mp2), {_REFS}) qp2 FROM z JOIN m ON fold <> f GROUP BY 1),
 x AS (SELECT doc_id, fold, coalesce(p, mp) p, coalesce(p2, mp2) p2, qp, qp2 FROM z JOIN m ON f = fold JOIN q USING (f))
-SELECT doc_id, fold, round({_SHARE.format(x='p', q='qp')}, 6) p_share, round({_SHARE.format(x='p2', q='qp2')}, 6) p2_share, round(least(greatest(p, qp[1]), qp[50]), 6) p_back, true ordered FROM x""")
+SELECT doc_id, fold, round({_SHARE.format(x='p', q='qp')}, 6) p_share, round({_SHARE.format(x='p2', q='qp2')}, 6) p2_share, round(least(greatest(p, qp[1]), qp[20]), 6) p_back, true ordered FROM x""")
 def quantile_normal(spark, sf_dir):
     """Scores brought to a normal shape by the quantiles of the other fold: shares, the value that comes back, and whether the normal value has the share's side."""
     d = scored(spark, sf_dir).select("doc_id", (F.col("doc_id") % 2).cast("int").alias("fold"), "p", F.when(F.col("doc_id") % 9 != 0, F.col("p2")).alias("p2"))
     out = []
     for f in (0, 1):
-        fitted = cleaning.QuantileNormal.fit(d.filter(F.col("fold") != f), {"scores": ["p", "p2"]}, most=50)
+        fitted = cleaning.QuantileNormal.fit(d.filter(F.col("fold") != f), {"scores": ["p", "p2"]}, most=20)
         part = d.filter(F.col("fold") == f).withColumns({f"{c}_share": fitted.share(c) for c in ("p", "p2")})
         back = fitted.inverse(fitted.transform(part).withColumn("p_normal", F.col("p")))
         side = (F.col("p_normal") > 0) == (F.col("p_share") > 0.5)
