@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -267,15 +267,24 @@ def one_hot(df: DataFrame, col: str, values: list[str], drop_first: bool = False
 
 def normal_cdf(z: Column) -> Column:
     """The standard normal distribution function: 1/2 and the density times z + z^3/3 + z^5/15 + ..., exact to 1e-15 for |z| up to 6."""
+    return _once(z, _cdf)
+
+
+def _cdf(z: Column) -> Column:
     start = F.struct(z.alias("term"), z.alias("total"))
     step = lambda s, k: F.struct((s["term"] * z * z / (2 * k + 1)).alias("term"), (s["total"] + s["term"] * z * z / (2 * k + 1)).alias("total"))
     return 0.5 + F.exp(-z * z / 2) / (2 * math.pi) ** 0.5 * F.aggregate(F.sequence(F.lit(1), F.lit(90)), start, step, lambda s: s["total"])
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value evaluated once, however often ``of`` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def normal_quantile(p: Column) -> Column:
     """Standard normal quantile: ``inverse_normal`` with a step of Newton's method."""
-    once = lambda z: z - (normal_cdf(z) - p) * (2 * math.pi) ** 0.5 * F.exp(z * z / 2)
-    return F.get(F.transform(F.array(inverse_normal(p)), once), F.lit(0))
+    step = lambda q: _once(inverse_normal(q), lambda z: z - (normal_cdf(z) - q) * (2 * math.pi) ** 0.5 * F.exp(z * z / 2))
+    return _once(p, step)
 
 
 def _quantiles(long: DataFrame, shares: list[float]) -> dict[int, list[float]]:
@@ -330,17 +339,22 @@ class QuantileNormal:
         q = self.quantiles[name]
         if not q:
             return F.lit(0.5)
-        x, n, held = F.coalesce(number(F.col(name)), F.lit(self.medians[name])), len(q), F.array(*map(F.lit, q))
+        n, held = len(q), F.array(*map(F.lit, q))
         ref = lambda i: i / F.lit(float(n - 1))
-        upto, under = F.size(F.filter(held, lambda e: e <= x)), F.size(F.filter(held, lambda e: e < x))
 
-        def between(i: Column) -> Column:
+        def between(x: Column, i: Column) -> Column:
             low, high = F.get(held, i), F.get(held, i + 1)
             return ref(i) + (x - low) / (high - low) / (n - 1)
 
-        low = F.when(upto == 0, 0.0).when(upto == n, 1.0).otherwise(between(upto - 1))
-        high = F.when(under == 0, 0.0).when(under == n, 1.0).when(x == F.get(held, under), ref(under)).otherwise(between(under - 1))
-        return F.when(x <= q[0], 0.0).when(x >= q[-1], 1.0).otherwise((low + high) / 2)
+        def placed(s: Column) -> Column:
+            x, upto, under = s["x"], s["upto"], s["under"]
+            low = F.when(upto == 0, 0.0).when(upto == n, 1.0).otherwise(between(x, upto - 1))
+            high = F.when(under == 0, 0.0).when(under == n, 1.0).when(x == F.get(held, under), ref(under)).otherwise(between(x, under - 1))
+            return F.when(x <= q[0], 0.0).when(x >= q[-1], 1.0).otherwise((low + high) / 2)
+
+        counted = lambda x: F.struct(x.alias("x"), F.size(F.filter(held, lambda e: e <= x)).alias("upto"), F.size(F.filter(held, lambda e: e < x)).alias("under"))
+        value = F.coalesce(number(F.col(name)), F.lit(self.medians[name]))
+        return _once(_once(value, counted), placed)
 
     def normal(self, name: str) -> Column:
         return normal_quantile(F.greatest(F.lit(self.EDGE), F.least(F.lit(1 - self.EDGE), self.share(name)))) if self.quantiles[name] else F.lit(0.0)
@@ -357,10 +371,13 @@ class QuantileNormal:
         q, n = self.quantiles[name], len(self.quantiles[name])
         if not q:
             return F.lit(None).cast("double")
-        p = F.when(share <= self.EDGE * 1.0000001, 0.0).when(share >= 1 - self.EDGE * 1.0000001, 1.0).otherwise(share) * (n - 1)
-        i = F.least(F.floor(p), F.lit(n - 2)).cast("int")
-        held = F.array(*map(F.lit, q))
-        return F.get(held, i) + (p - i) * (F.get(held, i + 1) - F.get(held, i))
+        held, edge = F.array(*map(F.lit, q)), self.EDGE * 1.0000001
+
+        def at(p: Column) -> Column:
+            i = F.least(F.floor(p), F.lit(n - 2)).cast("int")
+            return F.get(held, i) + (p - i) * (F.get(held, i + 1) - F.get(held, i))
+
+        return _once(_once(share, lambda u: F.when(u <= edge, 0.0).when(u >= 1 - edge, 1.0).otherwise(u) * (n - 1)), at)
 
 
 def inverse_normal(p: Column) -> Column:
