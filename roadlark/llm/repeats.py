@@ -40,7 +40,9 @@ SPAN = 100
 #: Length of the strings that are hashed to choose anchors.
 GRAM = 32
 #: Bytes of text whose anchors are held at once, and bytes of one piece of a long text.
-CHUNK, PIECE = 24 << 20, 1 << 20
+CHUNK, PIECE = 12 << 20, 1 << 20
+#: Rows of a batch that are taken out of it at once.
+ROWS = 256
 #: Different contexts from which on an anchor is replaced by its windows; the list of such anchors
 #: has at most 2**MOST entries, for which the limit rises with the number of all anchors.
 HOT, MOST = 1 << 11, 20
@@ -106,9 +108,16 @@ def _contexts(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
         yield h, lo + start, n, rel, ctx, start
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of ROWS rows, so that the texts of a batch are never all copied at once."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, ROWS):
+            yield batch.slice(s, ROWS)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
     ids, texts, held = [], [], 0
-    for batch in batches:
+    for batch in _slices(batches):
         for i, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
             if len(t) >= SPAN:
                 ids.append(i)
@@ -243,13 +252,13 @@ def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, doc, at, bytes) of the contexts asked for of each text."""
-    for batch in batches:
+    for batch in _slices(batches):
         out: list[list] = [[], [], [], []]
         for doc, text, asked in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), batch.column(3)):
             if not asked.is_valid:
                 continue
             tag = tag_of(text)
-            fields = asked.values
+            fields = asked.values  # of this row alone
             for at, key in zip(fields.field("at").to_pylist(), fields.field("key").to_pylist()):
                 if (at >> 14) & 0x3FFFF == tag:
                     lo = at >> 32
@@ -339,7 +348,7 @@ def _suffix_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         n_bytes, n_removed, n_spans, kept = [], [], [], []
         for text, gone in zip(as_bytes(batch.column(1)), batch.column(2)):
             spans = []
