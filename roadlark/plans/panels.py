@@ -115,7 +115,7 @@ b AS (SELECT o_custkey, v, len(list_filter(edges, lambda x: x < n)) + 1 decile F
 r AS (SELECT *, rank() OVER (PARTITION BY decile ORDER BY v) + (count(*) OVER (PARTITION BY decile, v) - 1)/2.0::DOUBLE rk, count(*) OVER (PARTITION BY decile) c FROM b)
 SELECT o_custkey, decile::BIGINT decile, round(rk/c,6) pct FROM r""")
 def decile_percentile(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("v"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), aggregates.steady_sum(F.col("o_totalprice")).alias("v"))  # equal sums are ties
     edges = exact_quantiles(o, "n", {f"e{i}": i / 10 for i in range(1, 10)}).select(F.array(*(f"e{i}" for i in range(1, 10))).alias("edges"))
     b = o.join(F.broadcast(edges)).withColumn("decile", big(F.size(F.filter("edges", lambda e: e < F.col("n"))) + 1))  # edges: one row
     rank = counts_below(b, ["decile"], "v").select("decile", "v", r6((F.col("__below") + (F.col("__n") + 1) / 2) / F.col("__all")).alias("pct"))

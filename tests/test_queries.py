@@ -59,6 +59,13 @@ def test_top_reasons_with_equal_sums_and_without_types(spark, tmp_path):
     assert {r[0]: r[1:] for r in con.sql(catalogue.SQL["top_reasons"]).fetchall()} == {k: v for k, v in got.items() if k > 2}
 
 
+def test_decile_percentile_with_equal_sums(spark, tmp_path):
+    rows = [(k, x) for k, xs in ((1, (0.1, 0.2, 0.3)), (2, (0.3, 0.2, 0.1)), (3, (0.2, 0.3, 0.1)), (4, (0.1, 0.1, 0.1))) for x in xs]
+    spark.createDataFrame(rows, "o_custkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_custkey: r.pct for r in catalogue.QUERIES["decile_percentile"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0.75, 2: 0.75, 3: 0.75, 4: 0.25}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
