@@ -57,6 +57,24 @@ def test_draws_equal_row_by_row(spark, monkeypatch, size, held):
     assert [got.recall_median, got.recall_low, got.recall_high] == pytest.approx(np.quantile(rec, [0.5, 0.025, 0.975]).tolist(), abs=1e-12)
 
 
+def test_a_task_holds_a_part_for_a_few_draws(monkeypatch):
+    import pyarrow as pa
+
+    n, most = 3000, []
+    made = bootstrap._each
+    monkeypatch.setattr(bootstrap, "_each", lambda seed, draws, *rest: (most.append(len(draws)), made(seed, draws, *rest))[1])
+    columns = [pa.array(range(n)), pa.array([i % 7 / 7 for i in range(n)]), pa.array([i % 5 / 5 for i in range(n)]), pa.array([i % 2 for i in range(n)], pa.int32())]
+    rows = [pa.RecordBatch.from_arrays([pa.array([k] * n), pa.array([0] * n), *columns], names=["step", "part", "id", "a", "b", "y"]) for k in range(2)]
+    out = list(bootstrap._drawn(iter(rows), SEED, range(100), np.array([[n // 2], [n // 2]]), bootstrap.STEP, True))
+    assert sorted(set(most)) == [36, 64] and {len(x) for b in out for x in b.column(4).to_pylist()} <= {36, 64, 144, 256}
+
+
+def test_without_recall(spark):
+    df = spark.createDataFrame([(i, i % 7 / 7, i % 5 / 5, i % 2) for i in range(90)], "id long, a double, b double, y int")
+    whole, part = (bootstrap.paired_bootstrap(df, "a", "b", "y", "id", draws=70, recall=r).first() for r in (True, False))
+    assert part[:6] == whole[:6] and part[6:] == (None, None, None) and None not in whole
+
+
 def test_one_class(spark):
     df = spark.createDataFrame([(i, i / 9, 0.5, 1) for i in range(9)], "id long, a double, b double, y int")
     got = bootstrap.paired_bootstrap(df, "a", "b", "y", "id", draws=5).first()
