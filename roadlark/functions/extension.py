@@ -9,6 +9,7 @@ import pickle
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +29,27 @@ class Accumulator(Protocol):
     def finish(self) -> dict: ...
 
 
+#: Bytes of rows that a task gathers, so that a key's rows are added together.
+GATHER_BYTES = 32 << 20
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together, until they hold ``size`` bytes or ``rows`` rows."""
+    held, count, used = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        count, used = count + batch.num_rows, used + batch.nbytes
+        if count and (used >= size or count >= rows):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, count, used = [], 0, 0
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def accumulate(df: DataFrame, key: str, make: Callable[[], Accumulator], result: str, most: int = 100_000) -> DataFrame:
     """One row of ``result`` (a schema that begins with the key) for each key.
 
-    Each task accumulates its own rows, at most ``most`` keys at a time, so only states are shuffled; a key's states,
+    Each task accumulates its own rows, gathered up to ``GATHER_BYTES``, at most ``most`` rows and about as many keys at a time, so only states are shuffled; a key's states,
     one for each task and flush, are merged one after another. Null is a key; keys of any size stay exact, and the
     key column of the rows that ``add`` gets holds the key itself.
     """
@@ -49,18 +67,23 @@ def accumulate(df: DataFrame, key: str, make: Callable[[], Accumulator], result:
             states.clear()
             return batch
 
-        for batch in batches:
-            at = batch.schema.names.index(key)
-            coded = batch.column(at).dictionary_encode(null_encoding="encode")
+        for rows in _gathered(batches, GATHER_BYTES, most):
+            at = rows.schema.names.index(key)
+            coded = rows.column(at).dictionary_encode(null_encoding="encode")
             which, keys = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-            pdf = batch.to_pandas()
-            for i, k in enumerate(keys):
-                rows = pdf[which == i] if k is None or len(keys) > 1 else pdf
-                rows = rows.assign(**{key: pd.Series([k] * len(rows), index=rows.index, dtype=object)})
-                own = ("nan",) if k != k else k  # NaN is one key, as null is
-                if own not in states:
-                    states[own] = (k, make())
-                states[own][1].add(rows)
+            own = np.empty(len(keys), object)
+            own[:] = keys
+            order = np.argsort(which, kind="stable")
+            pdf = rows.to_pandas().take(order)
+            pdf[key] = pd.Series(own[which[order]], index=pdf.index, dtype=object)
+            ends = np.cumsum(np.bincount(which, minlength=len(keys)))
+            for k, s, e in zip(keys, [0, *ends], ends):
+                if s == e:
+                    continue
+                name = ("nan",) if k != k else k  # NaN is one key, as null is
+                if name not in states:
+                    states[name] = (k, make())
+                states[name][1].add(pdf.iloc[s:e])
             if len(states) > most:
                 yield out()
         yield out()

@@ -48,6 +48,28 @@ def test_accumulate_keeps_null_and_large_keys(spark, most):
     assert extension.accumulate(df.filter("false"), "k", Total, "k long, n long, x double, keys long").count() == 0
 
 
+class Calls(Total):
+    calls = 0
+
+    def add(self, rows):
+        super().add(rows)
+        self.calls += 1
+
+    def finish(self):
+        return super().finish() | {"n": self.calls}
+
+
+def test_accumulate_adds_rows_of_a_key_together(spark):
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+        df = spark.range(2000).coalesce(1).selectExpr("id % 40 AS k", "cast(id AS double) x")
+        got = extension.accumulate(df, "k", Calls, "k long, n long, x double, keys long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert {r.k: (r.n, r.x) for r in got} == {k: (1, float(sum(range(k, 2000, 40)))) for k in range(40)}
+
+
 def test_replay_goes_on_within_null_and_large_keys(spark):
     rows = [(k, d, 4.0, 2.0 if d != 1 else 0.0) for k in (None, BIG, 5) for d in range(3)]
     df = spark.createDataFrame(rows, "k long, d int, points double, e double").repartition(4)
