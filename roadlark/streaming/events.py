@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,40 +62,57 @@ def scores(s: DataFrame, decay: float = 0.9, prior: float = 80.0, k: float = 10.
     return s.groupBy("user_id").applyInPandasWithState(update, "user_id long, events long, score double", "risk double, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
-def evidence(s: DataFrame, deadline_days: int = 3) -> DataFrame:
+#: Open evidence as it is held: event, whether its id is null, deadline, whether it is decided.
+_OPEN = np.dtype([("id", "i8"), ("null", "?"), ("at", "i8"), ("over", "?")])
+
+
+def evidence(s: DataFrame, deadline_days: int = 3, buckets: int = 4096) -> DataFrame:
     """Review states as they come, (event_id, ts, status) rows -> (event_id, resolved, included) when evidence is decided.
 
     'valid' and 'exempt' decide at once; pending evidence is held until the watermark is ``deadline_days`` past its
-    time and then counts. A decision after the deadline is too late and changes nothing.
+    time and then counts. A decision after the deadline is too late and changes nothing. State is kept by hash of the event, in
+    ``buckets`` values that hold what is within its deadline, so that Python is called once for each bucket and batch.
     """
+    wait = deadline_days * 86_400_000
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, over = state.get if state.exists else (0, False)
-
-        def decided(status: str, included: bool) -> pd.DataFrame:
-            state.update((at, True))
-            return pd.DataFrame({"event_id": [key[0]], "resolved": [status], "included": [included]})
-
-        if state.hasTimedOut:
-            if not over:
-                yield pd.DataFrame({"event_id": [key[0]], "resolved": ["auto_valid_after_deadline"], "included": [True]})
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("ts")
-        at = at or int(rows["ts"].iloc[0].timestamp() * 1000) + deadline_days * 86_400_000
-        passed, final = at <= state.getCurrentWatermarkMs(), rows[rows["status"].isin(["valid", "exempt"])]
-        held = state.exists  # pending evidence whose deadline passes before this batch has counted already
-        if not over and len(final) and not (held and passed):
-            yield decided(final["status"].iloc[0], final["status"].iloc[0] == "valid")
-        elif not over and passed:
-            yield decided("auto_valid_after_deadline", True)
+        held = pd.DataFrame(np.frombuffer(state.get[0], _OPEN) if state.exists else np.empty(0, _OPEN)).set_index(["id", "null"])
+        now = state.getCurrentWatermarkMs()
+        rows = [] if state.hasTimedOut else list(batches)
+        if rows:
+            pdf = pd.concat(rows).sort_values("ts", kind="stable")
+            pdf["ms"] = pdf["ts"].astype("datetime64[ns]").astype("int64") // 1_000_000
+            pdf["final"] = pdf["status"].where(pdf["status"].isin(["valid", "exempt"]))
+            seen = pdf.groupby(["id", "null"]).agg(first=("ms", "first"), last=("ms", "last"), final=("final", "first"))
+            met = seen.join(held)
         else:
-            state.update((at, over))
-        if not passed:
-            state.setTimeoutTimestamp(at)
+            met = pd.DataFrame({"first": [], "last": [], "final": [], "at": [], "over": []}, index=held.index[:0])
+        old = met["at"].notna().to_numpy()
+        at = met["at"].where(old, met["first"] + wait).astype("int64").to_numpy()
+        over, passed, final = met["over"].eq(True).to_numpy(), at <= now, met["final"].notna().to_numpy()
+        decide = ~over & final & ~(old & passed)  # pending evidence whose deadline passes before this batch has counted already
+        late = ~over & ~decide & passed
+        rest = held[~held.index.isin(met.index)]
+        due = (rest["at"] <= now).to_numpy()
+        silent = rest.index[due & ~rest["over"].to_numpy()]
+        resolved = np.concatenate([np.where(decide, met["final"], "auto_valid_after_deadline")[decide | late], np.full(len(silent), "auto_valid_after_deadline", object)])
+        ids = [*met.index[decide | late], *silent]
+        # decided again by nothing that comes within another deadline
+        met = pd.DataFrame({"at": np.where(passed, met["last"].astype("int64") + wait, at), "over": over | decide | late}, index=met.index)
+        left = pd.concat([rest[~due], met[(met["at"] > now).to_numpy()]])
+        if len(left):
+            made = np.empty(len(left), _OPEN)
+            made["id"], made["null"] = left.index.get_level_values(0), left.index.get_level_values(1)
+            made["at"], made["over"] = left["at"], left["over"].astype(bool)
+            state.update((made.tobytes(),))
+            state.setTimeoutTimestamp(int(made["at"].min()))
+        elif state.exists:
+            state.remove()
+        if ids:
+            yield pd.DataFrame({"event_id": pd.array([None if null else i for i, null in ids], "Int64"), "resolved": resolved, "included": resolved != "exempt"})
 
-    w = s.withWatermark("ts", "1 hour").select("event_id", "ts", "status").groupBy("event_id")
-    return w.applyInPandasWithState(update, "event_id long, resolved string, included boolean", "at long, over boolean", "update", GroupStateTimeout.EventTimeTimeout)
+    w = s.withWatermark("ts", "1 hour").select(F.pmod(F.xxhash64("event_id"), F.lit(buckets)).alias("bucket"), F.coalesce(F.col("event_id").cast("long"), F.lit(0)).alias("id"), F.col("event_id").isNull().alias("null"), "ts", "status")
+    return w.groupBy("bucket").applyInPandasWithState(update, "event_id long, resolved string, included boolean", "open binary", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def doors(s: DataFrame, leave: float = 0.45, again: float = 0.55, gate: float = 0.6, start: float = 0.5) -> DataFrame:

@@ -64,3 +64,26 @@ def test_first_decisions_late_rows_and_forgotten_keys(store, tmp_path):
     trust = 10 / 20
     assert got[0].score == pytest.approx(min(trust * (90 - 4) + (1 - trust) * 80, 90))
     assert got[1].score == pytest.approx(80.0) and got[1].status == "observed"  # begun anew, at the prior
+
+
+def test_evidence_of_one_bucket_and_of_many(spark, tmp_path):
+    at = lambda d, h=0: f"2024-01-{d:02d} {h:02d}:00:00"
+    files = [
+        [(1, at(1), "valid"), (2, at(1), "pending"), (3, at(1), "pending"), (4, at(1), "exempt"), (None, at(1, 1), "pending"), (9007199254740993, at(1), "pending")],
+        [(2, at(1, 2), "exempt"), (1, at(1, 2), "exempt"), (9007199254740993, at(2), "valid")],
+        [(7, at(9), "pending"), (None, at(9), "pending")],
+        [(3, at(9), "exempt"), (7, at(9), "pending")],
+        [(8, at(20), "valid"), (3, at(10), "valid")],
+        [(8, at(21), "exempt")],
+    ]
+    for k, rows in enumerate(files):
+        df = spark.createDataFrame(rows, "event_id long, ts string, status string")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/{k:03d}")
+    late, found = "auto_valid_after_deadline", []
+    for buckets in (1, 4096):
+        s = spark.readStream.schema("event_id long, ts timestamp, status string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+        got = [(r.event_id or 0, r.resolved, r.included) for r in streams.run(streams.evidence(s, buckets=buckets), "update").collect()]
+        want = [(0, late, True), (1, "valid", True), (2, "exempt", False), (3, late, True), (4, "exempt", False), (7, late, True), (8, "valid", True), (9007199254740993, "valid", True)]
+        assert sorted(set(got)) == want
+        found.append(sorted(got))
+    assert found[0] == found[1]
