@@ -43,32 +43,31 @@ class DailyScore(StatefulProcessor):
         return (initial, valid, True, 0.0, initial, 0.0, -1, [], [], [], [], [], [], [])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        state = list(self.held.get()) if self.held.exists() else list(self._fresh(self.policy.prior, False))
+        state = list(self.held.get() or self._fresh(self.policy.prior, False))
         days = dict(zip(state[8], state[9]))
         events = {i: (d, p, s) for i, d, p, s in zip(*state[10:14])}
-        closed, new = state[6], set()
+        closed, open_from = state[6], min(days, default=None)
         for pdf in rows:
             for day, exposure, event, points, status in zip(pdf["day"], pdf["exposure"], pdf["event_id"], pdf["adjusted"], pdf["status"]):
                 day = int(day)
                 if day <= closed:
                     continue  # its score is published
                 if event == "":
-                    if day not in days:
-                        new.add(day)
                     days[day] = max(float(exposure), days.get(day, 0.0))
                 elif int(event) not in events or events[int(event)][2] == "pending":
                     events[int(event)] = (day, float(points), status)
         state[8:] = list(days), list(days.values()), list(events), *([e[i] for e in events.values()] for i in range(3))
         self.held.update(tuple(state))
-        for day in new:
-            self.handle.registerTimer((day + self.policy.pending_days) * DAY_MS)
+        # one timer at a time, that of the first open day; the others follow as it closes
+        if days and (open_from is None or min(days) < open_from):
+            self.handle.registerTimer((min(days) + self.policy.pending_days) * DAY_MS)
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
         at = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.held.exists():
+        if (held := self.held.get()) is None:
             return
-        initial, valid, first, ewma, score, total, closed, active, *rest = self.held.get()
+        initial, valid, first, ewma, score, total, closed, active, *rest = held
         days, events = dict(zip(*rest[:2])), list(zip(*rest[2:]))
         passed = timerValues.getCurrentWatermarkInMs()  # a timer closes all days that are due, those after it find none
         due = sorted(d for d in days if (d + self.policy.pending_days) * DAY_MS <= passed)
@@ -101,8 +100,7 @@ class DailyScore(StatefulProcessor):
             out.append((*key, datetime.date(1970, 1, 1) + datetime.timedelta(days=day), exposure, base, times, risk, ewma, score, score - before, status))
         left = [e for e in events if e[1] > closed]
         self.held.update((initial, valid, first, ewma, score, total, closed, active, list(days), list(days.values()), *([e[i] for e in left] for i in range(4))))
-        if not days:
-            self.handle.registerTimer((closed + self.idle_days) * DAY_MS)
+        self.handle.registerTimer((min(days) + self.policy.pending_days if days else closed + self.idle_days) * DAY_MS)
         yield pd.DataFrame(out, columns=["user_id", "day", "exposure", "base", "multiplier", "risk", "ewma", "score", "change", "status"])
 
     def close(self) -> None:

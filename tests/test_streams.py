@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,49 @@ def test_evidence_of_one_bucket_and_of_many(spark, tmp_path):
         assert sorted(set(got)) == want
         found.append(sorted(got))
     assert found[0] == found[1]
+
+
+def test_one_timer_for_the_open_days_of_a_key():
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.state = [], Held()
+
+        def getValueState(self, *_):  # noqa: N802
+            return self.state
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at // history.DAY_MS)
+
+    class At:
+        def __init__(self, day):
+            self.day = day
+
+        def getExpiryTimeInMs(self):  # noqa: N802
+            return self.day * history.DAY_MS
+
+        getCurrentWatermarkInMs = getExpiryTimeInMs
+
+    p, handle = history.DailyScore(dynamics.Policy(), 365), Handle()
+    wait = p.policy.pending_days
+    p.init(handle)
+    rows = lambda days: iter([pd.DataFrame({"day": days, "exposure": 1.0, "event_id": "", "adjusted": 0.0, "status": "valid"})])
+    p.handleInputRows((1,), rows(list(range(10, 40))), None)
+    assert handle.timers == [10 + wait]
+    p.handleInputRows((1,), rows([8, 41]), None)
+    assert handle.timers == [10 + wait, 8 + wait]
+    out = list(p.handleExpiredTimer((1,), At(20 + wait), At(8 + wait)))
+    assert len(out[0]) == 12 and handle.timers[2:] == [21 + wait]
+    assert list(p.handleExpiredTimer((1,), At(20 + wait), At(10 + wait))) == [] and len(handle.timers) == 3
+    assert len(list(p.handleExpiredTimer((1,), At(90), At(21 + wait)))[0]) == 20 and handle.timers[3:] == [41 + 365]
