@@ -228,7 +228,7 @@ def gains(d):
 def candidate_gates(spark, sf_dir):
     """All gates, the lower bound from a paired bootstrap."""
     d = scored(spark, sf_dir)
-    x = gains(d).crossJoin(bootstrap.paired_bootstrap(d, "p2", "p", "y", "doc_id").select("low"))  # one row each
+    x = gains(d).crossJoin(bootstrap.paired_bootstrap(d, "p2", "p", "y", "doc_id", recall=False).select("low"))  # one row each
     return x.select(*(v.alias(k) for k, v in contract.candidate_gates(F.col("da"), F.col("low"), F.col("dr"), -F.col("db")).items()))
 
 
