@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -151,7 +154,10 @@ class Moments:
         self.n, self.total, self.largest = self.n + other.n, self.total + other.total, max(self.largest, other.largest)
 
     def finish(self) -> dict:
-        return {"n": self.n, "mean": round(self.total / self.n, 4), "largest": self.largest}
+        mean = self.total / self.n
+        if math.isfinite(mean) and abs(self.total) < 1e15:  # halves away from zero, by the sum as it is written
+            mean = float((Decimal(repr(round(self.total, 9))) / self.n).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+        return {"n": self.n, "mean": mean, "largest": self.largest}
 
 
 @query('SELECT CASE WHEN user_id % 10 <> 0 THEN user_id + 9007199254740992 END user_id, count(*) n, round(avg("value"),4) mean, max("value") largest FROM events GROUP BY 1')

@@ -189,3 +189,12 @@ def test_bins_are_compressed_as_documented_and_as_in_use(spark):
     assert [k for k, _ in got] == [k for k, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want])
     one = rules.fit_bins(spark.createDataFrame([(2.0, 1.0), (2.0, 0.0)], "x double, y double"), "x", "y", compat=True).collect()
     assert [tuple(r) for r in one] == [(0, 2.0, 2, 0.5)] and rules.fit_bins(df.limit(0), "x", "y", compat=True).count() == rules.fit_bins(df.limit(0), "x", "y").count() == 0
+
+
+def test_moments_round_halves_away_from_zero():
+    from roadlark.plans.dynamics import Moments
+
+    for total, n, mean in ((3148.24, 64, 49.1913), (3148.2400000000002, 64, 49.1913), (-2743.6, 64, -42.8688), (3811.5, 80, 47.6438), (float("inf"), 2, float("inf"))):
+        m = Moments()
+        m.n, m.total = n, total
+        assert m.finish()["mean"] == mean
