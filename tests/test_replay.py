@@ -109,3 +109,19 @@ def test_share_below_of_empty_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("b", 1.0), ("b", None)], "g string, v double")
     got = sorted((r.g, r.v or 0.0, r.s) for r in replay.share_below(df, df.filter("g = 'a'"), ["g"], "v", "s").collect())
     assert got == [("a", 1.0, 0.0), ("a", 2.0, 1 / 3), ("a", 2.0, 1 / 3), ("b", 0.0, None), ("b", 1.0, 0.5)]
+
+
+def test_replay_keeps_a_row_for_each_key_not_for_each_day(spark, monkeypatch):
+    days, roster, counts, exposure = case(3)
+    frames = [spark.createDataFrame(counts, "key string, code string, day date, n int"), spark.createDataFrame(exposure, "key string, day date, km double"), spark.createDataFrame(roster, "key string, fold int, teacher double, final double, equipped boolean"), spark.createDataFrame(list(GROUPS.items()), "code string, grp string")]
+    kept, write = [], replay.checkpoint
+
+    def count(df):
+        out = write(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(replay, "checkpoint", count)
+    got = replay.replay_rules(*frames, str(START), str(days[-1]), str(MAIN), BACK, ("e",), ("G6",), top=8)
+    seats = 30 * 3  # a key before its own machine and the two that it helps to fit
+    assert max(kept) <= seats < 30 * DAYS == got.count()
